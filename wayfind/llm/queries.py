@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import minhash, mixing, sharding, token_counts
+from wayfind.llm import decontamination, language, minhash, mixing, sharding, token_counts
 from wayfind.llm.support import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
 
@@ -27,11 +31,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
 }
 
 # One chain of jumps per document, kept up to 41 shards; the checksum runs bit by bit over the UTF-8 bytes.
