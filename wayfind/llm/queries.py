@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, language, minhash, mixing, sharding, token_counts
+from wayfind.llm import decontamination, html_text, language, minhash, mixing, sharding, token_counts
 from wayfind.llm.support import table
 
 
@@ -27,6 +27,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.text_table(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
 }
