@@ -3,18 +3,20 @@
 A text's word shingles are hashed to 64 bits once; the hash range is cut into equal bins and each bin keeps its least
 hash. A bin without any takes the value of a non-empty one that a fixed sequence of hashes picks, the same sequence for
 every text. Runs of bins make band keys. In every bucket of a band key the members are compared with one centre, never
-with each other, and all links are confirmed on the full shingle sets. Buckets in which more than one component remains
-get another centre for each band, until a round finds no new link.
+with each other, and all links are confirmed on the full shingle sets. Where a bucket's members are left in more than one
+component, they meet again in the buckets of two bands at a time, which hold more similar texts only, with other centres
+and other pairs of bands in each round, until a round finds no new link.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.components import connected_components
@@ -22,6 +24,8 @@ from wayfind.llm.support import cut
 from wayfind.llm.textarrays import list_array, mix, string_slices, words
 
 BANDS, BAND_BINS = 25, 5
+#: Pairs of bands by which what is left is compared in each round.
+BAND_PAIRS = 48
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,24 +82,20 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, id_col: str, text: str, width: int, bands: int, band_bins: int) -> DataFrame:
-    """id, size of the shingle set, 128 bits of it and its band keys (null for an empty set)."""
+def _signed(docs: DataFrame, id_col: str, text: str, width: int, bins: int) -> DataFrame:
+    """id, size of the shingle set, 128 bits of it and the low 16 bits of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in string_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
-                sig = signatures(sets, bands * band_bins).reshape(len(sets), bands, band_bins)
-                keys = np.zeros((len(sets), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
-                for j in range(band_bins):
-                    keys = mix(keys * _FOLD + sig[:, :, j])
+                low = signatures(sets, bins).astype("<u2")
                 sizes = np.array([len(s) for s in sets], np.int64)
                 one = np.array([np.add.reduce(mix(s + np.uint64(1))) for s in sets], np.uint64)
                 two = np.array([np.add.reduce(mix(s ^ _FOLD)) for s in sets], np.uint64)
-                lists = list_array(keys[sizes > 0].ravel().view(np.int64), np.where(sizes > 0, bands, 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["id", "n", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "set_a", "set_b", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, set_a long, set_b long, sig binary")
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -124,34 +124,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nothing. Rows that share an id are one node with all their texts; a row with a null id links with nothing, has a
     null component_id and is kept. Other columns are not looked at. No rows in, none out.
     """
-    signed = cut(_signed(docs, id_col, text, width, bands, band_bins))
+    signed = cut(_signed(docs, id_col, text, width, bands * band_bins))
     real = signed.where("n > 0 and id is not null")
-    nodes = cut(real.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
-    keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
-    # the band's number is part of its key
+    nodes = cut(real.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")))
+
+    def band(b: int) -> Column:
+        return F.substring("sig", 2 * band_bins * b + 1, 2 * band_bins)
+
+    keyed = nodes.select("id", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), band(b)) for b in range(bands)])).alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id"), F.col("id"), F.col("n"))).alias("c")).where("m > 1")
-    near = (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")) & (F.col("id") != F.col("c.id"))
-    members = cut(keyed.join(several.select("key", "c"), "key"))
+    alike = (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")) & (F.col("id") != F.col("c.id"))
     pair = [F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")]
-    edges = cut(members.where(near).select(*pair).distinct())
+    members = keyed.join(several.select("key", "c"), "key").where((F.col("id") == F.col("c.id")) | alike)
+    members = cut(members.select("id", "n", "key", "c"))
+    edges = cut(members.where(alike).select(*pair).distinct())
     wanted = members.select("id").distinct()
     sets = cut(_sets(docs.where(F.col(id_col).isNotNull()).join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text, width))
-    links = cut(_confirmed(edges, sets, percent))
+    linked = connected_components(_confirmed(edges, sets, percent))
+    labels = cut(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     tried, turn = edges, 0
-    labels = connected_components(links)
-    while members.limit(1).count():
+    while edges.limit(1).count():
         turn += 1
-        named = members.drop("c").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id"), F.col("id"), F.col("n"), F.col("component"))).alias("c")).where("lo <> hi")
-        fresh = named.join(split.select("key", "c"), "key").where(near & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
+        own = members.select("id", "key").join(labels, "id")
+        open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        left = own.join(open_keys, "key", "left_semi").select("id", "component").distinct().join(nodes.select("id", "n", "sig"), "id")
+        rng = random.Random(turn)
+        pairs = rng.sample([(i, j) for i in range(bands) for j in range(i)], min(BAND_PAIRS, bands * (bands - 1) // 2))
+        keys = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), band(i), band(j)) for k, (i, j) in enumerate(pairs)])
+        left = left.select("id", "n", "component", F.explode(keys).alias("key"))
+        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id"), F.col("id"), F.col("n"), F.col("component"))).alias("c")
+        split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).where("lo <> hi")
+        fresh = left.join(split.select("key", "c"), "key").where(alike & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
         found = cut(_confirmed(fresh, sets, percent))
         if not found.limit(1).count():
             break
-        tried, links = tried.unionByName(fresh), links.unionByName(found)
-        labels = connected_components(links)
+        tried = tried.unionByName(fresh)
+        ends = found.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+        merged = connected_components(ends, "ca", "cb").toDF("old", "new")
+        labels = cut(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))
+    labels = labels.toDF("node", "component")
     labelled = nodes.select("n", "set_a", "set_b", F.col("id").alias("node")).join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = signed.drop("bands").join(labelled, ["n", "set_a", "set_b"], "left")
+    out = signed.drop("sig").join(labelled, ["n", "set_a", "set_b"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))

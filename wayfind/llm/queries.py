@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, html_text, language, minhash, mixing, sharding, token_counts, vector_dedup
+from wayfind.llm import decontamination, html_text, language, language_model, minhash, mixing, sharding, token_counts, vector_dedup
 from wayfind.llm.support import table
 
 
@@ -27,6 +27,10 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_table(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op4_vector_dedup": op4_vector_dedup,
+    "op5_language_model": op5_language_model,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op8_html_text": op8_html_text,
