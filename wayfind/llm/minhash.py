@@ -25,7 +25,7 @@ from wayfind.llm.textarrays import list_array, mix, string_slices, words
 
 BANDS, BAND_BINS = 25, 5
 #: Pairs of bands by which what is left is compared in each round.
-BAND_PAIRS = 48
+BAND_PAIRS = 72
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, html_text, language, language_model, minhash, mixing, sharding, token_counts, vector_dedup
+from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, minhash, mixing, sharding, token_counts, vector_dedup
 from wayfind.llm.support import table
 
 
@@ -23,6 +23,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -50,6 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op4_vector_dedup": op4_vector_dedup,
     "op5_language_model": op5_language_model,
     "op6_minhash": op6_minhash,
@@ -72,6 +77,35 @@ WITH RECURSIVE jumps AS (
 """
 
 ORACLES = {
+    "op3_line_dedup": """
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents
+), s AS (
+  SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split(lower(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' '), lambda w: w <> ''))) AS s FROM l
+), g AS (
+  SELECT s, len(s) AS n, min({'d': doc_id, 'l': no}) AS fst, row_number() OVER () AS id FROM s WHERE len(s) > 0 GROUP BY s
+), w AS (
+  SELECT id, n, fst, unnest(s) AS w FROM g
+), f AS (
+  SELECT w, count(*) AS c FROM w GROUP BY w
+), r AS (
+  SELECT id, n, fst, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS k FROM w JOIN f USING (w)
+), p AS (
+  SELECT id, n, fst, w FROM r WHERE k <= n - ceil(80 * n / 100.0) + 1
+), c AS (
+  SELECT DISTINCT a.id AS early, b.id AS late FROM p a JOIN p b ON a.w = b.w AND a.fst < b.fst AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), m AS (
+  SELECT DISTINCT late FROM c JOIN g a ON a.id = early JOIN g b ON b.id = late
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))
+), gone AS (
+  SELECT s.doc_id, s.no FROM s JOIN g USING (s) LEFT JOIN m ON m.late = g.id WHERE m.late IS NOT NULL OR g.fst <> {'d': s.doc_id, 'l': s.no}
+), t AS (
+  SELECT doc_id, list(no ORDER BY no)::INT[] AS removed FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(string_split(d.text, chr(10)))::INT AS n_lines, len(coalesce(removed, []))::INT AS n_removed, coalesce(removed, []::INT[]) AS removed,
+  array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10)) AS text
+FROM documents d LEFT JOIN t USING (doc_id)
+""",
     "op4_vector_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as written to the folder in spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; our own only where it names none."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as written to the folder in spark.checkpoint.dir, which all executors share."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
