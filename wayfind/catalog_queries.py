@@ -1,6 +1,610 @@
-"""Registration of the catalog queries and their DuckDB twins."""
+"""Registration of the catalog queries and their DuckDB twins.
+
+The driver's tables stand in for registry data: documents and parts for entities, benchmark items for requests, suppliers and
+nations for names and hosts, events for announcements, heartbeats and latencies, order lines for attestations.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfind.catalog_oracles import ORACLES
+from wayfind.functions import identity, naming
+from wayfind.functions import text as T
+from wayfind.functions import vectors as V
+from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, similarity, trust, validate
+from wayfind.operators.bm25 import bm25, bm25_fielded, phrase_hits, top_k, with_phrases
+from wayfind.plans import search as plan
+
+AS_OF = "2024-02-01 00:00:00"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities: the first line names them, the source tags them, the language is their category."""
+    d = _t(spark, sf_dir, "documents")
+    sid = F.substring_index("source", "src", -1).cast("int")
+    return d.select(
+        F.col("doc_id").alias("entity_id"), F.substring_index("text", "\n", 1).alias("name"), F.array("source").alias("tags"), F.col("lang").alias("category"), F.col("text").alias("summary"),
+        F.col("source").alias("home_registry"), F.when(F.col("doc_id") % 11 == 0, "inactive").otherwise("active").alias("status"), F.concat(F.lit("dev"), F.col("doc_id") % 7).alias("developer_id"),
+        F.when(F.col("doc_id") % 5 == 0, "service").otherwise("agent").alias("entity_type"),
+        F.timestamp_micros(F.unix_micros(_as_of()) - F.col("n_chars") % 90 * F.lit(86_400_000_000)).alias("updated_at"), sid.alias("sid"),
+    )
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _t(spark, sf_dir, "benchmark")
+    none = F.lit(None).cast("string")
+    return b.select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), none.alias("category"), F.lit(None).cast("array<string>").alias("tags"), none.alias("developer_id"),
+        F.when(F.col("item_id") % 3 == 0, "agent").alias("entity_type"), F.lit(10).alias("max_results"), F.lit(0).alias("offset"),
+    )
+
+
+def _bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", F.col("text"), "doc_id", F.col("text"))
+
+
+def bm25_topk(spark, sf_dir):
+    """BM25 top 10 of each benchmark item."""
+    return top_k(_bm25_scores(spark, sf_dir), 10)
+
+
+def _fields() -> dict[str, Column]:
+    return {"name": F.substring_index("text", "\n", 1), "tags": F.col("source"), "category": F.col("lang"), "summary": F.col("text")}
+
+
+def _quoted(b: DataFrame) -> DataFrame:
+    """Requests that quote their third and fourth word."""
+    words = F.split("text", " ")
+    return b.withColumn("text", F.concat(F.col("text"), F.lit(' "'), F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3))), F.lit('"')))
+
+
+def bm25_fielded_topk(spark, sf_dir):
+    """Fielded BM25 with the advanced tokenizer, top 10."""
+    return top_k(bm25_fielded(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", F.col("text"), "doc_id", _fields()), 10)
+
+
+def phrase_bonus(spark, sf_dir):
+    """Fielded scores with a bonus for quoted phrases, top 10."""
+    q, d = _quoted(_t(spark, sf_dir, "benchmark")), _t(spark, sf_dir, "documents")
+    f = _fields()
+    scores = bm25_fielded(q, d, "item_id", F.col("text"), "doc_id", f)
+    bonus = phrase_hits(q, d, "item_id", F.col("text"), "doc_id", f["name"], f["summary"], f["category"], F.array("source"))
+    return top_k(with_phrases(scores, bonus), 10)
+
+
+def corpus_statistics(spark, sf_dir):
+    """Postings and statistics of the whole corpus: each term's document and collection frequency."""
+    tokens = index.token_rows(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    posted = index.postings(tokens)
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def index_update(spark, sf_dir):
+    """The index after a third of the documents was replaced by other texts and a fifth was removed."""
+    d = _t(spark, sf_dir, "documents")
+    base = index.postings(index.token_rows(d, "doc_id", F.col("text")))
+    changed = d.where("doc_id % 3 = 0").withColumn("text", F.concat_ws(" ", F.lit("fresh-token"), "lang", "source"))
+    out = index.apply_changes(base, changed, d.where("doc_id % 5 = 1").select("doc_id"), "doc_id", F.col("text"))
+    return out.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def cosine_topk(spark, sf_dir):
+    """The ten nearest vectors of each vector whose id is divisible by 100."""
+    e = _t(spark, sf_dir, "embeddings")
+    return similarity.cosine_hits(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding", 64, 10)
+
+
+def cosine_by_label(spark, sf_dir):
+    """How many vectors of each label a query vector is close to."""
+    e = _t(spark, sf_dir, "embeddings")
+    hits = similarity.cosine_hits(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding", 64, least=0.25)
+    joined = hits.join(e.select(F.col("vec_id").alias("doc"), "label"), "doc")
+    return joined.groupBy("query", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_hash_vectors(spark, sf_dir):
+    """Hashed token and bigram vectors of all documents, sparse."""
+    out = V.hashed_slots(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return out.select(F.col("id").alias("doc_id"), "slot", F.round("value", 6).alias("value"))
+
+
+def _hash_similarity(spark, sf_dir) -> DataFrame:
+    """(query, doc, sim): hashed vectors of requests against those of documents, joined by slot."""
+    docs = V.hashed_slots(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    qs = V.hashed_slots(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    pairs = docs.alias("d").join(qs.alias("q"), "slot")
+    return pairs.groupBy(F.col("q.id").alias("query"), F.col("d.id").alias("doc")).agg(F.sum(F.col("q.value") * F.col("d.value")).alias("sim"))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    """Scored candidates of each request with source, trust, freshness and availability."""
+    text = rank.normalise_by_max(_bm25_scores(spark, sf_dir).withColumnRenamed("score", "text"), "text")
+    hits = text.withColumn("semantic", F.round(F.col("text") * F.col("text"), 6)).withColumn("text", F.round("text", 6))
+    d = _t(spark, sf_dir, "documents")
+    labels = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    source = F.when(F.substring_index("source", "src", -1).cast("int") % 2 == 0, "local").otherwise("remote")
+    age = F.timestamp_micros(F.unix_micros(_as_of()) - F.col("n_chars") % 90 * F.lit(86_400_000_000))
+    known = d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), source.alias("source"), (F.col("quality") * 0.4 + 0.5).alias("trust"), rank.freshness(age, _as_of()).alias("freshness"))
+    return rank.source_defaults(hits.join(known, "doc"))
+
+
+def hybrid_weighted(spark, sf_dir):
+    """Weighted ranking with its breakdown, top 10 above a least score."""
+    ranked = filters.min_score(rank.rank_weighted(_candidates(spark, sf_dir)), 0.3)
+    return ranked.where("rank <= 10").select("query", "doc", "source", "text", "semantic", "trust", F.round("freshness", 6).alias("freshness"), "availability", "score", "rank")
+
+
+def hybrid_rrf(spark, sf_dir):
+    """Reciprocal rank fusion, top 10."""
+    return rank.rank_candidates(_candidates(spark, sf_dir), "rrf").where("rank <= 10").select("query", "doc", "score", "rank")
+
+
+def candidates_dedupe(spark, sf_dir):
+    """Candidates of two sources, one row per request and document."""
+    c = _candidates(spark, sf_dir).where("text > 0.5").select("query", "doc", "source", "text")
+    again = c.where("doc % 2 = 0").withColumns({"source": F.lit("federated"), "text": F.lit(1.0)})
+    return rank.dedupe_candidates(c.unionByName(again))
+
+
+def merge_hits(spark, sf_dir):
+    """Keyword hits and hashed-vector hits side by side."""
+    text = _bm25_scores(spark, sf_dir).where("query % 4 = 0 and score > 8").withColumnRenamed("score", "text")
+    sem = _hash_similarity(spark, sf_dir).where("query % 4 = 0 and sim > 0.35")
+    return plan.merge_hits(text, sem).select("query", "doc", F.round("text", 5).alias("text"), F.round("semantic", 5).alias("semantic"))
+
+
+def search_page(spark, sf_dir):
+    """L3, L4: the second page of each request with counts."""
+    ranked = rank.rank_weighted(_candidates(spark, sf_dir).where("text > 0.3"))
+    return rank.page(ranked, 5, 5).select("query", "doc", "score", "rank", "n_distinct", "has_more")
+
+
+def search_plan(spark, sf_dir):
+    """The whole discovery plan over a local and a remote catalog."""
+    e = _entities(spark, sf_dir)
+    sources = {"local": e.where("sid % 2 = 0"), "remote": e.where("sid % 2 = 1")}
+
+    def semantic(requests: DataFrame, entities: DataFrame) -> DataFrame:
+        return requests.select(F.col("query_id").alias("query"), F.lit(None).cast("long").alias("doc"), F.lit(0.0).alias("sim")).limit(0)
+
+    out = plan.search(_requests(spark, sf_dir), sources, semantic, _as_of())
+    return out.select("query", "doc", "source", F.round("text", 6).alias("text"), "trust", F.round("freshness", 6).alias("freshness"), "availability", "score", "rank", "n_distinct", "total_found", "has_more")
+
+
+def keyword_filter(spark, sf_dir):
+    """F1, L1: parts whose name or type has a keyword, of one brand group."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("summary"), F.col("p_brand").alias("category"), F.array("p_type", "p_brand").alias("tags"), F.col("p_size").alias("updated_at"))
+    return filters.keyword_filter(p, "RED", None, ["econ"]).select("entity_id", "name", "category")
+
+
+def remote_keyword_filter(spark, sf_dir):
+    """the same over remote entities, without tombstoned ones."""
+    d = _t(spark, sf_dir, "documents")
+    e = d.select(F.col("doc_id").alias("entity_id"), F.col("text").alias("summary"), F.col("source").alias("name"), F.col("lang").alias("category"), F.array("source").alias("tags"), (F.col("doc_id") % 4 == 0).alias("tombstoned"), F.col("n_chars").alias("received_at"))
+    return filters.keyword_filter(e, "License", "en", newest="received_at", live_only=True).select("entity_id", "name")
+
+
+def any_tag_filter(spark, sf_dir):
+    """parts with any of some tags and one size or none asked for."""
+    p = _t(spark, sf_dir, "part")
+    kept = p.where(filters.has_any_tag(F.array("p_type", "p_brand"), F.array(F.lit("economy"), F.lit("BRAND#3"))) & filters.equal_or_open(F.col("p_name"), F.lit("")))
+    return kept.select("p_partkey", "p_type", "p_brand")
+
+
+def capability_filter(spark, sf_dir):
+    """entities by skills, languages, trust and status."""
+    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    caps = d.select("doc_id", F.struct(F.array("source").alias("skills"), F.array("lang").alias("languages")).alias("capability_summary"), F.col("quality").cast("double").alias("trust_score"), F.when(F.col("toxic") == 0, "active").otherwise("inactive").alias("status"))
+    return filters.capability_filter(caps, skills=["SRC1", "src2", "src3"], languages=["EN", "fr"], min_trust=0.5, status="active").select("doc_id")
+
+
+def facets(spark, sf_dir):
+    """A3: categories and tags with counts."""
+    return metrics.facets(_t(spark, sf_dir, "part"), F.col("p_brand"), F.array("p_type", "p_name"))
+
+
+def catalog_counts(spark, sf_dir):
+    """A1, A2: counts of local and live remote entities and developers."""
+    d = _t(spark, sf_dir, "documents")
+    remote = d.where("doc_id % 2 = 1").withColumn("tombstoned", F.col("doc_id") % 3 == 0)
+    return metrics.network_rollup(d.where("doc_id % 2 = 0"), remote, _t(spark, sf_dir, "supplier"), 4)
+
+
+def list_page(spark, sf_dir):
+    """L1: the third page of 25 economy parts."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"), F.col("p_size").alias("updated_at"))
+    return filters.list_page(p, 25, 50, "ECONOMY")
+
+
+def entity_patch(spark, sf_dir):
+    """F16: parts with patched sizes and types."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.lit(0).alias("updated_at"))
+    patch = _t(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey", F.when(F.col("p_partkey") % 20 == 0, "PATCHED").alias("p_type"), (F.col("p_size") + 100).alias("p_size"))
+    return filters.apply_patches(p, patch, "p_partkey", ["p_type", "p_size"], F.lit(7))
+
+
+def request_defaults(spark, sf_dir):
+    """requests with defaults filled in and public output redacted."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "service").when(F.col("p_size") % 3 == 1, "").alias("entity_type"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("entity_url"), F.col("p_type").alias("service_endpoint"), F.when(F.col("p_size") > 25, F.array("p_brand")).alias("tags"))
+    full = identity.default_request(p)
+    return full.select("p_partkey", "entity_type", F.nullif(F.col("entity_url"), F.lit("")).alias("url"), F.size("tags").alias("n_tags")).join(identity.redact(full).select("p_partkey", F.col("entity_url").alias("public_url")), "p_partkey")
+
+
+def _validation_input(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").cast("string").alias("entity_id"), F.substring_index("text", "\n", 1).alias("name"), F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("owner"),
+        F.when(F.col("doc_id") % 7 != 0, "https://x.example").alias("entity_url"), F.col("lang").alias("category"), F.substring("text", 1, 199).alias("summary"), F.lit("key").alias("public_key"),
+        F.array_repeat(F.col("source"), (F.col("doc_id") % 23).cast("int")).alias("tags"), F.when(F.col("doc_id") % 3 == 0, "service").when(F.col("doc_id") % 17 == 0, "robot").otherwise("agent").alias("entity_type"),
+        F.when(F.col("doc_id") % 2 == 0, "https://s.example").alias("service_endpoint"), F.when(F.col("doc_id") % 5 == 0, "barter").alias("pricing_model"),
+    )
+
+
+def validate_entities(spark, sf_dir):
+    """Every reason why an entity is invalid."""
+    out = validate.validate_entities(_validation_input(spark, sf_dir))
+    return out.select("entity_id", F.array_join("reasons", "; ").alias("reasons"), "first_reason", "valid")
+
+
+def validate_developers(spark, sf_dir):
+    """developers and names with missing fields."""
+    s = _t(spark, sf_dir, "supplier")
+    dev = validate.validate_developers(s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("developer_id"), F.when(F.col("s_suppkey") % 4 != 0, F.repeat("s_name", F.col("s_nationkey") % 8)).alias("name"), F.when(F.col("s_acctbal") > 0, "k").alias("public_key")))
+    nam = validate.validate_names(s.select(F.col("s_suppkey").alias("key"), F.lit("h/d/n").alias("fqan"), F.when(F.col("s_suppkey") % 3 != 0, "n").alias("entity_name"), F.lit("d").alias("developer_handle"), F.when(F.col("s_suppkey") % 5 != 0, "h").otherwise("").alias("registry_host"), F.lit("e").alias("entity_id"), F.lit("d").alias("developer_id")))
+    return dev.select(F.lit("developer").alias("kind"), "key", F.array_join("reasons", "; ").alias("reasons")).unionByName(nam.select(F.lit("name").alias("kind"), "key", F.array_join("reasons", "; ").alias("reasons")))
+
+
+def validate_handles(spark, sf_dir):
+    """which words of the documents' first lines make handles, and why others don't."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("w")).distinct()
+    tried = words.unionByName(words.where(F.length("w") > 4).select(F.concat(F.lower("w"), F.lit("-")).alias("w"))).unionByName(words.select(F.concat(F.lower("w"), F.lit("--x")).alias("w"))).unionByName(words.limit(1).select(F.lit("admin").alias("w"))).distinct()
+    return tried.select("w", naming.handle_error(F.col("w")).alias("error"))
+
+
+def _host_names(spark, sf_dir) -> DataFrame:
+    """Suppliers as names at their nation's host."""
+    s, n = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation")
+    j = s.join(n, s.s_nationkey == n.n_nationkey)
+    host = F.lower(F.regexp_replace("n_name", "_", "-"))
+    handle = F.concat(F.lit("dev-"), F.col("s_suppkey") % 40)
+    name = F.concat(F.lit("agent-"), F.col("s_suppkey") % 60)
+    return j.select(
+        naming.build_fqan(host, handle, name).alias("fqan"), name.alias("entity_name"), handle.alias("developer_handle"), host.alias("registry_host"), (F.col("s_suppkey") % 80).alias("entity_id"),
+        (F.col("s_suppkey") % 40).alias("developer_id"), F.col("s_suppkey").alias("registered_at"), F.concat(F.lit("k"), F.col("s_suppkey") % 9).alias("public_key"),
+    )
+
+
+def parse_fqan(spark, sf_dir):
+    """Names built from page URLs, parsed again with their qualifiers, and hosts of URLs."""
+    p = _t(spark, sf_dir, "pages")
+    host = identity.registry_host(F.col("url"))
+    raw = F.concat(F.when(F.col("page_id") % 2 == 0, "zns://").otherwise(""), host, F.lit("/dev-"), F.col("page_id").cast("string"), F.lit("/agent"), F.when(F.col("page_id") % 3 == 0, "@2.1.0").when(F.col("page_id") % 7 == 1, "@").otherwise(""), F.when(F.col("page_id") % 5 == 0, "#nlp.translation").otherwise(""))
+    rows = p.select("page_id", host.alias("host"), raw.alias("raw"))
+    q, f = naming.parse_qualified(F.col("raw")), naming.parse_fqan(F.col("raw"))
+    return rows.select("page_id", "host", q["base"].alias("base"), q["version"].alias("version"), q["capability"].alias("capability"), f["handle"].alias("handle"), f["name"].alias("name"), f["error"].alias("error"))
+
+
+def txt_records(spark, sf_dir):
+    """TXT records of page hosts that carry the wanted version and key."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("v=dns"), F.col("page_id") % 3, F.lit("  key=k"), F.col("page_id") % 5, F.lit(" fqan=h/d/n")).alias("txt"))
+    return p.select("page_id", naming.txt_matches(F.col("txt"), F.lit("dns1"), F.lit("k2"), F.lit("h/d/n")).alias("matches"))
+
+
+def names_join(spark, sf_dir):
+    """Entities with their first name."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"))
+    return names.attach_names(s, _host_names(spark, sf_dir))
+
+
+def resolve_name(spark, sf_dir):
+    """(handle, name) requests against local names, then remote ones."""
+    n = _host_names(spark, sf_dir)
+    req = _t(spark, sf_dir, "customer").select(F.concat(F.lit("dev-"), F.col("c_custkey") % 45).alias("handle"), F.concat(F.lit("agent-"), F.col("c_custkey") % 65).alias("name")).distinct()
+    ent = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.when(F.col("s_acctbal") > 5000, "active").otherwise("inactive").alias("status"))
+    dev = _t(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("developer_id"), (F.col("s_suppkey") % 2 == 0).alias("dev_handle_verified"))
+    remote = n.where("registered_at % 2 = 1").withColumn("tombstoned", F.col("registered_at") % 5 == 0)
+    return names.resolve_names(req, n.where("registered_at % 2 = 0"), ent, dev, remote)
+
+
+def resolve_fqan(spark, sf_dir):
+    """Exact names, local before remote; entity lookups likewise."""
+    n = _host_names(spark, sf_dir)
+    remote = n.where("registered_at % 2 = 1").withColumn("tombstoned", F.col("registered_at") % 5 == 0)
+    req = n.select("fqan").unionByName(n.select(F.concat("fqan", F.lit("-x")).alias("fqan"))).distinct()
+    return names.resolve_fqans(req, n.where("registered_at % 2 = 0"), remote)
+
+
+def lookup_entity(spark, sf_dir):
+    """Parts by id, local before remote."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), "p_name")
+    ids = p.where("entity_id % 3 = 0").select("entity_id")
+    return names.lookup_entities(ids, p.where("entity_id % 2 = 0"), p.where("entity_id % 5 < 3"))
+
+
+def registration_check(spark, sf_dir):
+    """Registrations by unknown developers or with another key."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 120).alias("developer_id"), F.concat(F.lit("k"), F.col("c_nationkey")).alias("proof_key"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("developer_id"), F.concat(F.lit("k"), F.col("s_nationkey")).alias("public_key"))
+    return names.check_registrations(c, s.where("developer_id < 60"), s.where("developer_id >= 40"))
+
+
+def registration_insert(spark, sf_dir):
+    """Rows with new keys and rejects of a batch of registrations."""
+    from wayfind.sources.catalog import split_new
+
+    c = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 500).alias("entity_id"), "c_custkey")
+    held = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"))
+    fresh, bad = split_new(c, held, ["entity_id"], "c_custkey")
+    return fresh.withColumn("reason", F.lit("")).unionByName(bad)
+
+
+def name_availability(spark, sf_dir):
+    """Which handles are free, and who holds the others."""
+    req = _t(spark, sf_dir, "customer").select(F.concat(F.lit("dev-"), F.col("c_custkey") % 60).alias("developer_handle")).distinct()
+    return names.availability(req, _host_names(spark, sf_dir), ["developer_handle"], "entity_id")
+
+
+def name_conflicts(spark, sf_dir):
+    """Names that another key holds."""
+    req = _t(spark, sf_dir, "customer").where("c_custkey < 300").select("c_custkey", F.concat(F.lit("dev-"), F.col("c_custkey") % 40).alias("handle"), F.concat(F.lit("agent-"), F.col("c_custkey") % 60).alias("name"), F.concat(F.lit("k"), F.col("c_custkey") % 9).alias("public_key"))
+    return names.name_conflicts(req, _host_names(spark, sf_dir)).select("c_custkey", "handle", "name", "public_key", "held_by")
+
+
+def developer_entities(spark, sf_dir):
+    """Each customer's newest three orders as entities of a developer."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").alias("developer_id"), F.col("o_orderdate").alias("updated_at"))
+    dev = _t(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("developer_id"))
+    return names.entities_by_developer(o, dev, 3).select("entity_id", "developer_id", "rank")
+
+
+def names_by_host(spark, sf_dir):
+    """The names of one handle at one host."""
+    return names.names_of(_host_names(spark, sf_dir).withColumn("registry_host", F.lit("host")), "dev-7", "host").select("fqan", "entity_name")
+
+
+def latest_version(spark, sf_dir):
+    """The newest 2.x version of each name, with orders as versions."""
+    v = _versions(spark, sf_dir)
+    return names.latest_versions(v, F.lit("2")).select("fqan", "version", "entity_id")
+
+
+def _versions(spark, sf_dir) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("fqan"), F.concat(F.col("o_orderkey") % 4, F.lit("."), F.col("o_orderkey") % 10).alias("version"), F.col("o_orderkey").alias("entity_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("registered_at"))
+
+
+def version_history(spark, sf_dir):
+    """All versions of each name, newest first, with the one before."""
+    return names.version_history(_versions(spark, sf_dir)).select("fqan", "version", "entity_id", "rank", "previous_version")
+
+
+def _announcements(spark, sf_dir) -> DataFrame:
+    """Events as announcements: the user is the entity, the kind of event the action, and props say whose key signed."""
+    e = _t(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in {"signup": "register", "click": "update", "purchase": "update", "view": "agent_status", "error": "deregister"}.items() for x in kv]), F.col("event_type"))
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("entity_id"), F.lit("agent_announce").alias("type"), action.alias("action"), F.concat(F.lit("key"), k % 3).alias("origin_public_key"),
+        F.when(k % 2 == 0, "active").otherwise("inactive").alias("status"), F.concat(F.lit("name-"), F.col("event_id")).alias("name"), F.concat(F.lit("cat-"), k % 10).alias("category"),
+        F.col("ts").cast("timestamp").alias("arrived_at"), (k % 4).alias("hop_count"), F.lit(3).alias("max_hops"), F.when(k % 20 != 0, "sig").alias("signature"),
+    )
+
+
+def announce_dedupe(spark, sf_dir):
+    """Announcements without repeats of an entity's action within an hour."""
+    a = _announcements(spark, sf_dir)
+    out = replication.dedupe_announcements(a, 3600, key=F.concat_ws("|", "entity_id", "action"))
+    return out.select("seq", "entity_id", "action")
+
+
+def announce_forward(spark, sf_dir):
+    """signed announcements with hops left, one hop further."""
+    return filters.within_hops(filters.signed_only(_announcements(spark, sf_dir))).select("seq", "entity_id", "hop_count")
+
+
+def announce_route(spark, sf_dir):
+    """Announcements by target table."""
+    kinds = F.array(*map(F.lit, [*replication.TYPES, "other"]))
+    a = _announcements(spark, sf_dir).withColumn("type", F.get(kinds, (F.col("seq") % 7).cast("int")))
+    return replication.route(a).groupBy("type", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def announce_authorize(spark, sf_dir):
+    """Which announcements are accepted, by the pinned key."""
+    return replication.authorize(_announcements(spark, sf_dir)).select("seq", "entity_id", "action", "pin", "accepted")
+
+
+def entity_state(spark, sf_dir):
+    """The state of each entity after all accepted announcements."""
+    s = replication.entity_state(replication.authorize(_announcements(spark, sf_dir)), ["name", "category"])
+    return s.select("entity_id", "name", "category", "pin", "status", F.unix_micros("received_at").alias("received_us"), "tombstoned", F.unix_micros("tombstone_at").alias("tombstone_us"))
+
+
+def expire_tombstones(spark, sf_dir):
+    """Entities that are still held a week after their tombstone."""
+    s = replication.entity_state(replication.authorize(_announcements(spark, sf_dir)), ["name"])
+    return retention.expire_tombstones(s, _as_of(), seconds=86_400).select("entity_id", "tombstoned")
+
+
+def developer_state(spark, sf_dir):
+    """Remote developers with their handles, folded from the stream."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = _t(spark, sf_dir, "events")
+    d = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("developer_id"), F.when(k % 2 == 0, "developer_announce").otherwise("dev_handle").alias("type"), F.when(k % 2 == 0, F.when(k % 10 == 0, "deregister").otherwise("register")).otherwise(F.when(k % 9 == 0, "release").when(k % 3 == 0, "verify").otherwise("claim")).alias("action"), F.concat(F.lit("n"), k).alias("name"), F.concat(F.lit("k"), k % 3).alias("public_key"), F.concat(F.lit("h"), k % 7).alias("dev_handle"))
+    return replication.developer_state(d)
+
+
+def name_state(spark, sf_dir):
+    """Bindings, proofs and attestations: the last row of each key, releases tombstone."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    b = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("h/d/"), F.col("user_id")).alias("fqan"), F.when(k % 6 == 0, "release").otherwise("bind").alias("action"), F.col("user_id").alias("entity_id"), F.concat(F.lit("1."), k).alias("version"))
+    return replication.name_state(b, ["entity_id", "version"])
+
+
+def proof_state(spark, sf_dir):
+    """The last proof of each registry, all columns together."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    p = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), k.alias("registry_id"), F.col("event_type").alias("domain"), F.col("user_id").alias("proof"))
+    return replication.latest_rows(p, ["registry_id"], ["domain", "proof"])
+
+
+def record_expiry(spark, sf_dir):
+    """Users whose last event is at most a day old."""
+    last = liveness.heartbeat_fold(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return retention.expire_records(last, as_of, "last_heartbeat", 14_400).select("user_id")
+
+
+def _beats(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", "event_id")
+
+
+def heartbeats_in_skew(spark, sf_dir):
+    """Heartbeats whose clock is at most a minute off; unreadable times go."""
+    b = _beats(spark, sf_dir)
+    claimed = F.when(F.col("event_id") % 50 == 0, "yesterday").otherwise(identity.format_rfc3339(F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 121 - 60) * 1_500_000)))
+    return filters.within_skew(b.withColumn("claimed", claimed), identity.parse_rfc3339(F.col("claimed")), F.col("ts")).select("event_id", "user_id")
+
+
+def liveness_sweep(spark, sf_dir):
+    """Users that count as active and were silent for an hour at as_of."""
+    state = liveness.heartbeat_fold(_beats(spark, sf_dir), "user_id", "ts")
+    out = liveness.liveness_sweep(state, F.lit("2024-01-31 00:00:00").cast("timestamp"), 3600, "user_id")
+    return out.select("user_id", F.unix_micros("last_heartbeat").alias("last_us"))
+
+
+def active_sessions(spark, sf_dir):
+    """Spans of each user's activity without an hour's silence."""
+    s = liveness.active_sessions(_beats(spark, sf_dir), "user_id", "ts", 3600)
+    return s.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_at").alias("last_us"), "beats")
+
+
+def became_active(spark, sf_dir):
+    """The events that turn a user active."""
+    return liveness.became_active(_beats(spark, sf_dir), "user_id", "ts", 3600).select("event_id", "user_id")
+
+
+def over_limit(spark, sf_dir):
+    """Users with more than four events in an hour."""
+    out = metrics.over_limit(_beats(spark, sf_dir), "ts", "user_id", 4, "1 hour")
+    return out.select("user_id", F.unix_micros("window_start").alias("window_us"), "n")
+
+
+def activity_hourly(spark, sf_dir):
+    """Events of each type by hour."""
+    out = metrics.activity_counts(_beats(spark, sf_dir), "ts", "event_type")
+    return out.select(F.unix_micros("window_start").alias("window_us"), "event_type", "n")
+
+
+def latency_summary(spark, sf_dir):
+    """Latency percentiles of each event type; errors count as failed."""
+    rows = _beats(spark, sf_dir).withColumn("kind", F.col("user_id") % 5)
+    return metrics.latency_summary(rows, ["kind"], "value", F.col("event_type") != "error")
+
+
+def _attestations(spark, sf_dir) -> DataFrame:
+    """Order lines as observations: the supplier is the entity, the customer's nation the observer, returned lines fail."""
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    return j.groupBy(F.col("l_suppkey").alias("entity_id"), F.col("c_nationkey").alias("observer_registry")).agg(
+        F.count(F.lit(1)).alias("invocations"), F.count_if(F.col("l_returnflag") != "R").alias("successes"), (F.avg("l_quantity") * 40).alias("avg_latency_ms"), (F.avg("l_discount") * 60).alias("avg_rating")
+    )
+
+
+def reputation(spark, sf_dir):
+    """Reputation of each attestation."""
+    a = _attestations(spark, sf_dir)
+    r = trust.reputation(F.col("invocations"), F.col("successes"), F.col("avg_latency_ms"), F.col("avg_rating"))
+    return a.select("entity_id", "observer_registry", "invocations", "successes", F.round(r, 6).alias("reputation"))
+
+
+def entity_trust(spark, sf_dir):
+    """Trust and confidence of each entity, with weights of some observers."""
+    w = _t(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("observer_registry"), (F.col("n_nationkey") / 10.0).alias("weight"))
+    out = trust.entity_trust(_attestations(spark, sf_dir), w)
+    return out.select("entity_id", F.round("trust", 6).alias("trust"), F.round("confidence", 6).alias("confidence"), "attestations", "invocations")
+
+
+def verification_tiers(spark, sf_dir):
+    """A4: distinct attesters per subject and the tier they give."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderpriority").alias("attester_id"))
+    return trust.verification_tiers(o)
+
+
+def _registry_items(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return routing.registry_tokens(d, "source", F.substring_index("text", "\n", 1), F.col("lang"), F.array("source"), F.col("text"))
+
+
+_M, _K = routing.bloom_size(20_000, 0.01)
+
+
+def registry_tokens(spark, sf_dir):
+    """B2: how many distinct tokens each registry holds."""
+    return _registry_items(spark, sf_dir).groupBy("registry").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+def bloom_filters(spark, sf_dir):
+    """Set bits of each registry's filter after packing it and reading it back."""
+    built = routing.bloom_build(_registry_items(spark, sf_dir), _M, _K)
+    back = routing.unpack_filters(routing.pack_filters(built))
+    return back.groupBy("registry").agg(F.count(F.lit(1)).alias("bits_set"), F.sum("pos").alias("pos_sum"))
+
+
+def bloom_match(spark, sf_dir):
+    """How many of a request's tokens each registry may hold."""
+    tokens = routing.query_tokens(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    return routing.bloom_match(tokens, routing.bloom_build(_registry_items(spark, sf_dir), _M, _K), _M, _K)
+
+
+def registry_routing(spark, sf_dir):
+    """The five best registries of each request by exact matches, with one registry that sent no filter."""
+    q = _t(spark, sf_dir, "benchmark")
+    tokens = routing.query_tokens(q, "item_id", F.col("text"))
+    matches = routing.exact_match(tokens, _registry_items(spark, sf_dir).where("registry <> 'src3'"))
+    return routing.route_queries(q, matches, q.sparkSession.range(1).select(F.lit("src3").alias("registry")), 5, "item_id")
+
+
+def federated_topk(spark, sf_dir):
+    """Registries rank their own documents, the results are merged, top 5."""
+    q = _requests(spark, sf_dir)
+    tokens = routing.query_tokens(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    routes = routing.route_queries(_t(spark, sf_dir, "benchmark"), routing.exact_match(tokens, _registry_items(spark, sf_dir)), None, 3)
+    e = _entities(spark, sf_dir).withColumns({"name": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>"), "category": F.lit(None).cast("string")})
+    return plan.federated_top(q, e, routes, 5).select("query", "registry", "doc", "score", "rank")
+
+
+def advanced_tokens(spark, sf_dir):
+    """Advanced tokens with bigrams of every request."""
+    config = T.TokenizerConfig(ngram_min=2, ngram_max=2, synonyms={"the": ["x"], "thing": ["object", "item"]})
+    b = _t(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.explode(T.tokenize_advanced(F.col("text"), config)).alias("token")).groupBy("item_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_ids(spark, sf_dir):
+    """Ids from keys and fingerprints of records."""
+    s = _t(spark, sf_dir, "supplier")
+    key = F.concat(F.lit("ed25519:"), F.base64(F.col("s_name").cast("binary")))
+    return s.select("s_suppkey", identity.make_id("agent", key).alias("agent_id"), identity.make_id("developer", key).alias("developer_id"), identity.fingerprint("s_name", "s_nationkey").alias("fingerprint"))
+
+
+QUERIES = {f.__name__: f for f in (
+    bm25_topk, bm25_fielded_topk, phrase_bonus, corpus_statistics, index_update, cosine_topk, cosine_by_label, token_hash_vectors, hybrid_weighted, hybrid_rrf, candidates_dedupe, merge_hits,
+    search_page, search_plan, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
+    validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, name_availability, name_conflicts,
+    developer_entities, names_by_host, latest_version, version_history, announce_dedupe, announce_forward, announce_route, announce_authorize, entity_state, expire_tombstones, developer_state,
+    name_state, proof_state, record_expiry, heartbeats_in_skew, liveness_sweep, active_sessions, became_active, over_limit, activity_hourly, latency_summary, reputation, entity_trust,
+    verification_tiers, registry_tokens, bloom_filters, bloom_match, registry_routing, federated_topk, advanced_tokens, entity_ids,
+)}
