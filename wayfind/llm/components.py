@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.support import cut
+from wayfind.llm.support import packed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"), (x != y).alias("keep")).where("keep").select("u", "v")
-    edges = cut(edges.distinct())
+    edges, _ = packed(edges.distinct())
     state = _state(edges)
     while state[0]:
         # large star: neighbours above a node go to the smallest one around it
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node and its smaller neighbours go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges, _ = packed(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if before == state:
             break

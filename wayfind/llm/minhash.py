@@ -16,16 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.components import connected_components
-from wayfind.llm.support import cut
+from wayfind.llm.support import cut, packed
 from wayfind.llm.textarrays import list_array, mix, string_slices, words
 
 BANDS, BAND_BINS = 25, 5
 #: Pairs of bands by which what is left is compared in each round.
-BAND_PAIRS = 72
+BAND_PAIRS = 48
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -137,32 +138,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pair = [F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")]
     members = keyed.join(several.select("key", "c"), "key").where((F.col("id") == F.col("c.id")) | alike)
     members = cut(members.select("id", "n", "key", "c"))
-    edges = cut(members.where(alike).select(*pair).distinct())
+    edges, n_edges = packed(members.where(alike).select(*pair).distinct())
     wanted = members.select("id").distinct()
-    sets = cut(_sets(docs.where(F.col(id_col).isNotNull()).join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text, width))
+    # kept on the executors' disks by id, so that a check only moves one set per edge; what is lost is made anew
+    sets = _sets(docs.where(F.col(id_col).isNotNull()).join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text, width)
+    sets = sets.repartition("id").persist(StorageLevel.DISK_ONLY)
     linked = connected_components(_confirmed(edges, sets, percent))
-    labels = cut(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    labels, _ = packed(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    # what shares a bucket with another component
+    own = members.select("id", "key").join(labels, "id")
+    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left, n_left = packed(own.join(open_keys, "key", "left_semi").select("id").distinct().join(nodes.select("id", "n", "sig"), "id"))
     tried, turn = edges, 0
-    while edges.limit(1).count():
+    while n_edges and n_left:
         turn += 1
-        own = members.select("id", "key").join(labels, "id")
-        open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = own.join(open_keys, "key", "left_semi").select("id", "component").distinct().join(nodes.select("id", "n", "sig"), "id")
         rng = random.Random(turn)
         pairs = rng.sample([(i, j) for i in range(bands) for j in range(i)], min(BAND_PAIRS, bands * (bands - 1) // 2))
         keys = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), band(i), band(j)) for k, (i, j) in enumerate(pairs)])
-        left = left.select("id", "n", "component", F.explode(keys).alias("key"))
+        here = left.join(labels, "id").select("id", "n", "component", F.explode(keys).alias("key"))
         centre = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id"), F.col("id"), F.col("n"), F.col("component"))).alias("c")
-        split = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).where("lo <> hi")
-        fresh = left.join(split.select("key", "c"), "key").where(alike & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
-        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_confirmed(fresh, sets, percent))
-        if not found.limit(1).count():
+        split = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).where("lo <> hi")
+        fresh = here.join(split.select("key", "c"), "key").where(alike & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
+        fresh, _ = packed(fresh.join(tried, ["a", "b"], "left_anti"))
+        found, n_found = packed(_confirmed(fresh, sets, percent))
+        if not n_found:
             break
         tried = tried.unionByName(fresh)
         ends = found.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         merged = connected_components(ends, "ca", "cb").toDF("old", "new")
-        labels = cut(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))
+        labels, _ = packed(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))
+    sets.unpersist()
     labels = labels.toDF("node", "component")
     labelled = nodes.select("n", "set_a", "set_b", F.col("id").alias("node")).join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = signed.drop("sig").join(labelled, ["n", "set_a", "set_b"], "left")

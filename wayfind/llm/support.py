@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A table joined by broadcast on our word has at most so many rows of a few numbers.
 SMALL_ROWS = 10_000
+#: Rows of a few numbers to a partition, where a table is put together.
+PACKED_ROWS = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -22,5 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows cut and in as few partitions as their number needs, and that number: later shuffles of a small table then
+    have few map tasks, however many partitions it was made in."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(max(1, -(-n // PACKED_ROWS))), n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
