@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.support import cut
-from wayfind.llm.textarrays import list_array, mix, string_slices, words
+from wayfind.llm.textarrays import list_array, mix, released, string_slices, words
 
 #: The head: at most so many words, the commonest, whose counts each task holds (16 bytes each). Counts of all others are joined.
 HEAD = 1 << 17
@@ -27,7 +27,7 @@ HEAD = 1 << 17
 CLUSTERED, SIGNATURES = 1 << 14, 1 << 11
 CLASSES, SWEEPS = 64, 3
 DELTA, ALPHA = 0.5, 20.0
-WORDS_AT_ONCE = 1 << 21
+WORDS_AT_ONCE = 1 << 20
 
 
 def held_out(id_col: str) -> Column:
@@ -76,7 +76,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield out(hashes, sigs)
 
-    return docs.select(text).mapInArrow(run, "word long, sig int, c long").groupBy("word", "sig").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(lambda batches: released(run(batches)), "word long, sig int, c long").groupBy("word", "sig").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -168,7 +168,7 @@ def unit_bigrams(docs: DataFrame, text: str, shared) -> DataFrame:
         if held:
             yield out(keys)
 
-    return docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(lambda batches: released(run(batches)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _neighbours(bigrams: DataFrame, size: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _class_bigrams(units: DataFrame, classes: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
 
     out = np.zeros(CLASSES * CLASSES)
-    for row in units.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in units.mapInArrow(lambda batches: released(run(batches)), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[row["at"]] = row["n"]
     return out.reshape(CLASSES, CLASSES)
 
@@ -261,7 +261,7 @@ def _sweep(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in moved], pa.int32()), pa.array([b for _, b in moved], pa.int32())], names=["unit", "class"])
 
     new = classes.copy()
-    rows = units.mapInArrow(run, "unit int, class int").toPandas()  # a row per unit, CLUSTERED + SIGNATURES at most
+    rows = units.mapInArrow(lambda batches: released(run(batches)), "unit int, class int").toPandas()  # a row per unit, CLUSTERED + SIGNATURES at most
     new[rows["unit"].to_numpy(np.int64)] = rows["class"].to_numpy()
     return new
 
@@ -366,7 +366,7 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str
                     names=[*[x for i, x in enumerate(batch.schema.names) if i != column], "__tokens", "__known", "__base", "__score", "__words", "__kinds", "__ns"],
                 )
 
-    rows = cut(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    rows = cut(docs.mapInArrow(lambda batches: released(run(batches)), schema).withColumn("__row", F.monotonically_increasing_id()))
     tail = rows.select("__row", F.explode(F.arrays_zip("__words", "__kinds", "__ns")).alias("x")).select("__row", F.col("x.__words").alias("word"), F.col("x.__kinds").alias("kind"), F.col("x.__ns").alias("n"))
     c = F.coalesce("c", F.lit(0))
     divided = F.element_at(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("kind") + 1)

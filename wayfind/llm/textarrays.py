@@ -43,6 +43,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes batches on and hands freed memory back at the end, as workers outlive their tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def string_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows; a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):
