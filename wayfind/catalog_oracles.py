@@ -64,11 +64,11 @@ _CANDIDATES = f"""{_BM25},
 nt AS (SELECT query, doc, score / max(score) OVER (PARTITION BY query) AS t FROM bm),
 lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 cand AS (
-  SELECT query, doc, round(t, 6) AS text, round(t * t, 6) AS semantic, s AS source, coalesce(quality * 0.4 + 0.5, CASE s WHEN 'local' THEN 0.5 ELSE 0.3 END) AS trust,
-    exp(-0.023 * (n_chars % 90)) AS freshness, CASE s WHEN 'local' THEN 1.0 ELSE 0.9 END AS availability
+  SELECT query, doc, round(t, 6) AS text, round(t * t, 6) AS semantic, s AS source, coalesce(quality * 0.4::DOUBLE + 0.5::DOUBLE, CASE s WHEN 'local' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS trust,
+    exp(-0.023::DOUBLE * (n_chars % 90)) AS freshness, CASE s WHEN 'local' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS availability
   FROM nt JOIN (SELECT doc_id AS doc, n_chars, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'local' ELSE 'remote' END AS s FROM documents) USING (doc) LEFT JOIN lb ON lb.doc_id = doc
 ),
-scored AS (SELECT *, round(0.3 * text + 0.3 * semantic + 0.2 * trust + 0.1 * freshness + 0.1 * availability, 6) AS score FROM cand)"""
+scored AS (SELECT *, round(0.3::DOUBLE * text + 0.3::DOUBLE * semantic + 0.2::DOUBLE * trust + 0.1::DOUBLE * freshness + 0.1::DOUBLE * availability, 6) AS score FROM cand)"""
 
 _NAMES = """
 nm AS (
@@ -101,11 +101,11 @@ ev AS (
 )"""
 
 _ATTEST = """
-at AS (
+att AS (
   SELECT l_suppkey AS entity_id, c_nationkey AS observer_registry, count(*) AS invocations, count(*) FILTER (l_returnflag <> 'R') AS successes, avg(l_quantity) * 40 AS lat, avg(l_discount) * 60 AS rating
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL
 ), rep AS (
-  SELECT *, 0.4 * successes / invocations + 0.3 * least(rating / 5.0, 1.0) + 0.3 / (1 + exp((lat - 1000) / 300.0)) AS rep FROM at
+  SELECT *, 0.4 * successes / invocations + 0.3 * least(rating / 5.0, 1.0) + 0.3 / (1 + exp((lat - 1000) / 300.0)) AS rep FROM att
 )"""
 
 _RTOKENS = """
@@ -155,6 +155,18 @@ u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) A
 m AS (SELECT a.id AS query, b.id AS doc, sum(a.v * b.v) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' AND a.id % 4 = 0 GROUP BY ALL HAVING sim > 0.35)
 SELECT query, doc, round(coalesce(score, 0), 5) AS text, round(coalesce(sim, 0), 5) AS semantic FROM (SELECT * FROM bm WHERE query % 4 = 0 AND score > 8) FULL JOIN m USING (query, doc)""",
     "search_page": f"WITH {_CANDIDATES}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n_distinct FROM scored WHERE text > 0.3) SELECT *, n_distinct > 10 AS has_more FROM r WHERE rank > 5 AND rank <= 10",
+    "search_plan": f"""WITH q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
+e AS (SELECT doc_id AS doc, substr(source, 4)::INT % 2 AS side, lang, source, n_chars, {_TOKENS.format("string_split(text, chr(10))[1] || ' ' || text || ' ' || source || ' ' || lang")} AS tokens FROM documents),
+st AS (SELECT side, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM e GROUP BY side), p AS (SELECT doc, side, len(tokens) AS length, unnest(tokens) AS term FROM e),
+tf AS (SELECT doc, side, term, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT side, term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query, side, doc, sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM tf JOIN df USING (side, term) JOIN st USING (side) JOIN qt USING (term) GROUP BY query, side, doc),
+nt AS (SELECT query, side, doc, score / max(score) OVER (PARTITION BY query, side) AS text FROM bm),
+c AS (SELECT query, doc, CASE side WHEN 0 THEN 'local' ELSE 'remote' END AS source, text, CASE side WHEN 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS trust, exp(-0.023::DOUBLE * (n_chars % 90)) AS freshness, CASE side WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS availability
+  FROM nt JOIN e USING (side, doc) WHERE doc % 11 <> 0 AND (query % 3 <> 0 OR doc % 5 <> 0)),
+s AS (SELECT *, round(0.3::DOUBLE * text + 0.3::DOUBLE * 0.0 + 0.2::DOUBLE * trust + 0.1::DOUBLE * freshness + 0.1::DOUBLE * availability, 6) AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) <= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM b)
+SELECT query, doc, source, round(text, 6) AS text, trust, round(freshness, 6) AS freshness, availability, score, rank, n AS n_distinct, n AS total_found, n > 10 AS has_more FROM r WHERE rank <= 10""",
     "keyword_filter": "SELECT p_partkey AS entity_id, p_name AS name, p_brand AS category FROM part WHERE (contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red')) AND (contains(lower(p_type), 'econ') OR contains(lower(p_brand), 'econ'))",
     "remote_keyword_filter": "SELECT doc_id AS entity_id, source AS name FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license')) AND lang = 'en' AND doc_id % 4 <> 0",
     "any_tag_filter": "SELECT p_partkey, p_type, p_brand FROM part WHERE lower(p_type) IN ('economy', 'brand#3') OR lower(p_brand) IN ('economy', 'brand#3')",
@@ -222,7 +234,7 @@ SELECT 'h/d/' || user_id AS fqan, arg_max(user_id, seq) FILTER (k % 6 <> 0) AS e
     "liveness_sweep": "SELECT user_id, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 23:00:00'",
     "active_sessions": f"WITH {_GAPS}, s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS s FROM b) SELECT user_id, min(us) AS started_us, max(us) AS last_us, count(*) AS beats FROM s GROUP BY user_id, s",
     "became_active": f"WITH {_GAPS} SELECT event_id, user_id FROM b WHERE gap IS NULL OR gap > 3600000000",
-    "over_limit": "SELECT user_id, epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 4",
+    "over_limit": "SELECT user_id, epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2",
     "activity_hourly": "SELECT epoch_us(date_trunc('hour', ts)) AS window_us, event_type, count(*) AS n FROM events GROUP BY ALL",
     "latency_summary": """WITH r AS (SELECT user_id % 5 AS kind, value, event_type <> 'error' AS ok FROM events), l AS (SELECT kind, list(value ORDER BY value) FILTER (ok) AS v, count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM r GROUP BY kind)
 SELECT kind, total, ok, failed, v[floor((len(v) - 1) * 50 / 100.0)::INT + 1] AS p50, v[floor((len(v) - 1) * 90 / 100.0)::INT + 1] AS p90, v[floor((len(v) - 1) * 99 / 100.0)::INT + 1] AS p99, v[1] AS least, v[-1] AS most FROM l""",
@@ -237,7 +249,7 @@ need AS (SELECT query, token, count(*) AS need FROM n GROUP BY ALL), got AS (SEL
 SELECT query, registry, count(*) AS matches FROM got JOIN need USING (query, token) WHERE got = need GROUP BY ALL""",
     "registry_routing": f"""WITH {_RTOKENS}, m AS (SELECT query, registry, count(*) AS matches FROM qk JOIN rt USING (token) WHERE registry <> 'src3' GROUP BY ALL UNION ALL SELECT item_id, 'src3', 1 FROM benchmark)
 SELECT query, registry, matches, row_number() OVER (PARTITION BY query ORDER BY matches DESC, registry) AS rank FROM m QUALIFY rank <= 5""",
-    "federated_topk": f"""WITH {_RTOKENS}, m AS (SELECT query, registry, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, registry) AS r FROM qk JOIN rt USING (token) GROUP BY ALL QUALIFY r <= 3),
+    "federated_topk": f"""WITH {_RTOKENS}, c AS (SELECT query, registry, count(*) AS n FROM qk JOIN rt USING (token) GROUP BY ALL), m AS (SELECT query, registry, row_number() OVER (PARTITION BY query ORDER BY n DESC, registry) AS r FROM c QUALIFY r <= 3),
 q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
 d AS (SELECT doc_id AS doc, source AS registry, {_TOKENS.format("text")} AS tokens FROM documents), st AS (SELECT registry, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM d GROUP BY registry),
 p AS (SELECT doc, registry, len(tokens) AS length, unnest(tokens) AS term FROM d), tf AS (SELECT doc, registry, term, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
