@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,6 +54,14 @@ def _fnv1a(data: bytes) -> int:
     return h
 
 
+def _tokens(text: str) -> list[str]:
+    """tokenize_basic on one text: Spark runs no Python function over a higher-order one."""
+    out = []
+    for run in re.findall("[a-z0-9_-]{2,}", text.lower()):
+        out += [run, *(p for p in re.split("[-_]", run) if len(p) >= 2 and p != run)]
+    return out
+
+
 def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
     """The dense form with 64-bit FNV-1a, as an Arrow-batched function of the text."""
     if dims <= 0:
@@ -62,11 +71,11 @@ def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
-        for tokens in batches:
+        for texts in batches:
             out = []
-            for row in tokens:
+            for value in texts:
                 v = np.zeros(dims, np.float32)
-                words = [] if row is None else list(row)
+                words = _tokens(value or "")
                 for w, x in [(w, 1.0) for w in words] + [(f"{a}_{b}", 0.5) for a, b in zip(words, words[1:], strict=False)]:
                     h = _fnv1a(w.encode())
                     v[h % dims] += x if h & 1 else -x
@@ -74,7 +83,7 @@ def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
                 out.append((v / norm if norm else v).astype(np.float32))
             yield pd.Series(out)
 
-    return lambda text: embed(tokenize_basic(text))
+    return embed
 
 
 _EMBEDDERS: dict[str, Callable[..., Callable[[Column], Column]]] = {}

@@ -39,7 +39,7 @@ def source_defaults(df: DataFrame) -> DataFrame:
 def freshness(updated_at: Column, as_of: Column) -> Column:
     """exp(-0.023 * days); the future counts as now, an unknown time as 0.5."""
     days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(updated_at)) / 86_400e6)
-    return F.coalesce(F.exp(-DECAY * days), F.lit(0.5))
+    return F.when(updated_at.isNull(), 0.5).otherwise(F.exp(-DECAY * days))
 
 
 def normalise_by_max(df: DataFrame, score: str, query: str = "query") -> DataFrame:
