@@ -184,7 +184,6 @@ def _found(index: BenchmarkIndex, texts: list[str], q: int) -> list[list[dict]]:
     chars, place, offsets = canonical(texts)
     out: list[list[dict]] = [[] for _ in texts]
     items, lows = index.bands(chars, q)
-    seen = set()
     for a in range(0, len(items), 256):
         item, low = items[a : a + 256], lows[a : a + 256]
         edits, start, end = index.aligned(chars, item, low)
@@ -194,20 +193,27 @@ def _found(index: BenchmarkIndex, texts: list[str], q: int) -> list[list[dict]]:
             s, t = max(s, 0), min(t, len(chars))
             row = int(np.searchsorted(offsets, (s + t) // 2, side="right")) - 1
             s, t = max(s, int(offsets[row])), min(t, int(offsets[row + 1]) - 1)
-            if t > s and (i, row, t) not in seen:
-                seen.add((i, row, t))
+            if t > s:
                 out[row].append({"item_id": int(index.ids[i]), "start": int(place[s]), "end": int(place[t - 1]) + 1, "edits": e})
-    for leaks in out:
-        leaks.sort(key=lambda x: (x["start"], x["item_id"], x["edits"], x["end"]))
-    return out
+    return [_best(leaks) for leaks in out]
+
+
+def _best(leaks: list[dict]) -> list[dict]:
+    """Of alignments of one item that overlap, the one with fewest edits; in order of their starts."""
+    kept: dict[int, list[dict]] = {}
+    for x in sorted(leaks, key=lambda x: (x["edits"], x["start"], x["end"])):
+        own = kept.setdefault(x["item_id"], [])
+        if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in own):
+            own.append(x)
+    return sorted((x for own in kept.values() for x in own), key=lambda x: (x["start"], x["item_id"]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = ERROR_RATE) -> DataFrame:
     """Adds `leaks` to the rows: the benchmark items met, with start and end in characters and the edits needed.
 
     A null or empty text has none. Items that are null or have fewer than q canonical characters are no evidence and
-    are left out; equal items are each reported. An item that lies in overlapping bands is reported once per place where it
-    ends. No item anywhere gives empty lists. The benchmark is read in blocks of about BLOCK_CHARS characters by a hash
+    are left out; equal items are each reported. Of overlapping places of one
+    item the one with fewest edits is reported. No item anywhere gives empty lists. The benchmark is read in blocks of about BLOCK_CHARS characters by a hash
     of its rows, each block a bounded broadcast; documents are scanned once per block and never shuffled. A column
     named leaks is replaced.
     """

@@ -346,8 +346,8 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str
                 moves = np.add.reduceat(m.transition[before, kinds], np.concatenate([[0], stops[:-1] + 1]))
                 word_kind = kinds[to]
                 inside = count > 0
-                base = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / base_of), minlength=n)
-                emit = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / m.emission[word_kind[inside]]), minlength=n)
+                base = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / base_of), minlength=n).astype(np.float64)
+                emit = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / m.emission[word_kind[inside]]), minlength=n).astype(np.float64)
                 known = np.bincount(rows[inside], minlength=n)
                 base += math.log10((m.ends + DELTA) / base_of)
                 emit += math.log10((m.ends + DELTA) / m.emission[0])

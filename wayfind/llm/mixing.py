@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wayfind.llm.support import SMALL_ROWS, cut
 
-#: A mean repetition rate above this is refused: the inverse is evaluated term by term.
-MOST_RATE = 64.0
+#: A mean repetition rate above this is refused: a source's distribution is an array of about so many numbers.
+MOST_RATE = 1000.0
 
 
 def unit_hash(seed: str, *parts: Column) -> Column:
@@ -21,24 +21,21 @@ def unit_hash(seed: str, *parts: Column) -> Column:
 
 def _terms(rate: float) -> int:
     """So many terms that what is left of the distribution is under 2**-53."""
-    k, p, total = 0, math.exp(-rate), math.exp(-rate)
-    while 1 - total > 2**-54 and k < 4 * rate + 60:
-        k += 1
-        p *= rate / k
-        total += p
-    return k + 1
+    return math.ceil(rate + 10 * math.sqrt(rate) + 40)
 
 
-def poisson_cdf(rate: Column, most: float = MOST_RATE) -> Column:
-    """P(X <= 0), P(X <= 1), ... for X ~ Poisson(rate) as an array, until what is left is under 2**-53."""
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("below"))
+def poisson_cdf(rate: Column, most: float) -> Column:
+    """P(X <= 0), P(X <= 1), ... for X ~ Poisson(rate) as an array, for rates up to `most`.
+
+    Terms are carried as logarithms, so large rates don't vanish.
+    """
+    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("below"))
 
     def on(s: Column, i: Column) -> Column:
-        p = s["p"] * rate / i
-        return F.struct(p.alias("p"), F.concat(s["below"], F.array(F.element_at(s["below"], -1) + p)).alias("below"))
+        log = s["log"] + F.log(rate / i)
+        return F.struct(log.alias("log"), F.concat(s["below"], F.array(F.element_at(s["below"], -1) + F.exp(log))).alias("below"))
 
-    cdf = F.aggregate(F.sequence(F.lit(1), F.lit(_terms(most))), start, on)["below"]
-    return F.array_distinct(cdf)  # past the last term that counts the sums stay the same
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_terms(most))), start, on)["below"]
 
 
 def poisson_count(u: Column, cdf: Column) -> Column:
@@ -67,7 +64,7 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str, float] | None,
     top = rated.agg(F.max("rate")).first()[0]
     if top > most_rate:
         raise ValueError(f"a source's repetition rate would be {top:.3g}; the most is {most_rate:g}")
-    rated = rated.withColumn("__cdf", poisson_cdf(F.col("rate"), top))
+    rated = rated.withColumn("__cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"), top)).otherwise(F.array(F.lit(1.0))))
     return F.broadcast(rated) if rated.count() <= SMALL_ROWS else rated
 
 
