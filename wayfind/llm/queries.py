@@ -64,7 +64,7 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-# One chain of jumps per document, kept up to 41 shards; the checksum runs bit by bit over the UTF-8 bytes.
+# One chain of jumps per document, kept up to 41 shards.
 _JUMPS = """
 WITH RECURSIVE jumps AS (
   SELECT doc_id, coalesce(doc_id, 0)::UHUGEINT AS key, -1::BIGINT AS bucket, 0::BIGINT AS jump FROM (SELECT DISTINCT doc_id FROM documents)
@@ -77,6 +77,19 @@ WITH RECURSIVE jumps AS (
 """
 
 ORACLES = {
+    "op2_sharding": _JUMPS
+    + """, tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), bytes AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents
+), crc AS (
+  SELECT doc_id, n + 16 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM bytes, tab
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), size, text_crc32)), 1, 8))::BIGINT % 256, doc_id) - 1 AS slot, grown_shard
+FROM crc JOIN shards USING (doc_id)
+""",
     "op3_line_dedup": """
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents

@@ -61,7 +61,8 @@ def assign_shards(docs: DataFrame, key: str, shards: int, slot_groups: int = SLO
     """
     docs = docs.drop("shard", "slot")
     dealt = docs.withColumn("shard", jump_hash(F.col(key), shards))
-    group = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(slot_groups)).cast("int")
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in docs.columns])
+    group = (F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long") % slot_groups).cast("int")
     dealt = dealt.withColumn("__group", group)
     before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
