@@ -152,8 +152,8 @@ w AS (SELECT side, id, unnest(t) AS w, 1.0::DOUBLE AS x FROM i UNION ALL SELECT
 h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, x FROM w),
 s AS (SELECT side, id, h % 384 AS slot, sum(CASE WHEN h % 2 = 0 THEN -x ELSE x END) AS v FROM h GROUP BY ALL),
 u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM s WHERE v <> 0),
-m AS (SELECT a.id AS query, b.id AS doc, sum(a.v * b.v) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' AND a.id % 4 = 0 GROUP BY ALL HAVING sim > 0.35)
-SELECT query, doc, round(coalesce(score, 0), 5) AS text, round(coalesce(sim, 0), 5) AS semantic FROM (SELECT * FROM bm WHERE query % 4 = 0 AND score > 8) FULL JOIN m USING (query, doc)""",
+m AS (SELECT a.id AS query, b.id AS doc, sum(a.v * b.v) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' GROUP BY ALL HAVING sim > 0.35)
+SELECT query, doc, round(coalesce(score, 0), 5) AS text, round(coalesce(sim, 0), 5) AS semantic FROM (SELECT * FROM bm WHERE score > 8) FULL JOIN m USING (query, doc)""",
     "search_page": f"WITH {_CANDIDATES}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n_distinct FROM scored WHERE text > 0.3) SELECT *, n_distinct > 10 AS has_more FROM r WHERE rank > 5 AND rank <= 10",
     "search_plan": f"""WITH q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
 e AS (SELECT doc_id AS doc, substr(source, 4)::INT % 2 AS side, lang, source, n_chars, {_TOKENS.format("string_split(text, chr(10))[1] || ' ' || text || ' ' || source || ' ' || lang")} AS tokens FROM documents),
@@ -209,7 +209,7 @@ FROM rq LEFT JOIN lo USING (fqan) LEFT JOIN re USING (fqan)""",
     "registration_check": "SELECT c_custkey, c_custkey % 120 AS developer_id, 'k' || c_nationkey AS proof_key, CASE WHEN s_suppkey IS NULL THEN 'unknown developer' WHEN s_nationkey <> c_nationkey THEN 'key mismatch' END AS refused FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 120",
     "registration_insert": "SELECT c_custkey % 500 AS entity_id, c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'already registered' WHEN row_number() OVER (PARTITION BY c_custkey % 500 ORDER BY c_custkey) > 1 THEN 'repeated in the batch' ELSE '' END AS reason FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 500",
     "name_availability": f"WITH {_NAMES}, h AS (SELECT developer_handle, min(entity_id) AS existing_id FROM nm GROUP BY 1) SELECT developer_handle, existing_id, existing_id IS NULL AS available FROM (SELECT DISTINCT 'dev-' || (c_custkey % 60) AS developer_handle FROM customer) LEFT JOIN h USING (developer_handle)",
-    "name_conflicts": f"WITH {_NAMES} SELECT c_custkey, developer_handle AS handle, entity_name AS name, 'k' || (c_custkey % 9) AS public_key, public_key AS held_by FROM customer JOIN nm ON developer_handle = 'dev-' || (c_custkey % 40) AND entity_name = 'agent-' || (c_custkey % 60) WHERE c_custkey < 300 AND public_key <> 'k' || (c_custkey % 9)",
+    "name_conflicts": f"WITH {_NAMES} SELECT c_custkey, developer_handle AS handle, entity_name AS name, 'k' || (c_custkey % 9) AS public_key, public_key AS held_by FROM customer JOIN nm ON developer_handle = 'dev-' || (c_custkey % 40) AND entity_name = 'agent-' || (c_custkey % 60) WHERE public_key <> 'k' || (c_custkey % 9)",
     "developer_entities": "SELECT o_orderkey AS entity_id, o_custkey AS developer_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') QUALIFY rank <= 3",
     "names_by_host": f"WITH {_NAMES} SELECT fqan, entity_name FROM nm WHERE developer_handle = 'dev-7'",
     "latest_version": "SELECT o_custkey AS fqan, (o_orderkey % 4) || '.' || (o_orderkey % 10) AS version, o_orderkey AS entity_id FROM orders WHERE o_orderkey % 4 = 2 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) + o_orderkey DESC, version DESC) = 1",

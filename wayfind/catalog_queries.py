@@ -119,11 +119,10 @@ def token_hash_vectors(spark, sf_dir):
 
 
 def _hash_similarity(spark, sf_dir) -> DataFrame:
-    """(query, doc, sim): hashed vectors of requests against those of documents, joined by slot."""
-    docs = V.hashed_slots(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    qs = V.hashed_slots(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    pairs = docs.alias("d").join(qs.alias("q"), "slot")
-    return pairs.groupBy(F.col("q.id").alias("query"), F.col("d.id").alias("doc")).agg(F.sum(F.col("q.value") * F.col("d.value")).alias("sim"))
+    """(query, doc, sim): hashed vectors of requests against those of documents, above a least similarity."""
+    docs = V.dense(V.hashed_slots(_t(spark, sf_dir, "documents"), "doc_id", F.col("text")), 384)
+    qs = V.dense(V.hashed_slots(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text")), 384)
+    return similarity.cosine_hits(qs, docs, "id", "vector", "id", "vector", 384, least=0.35)
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -158,8 +157,8 @@ def candidates_dedupe(spark, sf_dir):
 
 def merge_hits(spark, sf_dir):
     """Keyword hits and hashed-vector hits side by side."""
-    text = _bm25_scores(spark, sf_dir).where("query % 4 = 0 and score > 8").withColumnRenamed("score", "text")
-    sem = _hash_similarity(spark, sf_dir).where("query % 4 = 0 and sim > 0.35")
+    text = _bm25_scores(spark, sf_dir).where("score > 8").withColumnRenamed("score", "text")
+    sem = _hash_similarity(spark, sf_dir)
     return plan.merge_hits(text, sem).select("query", "doc", F.round("text", 5).alias("text"), F.round("semantic", 5).alias("semantic"))
 
 
@@ -356,7 +355,7 @@ def name_availability(spark, sf_dir):
 
 def name_conflicts(spark, sf_dir):
     """Names that another key holds."""
-    req = _t(spark, sf_dir, "customer").where("c_custkey < 300").select("c_custkey", F.concat(F.lit("dev-"), F.col("c_custkey") % 40).alias("handle"), F.concat(F.lit("agent-"), F.col("c_custkey") % 60).alias("name"), F.concat(F.lit("k"), F.col("c_custkey") % 9).alias("public_key"))
+    req = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("dev-"), F.col("c_custkey") % 40).alias("handle"), F.concat(F.lit("agent-"), F.col("c_custkey") % 60).alias("name"), F.concat(F.lit("k"), F.col("c_custkey") % 9).alias("public_key"))
     return names.name_conflicts(req, _host_names(spark, sf_dir)).select("c_custkey", "handle", "name", "public_key", "held_by")
 
 
@@ -495,8 +494,8 @@ def became_active(spark, sf_dir):
 
 
 def over_limit(spark, sf_dir):
-    """Users with more than four events in an hour."""
-    out = metrics.over_limit(_beats(spark, sf_dir), "ts", "user_id", 4, "1 hour")
+    """Users with more than two events in an hour."""
+    out = metrics.over_limit(_beats(spark, sf_dir), "ts", "user_id", 2, "1 hour")
     return out.select("user_id", F.unix_micros("window_start").alias("window_us"), "n")
 
 

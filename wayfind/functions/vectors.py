@@ -47,6 +47,12 @@ def hashed_slots(docs: DataFrame, id_col: str, text: Column, dims: int = 384) ->
     return slots.join(norms, "id").select("id", "slot", (F.col("raw") / F.col("norm")).alias("value"))
 
 
+def dense(slots: DataFrame, dims: int) -> DataFrame:
+    """(id, vector) from sparse slots: dims numbers for each id."""
+    maps = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    return maps.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
 def _fnv1a(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:
