@@ -133,11 +133,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return F.substring("sig", 2 * band_bins * b + 1, 2 * band_bins)
 
     keyed = nodes.select("id", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), band(b)) for b in range(bands)])).alias("key"))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("id"), F.col("id"), F.col("n"))).alias("c")).where("m > 1")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut(keyed.join(several, "key").select("id", "n", "key", "m"))
+    # a node's degree is how many it meets in all its buckets: what copies were made from meets most of them, and makes the best centre
+    degrees = members.groupBy("id").agg(F.sum("m").alias("degree"))
+    members = members.join(degrees, "id")
+    hub = F.max(F.struct("degree", F.xxhash64("id"), "id", "n")).alias("c")
+    members = cut(members.join(members.groupBy("key").agg(hub), "key").select("id", "n", "key", "degree", "c"))
     alike = (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")) & (F.col("id") != F.col("c.id"))
     pair = [F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")]
-    members = keyed.join(several.select("key", "c"), "key").where((F.col("id") == F.col("c.id")) | alike)
-    members = cut(members.select("id", "n", "key", "c"))
     edges, n_edges = packed(members.where(alike).select(*pair).distinct())
     wanted = members.select("id").distinct()
     # kept on the executors' disks by id, so that a check only moves one set per edge; what is lost is made anew
@@ -146,18 +150,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     linked = connected_components(_confirmed(edges, sets, percent))
     labels, _ = packed(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     # what shares a bucket with another component
-    own = members.select("id", "key").join(labels, "id")
+    own = members.select("id", "key", "degree").join(labels, "id")
     open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left, n_left = packed(own.join(open_keys, "key", "left_semi").select("id").distinct().join(nodes.select("id", "n", "sig"), "id"))
+    left, n_left = packed(own.join(open_keys, "key", "left_semi").select("id", "degree").distinct().join(nodes.select("id", "n", "sig"), "id"))
     tried, turn = edges, 0
     while n_edges and n_left:
         turn += 1
         rng = random.Random(turn)
         pairs = rng.sample([(i, j) for i in range(bands) for j in range(i)], min(BAND_PAIRS, bands * (bands - 1) // 2))
         keys = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), band(i), band(j)) for k, (i, j) in enumerate(pairs)])
-        here = left.join(labels, "id").select("id", "n", "component", F.explode(keys).alias("key"))
-        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "key", "id"), F.col("id"), F.col("n"), F.col("component"))).alias("c")
-        split = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).where("lo <> hi")
+        here = left.join(labels, "id").select("id", "n", "component", "degree", F.explode(keys).alias("key"))
+        drawn = F.xxhash64(F.lit(turn), "key", "id")
+        one = F.min(F.struct(drawn.alias("by"), F.col("id"), F.col("n"), F.col("component")))
+        two = F.max(F.struct(F.col("degree").alias("by"), F.col("id"), F.col("n"), F.col("component")))
+        split = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(one, two).alias("c")).where("lo <> hi")
+        split = split.withColumn("c", F.explode("c"))
         fresh = here.join(split.select("key", "c"), "key").where(alike & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
         fresh, _ = packed(fresh.join(tried, ["a", "b"], "left_anti"))
         found, n_found = packed(_confirmed(fresh, sets, percent))
