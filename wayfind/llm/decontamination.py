@@ -257,6 +257,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: whether it holds a benchmark item, which ones, and where."""
+    """One row per leak: the document, the benchmark item, where it stands and the edits needed; clean documents have none."""
     found = find_leaks(docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("leaks.item_id"))).alias("item_ids"), "leaks")
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
