@@ -190,6 +190,46 @@ def test_minhash_brute_force(spark, width, percent):
     assert all(r["kept"] == (r["component_id"] == i) and r["n_shingles"] == len(sets[i]) for i, r in got.items())
 
 
+def loose_copies(seed, size=60, words=60):
+    """Copies of one text that differ from it in about as many words as a link allows, and from each other in more."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for k in rnd.sample(range(words), rnd.randint(3, 9)):
+            copy[k] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(copy), "en", "s"))
+    return rows
+
+
+def test_minhash_tests_all_that_share_a_band(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    bands, percent = 3, 80
+    rows = loose_copies(1)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), width=1, percent=percent, bands=bands, band_bins=1).collect()}
+    sets = {i: shingles(t, 1) for i, t, *_ in rows}
+    texts = [t.encode() for _, t, *_ in rows]
+    hashed = minhash.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 1)
+    low = minhash.signatures(hashed, bands).astype("<u2")
+    linked = [(a, b) for a in sets for b in sets if a < b and (low[a] == low[b]).any() and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert got == classes(sets, linked)
+
+
+def test_minhash_odd_bits_bound_the_difference():
+    rng = np.random.RandomState(3)
+    for n, m in ((5, 6), (90, 80), (900, 1500)):
+        a = np.unique(rng.randint(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.randint(0, 2**63, m - n // 2).astype(np.uint64)]))
+        x, y = minhash.odd_bits(a), minhash.odd_bits(b)
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(minhash._folded(x, size) ^ minhash._folded(y, size)).sum())
+        real = len(np.setxor1d(a, b))
+        assert differ <= real
+        assert (real - differ) % 2 == 0
+        assert minhash.odd_bits(a) == minhash.odd_bits(a[::-1])
+
+
 def test_minhash_odd(spark):
     rows = minhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD)

@@ -5,7 +5,9 @@ hash. A bin without any takes the value of a non-empty one that a fixed sequence
 every text. Runs of bins make band keys. In every bucket of a band key the members are compared with one centre, never
 with each other, and all links are confirmed on the full shingle sets. Where a bucket's members are left in more than one
 component, they meet again in the buckets of two bands at a time, which hold more similar texts only, with other centres
-and other pairs of bands in each round, until a round finds no new link.
+and other pairs of bands in each round, until a round finds no new link. Last, all members of different components that
+share a bucket of one band are compared: a bit for each residue of the hashes, set if an odd number of shingles have it,
+bounds from below how many shingles only one of two texts has, and what that does not rule out is confirmed.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from wayfind.llm.textarrays import list_array, mix, string_slices, words
 BANDS, BAND_BINS = 25, 5
 #: Pairs of bands by which what is left is compared in each round.
 BAND_PAIRS = 48
+#: Members of a bucket are compared in blocks of about so many.
+BLOCK = 1024
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,15 +103,26 @@ def _signed(docs: DataFrame, id_col: str, text: str, width: int, bins: int) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, set_a long, set_b long, sig binary")
 
 
+def odd_bits(hashes: np.ndarray) -> bytes:
+    """A bit for each residue by a power of two of at least four times the hashes: whether an odd number of them have it."""
+    size = 1 << max(6, (4 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The bits for the residues by a smaller power of two."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in string_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64()), pa.array([odd_bits(s) for s in sets], pa.binary())], names=["id", "shingles", "odd"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, shingles array<long>, odd binary")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -117,10 +132,75 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with the components that links connect made one."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    merged = connected_components(ends, "ca", "cb").toDF("old", "new")
+    return packed(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))[0]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal values in the first columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        found = list(zip(*[batch.column(c).to_pylist() for c in range(keys)], strict=True))
+        at = 0
+        for end in range(1, len(found) + 1):
+            if end == len(found) or found[end] != found[at]:
+                if held and last != found[at]:
+                    yield last, pa.Table.from_batches(held)
+                    held = []
+                last = found[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _not_ruled_out(ids: np.ndarray, n: np.ndarray, component: np.ndarray, block: np.ndarray, odd: list[bytes], across: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of different components, of one member and some others at a time, that can meet the threshold."""
+    sizes = np.array([len(x) for x in odd])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes >= size)
+        bits = np.stack([_folded(odd[r], size) for r in at])
+        for p in np.flatnonzero(sizes[at] == size):
+            r = at[p]
+            fit = (component[at] != component[r]) & (100 * np.minimum(n[at], n[r]) >= percent * np.maximum(n[at], n[r])) & ((sizes[at] > size) | (np.arange(len(at)) > p))
+            if across:
+                fit &= block[at] != block[r]
+            met = np.flatnonzero(fit)
+            if len(met):
+                alone = np.bitwise_count(bits[met] ^ bits[p]).sum(axis=1, dtype=np.int64)
+                both = n[at[met]] + n[r]
+                met = met[100 * (both - alone) >= percent * (both + alone)]
+                if len(met):
+                    yield np.full(len(met), ids[r]), ids[at[met]]
+
+
+def _across_components(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), maybe repeated: all pairs that share a bucket of `own` (id, n, key, component) but not a component and that
+    may meet the threshold. A large bucket is dealt into blocks, and every two blocks are compared in a group of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in _groups(batches, 3):
+            ids, n, component, block = (rows.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+            for x, y in _not_ruled_out(ids, n, component, block, rows.column("odd").to_pylist(), i != j, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    spread = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("lo <> hi")
+    here = own.join(spread.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    here = here.join(sets.select("id", F.size("shingles").cast("long").alias("n"), "odd"), ["id", "n"])
+    here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    here = here.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "component", "block", "odd")
+    return here.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, band_bins: int = BAND_BINS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links) and kept.
 
-    Two documents are linked if 100 * common shingles >= percent * shingles of either. Equal sets are one node from the
+    Two documents are linked if they share a band and 100 * common shingles >= percent * shingles of either. Equal sets are one node from the
     start, so copies are never compared. Null and empty texts and texts of white space have no shingles and link with
     nothing. Rows that share an id are one node with all their texts; a row with a null id links with nothing, has a
     null component_id and is kept. Other columns are not looked at. No rows in, none out.
@@ -171,9 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if not n_found:
             break
         tried = tried.unionByName(fresh)
-        ends = found.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        merged = connected_components(ends, "ca", "cb").toDF("old", "new")
-        labels, _ = packed(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))
+        labels = _joined(labels, found)
+    if n_left:
+        rest = _across_components(members.select("id", "n", "key").join(labels, "id"), sets, percent).distinct()
+        rest, _ = packed(rest.join(tried, ["a", "b"], "left_anti"))
+        found, n_found = packed(_confirmed(rest, sets, percent))
+        labels = _joined(labels, found) if n_found else labels
     sets.unpersist()
     labels = labels.toDF("node", "component")
     labelled = nodes.select("n", "set_a", "set_b", F.col("id").alias("node")).join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("component"))
