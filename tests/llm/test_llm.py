@@ -96,6 +96,20 @@ def test_mixing_meets_targets(spark):
         mixing.mix_sources(docs(spark, rows), weights={"small": 1.0}, most_rate=2.0)
 
 
+def test_mixing_draws_any_rate(spark):
+    rows = [(i, "w" * 9999, "en", "big") for i in range(4000)] + [(-1, None, "en", "rare"), (-2, "", "en", "rare")]
+    rates = {r["__source"]: r for r in mixing.source_rates(docs(spark, rows), "source", None, 0.5, 1.0).collect()}
+    rate = rates["rare"]["rate"]
+    assert rate > 3 * mixing.PART_RATE
+    assert rates["big"]["__parts"] == 1
+    out = mixing.mix_sources(docs(spark, rows)).where("source = 'rare'").select("doc_id", "copy", "n_copies").collect()
+    for i in (-1, -2):
+        mine = [r for r in out if r["doc_id"] == i]
+        assert sorted(r["copy"] for r in mine) == list(range(mine[0]["n_copies"]))
+        assert abs(len(mine) - rate) < 6 * math.sqrt(rate)
+    assert len({r["n_copies"] for r in out}) == 2
+
+
 def test_mixing_odd(spark):
     out = mixing.mix_sources(odd(spark), output_share=3.0)
     assert out.where("doc_id is null or source is null").count() >= 0
@@ -446,6 +460,16 @@ def test_viterbi_brute_force():
         assert abs(value(got[a : a + n].tolist()) - best) < 1e-9
 
 
+def test_language_takes_any_number_of_labels(spark):
+    rows = [(3 * i, f"{'abcdefghij'[i % 10] * 6} {'klmnopqrst'[i // 10] * 6}", f"l{i:02}", "s") for i in range(70)]
+    df = docs(spark, rows)
+    model = language.LanguageModel(language.language_counts(df, "text", "lang"))
+    assert len(model.languages) == 70
+    found = language.identify_languages(df, model).select("lang", "lang_pred").collect()
+    assert len(found) == 70
+    assert {r["lang_pred"] for r in found} <= set(model.languages)
+
+
 def test_language_odd(spark):
     rows = language.identify_languages(odd(spark), language.learn(labelled(spark))).collect()
     assert len(rows) == len(ODD)

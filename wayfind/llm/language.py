@@ -21,8 +21,8 @@ from wayfind.llm.support import cut
 
 #: Trigrams are hashed to so many buckets, which bounds the model at BUCKETS numbers per language.
 BUCKETS = 1 << 16
-#: More distinct labels than this are refused.
-MOST_LANGUAGES = 64
+#: A task holds the counts of at most so many languages; with more, shorter runs of texts are scored at once.
+HELD_LANGUAGES = 64
 #: A language is learned with a script that at least this share of its letters has.
 SCRIPT_SHARE = 0.001
 SLICE_CHARS = 1 << 20
@@ -84,12 +84,12 @@ class Words:
         self.sizes = self.ends - self.starts
 
 
-def _slices(values: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _slices(values: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     at, held, run = 0, 0, []
     for i, v in enumerate(values):
         run.append(v or "")
         held += len(run[-1])
-        if held >= SLICE_CHARS:
+        if held >= most:
             yield at, run
             at, held, run = i + 1, 0, []
     if run:
@@ -103,8 +103,8 @@ def held_out(id_col: str) -> Column:
 
 def language_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, bucket, n): how often each trigram bucket occurs in each language's texts; buckets from BUCKETS on count
-    letters by script. Counted by numpy inside tasks and summed by Spark: at most languages * (BUCKETS + SCRIPTS) rows
-    from each task.
+    letters by script. Counted by numpy inside tasks and summed by Spark: languages * (BUCKETS + SCRIPTS) rows from each
+    task, or more where a task meets more than HELD_LANGUAGES.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +116,16 @@ def language_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 own = labels[at : at + len(texts)][w.rows]
                 for label in set(own.tolist()):
                     if label not in sums:
-                        if len(sums) >= MOST_LANGUAGES:
-                            raise ValueError(f"more than {MOST_LANGUAGES} languages")
+                        if len(sums) >= HELD_LANGUAGES:
+                            yield from counted(sums)
+                            sums = {}
                         sums[label] = np.zeros(BUCKETS + SCRIPTS, np.int64)
                     mine = own == label
                     sums[label][:BUCKETS] += np.bincount(w.grams[np.repeat(mine, w.sizes)], minlength=BUCKETS)
                     sums[label][BUCKETS:] += np.bincount(w.scripts[mine], weights=w.sizes[mine], minlength=SCRIPTS).astype(np.int64)
+        yield from counted(sums)
+
+    def counted(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for label, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["lang", "bucket", "n"])
@@ -133,14 +137,12 @@ def language_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 class LanguageModel:
     """Log probabilities of trigram buckets for each learned language, and the scripts of each.
 
-    Bounded: BUCKETS * MOST_LANGUAGES numbers at most (2**16 of them for each language met).
+    BUCKETS numbers for each language met.
     """
 
     def __init__(self, counts: DataFrame):
         rows = counts.toPandas()
         self.languages = sorted(set(rows["lang"]))
-        if len(self.languages) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         place = {x: i for i, x in enumerate(self.languages)}
         n = np.zeros((BUCKETS + SCRIPTS, len(self.languages)))
         n[rows["bucket"].to_numpy(np.int64), rows["lang"].map(place).to_numpy(np.int64)] = rows["n"].to_numpy()
@@ -232,7 +234,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in _slices(batch.column(column).to_pylist()):
+            for at, texts in _slices(batch.column(column).to_pylist(), SLICE_CHARS * HELD_LANGUAGES // max(HELD_LANGUAGES, len(shared.value[0]))):
                 found, score, spans = label(texts)
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(score), spans], names=[*batch.schema.names, "lang_pred", "score", "spans"])
