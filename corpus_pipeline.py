@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from wayfind.llm import decontamination, language, minhash, mixing, sharding
 from wayfind.llm.support import checkpoint_dir, table
 
-#: A document of which less than this is recognised as its language goes, as does one without letters.
-LEAST_SCORE = 0.02
+#: A document of whose letters less than this share is in a script of a learned language goes, as does one without letters.
+LEAST_KNOWN = 0.02
 SHARDS = 40
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled texts teach; null, empty and letterless texts go."""
+    """Documents in one or more languages that the labelled texts teach; null, empty and letterless texts go."""
     columns = docs.columns
     found = language.identify_languages(docs, language.learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select(*columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

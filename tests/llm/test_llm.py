@@ -460,6 +460,17 @@ def test_viterbi_brute_force():
         assert abs(value(got[a : a + n].tolist()) - best) < 1e-9
 
 
+def test_language_stage_keeps_mixed_texts(spark):
+    import corpus_pipeline
+
+    df = labelled(spark)
+    parts = {x: " ".join(r["text"] for r in df.where(F.col("lang") == x).orderBy("doc_id").limit(3).collect()) for x in ("en", "fr", "el")}
+    mixed = docs(spark, [(1000, " ".join(parts.values()), None, "s"), (1001, "12345 !!", None, "s"), (1002, "\u0e01\u0e02\u0e04 " * 99 + "a", None, "s")])
+    kept = corpus_pipeline.language_stage(spark, df.unionByName(mixed), "")
+    assert [r["doc_id"] for r in kept.where("doc_id >= 1000").collect()] == [1000]
+    assert kept.count() == 61
+
+
 def test_language_takes_any_number_of_labels(spark):
     rows = [(3 * i, f"{'abcdefghij'[i % 10] * 6} {'klmnopqrst'[i // 10] * 6}", f"l{i:02}", "s") for i in range(70)]
     df = docs(spark, rows)

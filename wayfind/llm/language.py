@@ -185,27 +185,28 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty:
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", penalty: float = 12.0) -> DataFrame:
-    """Adds lang_pred, score and spans to the rows.
+    """Adds lang_pred, score, spans and known to the rows.
 
     spans lists (start, end, lang) in characters of the text, in order, each from its first word's start to its last
     word's end. lang_pred is the language with most letters, ties to the first by name; score is its share of all
-    letters times how far, per word and on average, the label is ahead of the next candidate (0 to 1). A null text and
+    letters times how far, per word and on average over the words with that label, it is ahead of the next candidate (0 to
+    1). known is the share of letters in words of a script that some language was learned with, whichever their labels. A null text and
     one without a letter get `und`, 0 and no spans, and so does every text if nothing was learned. A word in a script that
     no language was learned with is open to all languages and adds nothing to the score. Columns of the input with these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
+    docs = docs.drop("lang_pred", "score", "spans", "known")
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log, model.uses))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
+    schema += ", lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>, known double"
     column = docs.columns.index(text)
     span_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
-    def label(texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
+    def label(texts: list[str]) -> tuple[list[str], np.ndarray, pa.Array, np.ndarray]:
         languages, log, uses = shared.value
         w = Words(texts)
         n, most = len(texts), len(languages)
         if not most or not len(w.starts):
-            return ["und"] * n, np.zeros(n), pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], span_type))
+            return ["und"] * n, np.zeros(n), pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], span_type)), np.zeros(n)
         scores = np.add.reduceat(log[w.grams], w.first, axis=0, dtype=np.float64)
         open_to = uses[w.scripts]
         scores = np.where(open_to | ~open_to.any(1, keepdims=True), scores, -1e6)
@@ -219,7 +220,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
         others = scores.copy()
         others[np.arange(len(scores)), pick] = -np.inf
         gap = np.clip(lead - others.max(1), -20, 20) if most > 1 else np.full(len(scores), 20.0)
-        ahead = np.bincount(w.rows, weights=gap, minlength=n) / np.maximum(1, np.diff(firsts))
+        own = labels == pick
+        ahead = np.bincount(w.rows[own], weights=gap[own], minlength=n) / np.maximum(1, np.bincount(w.rows[own], minlength=n))
         known = np.bincount(w.rows * most + labels, weights=w.sizes * open_to.any(1), minlength=n * most).reshape(n, most)
         share = known[np.arange(n), top] / np.maximum(1, total)
         score = np.clip(share / (1 + np.exp(-np.clip(ahead, -30, 30))), 0, 1)
@@ -230,14 +232,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
         names = pa.array(languages).take(pa.array(labels[opens].astype(np.int32)))
         spans = pa.StructArray.from_arrays([pa.array(w.origin[opens].astype(np.int32)), pa.array((w.origin[last] + w.sizes[last]).astype(np.int32)), names], fields=list(span_type))
         offsets = np.searchsorted(w.rows[opens], np.arange(n + 1)).astype(np.int32)
-        return [languages[t] if k else "und" for t, k in zip(top, total, strict=True)], score, pa.ListArray.from_arrays(pa.array(offsets), spans)
+        return [languages[t] if k else "und" for t, k in zip(top, total, strict=True)], score, pa.ListArray.from_arrays(pa.array(offsets), spans), known.sum(1) / np.maximum(1, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _slices(batch.column(column).to_pylist(), SLICE_CHARS * HELD_LANGUAGES // max(HELD_LANGUAGES, len(shared.value[0]))):
-                found, score, spans = label(texts)
+                found, score, spans, known = label(texts)
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(score), spans], names=[*batch.schema.names, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array(score), spans, pa.array(known)], names=[*batch.schema.names, "lang_pred", "score", "spans", "known"])
 
     return docs.mapInArrow(run, schema)
 
