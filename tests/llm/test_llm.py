@@ -218,7 +218,8 @@ def loose_copies(seed, size=60, words=60):
 
 
 def test_minhash_tests_all_that_share_a_band(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK", 2000)
+    monkeypatch.setattr(minhash, "PART", 7)
     bands, percent = 3, 80
     rows = loose_copies(1)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), width=1, percent=percent, bands=bands, band_bins=1).collect()}
@@ -235,13 +236,41 @@ def test_minhash_odd_bits_bound_the_difference():
     for n, m in ((5, 6), (90, 80), (900, 1500)):
         a = np.unique(rng.randint(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], rng.randint(0, 2**63, m - n // 2).astype(np.uint64)]))
-        x, y = minhash.odd_bits(a), minhash.odd_bits(b)
-        size = min(len(x), len(y))
-        differ = int(np.bitwise_count(minhash._folded(x, size) ^ minhash._folded(y, size)).sum())
+        differ = int(np.bitwise_count(minhash.odd_bits(a, 1024) ^ minhash.odd_bits(b, 1024)).sum())
         real = len(np.setxor1d(a, b))
         assert differ <= real
         assert (real - differ) % 2 == 0
-        assert minhash.odd_bits(a) == minhash.odd_bits(a[::-1])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_minhash_new_links_connect_what_any_link_connects(seed):
+    rng = np.random.RandomState(seed)
+    base = rng.randint(0, 2**62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(80):
+        own = base[rng.random(60) < rng.choice([0.85, 0.95, 1])]
+        sets.append(np.unique(np.concatenate([own, rng.randint(0, 2**62, rng.randint(0, 8)).astype(np.uint64)])))
+    component = rng.randint(0, 40, 80).astype(np.int64)
+    for side in (np.full(80, 2), rng.randint(0, 2, 80)):
+        meets = [(i, j) for i in range(80) for j in range(i) if side[i] == 2 or side[i] != side[j]]
+        linked = [(int(component[i]), int(component[j])) for i, j in meets if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        names = sorted(set(component.tolist()))
+        assert classes(names, minhash.new_links(component, side, sets, 80)) == classes(names, linked)
+
+
+def test_minhash_variants_of_an_absent_source(spark):
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for k in rnd.sample(range(150), rnd.randint(1, 6)):
+            copy[k] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "en", "s"))
+    sets = {i: shingles(t, 3) for i, t, *_ in rows}
+    linked = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), width=3, percent=85).collect()}
+    assert got == classes(sets, linked)
 
 
 def test_minhash_odd(spark):

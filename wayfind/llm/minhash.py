@@ -2,35 +2,32 @@
 
 A text's word shingles are hashed to 64 bits once; the hash range is cut into equal bins and each bin keeps its least
 hash. A bin without any takes the value of a non-empty one that a fixed sequence of hashes picks, the same sequence for
-every text. Runs of bins make band keys. In every bucket of a band key the members are compared with one centre, never
-with each other, and all links are confirmed on the full shingle sets. Where a bucket's members are left in more than one
-component, they meet again in the buckets of two bands at a time, which hold more similar texts only, with other centres
-and other pairs of bands in each round, until a round finds no new link. Last, all members of different components that
-share a bucket of one band are compared: a bit for each residue of the hashes, set if an odd number of shingles have it,
-bounds from below how many shingles only one of two texts has, and what that does not rule out is confirmed.
+every text. Runs of bins make band keys. In every bucket of a band key the members are compared with one centre, and these
+links are confirmed on the full shingle sets. Where a bucket's members are still in more than one component, all pairs of
+different components in it are tested, in blocks: by sizes, then by a bit for each residue of the hashes (set if an odd
+number of shingles have it), which bounds from below how many shingles only one of two texts has, then on the full sets.
+So no two documents that share a bucket and meet the threshold are left in different components.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.components import connected_components
-from wayfind.llm.support import cut, packed
+from wayfind.llm.support import cut, maybe_in, packed
 from wayfind.llm.textarrays import list_array, mix, string_slices, words
 
 BANDS, BAND_BINS = 25, 5
-#: Pairs of bands by which what is left is compared in each round.
-BAND_PAIRS = 48
-#: Members of a bucket are compared in blocks of about so many.
-BLOCK = 1024
+#: Edges of a star in one part of it.
+PART = 512
+#: Shingles, and 64 for each member, in one block of a bucket's members: what a task holds of one side.
+BLOCK = 1 << 20
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,150 +111,153 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the rows whose id is in `wanted`, and of a few others; no text is shuffled for it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in string_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64()), pa.array([odd_bits(s) for s in sets], pa.binary())], names=["id", "shingles", "odd"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sets)], list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64())], names=["id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, shingles array<long>, odd binary")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    return maybe_in(own, "id", wanted.select("id")).mapInArrow(run, "id long, shingles array<long>")
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges whose full sets meet the threshold."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = edges.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
+def _confirmed_stars(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a: a star's centre, b) whose full sets meet the threshold. A large star is dealt into parts, each with a
+    copy of its centre's set, so no centre's edges meet in one task.
+    """
+    centres = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = edges.join(centres, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
+    leaves = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    hubs = centres.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    hubs = hubs.select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = leaves.join(hubs, ["a", "part"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels with the components that links connect made one."""
-    ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    merged = connected_components(ends, "ca", "cb").toDF("old", "new")
-    return packed(labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))[0]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each run of equal values in the first columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        found = list(zip(*[batch.column(c).to_pylist() for c in range(keys)], strict=True))
-        at = 0
-        for end in range(1, len(found) + 1):
-            if end == len(found) or found[end] != found[at]:
-                if held and last != found[at]:
-                    yield last, pa.Table.from_batches(held)
-                    held = []
-                last = found[at]
-                held.append(batch.slice(at, end - at))
-                at = end
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
-def _not_ruled_out(ids: np.ndarray, n: np.ndarray, component: np.ndarray, block: np.ndarray, odd: list[bytes], across: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of different components, of one member and some others at a time, that can meet the threshold."""
-    sizes = np.array([len(x) for x in odd])
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes >= size)
-        bits = np.stack([_folded(odd[r], size) for r in at])
-        for p in np.flatnonzero(sizes[at] == size):
-            r = at[p]
-            fit = (component[at] != component[r]) & (100 * np.minimum(n[at], n[r]) >= percent * np.maximum(n[at], n[r])) & ((sizes[at] > size) | (np.arange(len(at)) > p))
-            if across:
-                fit &= block[at] != block[r]
-            met = np.flatnonzero(fit)
-            if len(met):
-                alone = np.bitwise_count(bits[met] ^ bits[p]).sum(axis=1, dtype=np.int64)
-                both = n[at[met]] + n[r]
-                met = met[100 * (both - alone) >= percent * (both + alone)]
-                if len(met):
-                    yield np.full(len(met), ids[r]), ids[at[met]]
-
-
-def _across_components(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), maybe repeated: all pairs that share a bucket of `own` (id, n, key, component) but not a component and that
-    may meet the threshold. A large bucket is dealt into blocks, and every two blocks are compared in a group of their own.
+    merged = connected_components(links).toDF("old", "new")
+    return labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+
+
+def odd_bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A bit for each residue by `size`, a power of two: whether an odd number of the hashes have it. As many bits as differ
+    between two sets, so many hashes at least are in one of them only."""
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.uint64)
+
+
+def new_links(component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as (component, component), that connect all components of the group
+    that any of its links connect: every pair is linked, ruled out by its bits or its sizes, refuted on the full sets, or
+    in one component already. side: 0 and 1 mark two blocks, of which only members of different ones are compared, and 2
+    a block whose members are all compared.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, component, side, sets = n[order], component[order], side[order], [sets[i] for i in order]
+    name = component.copy()
+    links: list[tuple[int, int]] = []
+    at = 0
+    while at < len(n):
+        # a run of members of about one size with all that are large enough to be its partners
+        upto = int(np.searchsorted(n, n[at] + n[at] // 8, side="right"))
+        last = int(np.searchsorted(n, n[upto - 1] * 100 // percent, side="right"))
+        size = 1 << max(9, int(16 * n[at] - 1).bit_length())
+        bits = np.stack([odd_bits(s, size) for s in sets[at:last]])
+        for p in range(at, upto):
+            fit = (name[p + 1 : last] != name[p]) & (100 * n[p] >= percent * n[p + 1 : last])
+            if side[p] < 2:
+                fit &= side[p + 1 : last] != side[p]
+            met = np.flatnonzero(fit) + p + 1
+            if not len(met):
+                continue
+            alone = np.bitwise_count(bits[met - at] ^ bits[p - at]).sum(axis=1, dtype=np.int64)
+            both = n[met] + n[p]
+            met = met[100 * (both - alone) >= percent * (both + alone)]
+            if not len(met):
+                continue
+            own = sets[p]
+            flat = np.concatenate([sets[q] for q in met])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[met])[:-1]]), dtype=np.int64)
+            for q in met[100 * common >= percent * (n[met] + n[p] - common)].tolist():
+                if name[q] != name[p]:
+                    links.append((int(component[p]), int(component[q])))
+                    name[name == name[q]] = name[p]
+        at = upto
+    return links
+
+
+def _links_across(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components to be made one, by links between members of one bucket of `own` (id, n, key, component).
+
+    In a bucket with several components the members of its largest one are compared with all others, and the others with
+    each other. Both sides are dealt into blocks of bounded bytes, and every two blocks meet in a group of their own, which
+    hands on no more links than it has components.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in _groups(batches, 3):
-            ids, n, component, block = (rows.column(c).to_numpy() for c in ("id", "n", "component", "block"))
-            for x, y in _not_ruled_out(ids, n, component, block, rows.column("odd").to_pylist(), i != j, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    def run(rows: pa.Table) -> pa.Table:
+        flat = rows.column("shingles").combine_chunks()
+        ends = flat.offsets.to_numpy()
+        values = flat.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        each = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        links = new_links(rows.column("component").to_numpy(), rows.column("side").to_numpy(), each, percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    parts = own.groupBy("key", "component").agg(F.sum(F.col("n") + 64).alias("n"))
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("components > 1")
+    blocks = whole.select("key", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others"))
+    here = own.join(blocks, "key").withColumn("first", F.col("component") == F.col("top"))
+    here = here.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    many, tops = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("tops") - 1)
 
-    spread = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("lo <> hi")
-    here = own.join(spread.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    here = here.join(sets.select("id", F.size("shingles").cast("long").alias("n"), "odd"), ["id", "n"])
-    here = here.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    here = here.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "component", "block", "odd")
-    return here.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    def group(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    among = F.transform(many, lambda j: group(1, F.least("block", j), F.greatest("block", j), F.when(F.col("block") == j, 2).otherwise((F.col("block") > j).cast("int"))))
+    first = F.transform(many, lambda j: group(0, F.col("block"), j, F.lit(0)))
+    rest = F.concat(F.transform(tops, lambda i: group(0, i, F.col("block"), F.lit(1))), among)
+    here = here.select("key", "id", "n", "component", F.explode(F.when(F.col("first"), first).otherwise(rest)).alias("g")).select("key", "g.*", "id", "n", "component")
+    here = here.join(sets, "id").where(F.size("shingles") == F.col("n")).select("key", "kind", "i", "j", "side", "component", "shingles")
+    return here.groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, band_bins: int = BAND_BINS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links) and kept.
 
-    Two documents are linked if they share a band and 100 * common shingles >= percent * shingles of either. Equal sets are one node from the
-    start, so copies are never compared. Null and empty texts and texts of white space have no shingles and link with
+    Two documents are linked if they share a band and 100 * common shingles >= percent * shingles of either. Equal sets are
+    one node from the start, so copies are never compared. Null and empty texts and texts of white space have no shingles and link with
     nothing. Rows that share an id are one node with all their texts; a row with a null id links with nothing, has a
     null component_id and is kept. Other columns are not looked at. No rows in, none out.
     """
     signed = cut(_signed(docs, id_col, text, width, bands * band_bins))
-    real = signed.where("n > 0 and id is not null")
-    nodes = cut(real.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")))
+    nodes = signed.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
 
     def band(b: int) -> Column:
         return F.substring("sig", 2 * band_bins * b + 1, 2 * band_bins)
 
-    keyed = nodes.select("id", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), band(b)) for b in range(bands)])).alias("key"))
+    # different sets can only meet the threshold if the smaller one and one shingle more would
+    keyed = nodes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("id", F.col("n").cast("int").alias("n"), F.explode(F.array(*[F.xxhash64(F.lit(b), band(b)) for b in range(bands)])).alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = cut(keyed.join(several, "key").select("id", "n", "key", "m"))
-    # a node's degree is how many it meets in all its buckets: what copies were made from meets most of them, and makes the best centre
-    degrees = members.groupBy("id").agg(F.sum("m").alias("degree"))
-    members = members.join(degrees, "id")
-    hub = F.max(F.struct("degree", F.xxhash64("id"), "id", "n")).alias("c")
-    members = cut(members.join(members.groupBy("key").agg(hub), "key").select("id", "n", "key", "degree", "c"))
-    alike = (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")) & (F.col("id") != F.col("c.id"))
-    pair = [F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")]
-    edges, n_edges = packed(members.where(alike).select(*pair).distinct())
-    wanted = members.select("id").distinct()
-    # kept on the executors' disks by id, so that a check only moves one set per edge; what is lost is made anew
-    sets = _sets(docs.where(F.col(id_col).isNotNull()).join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text, width)
-    sets = sets.repartition("id").persist(StorageLevel.DISK_ONLY)
-    linked = connected_components(_confirmed(edges, sets, percent))
-    labels, _ = packed(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    # what shares a bucket with another component
-    own = members.select("id", "key", "degree").join(labels, "id")
-    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left, n_left = packed(own.join(open_keys, "key", "left_semi").select("id", "degree").distinct().join(nodes.select("id", "n", "sig"), "id"))
-    tried, turn = edges, 0
-    while n_edges and n_left:
-        turn += 1
-        rng = random.Random(turn)
-        pairs = rng.sample([(i, j) for i in range(bands) for j in range(i)], min(BAND_PAIRS, bands * (bands - 1) // 2))
-        keys = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), band(i), band(j)) for k, (i, j) in enumerate(pairs)])
-        here = left.join(labels, "id").select("id", "n", "component", "degree", F.explode(keys).alias("key"))
-        drawn = F.xxhash64(F.lit(turn), "key", "id")
-        one = F.min(F.struct(drawn.alias("by"), F.col("id"), F.col("n"), F.col("component")))
-        two = F.max(F.struct(F.col("degree").alias("by"), F.col("id"), F.col("n"), F.col("component")))
-        split = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array(one, two).alias("c")).where("lo <> hi")
-        split = split.withColumn("c", F.explode("c"))
-        fresh = here.join(split.select("key", "c"), "key").where(alike & (F.col("component") != F.col("c.component"))).select(*pair).distinct()
-        fresh, _ = packed(fresh.join(tried, ["a", "b"], "left_anti"))
-        found, n_found = packed(_confirmed(fresh, sets, percent))
-        if not n_found:
-            break
-        tried = tried.unionByName(fresh)
-        labels = _joined(labels, found)
-    if n_left:
-        rest = _across_components(members.select("id", "n", "key").join(labels, "id"), sets, percent).distinct()
-        rest, _ = packed(rest.join(tried, ["a", "b"], "left_anti"))
-        found, n_found = packed(_confirmed(rest, sets, percent))
-        labels = _joined(labels, found) if n_found else labels
-    sets.unpersist()
+    members, n_members = packed(keyed.join(several, "key").select("id", "n", "key", "m"))
+    labels = members.select("id", F.col("id").alias("component")).limit(0)
+    if n_members:
+        # a node's degree is how many it meets in all its buckets: what copies were made from meets most of them, and makes the best centre
+        ranked = members.join(members.groupBy("id").agg(F.sum("m").alias("degree")), "id")
+        hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("id"), "id", "n")).alias("c"))
+        alike = (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")) & (F.col("id") != F.col("c.id"))
+        edges = members.join(hubs, "key").where(alike).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+        wanted = members.select("id").distinct()
+        sets = cut(_sets(docs, id_col, text, width, wanted))
+        linked = connected_components(_confirmed_stars(packed(edges)[0], sets, percent))
+        labels, _ = packed(wanted.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        # what shares a bucket with another component
+        links, n_links = packed(_links_across(members.select("id", "n", "key").join(labels, "id"), sets, percent))
+        labels = _joined(labels, links) if n_links else labels
     labels = labels.toDF("node", "component")
     labelled = nodes.select("n", "set_a", "set_b", F.col("id").alias("node")).join(labels, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = signed.drop("sig").join(labelled, ["n", "set_a", "set_b"], "left")
