@@ -392,10 +392,50 @@ def test_leaks_in_blocks_and_spans(spark, monkeypatch):
     assert out[1]["leaks"] == []
 
 
+def test_leaks_stay_within_a_document(spark):
+    """An item split over neighbouring texts is no leak, and order and partitions change nothing."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60)]
+    items = [(i, " ".join(rnd.sample(words, 12))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for k, (_, t) in enumerate(items):
+        half = len(t) // 2
+        rows += [(10 * k, " ".join(rnd.sample(words, 5)) + " " + t[:half], "en", "s"), (10 * k + 1, t[half:] + " " + " ".join(rnd.sample(words, 5)), "en", "s"), (10 * k + 2, "x " + t, "en", "s")]
+    want = {(10 * k + 2, k) for k in range(4)}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        for parts in (1, 5):
+            got = decontamination.leak_table(docs(spark, order).coalesce(1).repartition(parts) if parts > 1 else docs(spark, order).coalesce(1), bench).collect()
+            assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_leak_table_brute_force(spark):
+    rnd = random.Random(15)
+    items = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(30, 60)))) for i in range(6)] + [(6, "2 + 2 = 4"), (7, "?!")]
+    rows = [(i, "z" * rnd.randint(0, 30) + plain(items[i % 6][1])[rnd.randint(0, 3) :] + "y" * rnd.randint(0, 30), "en", "s") for i in range(30)] + [(90, "2+2=4!", None, None), (91, "so 2 + 2 = 4 then", None, None), (92, "?!", None, None)]
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontamination.leak_table(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t, *_ in rows:
+        for i, item in items:
+            p = plain(item)
+            if len(p) >= decontamination.Q:
+                e = edit_distance(p, plain(t))
+                if e <= min(int(len(p) * decontamination.ERROR_RATE), (len(p) - decontamination.Q) // decontamination.Q):
+                    want[d, i] = e
+            elif p and p == plain(t):
+                want[d, i] = 0
+    assert got == want
+    assert (90, 6) in got
+
+
 def test_leaks_odd(spark):
-    bench = spark.createDataFrame([(1, None), (None, "a text of some length"), (3, "short"), (4, "same id twice and more words"), (4, "same id twice and more words")], "item_id long, text string")
-    assert decontamination.find_leaks(odd(spark), bench).where("size(leaks) > 0").count() == 0
-    assert decontamination.decontaminate(odd(spark), bench).columns == odd(spark).columns
+    bench = spark.createDataFrame([(1, None), (None, "a text of some length"), (3, "short"), (4, "same id twice and more words"), (4, "same id twice and more words"), (5, "long long long long")], "item_id long, text string")
+    found = {(r["doc_id"], x["item_id"]) for r in decontamination.find_leaks(odd(spark), bench).collect() for x in r["leaks"]}
+    assert found == {(8, 5)}
+    kept = decontamination.decontaminate(odd(spark), bench)
+    assert kept.columns == odd(spark).columns
+    assert {r["leaks"] for r in kept.select("leaks").distinct().collect()} == {"mine"}
+    assert kept.count() == len(ODD) - 1
     assert decontamination.leak_table(docs(spark, []), bench).count() == 0
     assert decontamination.find_leaks(docs(spark, ODD), bench.limit(0)).count() == len(ODD)
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 #: Rows of a few numbers to a partition, where a table is put together.
 PACKED_ROWS = 50_000
-#: Bits of the filter of maybe_in: 2,048 rows of 4 KiB, whatever it is made from.
-FILTER_BITS = 1 << 26
+#: Bits of the filter of maybe_in: 512 rows of 4 KiB, whatever it is made from.
+FILTER_BITS = 1 << 24
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
