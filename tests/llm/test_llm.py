@@ -617,6 +617,16 @@ def test_language_model_odd(spark):
     ("<title>no</title><textarea>a <b>\nb</textarea>", "a <b>\nb"),
     ("x<!-- <p>no --> y", "x y"),
     ("<blockquote>q1<p>q2</blockquote>z", "  q1\n\n  q2\n\nz"),
+    ('<p title="the hidden cost">Price list</p><div data-style="display:none">seen</div>', "Price list\n\nseen"),
+    ('<span aria-hidden="true">a</span> <div style="visibility:hidden">b<i style="visibility: visible">c</i></div>', "a\nc"),
+    ("<p>x <math><mi>y</mi><mo>=</mo></math> <svg><title>t</title><text>label</text></svg>", "x y= label"),
+    ("<select><option>one<option selected>two</select>", "one\ntwo"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d</table>", "a  b\nc     d"),
+    ("<table><tr><td colspan=2>a wide head<td>x<tr><td>b<td>c<td>d</table>", "a wide head  x\nb  c         d"),
+    ("<table><tr><td>" + "w" * 500 + "<td>x<tr><td>short<td>y</table>", "w" * 500 + "  x\n" + "short".ljust(122) + "y"),
+    ("<table><tr><td>n<td><p>one<p>two<tr><td>a<td>b</table>", "n\none\n\ntwo\na  b"),
+    ("<input type=hidden value=v>in<dialog>no</dialog><dialog open>yes</dialog>", "in\nyes"),
     ("", ""), ("   ", ""), ("a < b && c", "a < b && c"), ("<p>unclosed <b>bold", "unclosed bold"), ("</p></div>x", "x"), ("<img alt='cat &amp; dog'>", "cat & dog"),
 ])
 def test_page_text(page, text):
@@ -638,6 +648,33 @@ def test_pages_keep_all_text():
         assert sorted(found) == sorted(words)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_table_cells_stand_where_a_plain_grid_has_them(seed):
+    rnd = random.Random(seed)
+    spans = [[(rnd.choice([1, 1, 1, 2, 3]), rnd.choice([1, 1, 1, 2, 4])) for _ in range(rnd.randint(1, 5))] for _ in range(rnd.randint(2, 6))]
+    grid, cells = {}, []
+    page = "<table>"
+    for i, r in enumerate(spans):
+        page += "<tr>"
+        j = 0
+        for wide, high in r:
+            while (i, j) in grid:
+                j += 1
+            name = f"c{len(cells)}" + "x" * rnd.randint(0, 4)
+            page += f"<td colspan={wide} rowspan={high}>{name}"
+            cells.append((i, j, name))
+            for a in range(i, min(len(spans), i + high)):
+                for b in range(j, j + wide):
+                    grid.setdefault((a, b), name)
+    lines = html_text.page_text(page + "</table>").split("\n")
+    starts = defaultdict(set)
+    for i, j, name in cells:
+        starts[j].add(lines[i].index(name))
+    assert all(len(x) == 1 for x in starts.values())
+    order = [min(starts[j]) for j in sorted(starts)]
+    assert order == sorted(order)
+
+
 def test_pages_odd(spark):
     deep = "<ul><li>" * 3000 + "bottom"
     rows = [(1, "u", None), (2, None, ""), (3, "u", deep), (4, "u", "<div>" * 50_000 + "x"), (5, "u", "<a " * 2000), (5, "u", "plain")]
@@ -645,7 +682,7 @@ def test_pages_odd(spark):
     out = {r["page_id"]: r for r in html_text.text_table(df).collect()}
     assert out[1]["text"] is None
     assert (out[2]["text"], out[2]["n_lines"]) == ("", 0)
-    assert out[3]["text"] == "bottom"
+    assert out[3]["text"] == "- " * 3000 + "bottom"
     assert out[4]["text"] == "x"
     assert html_text.text_table(df.limit(0)).count() == 0
 

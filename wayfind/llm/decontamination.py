@@ -10,6 +10,7 @@ those with at most k edits are leaks.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -231,9 +232,10 @@ def _best(leaks: list[dict]) -> list[dict]:
     """Of alignments of one item that overlap, the one with fewest edits; in order of their starts."""
     kept: dict[int, list[dict]] = {}
     for x in sorted(leaks, key=lambda x: (x["edits"], x["start"], x["end"])):
-        own = kept.setdefault(x["item_id"], [])
-        if all(x["end"] <= y["start"] or x["start"] >= y["end"] for y in own):
-            own.append(x)
+        own = kept.setdefault(x["item_id"], [])  # in order, none overlapping
+        at = bisect_left(own, x["start"], key=lambda y: y["start"])
+        if (at == len(own) or own[at]["start"] >= x["end"]) and (at == 0 or own[at - 1]["end"] <= x["start"]):
+            own.insert(at, x)
     return sorted((x for own in kept.values() for x in own), key=lambda x: (x["start"], x["item_id"]))
 
 

@@ -1,14 +1,17 @@
 """Layout-aware text of HTML pages.
 
 A small reader makes a tree with the tags that HTML implies (an open paragraph ends before a block, a list item before the
-next one, table parts are completed), and a renderer emits every visible text: blocks on lines of their own with the spacing
-of their kind, list items with marks and indents, table cells in aligned columns, preformatted text as it stands.
+next one, table parts are completed). What is not rendered is taken out of the tree, by tag, by attribute and by inherited
+visibility. A renderer emits all that is left: blocks on lines of their own with the spacing of their kind, list items with
+marks and indents, table cells in aligned columns on a grid of row and column spans, preformatted text as it stands.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 # and block elements with a blank line around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-HIDDEN = frozenset("script style template noscript noembed noframes iframe title head datalist object audio video canvas svg math select param source track".split())
+HIDDEN = frozenset("script style template noscript noembed noframes iframe title head datalist object audio video canvas param source track desc metadata defs annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption option tr".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
@@ -40,10 +43,12 @@ ENDS = {
 SCOPE = frozenset("table td th caption html body template object".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDES = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-_SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
-_ALT = re.compile(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NUMBER = re.compile(r"\s*([+-]?\d+)")
+# Fixed values of the HTML standard: the largest spans of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: A cell wider than this runs over the end of its column instead of making it wider.
+WIDEST = 120
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -53,17 +58,36 @@ class Node:
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def attributes(self) -> dict[str, str]:
+        """Values by lower-case name; of repeated names the first counts, as in a browser."""
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(self.attrs):
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        return found
+
+    def number(self, name: str, default: int) -> int:
+        m = _NUMBER.match(self.attributes().get(name, "")) if self.attrs else None
+        return int(m[1]) if m and len(m[1]) < 10 else default
+
 
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html")
     stack = [root]
+    opened = Counter(["html"])  # of the stack's tags, so that no search goes through it in vain
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
 
     def end(tags: set, stops: set | frozenset) -> None:
         """Ends the innermost open element of the tags, and whatever is open inside it, if no stop comes first."""
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                close(i)
                 return
             if stack[i].tag in stops:
                 return
@@ -83,7 +107,7 @@ def parse(page: str) -> Node:
             continue
         tag, attrs = m[2].lower(), m[3]
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -102,26 +126,28 @@ def parse(page: str) -> Node:
             if tag in ("td", "th", "tr", "thead", "tbody", "tfoot"):
                 end(*ENDS[tag])
                 while tag == "tr" and stack[-1].tag in ("tr", "td", "th", "caption"):
-                    stack.pop()
+                    close(len(stack) - 1)
                 while tag in ("thead", "tbody", "tfoot") and stack[-1].tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption"):
-                    stack.pop()
+                    close(len(stack) - 1)
                 if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                     row = Node("tr")
                     stack[-1].children.append(row)
                     stack.append(row)
+                    opened["tr"] += 1
             else:
                 end(*ENDS[tag])
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            close(len(stack) - 1)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            text = page[at : close.start()]
+            ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+            text = page[at : ended.start()]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
-            at = close.end()
+            at = ended.end()
         elif tag not in VOID and not attrs.rstrip().endswith("/") or tag in ("p", "div", "td", "th", "li"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -177,60 +203,123 @@ class _Lines:
                 self.blank = 1
 
 
-def _visible(node: Node) -> bool:
-    return node.tag not in HIDDEN and not (node.attrs and _HIDES.search(node.attrs))
+def _state(node: Node, hidden: bool) -> tuple[bool, bool]:
+    """Whether an element is rendered at all, and whether its own text is hidden, which its children inherit."""
+    if node.tag in HIDDEN:
+        return False, hidden
+    attrs = node.attributes() if node.attrs else {}
+    style = dict(x.lower().replace("!important", "").split(":", 1) for x in attrs.get("style", "").split(";") if ":" in x)
+    style = {k.strip(): v.strip() for k, v in style.items()}
+    display = style.get("display", "none" if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs else "")
+    if display == "none" or node.tag == "input" and attrs.get("type", "").lower() == "hidden":
+        return False, hidden
+    return True, {"hidden": True, "collapse": True, "visible": False}.get(style.get("visibility", ""), hidden)
+
+
+def _rendered(root: Node) -> bool:
+    """Takes out of a tree what is not rendered; text that is hidden by visibility goes, its element keeps its place."""
+    shown, hidden = _state(root, False)
+    if not shown:
+        return False
+    todo = [(root, hidden)]
+    while todo:
+        node, hidden = todo.pop()
+        left = []
+        for child in node.children:
+            if isinstance(child, str):
+                if not hidden:
+                    left.append(child)
+                continue
+            shown, own = _state(child, hidden)
+            if shown and not (own and child.tag == "img"):
+                left.append(child)
+                todo.append((child, own))
+        node.children = left
+    return True
 
 
 def _table(node: Node) -> list[str]:
-    """Rows of a table with the cells of each column padded to one width; a caption stands above."""
-    rows: list[list[str]] = []
+    """The rows on a grid, each cell at the place that earlier spans leave it, columns padded to one width; a caption and
+    whatever else is no cell stand above. A row with a cell of several paragraphs is read cell by cell.
+    """
+    rows: list[list[tuple[int, int, list[str]]]] = []
     above: list[str] = []
     loose = Node("div")
+    taken: dict[int, int] = {}  # column: rows that a cell above still covers
+
+    def row(part: Node) -> None:
+        cells, at = [], 0
+        covered = {c for c, n in taken.items() if n > 0}
+        for c in covered:
+            taken[c] -= 1
+        for cell in part.children:
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                if not isinstance(cell, str) or cell.strip():
+                    loose.children.append(cell)
+                continue
+            while at in covered:
+                at += 1
+            wide = min(max(1, cell.number("colspan", 1)), MOST_COLUMNS)
+            high = cell.number("rowspan", 1)
+            high = MOST_ROWS if high == 0 else min(max(1, high), MOST_ROWS)
+            cells.append((at, wide, render(cell)))
+            if high > 1:
+                taken.update(dict.fromkeys(range(at, at + wide), high - 1))
+            at += wide
+        rows.append(cells)
 
     def walk(part: Node) -> None:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
                     loose.children.append(child)
-            elif not _visible(child):
-                continue
             elif child.tag == "caption":
                 above.extend(render(child))
             elif child.tag in ("thead", "tbody", "tfoot"):
+                taken.clear()
                 walk(child)
+                taken.clear()
             elif child.tag == "tr":
-                cells = []
-                for cell in child.children:
-                    if not isinstance(cell, str) and cell.tag in ("td", "th"):
-                        if _visible(cell):
-                            cells.append("\n".join(render(cell)))
-                            wide = _SPAN.search(cell.attrs)
-                            cells.extend([""] * (min(int(wide[1]), 100) - 1 if wide else 0))
-                    elif isinstance(cell, str) and cell.strip() or not isinstance(cell, str):
-                        loose.children.append(cell)
-                if any(cells):
-                    rows.append(cells)
+                row(child)
             else:
                 loose.children.append(child)
 
     walk(node)
     out = above + render(loose)
-    # a layout table, of one column or with cells of many lines, is read cell by cell
-    if all(len(r) == 1 for r in rows) or any("\n\n" in c or len(c) > 400 for r in rows for c in r):
-        return out + [line for r in rows for c in r if c for line in c.split("\n")]
-    widths = [0] * max(map(len, rows), default=0)
-    split = [[c.split("\n") for c in r] for r in rows]
-    for r in split:
-        for i, c in enumerate(r):
-            widths[i] = max(widths[i], *map(len, c))
-    for r in split:
-        for k in range(max(map(len, r))):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False)).rstrip())
+    several = [any("" in lines for _, _, lines in r) for r in rows]
+    widths: dict[int, int] = {}
+    wider: list[tuple[int, int, int]] = []
+    for r, apart in zip(rows, several, strict=True):
+        for at, wide, lines in r if not apart else ():
+            own = min(max(map(len, lines), default=0), WIDEST)
+            if wide == 1:
+                widths[at] = max(widths.get(at, 0), own)
+            else:
+                wider.append((wide, at, own))
+    for wide, at, own in sorted(wider):
+        inner = [widths[c] for c in range(at, at + wide) if widths.get(c)]
+        if own > sum(inner) + 2 * (len(inner) - 1):
+            last = max((c for c in range(at, at + wide) if widths.get(c)), default=at)
+            widths[last] = widths.get(last, 0) + own - sum(inner) - 2 * max(0, len(inner) - 1)
+    place, start = {}, 0
+    for c in range(max((at for r in rows for at, _, _ in r), default=-1) + 1):
+        place[c] = start
+        start += widths[c] + 2 if widths.get(c) else 0
+    for r, apart in zip(rows, several, strict=True):
+        if apart:
+            out += [line for _, _, lines in r for line in lines]
+            continue
+        for k in range(max((len(lines) for _, _, lines in r), default=0)):
+            s = ""
+            for at, _, lines in r:
+                if k < len(lines) and lines[k]:
+                    s = (s + "  " if s and len(s) > place[at] - 2 else s.ljust(place[at])) + lines[k]
+            out.append(s.rstrip())
     return out
 
 
 def render(node: Node) -> list[str]:
-    """The visible lines below a node. Depth is bounded by the explicit stack, not by the interpreter's."""
+    """The lines below a node."""
     out = _Lines()
     todo: list = [(c, "in") for c in reversed(node.children)]
     while todo:
@@ -242,16 +331,12 @@ def render(node: Node) -> list[str]:
             out.text(child)
             continue
         tag = child.tag
-        if not _visible(child):
-            continue
         if tag == "br":
             out.broke()
         elif tag == "hr":
             out.gap()
         elif tag == "img":
-            alt = _ALT.search(child.attrs)
-            if alt and (alt[1] or alt[2]):
-                out.text(html.unescape(alt[1] or alt[2]))
+            out.text(child.attributes().get("alt", "") if child.attrs else "")
         elif tag in ("pre", "textarea"):
             out.gap()
             out.whole([s.rstrip() for s in _plain(child).strip("\n").split("\n")])
@@ -272,7 +357,7 @@ def render(node: Node) -> list[str]:
             if tag in BLOCK:
                 out.gap() if tag in SPACED else out.line()
                 todo.append((tag, "out"))
-            elif tag in ("td", "th"):
+            elif tag in ("td", "th", "mtd", "text"):
                 out.text(" ")
             todo.extend((c, "in") for c in reversed(child.children))
     out.line()
@@ -287,22 +372,21 @@ def _plain(node: Node) -> str:
             parts.append(x)
         elif x.tag == "br":
             parts.append("\n")
-        elif _visible(x):
+        else:
             todo.extend(reversed(x.children))
     return "".join(parts)
 
 
 def _list(node: Node) -> list[str]:
     out: list[str] = []
-    start = _START.search(node.attrs)
-    number = int(start[1]) if start else 1
+    number = node.number("start", 1)
     run = Node("div")
     for child in [*node.children, None]:
         item = child is not None and not isinstance(child, str) and child.tag == "li"
         if item or child is None:
             out += render(run)
             run = Node("div")
-        if item and _visible(child):
+        if item:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             lines = render(child)
@@ -312,34 +396,32 @@ def _list(node: Node) -> list[str]:
     return out
 
 
-#: Nested lists, tables and quotes deeper than this are read as plain text, which bounds the interpreter's stack.
-MOST_NESTED = 60
-_NESTING = re.compile(r"<(/?)(ul|ol|menu|dir|table|blockquote|dd|caption)\b", re.I)
-
-
-def _deep(page: str) -> bool:
-    depth = 0
-    for m in _NESTING.finditer(page):
-        depth += -1 if m[1] else 1
-        if depth > MOST_NESTED:
-            return True
-    return False
+_NESTS = re.compile(r"<(?:ul|ol|menu|dir|table|blockquote|dd|caption)\b", re.I)
 
 
 def page_text(page: str) -> str:
     """The visible text of one page."""
     root = parse(page)
-    if not _visible(Node("div", root.attrs)):
+    if not _rendered(root):
         return ""
-    return _BLANK.sub(" ", _plain(root)).strip() if _deep(page) else "\n".join(render(root))
+    # a few calls for each list, table or quote that another one may hold; they are plain Python, which needs no C stack
+    depth, usual = 6 * len(_NESTS.findall(page)) + 500, sys.getrecursionlimit()
+    if depth <= usual:
+        return "\n".join(render(root))
+    sys.setrecursionlimit(depth + usual)
+    try:
+        return "\n".join(render(root))
+    finally:
+        sys.setrecursionlimit(usual)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """Adds the visible text of each whole page.
 
     A null page gives null, an empty one and one without visible text an empty text. Broken markup is read as far as a
-    browser would: unknown tags are inline, unclosed elements end with their parent. A page whose lists, tables or quotes are
-    nested deeper than MOST_NESTED is given as its visible text without layout. A column named as `out` is replaced.
+    browser would: unknown tags are inline, unclosed elements end with their parent. Lists, tables and quotes may be nested to
+    any depth. Hidden is what the hidden attribute, display: none or visibility (inherited) hide, and elements that are not
+    rendered. Repeated rows are each read. A column named as `out` is replaced.
     """
     pages = pages.drop(out)
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])
