@@ -111,9 +111,16 @@ def test_mixing_draws_any_rate(spark):
 
 
 def test_mixing_odd(spark):
-    out = mixing.mix_sources(odd(spark), output_share=3.0)
-    assert out.where("doc_id is null or source is null").count() >= 0
-    assert set(out.select("rate").distinct().schema.fieldNames()) == {"rate"}
+    out = mixing.mix_sources(odd(spark), output_share=3.0).collect()
+    sizes = {r[0]: len(r[1] or "") + 1 for r in ODD}
+    assert {r["doc_id"] for r in out} <= set(sizes)
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"], r["text"]].append(r["copy"])
+        assert r["shard"] == "mine"
+        assert r["rate"] != "mine"
+    for (i, _), copies in by.items():
+        assert sorted(set(copies)) == list(range(max(copies) + 1)), i
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
@@ -550,6 +557,23 @@ def test_language_takes_any_number_of_labels(spark):
     assert {r["lang_pred"] for r in found} <= set(model.languages)
 
 
+def test_words_start_with_letters(monkeypatch):
+    text = "\u0301\u0308 a\u0301b, \u0301c d\u0301"
+    for piece in (1 << 20, 2):
+        monkeypatch.setattr(language, "PIECE_CHARS", piece)
+        w = language.Words(["", text, "xy"])
+        assert [(int(r), int(o), int(n)) for r, o, n in zip(w.rows, w.origin, w.sizes, strict=True)] == [(1, 3, 3), (1, 9, 1), (1, 11, 2), (2, 0, 2)]
+        grams = w.grams.tolist() if piece > 2 else None
+        if grams:
+            whole = grams
+    assert w.grams.tolist() == whole
+
+
+def test_language_needs_letters(spark):
+    rows = language.identify_languages(docs(spark, [(1, "\u0301\u0308", None, None), (2, "12 \u0301", None, None)]), language.learn(labelled(spark))).collect()
+    assert [(r["lang_pred"], r["score"], r["spans"]) for r in rows] == [("und", 0.0, [])] * 2
+
+
 def test_language_odd(spark):
     rows = language.identify_languages(odd(spark), language.learn(labelled(spark))).collect()
     assert len(rows) == len(ODD)
@@ -598,6 +622,73 @@ def test_classes_beat_single_words(spark):
     assert out[0] > out[1]
 
 
+def sentences(n=120, seed=13):
+    rnd = random.Random(seed)
+    left, right = [f"l{i}" for i in range(30)], [f"r{i}" for i in range(30)]
+    return [(i, " ".join(rnd.choice(left if (j + i) % 2 else right) for j in range(rnd.randint(1, 30))), "en", "s") for i in range(n)]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    found = []
+    for parts, shuffled in ((1, 4), (7, 9)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        found.append({r["doc_id"]: round(r["score"], 6) for r in language_model.score_table(docs(spark, sentences()).repartition(parts)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1]
+
+
+def test_sweeps_raise_the_likelihood(spark):
+    df = docs(spark, sentences())
+    head = language_model._head(language_model.word_counts(df, "text"))
+    units = language_model._neighbours(language_model.unit_bigrams(df, "text", spark.sparkContext.broadcast(head)), head.size)
+    classes = np.full(head.size, -1, np.int32)
+    classes[head.end] = 0
+    table = language_model._class_bigrams(units, classes)
+    classes, table = language_model.exchange(units, classes, table)
+    found = [language_model.likelihood(table)]
+    for _ in range(3):
+        classes, table = language_model.exchange(units, classes, table)
+        found.append(language_model.likelihood(table))
+    assert found == sorted(found)
+    assert found[-1] > found[0]
+
+
+def test_scores_brute_force(spark):
+    rows = [*sentences(60), (900, None, None, None), (901, "l1 never seen r2", None, None)]
+    train = docs(spark, rows[:50])
+    model, counts = language_model.train(train)
+    head, k = model.head, language_model.CLASSES
+
+    def parts(text):
+        data = (text or "").encode()
+        found = re.findall(r"[^\x20\x09-\x0d]+", (text or "").lower())
+        if not found:
+            return [], [model.classes[head.end]]
+        raw, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+        starts, ends, _, hashes = language_model.words(raw, offsets)
+        _, units = head.look(hashes, language_model._signatures(raw, starts, ends))
+        return found, [*model.classes[units], model.classes[head.end]]
+
+    table, seen, kinds = np.zeros((k, k)), Counter(), {}
+    for _, t, *_ in rows[:50]:
+        found, own = parts(t)
+        seen.update([*found, None])
+        kinds.update(zip([*found, None], own, strict=True))
+        for a, b in zip([model.classes[head.end], *own], own, strict=False):
+            table[a, b] += 1
+    share = (table.sum(0) + 1) / (table.sum() + k)
+    n_kinds = Counter(c for w, c in kinds.items() if w is not None)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs(spark, rows), model, counts).collect()}
+    for i, t, *_ in rows:
+        found, own = parts(t)
+        want, before = 0.0, model.classes[head.end]
+        for w, c in zip([*found, None], own, strict=True):
+            want += math.log10((table[before, c] + language_model.ALPHA * share[c]) / (table[before].sum() + language_model.ALPHA))
+            want += math.log10((seen[w] + language_model.DELTA) / (table[:, c].sum() + language_model.DELTA * (n_kinds[c] + 1)))
+            before = c
+        assert abs(got[i] - want) < 1e-6
+
+
 def test_language_model_odd(spark):
     assert language_model.score_table(odd(spark)).count() == len(ODD)
     assert language_model.score_table(docs(spark, [])).count() == 0

@@ -1,6 +1,6 @@
 """Language identification by spans: script ranges, per-word scores and Viterbi with a switching penalty.
 
-A word is a run of letters and marks. Its score in a language is the sum over its character trigrams (with the word's
+A word is a run of letters and marks that starts with a letter. Its score in a language is the sum over its character trigrams (with the word's
 edges) of log probabilities learned from labelled texts; a language is a candidate for a word only if it was learned with
 the script of the word's first letter. Viterbi over a text's words, at a fixed cost for each switch, labels every word,
 and runs of one label are spans.
@@ -8,6 +8,7 @@ and runs of one label are spans.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ HELD_LANGUAGES = 64
 #: A language is learned with a script that at least this share of its letters has.
 SCRIPT_SHARE = 0.001
 SLICE_CHARS = 1 << 20
+#: Words whose trigrams are looked up at once.
+WORDS_AT_ONCE = 1 << 16
 
 # First code points of runs of letters of one script (Unicode block ranges), with the script's number.
 # 0 other, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Devanagari, 8 Bengali, 9 other Indic,
@@ -41,12 +44,17 @@ SCRIPT_RANGES = [
 SCRIPTS = 16
 
 
+#: Words are cut out of pieces of about so many characters, which end where a word cannot go on.
+PIECE_CHARS = 1 << 20
+_PIECE_END = re.compile(r"[\s.,;:!?\u3002\u3001]")
+
+
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point whether it belongs to a word, and its script."""
+    """For each code point whether it is a letter (2), a mark (1) or neither (0), and its script."""
     import unicodedata
 
-    word = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    word = np.array(["ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)], np.uint8)
     script = np.zeros(0x110000, np.uint8)
     for first, kind in SCRIPT_RANGES:
         script[first:] = kind
@@ -62,26 +70,43 @@ class Words:
         low = joined.lower()
         if len(low) != len(joined):  # a few characters get longer in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
-        points = np.frombuffer(low.encode("utf-32-le"), np.uint32)
-        is_word, script = _tables()
-        inside = is_word[points]
-        start = inside.copy()
-        start[1:] &= ~inside[:-1]
-        end = np.zeros_like(inside)
-        end[:-1] = inside[:-1] & ~inside[1:]
-        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         edges = np.cumsum(lengths)
+        found, at = [], 0
+        while at < len(low):
+            stop = _PIECE_END.search(low, at + PIECE_CHARS) if len(low) - at > PIECE_CHARS else None
+            to = stop.end() if stop else len(low)
+            found.append(self._piece(low[at:to], at))
+            at = to
+        self.starts, self.sizes, self.scripts, self.grams = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.ends = self.starts + self.sizes
         self.rows = np.searchsorted(edges, self.starts, side="right")
         self.origin = self.starts - (edges - lengths)[self.rows]
-        self.scripts = script[points[self.starts]]
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    @staticmethod
+    def _piece(low: str, offset: int) -> tuple[np.ndarray, ...]:
+        points = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        kinds, script = _tables()
+        kind = kinds[points]
+        inside = kind > 0
+        # marks before the first letter of a run are not part of a word
+        letters = np.cumsum(kind == 2)
+        new = inside.copy()
+        new[1:] &= ~inside[:-1]
+        runs = np.flatnonzero(new)
+        if len(runs):
+            before = letters[runs] - (kind[runs] == 2)
+            inside &= letters > before[np.maximum(np.cumsum(new) - 1, 0)]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
         # around a letter at i: i - 1, i, i + 1, where whatever is no letter counts as an edge
-        letters = np.where(inside, points, 32).astype(np.uint64)
-        at = np.flatnonzero(inside)
-        before = letters[at - 1] if len(at) and at[0] else np.concatenate([[np.uint64(32)], letters[at[1:] - 1]]).astype(np.uint64) if len(at) else letters[:0]
-        code = before << np.uint64(42) | letters[at] << np.uint64(21) | letters[at + 1]
-        self.grams = (mix(code) >> np.uint64(64 - 16)).astype(np.int32)
-        self.first = np.searchsorted(at, self.starts)
-        self.sizes = self.ends - self.starts
+        held = np.concatenate([[32], np.where(inside, points, 32), [32]]).astype(np.uint64)
+        at = np.flatnonzero(inside) + 1
+        code = held[at - 1] << np.uint64(42) | held[at] << np.uint64(21) | held[at + 1]
+        return starts + offset, ends - starts, script[points[starts]], (mix(code) >> np.uint64(64 - 16)).astype(np.int32)
 
 
 def _slices(values: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -191,7 +216,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     word's end. lang_pred is the language with most letters, ties to the first by name; score is its share of all
     letters times how far, per word and on average over the words with that label, it is ahead of the next candidate (0 to
     1). known is the share of letters in words of a script that some language was learned with, whichever their labels. A null text and
-    one without a letter get `und`, 0 and no spans, and so does every text if nothing was learned. A word in a script that
+    one without a letter (marks alone are none) get `und`, 0 and no spans, and so does every text if nothing was learned. A word in a script that
     no language was learned with is open to all languages and adds nothing to the score. Columns of the input with these names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "spans", "known")
@@ -207,7 +232,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
         n, most = len(texts), len(languages)
         if not most or not len(w.starts):
             return ["und"] * n, np.zeros(n), pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], span_type)), np.zeros(n)
-        scores = np.add.reduceat(log[w.grams], w.first, axis=0, dtype=np.float64)
+        scores = np.empty((len(w.first), most))
+        for a in range(0, len(w.first), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(w.first))
+            grams = w.grams[w.first[a] : w.first[b] if b < len(w.first) else None]
+            scores[a:b] = np.add.reduceat(log[grams], w.first[a:b] - w.first[a], axis=0, dtype=np.float64)
         open_to = uses[w.scripts]
         scores = np.where(open_to | ~open_to.any(1, keepdims=True), scores, -1e6)
         firsts = np.searchsorted(w.rows, np.arange(n + 1))

@@ -1,9 +1,10 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions.
 
 Units are the commonest training words, the end of a text, and signatures (hashed endings) that stand for all other words.
-Exchange clustering gives each unit a class: every task holds all neighbours of its own units and moves each to the
-class with the most gain in the likelihood of the class bigrams, a sweep at a time; between sweeps Spark sums the class
-bigrams anew. A text's probability is the product over its tokens of P(class | class before) * P(word | class), both
+Exchange clustering gives each unit a class: units are dealt into a fixed number of groups by hash, and each group, in the
+order of its units, moves every unit to the class with the most gain in the likelihood of the class bigrams, on a table of
+its own; between sweeps Spark sums the class bigrams anew, and a sweep counts only if they are likelier than before (else
+half of its groups are taken, and so on). So the classes depend on the texts alone, not on how rows lie in partitions. A text's probability is the product over its tokens of P(class | class before) * P(word | class), both
 smoothed; unknown words have one place in every class, so the model sums to one.
 """
 
@@ -28,6 +29,8 @@ CLUSTERED, SIGNATURES = 1 << 14, 1 << 11
 CLASSES, SWEEPS = 64, 3
 DELTA, ALPHA = 0.5, 20.0
 WORDS_AT_ONCE = 1 << 20
+#: Groups of units that are exchanged side by side; of a refused sweep half of the groups are tried, down to one.
+GROUPS = 64
 
 
 def held_out(id_col: str) -> Column:
@@ -176,22 +179,23 @@ def _neighbours(bigrams: DataFrame, size: int) -> DataFrame:
     a, b = F.floor(F.col("pair") / size).cast("int"), F.pmod("pair", F.lit(size)).cast("int")
     both = bigrams.select(F.explode(F.array(F.struct(a.alias("unit"), b.alias("other"), F.lit(1).alias("side"), "n"), F.struct(b.alias("unit"), a.alias("other"), F.lit(0).alias("side"), "n"))).alias("x")).select("x.*")
     code = (F.col("other") * 2 + F.col("side")).cast("int")
-    return both.groupBy("unit").agg(F.collect_list(F.struct(code.alias("code"), F.col("n"))).alias("x")).select("unit", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"))
+    rows = both.groupBy("unit").agg(F.collect_list(F.struct(code.alias("code"), F.col("n"))).alias("x"))
+    return rows.select("unit", F.col("x.code").alias("codes"), F.col("x.n").alias("ns"), F.pmod(F.xxhash64("unit"), F.lit(GROUPS)).cast("int").alias("part")).repartition(GROUPS, "part").sortWithinPartitions("part", "unit")
 
 
 def _units_of(batches: Iterator[pa.RecordBatch], classes: np.ndarray):
-    """For each unit: counts of the classes to its left and right without itself, and how often it follows itself."""
+    """For each unit: its group, counts of the classes to its left and right without itself, and how often it follows itself."""
     k = CLASSES
     for batch in batches:
         codes, ns = batch.column(1), batch.column(2)
-        for row, unit in enumerate(batch.column(0).to_pylist()):
+        for row, (unit, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             code, n = codes[row].values.to_numpy(), ns[row].values.to_numpy()
             other, side = code >> 1, code & 1
             mine = other == unit
             own = int(n[mine & (side == 1)].sum())
             keep = ~mine & (classes[other] >= 0)
             both = np.bincount(side[keep] * k + classes[other[keep]], weights=n[keep], minlength=2 * k)
-            yield unit, both[:k], both[k:], own
+            yield part, unit, both[:k], both[k:], own
 
 
 def _class_bigrams(units: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -200,7 +204,7 @@ def _class_bigrams(units: DataFrame, classes: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, CLASSES))
-        for unit, _, right, own in _units_of(batches, shared.value):
+        for _, unit, _, right, own in _units_of(batches, shared.value):
             c = shared.value[unit]
             if c >= 0:
                 total[c] += right
@@ -218,17 +222,24 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def _sweep(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """One exchange of every unit that may move."""
+def likelihood(table: np.ndarray) -> float:
+    """What of the class bigram model's log likelihood depends on the classes."""
+    return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
+
+
+def _sweep(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One exchange of every unit that may move: units, their new classes and their groups."""
     shared = units.sparkSession.sparkContext.broadcast((classes, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_classes, n = shared.value
-        n = n.copy()
-        before, after = n.sum(1), n.sum(0)
+        own_classes, start = shared.value
+        n, before, after, last = start, start, start, -1
         diagonal = np.arange(CLASSES)
         moved = []
-        for unit, left, right, own in _units_of(batches, own_classes):
+        for part, unit, left, right, own in _units_of(batches, own_classes):
+            if part != last:
+                n, last = start.copy(), part
+                before, after = n.sum(1), n.sum(0)
             c = own_classes[unit]
             if c == 0:  # the end keeps a class of its own
                 continue
@@ -257,13 +268,26 @@ def _sweep(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> np.ndarr
             after[best] += into
             before += left
             after += right
-            moved.append((unit, best))
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in moved], pa.int32()), pa.array([b for _, b in moved], pa.int32())], names=["unit", "class"])
+            moved.append((unit, best, part))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in moved], pa.int32()) for k in range(3)], names=["unit", "class", "part"])
+
+    rows = units.mapInArrow(lambda batches: released(run(batches)), "unit int, class int, part int").toPandas()  # a row per unit, CLUSTERED + SIGNATURES at most
+    return rows["unit"].to_numpy(np.int64), rows["class"].to_numpy(), rows["part"].to_numpy()
+
 
-    new = classes.copy()
-    rows = units.mapInArrow(lambda batches: released(run(batches)), "unit int, class int").toPandas()  # a row per unit, CLUSTERED + SIGNATURES at most
-    new[rows["unit"].to_numpy(np.int64)] = rows["class"].to_numpy()
-    return new
+def exchange(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and class bigrams after one sweep; they are never less likely, once every unit has a class."""
+    unit, best, part = _sweep(units, classes, table)
+    first = bool((classes[unit] < 0).any())
+    groups = GROUPS
+    while groups:
+        new, taken = classes.copy(), part < groups
+        new[unit[taken]] = best[taken]
+        counted = _class_bigrams(units, new)
+        if first or likelihood(counted) >= likelihood(table):
+            return new, counted
+        groups //= 2
+    return classes, table
 
 
 @dataclass
@@ -295,8 +319,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
     classes[:seeds] = np.arange(1, seeds + 1)
     table = _class_bigrams(units, classes)
     for _ in range(SWEEPS):
-        classes = _sweep(units, classes, table)
-        table = _class_bigrams(units, classes)
+        classes, table = exchange(units, classes, table)
     never = classes < 0
     classes[never] = 1 + np.flatnonzero(never) % (CLASSES - 1)
     share = (table.sum(0) + 1) / (table.sum() + CLASSES)
