@@ -806,3 +806,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"shard", "slot"} <= set(now.columns)
     run = corpus_pipeline.run(spark, folder)
     assert run.count() == now.count()
+
+
+def test_pipeline_stages_odd(spark, tmp_path):
+    """Clashing columns keep their values, repeated rows stay together, empty tables stay empty."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "what is the capital of the country with the longest coast line")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    df = clashing(labelled(spark, 30).withColumn("doc_id", F.col("doc_id") + 100).unionByName(docs(spark, ODD))).withColumns({c: F.lit("mine") for c in ("spans", "known", "n_copies", "shuffle_key", "whole_row")})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert all(r[c] == "mine" for r in rows for c in ("score", "rate", "copy", "leaks", "spans", "known", "whole_row", "n"))
+        if k == 1:
+            assert len([r for r in rows if r["doc_id"] == 9]) == 3
+            assert {1, 2, 3, 4, None} <= {r["doc_id"] for r in rows}
+            assert 5 not in {r["doc_id"] for r in rows}
+        assert stage(spark, df.limit(0), folder).count() == 0
+
+
+def test_without_shuffles_only_what_may_be_in(spark):
+    from wayfind.llm import support
+
+    df = spark.createDataFrame([(i if i % 7 else None, "x") for i in range(500)], "id long, t string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)] + [(None,)], "k long")
+    left = [r["id"] for r in support.without(df, "id", gone).collect()]
+    assert sorted(x for x in left if x is not None) == [i for i in range(500) if i % 7 and i % 3]
+    assert left.count(None) == len(range(0, 500, 7))
+    assert {r["id"] for r in support.maybe_in(df, "id", gone).collect()} >= {i for i in range(0, 500, 3) if i % 7}

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.support import SMALL_ROWS, cut
+from wayfind.llm.support import cut
 
 #: A mean repetition rate above this is drawn as a sum of equal parts: a part's distribution is an array of about so many numbers.
 PART_RATE = 1000.0
+#: The rates and distributions of all sources are broadcast if they are at most so many numbers (8 MB).
+MOST_NUMBERS = 1_000_000
 
 
 def unit_hash(seed: str, *parts: Column) -> Column:
@@ -68,7 +70,9 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str, float] | None,
     rated = rated.withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
     part = F.col("rate") / F.col("__parts")
     rated = rated.withColumn("__cdf", F.when(F.col("rate") > 0, poisson_cdf(part, part)).otherwise(F.array(F.lit(1.0))))
-    return F.broadcast(rated) if rated.count() <= SMALL_ROWS else rated
+    # a row holds a part's distribution: what is broadcast is bounded by its numbers, not by its rows
+    rows, numbers = rated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__cdf")), F.lit(0))).first()
+    return F.broadcast(rated) if rows + numbers <= MOST_NUMBERS else rated
 
 
 def mix_sources(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, output_share: float = 1.0, seed: str = "mix-1", most_rate: float | None = None) -> DataFrame:
@@ -77,10 +81,10 @@ def mix_sources(docs: DataFrame, source: str = "source", weights: dict[str, floa
     The draw depends on the seed, doc_id and the source's rate only, so a rerun and another partitioning give the same
     rows. A rate above PART_RATE is the sum of draws of equal parts, each with a hash of its own; one above most_rate, if
     that is given, fails. Adds rate, n_copies, copy (from 0) and shuffle_key, the hash that orders all
-    copies: the rows are dealt out by ranges of that key and sorted. Rows with a null source are a source of their own;
+    copies: the key is uniform on [0, 1), so its equal ranges are dealt out without a sample, and sorted. Rows with a null source are a source of their own;
     null and empty texts count one byte. Rows that share a doc_id share the draw, and ties of the key (equal doc_id and
     copy) stay together in any order. Columns of the input with these names are replaced. No rows in, none out. The
-    rates, a row per source, are broadcast if they are at most SMALL_ROWS rows, else joined as Spark sees fit.
+    rates, a row per source, are broadcast if they are at most MOST_NUMBERS numbers, else joined as Spark sees fit.
     """
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
     rates = source_rates(docs, source, weights, temperature, output_share, most_rate)
@@ -91,4 +95,6 @@ def mix_sources(docs: DataFrame, source: str = "source", weights: dict[str, floa
     copies = joined.withColumn("n_copies", F.when(F.col("__parts") > 1, several).otherwise(one)).drop("__cdf", "__parts")
     copies = copies.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies"))).alias("copy", "__one")).drop("__one")
     copies = copies.withColumn("shuffle_key", unit_hash(seed + "/order", F.col("doc_id"), F.col("copy")))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = copies.repartitionById(ranges, F.floor(F.col("shuffle_key") * ranges).cast("int"))
+    return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
