@@ -214,7 +214,13 @@ FROM rq LEFT JOIN lo USING (fqan) LEFT JOIN re USING (fqan)""",
     "names_by_host": f"WITH {_NAMES} SELECT fqan, entity_name FROM nm WHERE developer_handle = 'dev-7'",
     "latest_version": "SELECT o_custkey AS fqan, (o_orderkey % 4) || '.' || (o_orderkey % 10) AS version, o_orderkey AS entity_id FROM orders WHERE o_orderkey % 4 = 2 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY epoch_us(o_orderdate) + o_orderkey DESC, version DESC) = 1",
     "version_history": "SELECT fqan, version, entity_id, row_number() OVER w AS rank, lead(version) OVER w AS previous_version FROM (SELECT o_custkey AS fqan, (o_orderkey % 4) || '.' || (o_orderkey % 10) AS version, o_orderkey AS entity_id, epoch_us(o_orderdate) + o_orderkey AS r FROM orders) WINDOW w AS (PARTITION BY fqan ORDER BY r DESC, version DESC)",
-    "announce_dedupe": f"WITH {_EVENTS}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY entity_id, action ORDER BY us, seq) AS gap FROM ev) SELECT seq, entity_id, action FROM g WHERE gap IS NULL OR gap >= 3600000000",
+    "announce_dedupe": f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT entity_id, action, us, seq, row_number() OVER (PARTITION BY entity_id, action ORDER BY us, seq) AS i FROM ev),
+r AS (
+  SELECT entity_id, action, seq, i, us AS last, true AS kept FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.entity_id, o.action, o.seq, o.i, CASE WHEN o.us - last >= 3600000000 THEN o.us ELSE last END, o.us - last >= 3600000000
+  FROM r JOIN o ON o.entity_id = r.entity_id AND o.action IS NOT DISTINCT FROM r.action AND o.i = r.i + 1
+) SELECT seq, entity_id, action FROM r WHERE kept""",
     "announce_forward": f"WITH {_EVENTS} SELECT seq, entity_id, k % 4 + 1 AS hop_count FROM ev WHERE k % 20 <> 0 AND k % 4 < 3",
     "announce_route": """WITH t AS (SELECT ['agent_announce', 'developer_announce', 'dev_handle', 'name_binding', 'registry_proof', 'peer_attestation', 'other'][event_id % 7 + 1] AS type FROM events)
 SELECT type, CASE type WHEN 'agent_announce' THEN 'remote_entities' WHEN 'developer_announce' THEN 'remote_developers' WHEN 'dev_handle' THEN 'remote_developers' WHEN 'name_binding' THEN 'remote_names' WHEN 'registry_proof' THEN 'registry_proofs' WHEN 'peer_attestation' THEN 'peer_attestations' END AS target, count(*) AS n FROM t GROUP BY ALL""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -29,11 +30,16 @@ def _with_parts(tokens: Column) -> Column:
 
     def parts(t: Column) -> Column:
         pieces = F.filter(F.split(t, "[-_]"), lambda p: (F.octet_length(p) >= 2) & (p != t))
-        return F.concat(F.array(t), F.when(t.rlike("[-_]"), pieces).otherwise(F.array().cast("array<string>")))
+        return F.when(t.contains("-") | t.contains("_"), F.concat(F.array(t), pieces)).otherwise(F.array(t))
 
     return F.flatten(F.transform(tokens, parts))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokenize_routing(text: Column) -> Column:
     """Lower-cased ASCII runs of letters, digits, - and _ of 2 bytes at least; a null text has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_-]{2,}"), F.lit(0))
@@ -77,6 +83,10 @@ def tokenize_advanced(text: Column, config: TokenizerConfig | None = None) -> Co
     kept = F.filter(_with_parts(raw), lambda t: F.octet_length(t) >= config.min_term_length)
     if config.stopwords:
         kept = F.filter(kept, lambda t: ~t.isin(config.stopwords))
+    return held(kept, lambda k: _finished(k, config))
+
+
+def _finished(kept: Column, config: TokenizerConfig) -> Column:
     out = F.transform(kept, stem) if config.stemming else kept
     if config.synonyms:
         table = F.create_map(*[x for k, v in config.synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

@@ -6,6 +6,10 @@ that a register or update brought, so acceptance is a window expression, and sta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +33,34 @@ def dedupe_key(with_type: bool = False) -> Column:
 
 
 def dedupe_announcements(df: DataFrame, seconds: int = 300, with_type: bool = False, key: Column | None = None, arrived: str = "arrived_at") -> DataFrame:
-    """Drops rows whose key arrived less than so many seconds before, in another row."""
-    df = df.withColumn("__key", key if key is not None else dedupe_key(with_type))
-    before = F.lag(arrived).over(Window.partitionBy("__key").orderBy(arrived, "seq"))
-    gap = F.unix_micros(F.col(arrived)) - F.unix_micros(before)
-    return df.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") >= seconds * 1_000_000)).drop("__key", "__gap")
+    """Drops rows whose key arrived less than so many seconds after the last row of that key that was kept.
+
+    A dropped row does not prolong the silence, so a key that repeats without end is let through once in a window, as in the
+    stream. Rows are sorted by key and arrival inside partitions; a task holds the last kept time of one key.
+    """
+    columns, window = df.columns, seconds * 1_000_000
+    sorted_rows = df.withColumns({"__key": key if key is not None else dedupe_key(with_type), "__at": F.unix_micros(F.col(arrived))}).repartition("__key").sortWithinPartitions("__key", "__at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = object(), 0
+        for batch in batches:
+            keys, at = batch.column("__key").to_pylist(), batch.column("__at").to_numpy()
+            kept = np.zeros(len(keys), bool)
+            i = 0
+            while i < len(keys):
+                end = i + 1
+                while end < len(keys) and keys[end] == keys[i]:
+                    end += 1
+                if keys[i] == last_key:
+                    i += int(np.searchsorted(at[i:end], last + window))
+                while i < end:
+                    kept[i] = True
+                    last = int(at[i])
+                    i += max(1, int(np.searchsorted(at[i:end], last + window)))
+                last_key, i = keys[end - 1], end
+            yield batch.select(columns).filter(pa.array(kept))
+
+    return sorted_rows.mapInArrow(run, df.schema)
 
 
 def route(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from wayfind.functions.text import tokenize_routing
 
@@ -81,7 +82,10 @@ def route_queries(queries: DataFrame, matches: DataFrame, without_filter: DataFr
     """(query, registry, matches, rank): the registries with most matches, one at least; those without a filter score 1."""
     scored = matches
     if without_filter is not None:
-        # a stated query set by the registries that sent no filter yet
-        scored = scored.unionByName(queries.select(F.col(id_col).alias("query")).distinct().join(F.broadcast(without_filter.select("registry").distinct())).withColumn("matches", F.lit(1).cast("long")))
+        # all of these score the same for every query, so beyond the first `top` of them none can be among a query's best
+        first = [r["registry"] for r in without_filter.select("registry").distinct().orderBy("registry").limit(top).collect()]
+        kind = without_filter.schema["registry"].dataType
+        named = F.array(*[F.lit(x).cast(kind) for x in first]).cast(ArrayType(kind))
+        scored = scored.unionByName(queries.select(F.col(id_col).alias("query")).distinct().select("query", F.explode(named).alias("registry"), F.lit(1).cast("long").alias("matches")))
     order = Window.partitionBy("query").orderBy(F.desc("matches"), F.asc("registry"))
     return scored.where("matches >= 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

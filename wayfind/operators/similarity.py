@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.operators.sizes import in_turn
+
 #: Query vectors go out in blocks of so many; a block is what a task holds.
 QUERY_BLOCK = 4096
 
@@ -21,24 +23,24 @@ def wrong_dimensions(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
 def cosine_hits(queries: DataFrame, vectors: DataFrame, query_id: str, query_vector: str, id_col: str, vector: str, dims: int, k: int | None = None, least: float = 0.0) -> DataFrame:
     """(query, doc, sim) of pairs with a cosine above `least`; with k, the k best of each query.
 
-    Vectors of other lengths than dims are left out. Queries are dealt into blocks by hash; each block is one bounded broadcast,
-    multiplied as matrices with batches of vectors, so no pair row is made by a join. With k, each batch hands on its k best
+    Vectors of other lengths than dims are left out. Queries are dealt into blocks by hash, each a bounded broadcast;
+    vectors are read once, and each batch is multiplied with one block after the other. With k, each batch hands on its k best
     per query only, ties by id.
     """
     ids = queries.where(F.size(query_vector) == dims).select(F.col(query_id).cast("long").alias("i"), F.transform(query_vector, lambda x: x.cast("double")).alias("v"))
     usable = vectors.where(F.size(vector) == dims).select(F.col(id_col).cast("long").alias("doc"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    out = None
+    shared = []
     for b in range(blocks):
         block = ids.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toPandas()
         matrix = np.array(block["v"].tolist(), np.float64).reshape(len(block), dims)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        shared = queries.sparkSession.sparkContext.broadcast((block["i"].to_numpy(np.int64), matrix))
+        shared.append(queries.sparkSession.sparkContext.broadcast((block["i"].to_numpy(np.int64), matrix)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qid, q in in_turn(shared):
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     doc = part.column(0).to_numpy()
@@ -54,8 +56,7 @@ def cosine_hits(queries: DataFrame, vectors: DataFrame, query_id: str, query_vec
                         i, j = i[place < k], j[place < k]
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(doc[j]), pa.array(sims[i, j])], names=["query", "doc", "sim"])
 
-        hits = usable.mapInArrow(run, "query long, doc long, sim double")
-        out = hits if out is None else out.unionByName(hits)
+    out = usable.mapInArrow(run, "query long, doc long, sim double")
     if k:
         from wayfind.operators.bm25 import top_k
 

@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.functions.text import embedding_text
+from wayfind.functions.text import embedding_text, tokenize_basic
 from wayfind.operators import rank as K
-from wayfind.operators.bm25 import bm25, bm25_fielded, keyword_engine, phrase_hits, with_phrases
+from wayfind.operators.bm25 import bm25, bm25_fielded, idf, keyword_engine, phrase_hits, query_terms, saturation, top_k, with_phrases
 from wayfind.operators.filters import equal_or_open, has_any_tag, min_score, not_inactive
+from wayfind.operators.index import token_rows, wanted_postings
 from wayfind.operators.liveness import availability_of
 from wayfind.operators.names import attach_names
+from wayfind.operators.sizes import cut, small
 
 
 @dataclass(frozen=True)
@@ -98,22 +100,17 @@ def federated_top(requests: DataFrame, entities: DataFrame, routes: DataFrame, k
 
     routes: (query, registry). Statistics are those of the registry, as if it answered alone.
     """
-    from pyspark.sql import Window
-
-    from wayfind.operators.bm25 import idf, query_terms, saturation, top_k
-    from wayfind.functions.text import tokenize_basic
-    from wayfind.operators.index import postings
-
     text = F.concat_ws(" ", embedding_text(F.col("name"), F.col("summary"), F.col("tags")), "category")
-    tokens = entities.select(F.col("entity_id").alias("doc"), F.col(registry).alias("registry"), tokenize_basic(text).alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = tokens.groupBy("registry").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    terms = query_terms(requests, "query_id", F.col("query"), tokenize_basic)
-    posted = postings(tokens, terms.select("term").distinct()).join(tokens.select("doc", "registry"), "doc")
-    df = posted.groupBy("registry", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = posted.join(df, ["registry", "term"]).join(stats, "registry")
-    one = idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("length"), F.col("avg_length"))
-    hits = weighed.select("registry", "term", "doc", one.alias("w")).join(terms, "term").join(routes.select("query", "registry"), ["query", "registry"])
-    scores = hits.groupBy("query", "registry", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    terms = cut(query_terms(requests, "query_id", F.col("query"), tokenize_basic))
+    rows = entities.withColumn("registry", F.col(registry))
+    posted = wanted_postings(token_rows(rows, "entity_id", text, tokenize_basic, ("registry",)), terms)
+    stats = posted.where("term = ''").groupBy("registry").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    real = posted.where("term <> ''")
+    df = real.groupBy("registry", "term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = terms.join(routes.select("query", "registry"), "query").join(df, ["registry", "term"]).join(stats, "registry")
+    weights = wanted.select("query", "registry", "term", "avg_length", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w"))
+    hits = real.join(small(cut(weights)), ["registry", "term"])
+    scores = hits.groupBy("query", "registry", "doc").agg(F.round(F.sum(F.col("w") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"))), 6).alias("score"))
     order = Window.partitionBy("query", "registry").orderBy(F.desc("score"), F.asc("doc"))
     own = scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
     return top_k(own, k)
