@@ -1,4 +1,5 @@
 import math
+from collections import defaultdict
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -197,3 +198,40 @@ def test_ids_and_defaults(spark):
     assert row[0]["x"] == "zns:" + hashlib.sha256(b"k" * 32).hexdigest()[:32]
     assert row[1]["x"] is None
     assert spark.range(1).select(identity.registry_host(F.lit("https://a.b:80/c")).alias("h")).first()["h"] == "a.b"
+
+
+def test_dedupe_lets_one_row_through_in_a_window(spark):
+    """Repeats every 200 s from 0 to 800 for a window of 300 s, and a key that is silent for exactly the window."""
+    from wayfind.operators import replication
+
+    rows = [(i, "a", 200 * i) for i in range(5)] + [(9, "b", 0), (10, "b", 300), (11, "b", 300), (12, None, 5), (13, None, 5)]
+    df = spark.createDataFrame(rows, "seq long, who string, s long").selectExpr("seq", "who", "timestamp_seconds(s) as arrived_at")
+    for parts in (1, 4):
+        out = replication.dedupe_announcements(df.repartition(parts), 300, key=F.col("who"))
+        assert out.columns == df.columns
+        assert sorted(r["seq"] for r in out.collect()) == [0, 2, 4, 9, 10, 12]
+    assert replication.dedupe_announcements(df.limit(0), 300, key=F.col("who")).count() == 0
+
+
+def test_phrases_are_found_wherever_they_stand(spark, monkeypatch):
+    from wayfind.operators import bm25
+
+    q = spark.createDataFrame([(1, 'x "big red" "big red"'), (2, '"ed ca" and "tag one"'), (3, 'none'), (4, '""')], "i long, t string")
+    d = spark.createDataFrame([(1, "A Big Red car", ["x"]), (2, None, ["Tag One", None]), (3, "bigred", None)], "d long, s string, tags array<string>")
+    none = F.lit(None).cast("string")
+    for block in (1 << 16, 1):
+        monkeypatch.setattr(bm25, "PHRASE_BLOCK", block)
+        got = {(r["query"], r["doc"]): r["bonus"] for r in bm25.phrase_hits(q, d, "i", F.col("t"), "d", F.col("s"), none, none, F.col("tags")).collect()}
+        assert got == {(1, 1): 10.0, (2, 1): 5.0, (2, 2): 5.0}
+
+
+def test_routing_takes_the_first_registries_without_a_filter(spark):
+    from wayfind.operators import routing
+
+    q = spark.createDataFrame([(1,), (2,)], "query long")
+    matches = spark.createDataFrame([(1, "z", 3), (1, "b", 1)], "query long, registry string, matches long")
+    bare = spark.createDataFrame([(f"r{i}",) for i in range(9)], "registry string")
+    got = defaultdict(list)
+    for r in routing.route_queries(q, matches, bare, 3).orderBy("query", "rank").collect():
+        got[r["query"]].append(r["registry"])
+    assert got == {1: ["z", "b", "r0"], 2: ["r0", "r1", "r2"]}

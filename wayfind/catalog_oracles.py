@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wayfind.functions.text import STOPWORDS, SUFFIXES, SYNONYMS
+
 # Tokens of the basic tokenizer: runs of [a-z0-9_-], two at least, each followed by its parts.
 _TOKENS = """flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_-]{{2,}}'), lambda t:
   list_concat([t], CASE WHEN regexp_matches(t, '[-_]') THEN list_filter(string_split_regex(t, '[-_]'), lambda p: length(p) >= 2 AND p <> t) ELSE [] END)))"""
@@ -19,13 +21,13 @@ bm AS (
   FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY query, doc
 )"""
 
-_STOP = "['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with']"
-_SUFFIX = ["ing", "ed", "ly", "ness", "ment", "able", "ible", "tion", "sion", "ation", "ies", "es", "s"]
+_STOP = str(STOPWORDS)
+_SUFFIX = SUFFIXES
 _STEM = "CASE WHEN strlen(t) < 4 THEN t " + " ".join(f"WHEN t LIKE '%{s}' AND strlen(t) - {len(s)} >= 3 THEN t[:-{len(s) + 1}]" for s in _SUFFIX) + " ELSE t END"
 _KEPT = """list_filter(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{Nd}}_-]+'), lambda t:
   list_concat([t], CASE WHEN regexp_matches(t, '[-_]') THEN list_filter(string_split_regex(t, '[-_]'), lambda p: strlen(p) >= 2 AND p <> t) ELSE [] END))),
   lambda t: strlen(t) >= 2 AND NOT list_contains(""" + _STOP + """, t))"""
-_SYN = "MAP {'ai': ['artificial-intelligence','machine-learning','ml'], 'ml': ['machine-learning','ai'], 'llm': ['large-language-model','language-model'], 'gpt': ['openai','chatgpt'], 'code': ['programming','software','development'], 'review': ['analysis','audit','check'], 'translate': ['translation','translator'], 'python': ['py'], 'javascript': ['js','node'], 'typescript': ['ts']}"
+_SYN = f"MAP {SYNONYMS}"
 
 
 def _advanced(text: str, synonyms: str = _SYN) -> str:
@@ -117,11 +119,62 @@ rt AS (
   SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]{2,}')) AS token FROM benchmark
 )"""
 
-_BITS = """(('0x' || substr(md5({0}), 1, 8))::BIGINT % 191702 + i * CASE WHEN ('0x' || substr(md5({0}), 9, 8))::BIGINT % 191702 = 0 THEN 1 ELSE ('0x' || substr(md5({0}), 9, 8))::BIGINT % 191702 END) % 191702"""
+_BITS = """(('0x' || substr(md5({0}), 1, 8))::BIGINT % 4792530 + i * CASE WHEN ('0x' || substr(md5({0}), 9, 8))::BIGINT % 4792530 = 0 THEN 1 ELSE ('0x' || substr(md5({0}), 9, 8))::BIGINT % 4792530 END) % 4792530"""
 
 _GAPS = """
 b AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)"""
 
+_PLAN_BM25 = f"""
+q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
+e AS (SELECT doc_id AS doc, substr(source, 4)::INT % 2 AS side, lang, source, n_chars, text, {_TOKENS.format("string_split(text, chr(10))[1] || ' ' || text || ' ' || source || ' ' || lang")} AS tokens FROM documents),
+st AS (SELECT side, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM e GROUP BY side), p AS (SELECT doc, side, len(tokens) AS length, unnest(tokens) AS term FROM e),
+tf AS (SELECT doc, side, term, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT side, term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query, side, doc, sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM tf JOIN df USING (side, term) JOIN st USING (side) JOIN qt USING (term) GROUP BY query, side, doc)"""
+
+_PLAN_FIELDED = f"""
+q AS (SELECT item_id AS query, unnest({_advanced("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
+e AS (SELECT doc_id AS doc, substr(source, 4)::INT % 2 AS side, lang, source, n_chars, text FROM documents),
+ft AS (
+  SELECT doc, side, 'name' AS field, 3.0 AS boost, {_advanced("string_split(text, chr(10))[1]")} AS tokens FROM e
+  UNION ALL SELECT doc, side, 'tags', 2.0, {_advanced("source")} FROM e
+  UNION ALL SELECT doc, side, 'category', 1.5, {_advanced("lang")} FROM e
+  UNION ALL SELECT doc, side, 'summary', 1.0, {_advanced("text")} FROM e
+),
+av AS (SELECT side, field, avg(len(tokens)) AS avg_length FROM ft GROUP BY ALL), st AS (SELECT side, count(*) AS n_docs FROM e GROUP BY side),
+p AS (SELECT doc, side, field, boost, len(tokens) AS length, unnest(tokens) AS term FROM ft),
+tf AS (SELECT doc, side, field, boost, length, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT side, term, count(DISTINCT doc) AS df FROM tf GROUP BY ALL),
+bm AS (
+  SELECT query, side, doc, sum(qtf * boost * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score
+  FROM tf JOIN df USING (side, term) JOIN av USING (side, field) JOIN st USING (side) JOIN qt USING (term) GROUP BY query, side, doc
+)"""
+
+
+def _plan(keywords: str) -> str:
+    vectors = "string_split(text, chr(10))[1] || ' ' || text || ' ' || source"
+    return f"""WITH {_NAMES}, {keywords},
+nt AS (SELECT query, side, doc, score / max(score) OVER (PARTITION BY query, side) AS text FROM bm),
+i AS (SELECT side, doc AS id, {_TOKENS.format(vectors)} AS t FROM e UNION ALL SELECT 2, item_id, {_TOKENS.format("text")} FROM benchmark),
+w AS (SELECT side, id, unnest(t) AS w, 1.0::DOUBLE AS x FROM i UNION ALL SELECT side, id, unnest(list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), 0.5 FROM i),
+h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, x FROM w),
+v AS (SELECT side, id, h % 384 AS slot, sum(CASE WHEN h % 2 = 0 THEN -x ELSE x END) AS v FROM h GROUP BY ALL),
+u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM v WHERE v <> 0),
+m AS (SELECT a.id AS query, b.side, b.id AS doc, round(sum(a.v * b.v), 6) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 2 AND b.side < 2 GROUP BY a.id, b.side, b.id),
+near AS (SELECT * FROM m WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query, side ORDER BY sim DESC, doc) <= 50),
+lb AS (SELECT doc_id AS doc, max(quality) * 0.4::DOUBLE + 0.5::DOUBLE AS known FROM labels GROUP BY doc_id),
+c AS (
+  SELECT query, doc, CASE side WHEN 0 THEN 'local' ELSE 'remote' END AS source, coalesce(nt.text, 0) AS text, coalesce(sim, 0) AS semantic, coalesce(known, CASE side WHEN 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS trust, exp(-0.023::DOUBLE * (n_chars % 90)) AS freshness,
+    CASE side WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS usual, CASE n_chars % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS live
+  FROM nt FULL JOIN near USING (query, side, doc) JOIN e USING (side, doc) LEFT JOIN lb USING (doc) WHERE doc % 11 <> 0 AND (query % 3 <> 0 OR doc % 5 <> 0)
+),
+s AS (SELECT *, round(0.3::DOUBLE * text + 0.3::DOUBLE * semantic + 0.2::DOUBLE * trust + 0.1::DOUBLE * freshness + 0.1::DOUBLE * usual, 6) AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) <= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM b),
+one AS (SELECT entity_id AS doc, arg_min(fqan, (registered_at, fqan)) AS fqan, arg_min(developer_handle, (registered_at, fqan)) AS developer_handle FROM nm GROUP BY 1)
+SELECT query, doc, source, round(text, 6) AS text, round(semantic, 6) AS semantic, trust, round(freshness, 6) AS freshness, live AS availability, score, rank, n AS n_distinct, n AS total_found, n > 10 AS has_more, fqan, developer_handle
+FROM r LEFT JOIN one USING (doc) WHERE rank <= 10"""
+
+
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} {_top('bm', 10)}",
     "bm25_fielded_topk": f"WITH {_fielded('text')} {_top('bm', 10)}",
@@ -145,28 +198,26 @@ SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) A
     "hybrid_weighted": f"WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) SELECT query, doc, source, text, semantic, trust, round(freshness, 6) AS freshness, availability, score, rank FROM r WHERE rank <= 10 AND score >= 0.3",
     "hybrid_rrf": f"""WITH {_CANDIDATES}, r AS (SELECT query, doc, round(1 / (60.0 + row_number() OVER (PARTITION BY query ORDER BY text DESC, doc)) + 1 / (60.0 + row_number() OVER (PARTITION BY query ORDER BY semantic DESC, doc)) + 1 / (60.0 + row_number() OVER (PARTITION BY query ORDER BY round(trust, 6) DESC, doc)), 9) AS score FROM cand)
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r QUALIFY rank <= 10""",
-    "candidates_dedupe": f"WITH {_CANDIDATES} SELECT query, doc, source, text FROM cand WHERE text > 0.5",
+    "candidates_dedupe": f"WITH {_CANDIDATES} SELECT query, doc, source, text FROM cand",
     "merge_hits": f"""WITH {_BM25},
 i AS (SELECT 'd' AS side, doc_id AS id, {_TOKENS.format("text")} AS t FROM documents UNION ALL SELECT 'q', item_id, {_TOKENS.format("text")} FROM benchmark),
 w AS (SELECT side, id, unnest(t) AS w, 1.0::DOUBLE AS x FROM i UNION ALL SELECT side, id, unnest(list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), 0.5 FROM i),
 h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, x FROM w),
 s AS (SELECT side, id, h % 384 AS slot, sum(CASE WHEN h % 2 = 0 THEN -x ELSE x END) AS v FROM h GROUP BY ALL),
 u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM s WHERE v <> 0),
-m AS (SELECT a.id AS query, b.id AS doc, sum(a.v * b.v) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' GROUP BY ALL HAVING sim > 0.35)
-SELECT query, doc, round(coalesce(score, 0), 5) AS text, round(coalesce(sim, 0), 5) AS semantic FROM (SELECT * FROM bm WHERE score > 8) FULL JOIN m USING (query, doc)""",
-    "search_page": f"WITH {_CANDIDATES}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n_distinct FROM scored WHERE text > 0.3) SELECT *, n_distinct > 10 AS has_more FROM r WHERE rank > 5 AND rank <= 10",
-    "search_plan": f"""WITH q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
-e AS (SELECT doc_id AS doc, substr(source, 4)::INT % 2 AS side, lang, source, n_chars, {_TOKENS.format("string_split(text, chr(10))[1] || ' ' || text || ' ' || source || ' ' || lang")} AS tokens FROM documents),
-st AS (SELECT side, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM e GROUP BY side), p AS (SELECT doc, side, len(tokens) AS length, unnest(tokens) AS term FROM e),
-tf AS (SELECT doc, side, term, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT side, term, count(*) AS df FROM tf GROUP BY ALL),
-bm AS (SELECT query, side, doc, sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM tf JOIN df USING (side, term) JOIN st USING (side) JOIN qt USING (term) GROUP BY query, side, doc),
-nt AS (SELECT query, side, doc, score / max(score) OVER (PARTITION BY query, side) AS text FROM bm),
-c AS (SELECT query, doc, CASE side WHEN 0 THEN 'local' ELSE 'remote' END AS source, text, CASE side WHEN 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS trust, exp(-0.023::DOUBLE * (n_chars % 90)) AS freshness, CASE side WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS availability
-  FROM nt JOIN e USING (side, doc) WHERE doc % 11 <> 0 AND (query % 3 <> 0 OR doc % 5 <> 0)),
-s AS (SELECT *, round(0.3::DOUBLE * text + 0.3::DOUBLE * 0.0 + 0.2::DOUBLE * trust + 0.1::DOUBLE * freshness + 0.1::DOUBLE * availability, 6) AS score FROM c),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) <= 50),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM b)
-SELECT query, doc, source, round(text, 6) AS text, trust, round(freshness, 6) AS freshness, availability, score, rank, n AS n_distinct, n AS total_found, n > 10 AS has_more FROM r WHERE rank <= 10""",
+m AS (SELECT a.id AS query, b.id AS doc, round(sum(a.v * b.v), 6) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' GROUP BY a.id, b.id),
+n AS (SELECT * FROM m WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) <= 50),
+k AS (SELECT query, doc, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) <= 50)
+SELECT query, doc, coalesce(score, 0) AS text, coalesce(sim, 0) AS semantic FROM k FULL JOIN n USING (query, doc)""",
+    "search_page": f"WITH {_CANDIDATES}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n_distinct FROM scored) SELECT *, n_distinct > 10 AS has_more FROM r WHERE rank > 5 AND rank <= 10",
+    "default_page": f"""WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM scored)
+SELECT query, doc, rank, n > 20 AS has_more, text AS text_relevance, semantic AS semantic_similarity, round(trust, 6) AS trust_score, round(freshness, 6) AS freshness, availability FROM r WHERE rank <= 20""",
+    "search_plan": _plan(_PLAN_BM25),
+    "search_plan_fielded": _plan(_PLAN_FIELDED),
+    "vector_functions": """WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings)
+SELECT vec_id, round(list_sum(u), 6) AS along, 0.0::DOUBLE AS unequal, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS self, 70 AS padded, round(list_sum(u[1:10]), 6) AS first_ten, vec_id % 9 = 0 AS wrong FROM u""",
+    "query_hashes": """SELECT item_id, sha256('{"item_id":' || item_id || ',"n":' || length(text) || '}') AS hash FROM benchmark""",
+    "handle_filter": "SELECT 's-' || (c_custkey % 1500) AS developer_handle, c_custkey, s_suppkey AS developer_id FROM customer JOIN supplier ON s_suppkey = c_custkey % 1500",
     "keyword_filter": "SELECT p_partkey AS entity_id, p_name AS name, p_brand AS category FROM part WHERE (contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red')) AND (contains(lower(p_type), 'econ') OR contains(lower(p_brand), 'econ'))",
     "remote_keyword_filter": "SELECT doc_id AS entity_id, source AS name FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license')) AND lang = 'en' AND doc_id % 4 <> 0",
     "any_tag_filter": "SELECT p_partkey, p_type, p_brand FROM part WHERE lower(p_type) IN ('economy', 'brand#3') OR lower(p_brand) IN ('economy', 'brand#3')",
@@ -176,7 +227,7 @@ SELECT query, doc, source, round(text, 6) AS text, trust, round(freshness, 6) AS
     "list_page": "SELECT p_partkey AS entity_id, p_type AS category, p_size AS updated_at FROM part WHERE p_type = 'ECONOMY' ORDER BY p_size DESC, p_partkey LIMIT 25 OFFSET 50",
     "entity_patch": "SELECT p_partkey, CASE WHEN p_partkey % 20 = 0 THEN 'PATCHED' ELSE p_type END AS p_type, CASE WHEN p_partkey % 10 = 0 THEN p_size + 100 ELSE p_size END AS p_size, CASE WHEN p_partkey % 10 = 0 THEN 7 ELSE 0 END AS updated_at FROM part",
     "request_defaults": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'service' ELSE 'agent' END AS entity_type, CASE WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_type END AS url, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS n_tags, '' AS public_url FROM part",
-    "validate_entities": """WITH d AS (SELECT *, string_split(text, chr(10))[1] AS name, substr(text, 1, 199) AS summary, CASE WHEN doc_id % 3 = 0 THEN 'service' WHEN doc_id % 17 = 0 THEN 'robot' ELSE 'agent' END AS kind FROM documents),
+    "validate_entities": """WITH d AS (SELECT *, string_split(text, chr(10))[1] AS name, text AS summary, CASE WHEN doc_id % 3 = 0 THEN 'service' WHEN doc_id % 17 = 0 THEN 'robot' ELSE 'agent' END AS kind FROM documents),
 r AS (SELECT doc_id, list_filter([CASE WHEN name = '' THEN 'name is required' END, CASE WHEN strlen(name) > 100 THEN 'name is too long' END, CASE WHEN doc_id % 13 = 0 OR source = '' THEN 'owner is required' END,
   CASE WHEN kind = 'agent' AND doc_id % 7 = 0 THEN 'entity_url is required' END, CASE WHEN coalesce(lang, '') = '' THEN 'category is required' END, CASE WHEN strlen(summary) > 200 THEN 'summary is too long' END,
   CASE WHEN doc_id % 23 > 20 THEN 'too many tags' END, CASE WHEN kind = 'robot' THEN 'unknown entity_type' END, CASE WHEN kind = 'service' AND doc_id % 2 = 1 THEN 'service_endpoint is required' END,
@@ -184,10 +235,10 @@ r AS (SELECT doc_id, list_filter([CASE WHEN name = '' THEN 'name is required' EN
 SELECT doc_id::VARCHAR AS entity_id, array_to_string(r, '; ') AS reasons, r[1] AS first_reason, len(r) = 0 AS valid FROM r""",
     "validate_developers": """SELECT 'developer' AS kind, s_suppkey AS key, concat_ws('; ', CASE WHEN s_suppkey % 4 = 0 OR s_nationkey % 8 = 0 THEN 'name is required' WHEN strlen(s_name) * (s_nationkey % 8) > 100 THEN 'name is too long' END, CASE WHEN s_acctbal <= 0 THEN 'public_key is required' END) AS reasons FROM supplier
 UNION ALL SELECT 'name', s_suppkey, concat_ws('; ', CASE WHEN s_suppkey % 3 = 0 THEN 'entity_name is required' END, CASE WHEN s_suppkey % 5 = 0 THEN 'registry_host is required' END) FROM supplier""",
-    "validate_handles": """WITH w AS (SELECT DISTINCT unnest(string_split(string_split(text, chr(10))[1], ' ')) AS w FROM documents),
+    "validate_handles": """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents),
 t AS (SELECT w FROM w UNION SELECT lower(w) || '-' FROM w WHERE length(w) > 4 UNION SELECT lower(w) || '--x' FROM w UNION SELECT 'admin')
 SELECT w, CASE WHEN w IN ('system', 'admin', 'test', 'root', 'registry', 'anonymous', 'unknown') THEN 'reserved' WHEN w = '' THEN 'required' WHEN NOT regexp_full_match(w, '[a-z][a-z0-9-]{2,39}') THEN 'malformed' WHEN w LIKE '%-' THEN 'ends with a hyphen' WHEN contains(w, '--') THEN 'consecutive hyphens' END AS error FROM t""",
-    "parse_fqan": """WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN '2.1.0' WHEN page_id % 7 = 1 THEN '' END AS v, CASE WHEN page_id % 5 = 0 THEN 'nlp.translation' END AS c FROM pages)
+    "parse_fqan": """WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN '2.1.0' WHEN page_id % 7 = 1 THEN '' END AS v, CASE WHEN page_id % 5 = 0 THEN 'text.summary' END AS c FROM pages)
 SELECT page_id, host, CASE WHEN v IS NULL OR v <> '' THEN host || '/dev-' || page_id || '/agent' END AS base, nullif(v, '') AS version, CASE WHEN v IS NULL OR v <> '' THEN c END AS capability,
   CASE WHEN v IS NULL OR v <> '' THEN 'dev-' || page_id END AS handle, CASE WHEN v IS NULL OR v <> '' THEN 'agent' END AS name, CASE WHEN v = '' THEN 'empty version' END AS error FROM p""",
     "txt_records": "SELECT page_id, page_id % 3 = 1 AND page_id % 5 = 2 AS matches FROM pages",
@@ -198,14 +249,14 @@ lo AS (SELECT developer_handle AS handle, entity_name AS name, min(fqan) AS fqan
 re AS (SELECT developer_handle AS handle, entity_name AS name, min(fqan) AS fqan, arg_min(entity_id, fqan) AS entity_id FROM nm WHERE registered_at % 2 = 1 AND registered_at % 5 <> 0 GROUP BY ALL)
 SELECT handle, name, coalesce(lo.fqan, re.fqan) AS fqan, CASE WHEN lo.fqan IS NOT NULL THEN lo.entity_id ELSE re.entity_id END AS entity_id,
   CASE WHEN lo.fqan IS NOT NULL THEN coalesce(CASE WHEN s_acctbal > 5000 THEN 'active' WHEN s_suppkey IS NOT NULL THEN 'inactive' END, 'unknown') WHEN re.fqan IS NOT NULL THEN 'unknown' END AS status,
-  CASE WHEN lo.fqan IS NOT NULL THEN CASE WHEN lo.developer_id < 30 AND lo.developer_id IN (SELECT s_suppkey FROM supplier) AND lo.developer_id % 2 = 0 THEN 'method-verified' ELSE 'self-claimed' END WHEN re.fqan IS NOT NULL THEN 'self-claimed' END AS tier,
+  CASE WHEN lo.fqan IS NOT NULL THEN CASE WHEN lo.developer_id IN (SELECT s_suppkey FROM supplier) AND lo.developer_id % 2 = 0 THEN 'method-verified' ELSE 'self-claimed' END WHEN re.fqan IS NOT NULL THEN 'self-claimed' END AS tier,
   CASE WHEN coalesce(lo.fqan, re.fqan) IS NOT NULL THEN 0.5::DOUBLE END AS trust, CASE WHEN lo.fqan IS NOT NULL THEN 'local' WHEN re.fqan IS NOT NULL THEN 'remote' END AS found_in
 FROM rq LEFT JOIN lo USING (handle, name) LEFT JOIN re USING (handle, name) LEFT JOIN supplier ON lo.entity_id = s_suppkey""",
     "resolve_fqan": f"""WITH {_NAMES}, rq AS (SELECT fqan FROM nm UNION SELECT fqan || '-x' FROM nm),
 lo AS (SELECT * FROM nm WHERE registered_at % 2 = 0), re AS (SELECT * FROM nm WHERE registered_at % 2 = 1 AND registered_at % 5 <> 0)
 SELECT fqan, coalesce(lo.entity_id, re.entity_id) AS entity_id, CASE WHEN lo.entity_id IS NOT NULL THEN 'local' WHEN re.entity_id IS NOT NULL THEN 'remote' END AS found_in, CASE WHEN coalesce(lo.entity_id, re.entity_id) IS NOT NULL THEN 1.0::DOUBLE END AS score
 FROM rq LEFT JOIN lo USING (fqan) LEFT JOIN re USING (fqan)""",
-    "lookup_entity": "SELECT p_partkey AS entity_id, p_name, CASE WHEN p_partkey % 2 = 0 THEN 'local' ELSE 'remote' END AS found_in FROM part WHERE p_partkey % 3 = 0 AND (p_partkey % 2 = 0 OR p_partkey % 5 < 3)",
+    "lookup_entity": "SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'far ' || p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 THEN 'local' ELSE 'remote' END AS found_in FROM part",
     "registration_check": "SELECT c_custkey, c_custkey % 120 AS developer_id, 'k' || c_nationkey AS proof_key, CASE WHEN s_suppkey IS NULL THEN 'unknown developer' WHEN s_nationkey <> c_nationkey THEN 'key mismatch' END AS refused FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 120",
     "registration_insert": "SELECT c_custkey % 500 AS entity_id, c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'already registered' WHEN row_number() OVER (PARTITION BY c_custkey % 500 ORDER BY c_custkey) > 1 THEN 'repeated in the batch' ELSE '' END AS reason FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 500",
     "name_availability": f"WITH {_NAMES}, h AS (SELECT developer_handle, min(entity_id) AS existing_id FROM nm GROUP BY 1) SELECT developer_handle, existing_id, existing_id IS NULL AS available FROM (SELECT DISTINCT 'dev-' || (c_custkey % 60) AS developer_handle FROM customer) LEFT JOIN h USING (developer_handle)",
@@ -257,7 +308,7 @@ SELECT query, registry, count(*) AS matches FROM got JOIN need USING (query, tok
 SELECT query, registry, matches, row_number() OVER (PARTITION BY query ORDER BY matches DESC, registry) AS rank FROM m QUALIFY rank <= 5""",
     "federated_topk": f"""WITH {_RTOKENS}, c AS (SELECT query, registry, count(*) AS n FROM qk JOIN rt USING (token) GROUP BY ALL), m AS (SELECT query, registry, row_number() OVER (PARTITION BY query ORDER BY n DESC, registry) AS r FROM c QUALIFY r <= 3),
 q AS (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS term FROM benchmark), qt AS (SELECT query, term, count(*) AS qtf FROM q GROUP BY ALL),
-d AS (SELECT doc_id AS doc, source AS registry, {_TOKENS.format("text")} AS tokens FROM documents), st AS (SELECT registry, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM d GROUP BY registry),
+d AS (SELECT doc_id AS doc, source AS registry, {_TOKENS.format("string_split(text, chr(10))[1] || ' ' || text || ' ' || source || ' ' || lang")} AS tokens FROM documents), st AS (SELECT registry, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM d GROUP BY registry),
 p AS (SELECT doc, registry, len(tokens) AS length, unnest(tokens) AS term FROM d), tf AS (SELECT doc, registry, term, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT registry, term, count(*) AS df FROM tf GROUP BY ALL),
 s AS (SELECT query, registry, doc, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score

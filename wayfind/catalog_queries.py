@@ -118,11 +118,12 @@ def token_hash_vectors(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "slot", F.round("value", 6).alias("value"))
 
 
-def _hash_similarity(spark, sf_dir) -> DataFrame:
-    """(query, doc, sim): hashed vectors of requests against those of documents, above a least similarity."""
-    docs = V.dense(V.hashed_slots(_t(spark, sf_dir, "documents"), "doc_id", F.col("text")), 384)
-    qs = V.dense(V.hashed_slots(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text")), 384)
-    return similarity.cosine_hits(qs, docs, "id", "vector", "id", "vector", 384, least=0.35)
+def _hash_similarity(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query, doc, sim): the k nearest hashed vectors of (id, text) rows for each (id, text) request."""
+    def vectors(rows: DataFrame) -> DataFrame:
+        return V.dense(V.hashed_slots(rows, rows.columns[0], F.col(rows.columns[1])), 384)
+
+    return similarity.cosine_hits(vectors(requests), vectors(docs), "id", "vector", "id", "vector", 384, k)
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -150,34 +151,77 @@ def hybrid_rrf(spark, sf_dir):
 
 def candidates_dedupe(spark, sf_dir):
     """Candidates of two sources, one row per request and document."""
-    c = _candidates(spark, sf_dir).where("text > 0.5").select("query", "doc", "source", "text")
+    c = _candidates(spark, sf_dir).select("query", "doc", "source", "text")
     again = c.where("doc % 2 = 0").withColumns({"source": F.lit("federated"), "text": F.lit(1.0)})
     return rank.dedupe_candidates(c.unionByName(again))
 
 
 def merge_hits(spark, sf_dir):
-    """Keyword hits and hashed-vector hits side by side."""
-    text = _bm25_scores(spark, sf_dir).where("score > 8").withColumnRenamed("score", "text")
-    sem = _hash_similarity(spark, sf_dir)
-    return plan.merge_hits(text, sem).select("query", "doc", F.round("text", 5).alias("text"), F.round("semantic", 5).alias("semantic"))
+    """The 50 best keyword hits and the 50 best hashed-vector hits of each request side by side."""
+    text = top_k(_bm25_scores(spark, sf_dir), 50).withColumnRenamed("score", "text")
+    sem = _hash_similarity(_t(spark, sf_dir, "benchmark").select("item_id", "text"), _t(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return plan.merge_hits(text, sem)
 
 
 def search_page(spark, sf_dir):
     """L3, L4: the second page of each request with counts."""
-    ranked = rank.rank_weighted(_candidates(spark, sf_dir).where("text > 0.3"))
+    ranked = rank.rank_weighted(_candidates(spark, sf_dir))
     return rank.page(ranked, 5, 5).select("query", "doc", "score", "rank", "n_distinct", "has_more")
 
 
-def search_plan(spark, sf_dir):
-    """The whole discovery plan over a local and a remote catalog."""
+def default_page(spark, sf_dir):
+    """The first page of each request at the usual length, each row with the parts of its score."""
+    out = rank.page(rank.rank_weighted(_candidates(spark, sf_dir))).withColumn("b", rank.score_breakdown())
+    return out.select("query", "doc", "rank", "has_more", *[F.round(F.col("b")[c], 6).alias(c) for c in ("text_relevance", "semantic_similarity", "trust_score", "freshness", "availability")])
+
+
+def _plan(spark, sf_dir, config: plan.SearchConfig) -> DataFrame:
     e = _entities(spark, sf_dir)
+    d = _t(spark, sf_dir, "documents")
     sources = {"local": e.where("sid % 2 = 0"), "remote": e.where("sid % 2 = 1")}
+    trust = _t(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("entity_id")).agg((F.max("quality") * 0.4 + 0.5).alias("trust"))
+    cards = d.select(F.col("doc_id").alias("entity_id"), F.when(F.col("n_chars") % 3 == 0, "online").when(F.col("n_chars") % 3 == 1, "degraded").otherwise("offline").alias("status"))
 
     def semantic(requests: DataFrame, entities: DataFrame) -> DataFrame:
-        return requests.select(F.col("query_id").alias("query"), F.lit(None).cast("long").alias("doc"), F.lit(0.0).alias("sim")).limit(0)
+        return _hash_similarity(requests.select("query_id", "query"), entities.select("entity_id", T.embedding_text(F.col("name"), F.col("summary"), F.col("tags")).alias("t")), 50)
+
+    out = plan.search(_requests(spark, sf_dir), sources, semantic, _as_of(), names=_host_names(spark, sf_dir), cards=cards, trust=trust, config=config)
+    return out.select("query", "doc", "source", F.round("text", 6).alias("text"), F.round("semantic", 6).alias("semantic"), "trust", F.round("freshness", 6).alias("freshness"), "availability", "score", "rank", "n_distinct", "total_found", "has_more", "fqan", "developer_handle")
+
+
+def search_plan(spark, sf_dir):
+    """The whole discovery plan over a local and a remote catalog: keyword and vector hits,
+    trust from labels, pages with names and live availability from cards."""
+    return _plan(spark, sf_dir, plan.SearchConfig())
+
+
+def search_plan_fielded(spark, sf_dir):
+    """The same with the fielded engine."""
+    return _plan(spark, sf_dir, plan.SearchConfig(engine="fielded"))
+
+
+def vector_functions(spark, sf_dir):
+    """Vectors at length 1, their products with the first ten axes, padded and trimmed, and those of a wrong length."""
+    e = _t(spark, sf_dir, "embeddings").withColumn("unit", V.l2_normalize(F.col("embedding")))
+    axis = F.array_repeat(F.lit(1.0), 64)
+    wrong = similarity.wrong_dimensions(e.withColumn("cut", F.when(F.col("vec_id") % 9 != 0, V.pad_or_trim(F.col("embedding"), 64)).otherwise(V.pad_or_trim(F.col("embedding"), 63))), "cut", 64)
+    rows = e.join(wrong.select("vec_id", F.lit(True).alias("wrong")), "vec_id", "left")
+    return rows.select(
+        "vec_id", F.round(V.dot(F.col("unit"), axis), 6).alias("along"), V.dot(F.col("unit"), F.array(F.lit(1.0))).alias("unequal"), F.round(V.dot(F.col("unit"), F.col("unit")), 6).alias("self"),
+        F.size(V.pad_or_trim(F.col("unit"), 70)).alias("padded"), F.round(V.dot(V.pad_or_trim(F.col("unit"), 10), F.array_repeat(F.lit(1.0), 10)), 6).alias("first_ten"), F.coalesce("wrong", F.lit(False)).alias("wrong"),
+    )
+
+
+def query_hashes(spark, sf_dir):
+    """Hashes of requests as compact JSON."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", identity.query_hash(F.struct("item_id", F.length("text").alias("n"))).alias("hash"))
+
 
-    out = plan.search(_requests(spark, sf_dir), sources, semantic, _as_of())
-    return out.select("query", "doc", "source", F.round("text", 6).alias("text"), "trust", F.round("freshness", 6).alias("freshness"), "availability", "score", "rank", "n_distinct", "total_found", "has_more")
+def handle_filter(spark, sf_dir):
+    """Requests by developer handle; unknown handles give no row."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("s-"), F.col("c_custkey") % 1500).alias("developer_handle"))
+    s = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s-"), F.col("s_suppkey")).alias("dev_handle"), F.col("s_suppkey").alias("developer_id"))
+    return names.handles_to_ids(c, s)
 
 
 def keyword_filter(spark, sf_dir):
@@ -243,7 +287,7 @@ def _validation_input(spark, sf_dir) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("entity_id"), F.substring_index("text", "\n", 1).alias("name"), F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("owner"),
-        F.when(F.col("doc_id") % 7 != 0, "https://x.example").alias("entity_url"), F.col("lang").alias("category"), F.substring("text", 1, 199).alias("summary"), F.lit("key").alias("public_key"),
+        F.when(F.col("doc_id") % 7 != 0, "https://x.example").alias("entity_url"), F.col("lang").alias("category"), F.col("text").alias("summary"), F.lit("key").alias("public_key"),
         F.array_repeat(F.col("source"), (F.col("doc_id") % 23).cast("int")).alias("tags"), F.when(F.col("doc_id") % 3 == 0, "service").when(F.col("doc_id") % 17 == 0, "robot").otherwise("agent").alias("entity_type"),
         F.when(F.col("doc_id") % 2 == 0, "https://s.example").alias("service_endpoint"), F.when(F.col("doc_id") % 5 == 0, "barter").alias("pricing_model"),
     )
@@ -264,8 +308,8 @@ def validate_developers(spark, sf_dir):
 
 
 def validate_handles(spark, sf_dir):
-    """which words of the documents' first lines make handles, and why others don't."""
-    words = _t(spark, sf_dir, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("w")).distinct()
+    """which words of the documents make handles, and why others don't."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct()
     tried = words.unionByName(words.where(F.length("w") > 4).select(F.concat(F.lower("w"), F.lit("-")).alias("w"))).unionByName(words.select(F.concat(F.lower("w"), F.lit("--x")).alias("w"))).unionByName(words.limit(1).select(F.lit("admin").alias("w"))).distinct()
     return tried.select("w", naming.handle_error(F.col("w")).alias("error"))
 
@@ -287,7 +331,7 @@ def parse_fqan(spark, sf_dir):
     """Names built from page URLs, parsed again with their qualifiers, and hosts of URLs."""
     p = _t(spark, sf_dir, "pages")
     host = identity.registry_host(F.col("url"))
-    raw = F.concat(F.when(F.col("page_id") % 2 == 0, "zns://").otherwise(""), host, F.lit("/dev-"), F.col("page_id").cast("string"), F.lit("/agent"), F.when(F.col("page_id") % 3 == 0, "@2.1.0").when(F.col("page_id") % 7 == 1, "@").otherwise(""), F.when(F.col("page_id") % 5 == 0, "#nlp.translation").otherwise(""))
+    raw = F.concat(F.when(F.col("page_id") % 2 == 0, "zns://").otherwise(""), host, F.lit("/dev-"), F.col("page_id").cast("string"), F.lit("/agent"), F.when(F.col("page_id") % 3 == 0, "@2.1.0").when(F.col("page_id") % 7 == 1, "@").otherwise(""), F.when(F.col("page_id") % 5 == 0, "#text.summary").otherwise(""))
     rows = p.select("page_id", host.alias("host"), raw.alias("raw"))
     q, f = naming.parse_qualified(F.col("raw")), naming.parse_fqan(F.col("raw"))
     return rows.select("page_id", "host", q["base"].alias("base"), q["version"].alias("version"), q["capability"].alias("capability"), f["handle"].alias("handle"), f["name"].alias("name"), f["error"].alias("error"))
@@ -306,11 +350,11 @@ def names_join(spark, sf_dir):
 
 
 def resolve_name(spark, sf_dir):
-    """(handle, name) requests against local names, then remote ones."""
+    """(handle, name) requests against local names, then remote ones."""
     n = _host_names(spark, sf_dir)
     req = _t(spark, sf_dir, "customer").select(F.concat(F.lit("dev-"), F.col("c_custkey") % 45).alias("handle"), F.concat(F.lit("agent-"), F.col("c_custkey") % 65).alias("name")).distinct()
     ent = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.when(F.col("s_acctbal") > 5000, "active").otherwise("inactive").alias("status"))
-    dev = _t(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("developer_id"), (F.col("s_suppkey") % 2 == 0).alias("dev_handle_verified"))
+    dev = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("developer_id"), (F.col("s_suppkey") % 2 == 0).alias("dev_handle_verified"))
     remote = n.where("registered_at % 2 = 1").withColumn("tombstoned", F.col("registered_at") % 5 == 0)
     return names.resolve_names(req, n.where("registered_at % 2 = 0"), ent, dev, remote)
 
@@ -326,15 +370,15 @@ def resolve_fqan(spark, sf_dir):
 def lookup_entity(spark, sf_dir):
     """Parts by id, local before remote."""
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), "p_name")
-    ids = p.where("entity_id % 3 = 0").select("entity_id")
-    return names.lookup_entities(ids, p.where("entity_id % 2 = 0"), p.where("entity_id % 5 < 3"))
+    ids = p.select("entity_id").unionByName(p.select((-F.col("entity_id")).alias("entity_id")))
+    return names.lookup_entities(ids, p.where("entity_id % 2 = 0"), p.withColumn("p_name", F.concat(F.lit("far "), "p_name")))
 
 
 def registration_check(spark, sf_dir):
     """Registrations by unknown developers or with another key."""
     c = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 120).alias("developer_id"), F.concat(F.lit("k"), F.col("c_nationkey")).alias("proof_key"))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("developer_id"), F.concat(F.lit("k"), F.col("s_nationkey")).alias("public_key"))
-    return names.check_registrations(c, s.where("developer_id < 60"), s.where("developer_id >= 40"))
+    return names.check_registrations(c, s.where("developer_id % 2 = 0"), s.where("developer_id % 2 = 1"))
 
 
 def registration_insert(spark, sf_dir):
@@ -547,7 +591,7 @@ def _registry_items(spark, sf_dir) -> DataFrame:
     return routing.registry_tokens(d, "source", F.substring_index("text", "\n", 1), F.col("lang"), F.array("source"), F.col("text"))
 
 
-_M, _K = routing.bloom_size(20_000, 0.01)
+_M, _K = routing.bloom_size(500_000, 0.01)
 
 
 def registry_tokens(spark, sf_dir):
@@ -581,8 +625,7 @@ def federated_topk(spark, sf_dir):
     q = _requests(spark, sf_dir)
     tokens = routing.query_tokens(_t(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
     routes = routing.route_queries(_t(spark, sf_dir, "benchmark"), routing.exact_match(tokens, _registry_items(spark, sf_dir)), None, 3)
-    e = _entities(spark, sf_dir).withColumns({"name": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>"), "category": F.lit(None).cast("string")})
-    return plan.federated_top(q, e, routes, 5).select("query", "registry", "doc", "score", "rank")
+    return plan.federated_top(q, _entities(spark, sf_dir), routes, 5).select("query", "registry", "doc", "score", "rank")
 
 
 def advanced_tokens(spark, sf_dir):
@@ -593,7 +636,7 @@ def advanced_tokens(spark, sf_dir):
 
 
 def entity_ids(spark, sf_dir):
-    """Ids from keys and fingerprints of records."""
+    """Ids from keys and fingerprints of records."""
     s = _t(spark, sf_dir, "supplier")
     key = F.concat(F.lit("ed25519:"), F.base64(F.col("s_name").cast("binary")))
     return s.select("s_suppkey", identity.make_id("agent", key).alias("agent_id"), identity.make_id("developer", key).alias("developer_id"), identity.fingerprint("s_name", "s_nationkey").alias("fingerprint"))
@@ -601,7 +644,7 @@ def entity_ids(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_fielded_topk, phrase_bonus, corpus_statistics, index_update, cosine_topk, cosine_by_label, token_hash_vectors, hybrid_weighted, hybrid_rrf, candidates_dedupe, merge_hits,
-    search_page, search_plan, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
+    search_page, default_page, search_plan, search_plan_fielded, vector_functions, query_hashes, handle_filter, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
     validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, name_availability, name_conflicts,
     developer_entities, names_by_host, latest_version, version_history, announce_dedupe, announce_forward, announce_route, announce_authorize, entity_state, expire_tombstones, developer_state,
     name_state, proof_state, record_expiry, heartbeats_in_skew, liveness_sweep, active_sessions, became_active, over_limit, activity_hourly, latency_summary, reputation, entity_trust,

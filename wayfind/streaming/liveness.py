@@ -13,10 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def session_stream(beats: DataFrame, entity: str, ts: str, seconds: int = 300) -> DataFrame:
     """(entity, started_at, last_at, beats) by session windows of the stream.
 
-    A session window closes at a silence of `seconds` exactly, the batch twin after more than that.
+    As in batch, a session ends at a silence of more than `seconds`, which is a window's gap of one microsecond more.
     """
     rows = beats.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{seconds} seconds")
-    out = rows.groupBy(F.session_window(ts, f"{seconds} seconds").alias("w"), entity).agg(F.min(ts).alias("started_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("beats"))
+    out = rows.groupBy(F.session_window(ts, f"{seconds} seconds 1 microsecond").alias("w"), entity).agg(F.min(ts).alias("started_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("beats"))
     return out.select(entity, "started_at", "last_at", "beats")
 
 
