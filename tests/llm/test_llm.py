@@ -482,7 +482,8 @@ def test_lines_brute_force(spark):
 
 
 def test_lines_odd(spark):
-    out = line_dedup.dedup_lines(odd(spark)).collect()
+    out = line_dedup.dedup_lines(odd(spark).withColumn("doc", F.lit("mine"))).collect()
+    assert {r["doc"] for r in out} == {"mine"}
     assert len(out) == len(ODD)
     by = {r["doc_id"]: r for r in out}
     assert (by[1]["text"], by[1]["n_lines"]) == (None, 0)

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfind.llm.textarrays import mix
+from wayfind.llm.textarrays import mix, released
 
 Q = 10
 ERROR_RATE = 0.08
 #: Items are matched in blocks of about so many characters; a task holds the index of one block at a time.
 BLOCK_CHARS = 4 << 20
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 PAIRS_AT_ONCE = 1 << 21
 
 LEAKS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
@@ -275,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             columns[own] = pa.array(found, pa.list_(_LEAK))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ the positional filter, and every candidate is verified on the full sets. A line
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.support import cut
@@ -21,7 +21,7 @@ _WORD_BITS = (1 << 56) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(F.translate(line, "\t\x0b\x0c\r", "    ")), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.translate(line, "\t\x0b\x0c\r", "    ")), " "), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -36,7 +36,7 @@ def _bucket(word: Column) -> Column:
 
 def rarity_table(docs: DataFrame, id_col: str, text: str) -> bytes:
     """A byte for each bucket: thrice the binary logarithm of how many words of all documents fall into it."""
-    words = docs.select(F.explode(_words(F.translate(F.coalesce(text, F.lit("")), "\n", " "))).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), "\n\t\x0b\x0c\r", "     ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.col("w")).cast("int").alias("b")).count()
     level = F.least(F.lit(126), F.floor(3 * F.log2(F.col("count") + 1))).cast("int")
     table = bytearray(BUCKETS)
@@ -49,12 +49,11 @@ def _sets(lines: DataFrame, table: bytes) -> DataFrame:
     """Adds the sorted set of word codes (rarity in the high byte), its size and 128 bits of it."""
     levels = F.lit(table)
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def code(h: Column) -> Column:
         level = F.ascii(F.substring(levels, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    coded = lines.withColumn("words", F.sort_array(F.array_distinct(F.transform("words", code))))
+    coded = lines.withColumn("words", F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), code)))
     return coded.withColumn("n", F.size("words")).where("n > 0").withColumn("id", F.xxhash64("words")).withColumn("id2", F.xxhash64(F.lit(7), "words"))
 
 
@@ -86,9 +85,9 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     # equal sets: the first line stands for all; sets are told apart by 128 bits and size
     groups = cut(lines.select("id", "id2", "n", order.alias("at"), prefix.alias("prefix")).groupBy("id", "id2", "n").agg(F.min("at").alias("at"), F.any_value("prefix").alias("prefix")))
     posts = groups.select("id", "n", "at", F.posexplode("prefix").alias("pos", "word"))
-    same = Window.partitionBy("word")
-    posts = posts.withColumn("m", F.count(F.lit(1)).over(same)).where("m > 1").drop("m")
-    posts = cut(posts)
+    # words of one line only meet nothing; a frequent word is counted in parts and joined as a side that can be split
+    several = posts.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("word")
+    posts = cut(posts.join(several, "word"))
     # rounds of stars: every line of a word's list with the first line of it that is still in
     gone, tested, sets = None, None, None
     wanted = posts.select("id").distinct().join(groups.select("id", "id2", "n", "at"), "id")
@@ -124,7 +123,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     """
     docs = docs.drop("n_lines", "removed")
     marked = matched_lines(docs, id_col, text, percent).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    joined = docs.join(marked, docs[id_col].eqNullSafe(marked["doc"]), "left").drop("doc")
+    marked = marked.withColumnRenamed("doc", "__doc")
+    joined = docs.join(marked, docs[id_col].eqNullSafe(marked["__doc"]), "left").drop("__doc")
     lines = F.split(text, "\n")
     removed = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda i: i < F.size(lines))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(removed, i))
