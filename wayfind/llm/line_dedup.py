@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.support import cut
+from wayfind.llm.support import cut, maybe_in
 
 #: Hash buckets of the rarity table: one byte each, held as a literal.
 BUCKETS = 1 << 16
@@ -53,7 +53,8 @@ def _sets(lines: DataFrame, table: bytes) -> DataFrame:
         level = F.ascii(F.substring(levels, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    coded = lines.withColumn("words", F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), code)))
+    # an explode of one row: what follows refers to the codes and does not make them again
+    coded = lines.select("doc", "line", F.explode(F.array(F.sort_array(F.transform(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))), code)))).alias("words"))
     return coded.withColumn("n", F.size("words")).where("n > 0").withColumn("id", F.xxhash64("words")).withColumn("id2", F.xxhash64(F.lit(7), "words"))
 
 
@@ -91,8 +92,7 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     # rounds of stars: every line of a word's list with the first line of it that is still in
     gone, tested, sets = None, None, None
     wanted = posts.select("id").distinct().join(groups.select("id", "id2", "n", "at"), "id")
-    near_docs = wanted.select(F.col("at.doc").alias(id_col)).distinct()
-    sources = docs.join(near_docs, docs[id_col].eqNullSafe(near_docs[id_col]), "left_semi")
+    sources = maybe_in(docs, id_col, wanted.select("at.doc"))
     sets = cut(_sets(_lines(sources, id_col, text), table).join(wanted.select("id", "id2", "n"), ["id", "id2", "n"], "left_semi").dropDuplicates(["id"]).select("id", "words"))
     left = posts
     for _ in range(STAR_ROUNDS):
