@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.RandomState(20240607)
 _BYTE = (_rng.randint(0, 2**32, 256).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 2**32, 256).astype(np.uint64)
