@@ -603,14 +603,15 @@ def test_base_scores_brute_force(spark):
         assert out[i]["score"] < 0
 
 
-def test_model_is_a_distribution(spark):
+@pytest.mark.parametrize("clustered", [1 << 14, 3])
+def test_model_is_a_distribution(spark, monkeypatch, clustered):
     rows = [(i, "a b c d e f g"[: 2 * (i % 7) + 1], "en", "s") for i in range(50)]
-    model, counts = language_model.train(docs(spark, rows).where(~language_model.held_out("doc_id")))
+    monkeypatch.setattr(language_model, "CLUSTERED", clustered)
+    model, _ = language_model.train(docs(spark, rows).where(~language_model.held_out("doc_id")))
     assert np.allclose((10**model.transition).sum(1), 1)
     head = model.head
-    _, units = head.look(head.words.view(np.uint64), np.zeros(len(head.words), np.int32))
-    for k in set(model.classes[units].tolist()):
-        mine = model.classes[units] == k
+    for k in set(model.kinds.tolist()):
+        mine = model.kinds == k
         total = ((head.counts[mine] + language_model.DELTA) / model.emission[k]).sum() + language_model.DELTA / model.emission[k]
         assert abs(total - 1) < 1e-9
 
@@ -654,42 +655,70 @@ def test_sweeps_raise_the_likelihood(spark):
     assert found[-1] > found[0]
 
 
-def test_scores_brute_force(spark):
-    rows = [*sentences(60), (900, None, None, None), (901, "l1 never seen r2", None, None)]
-    train = docs(spark, rows[:50])
-    model, counts = language_model.train(train)
+@pytest.mark.parametrize("clustered, most", [(1 << 14, 1 << 17), (8, 25), (0, 0)])
+def test_scores_brute_force(spark, monkeypatch, clustered, most):
+    rows = [*sentences(60), (900, None, None, None), (901, "l1 never seen seen r2 never", None, None)]
+    monkeypatch.setattr(language_model, "CLUSTERED", clustered)
+    monkeypatch.setattr(language_model, "HEAD", most)
+    model, others = language_model.train(docs(spark, rows[:50]))
+    kind_of = {r["word"]: r["kind"] for r in others.collect()}
     head, k = model.head, language_model.CLASSES
 
     def parts(text):
         data = (text or "").encode()
         found = re.findall(r"[^\x20\x09-\x0d]+", (text or "").lower())
         if not found:
-            return [], [model.classes[head.end]]
+            return [], [model.classes[head.end]], [model.classes[head.end]]
         raw, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
         starts, ends, _, hashes = language_model.words(raw, offsets)
-        _, units = head.look(hashes, language_model._signatures(raw, starts, ends))
-        return found, [*model.classes[units], model.classes[head.end]]
+        _, units, _ = head.look(hashes, language_model._signatures(raw, starts, ends))
+        as_before = model.classes[units].tolist()
+        own = [kind_of.get(int(h), c) for h, c in zip(hashes.view(np.int64), as_before, strict=True)]
+        return found, [*own, model.classes[head.end]], [*as_before, model.classes[head.end]]
 
     table, seen, kinds = np.zeros((k, k)), Counter(), {}
     for _, t, *_ in rows[:50]:
-        found, own = parts(t)
+        found, own, as_before = parts(t)
         seen.update([*found, None])
         kinds.update(zip([*found, None], own, strict=True))
-        for a, b in zip([model.classes[head.end], *own], own, strict=False):
+        for a, b in zip([model.classes[head.end], *as_before], own, strict=False):
             table[a, b] += 1
     share = (table.sum(0) + 1) / (table.sum() + k)
     n_kinds = Counter(c for w, c in kinds.items() if w is not None)
-    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs(spark, rows), model, counts).collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs(spark, rows), model, others).collect()}
     for i, t, *_ in rows:
-        found, own = parts(t)
+        found, own, as_before = parts(t)
         want, before = 0.0, model.classes[head.end]
-        for w, c in zip([*found, None], own, strict=True):
+        for w, c, after in zip([*found, None], own, as_before, strict=True):
             want += math.log10((table[before, c] + language_model.ALPHA * share[c]) / (table[before].sum() + language_model.ALPHA))
             want += math.log10((seen[w] + language_model.DELTA) / (table[:, c].sum() + language_model.DELTA * (n_kinds[c] + 1)))
-            before = c
+            before = after
         assert abs(got[i] - want) < 1e-6
 
 
+def test_rare_words_get_the_likeliest_class():
+    rng = np.random.RandomState(4)
+    k = language_model.CLASSES
+    lefts = rng.randint(0, 5, (30, k)) * (rng.rand(30, k) < 0.1)
+    lefts[:, 5] += 1
+    old = rng.randint(1, k, 30)
+    table = rng.randint(0, 50, (k, k)).astype(float)
+    for row, c in zip(lefts, old, strict=True):
+        table[:, c] += row
+    word, before = np.nonzero(lefts)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    gains = language_model._gains(before, lefts[word, before].astype(float), first, old, table)
+    for i, row in enumerate(lefts):
+        bare = table.copy()
+        bare[:, old[i]] -= row
+        want = []
+        for c in range(1, k):
+            with_it = bare.copy()
+            with_it[:, c] += row
+            want.append(language_model.likelihood(with_it))
+        assert np.allclose(np.array(want) - want[0], gains[i, 1:] - gains[i, 1])
+
+
 def test_language_model_odd(spark):
     assert language_model.score_table(odd(spark)).count() == len(ODD)
     assert language_model.score_table(docs(spark, [])).count() == 0

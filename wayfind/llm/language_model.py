@@ -4,8 +4,12 @@ Units are the commonest training words, the end of a text, and signatures (hashe
 Exchange clustering gives each unit a class: units are dealt into a fixed number of groups by hash, and each group, in the
 order of its units, moves every unit to the class with the most gain in the likelihood of the class bigrams, on a table of
 its own; between sweeps Spark sums the class bigrams anew, and a sweep counts only if they are likelier than before (else
-half of its groups are taken, and so on). So the classes depend on the texts alone, not on how rows lie in partitions. A text's probability is the product over its tokens of P(class | class before) * P(word | class), both
-smoothed; unknown words have one place in every class, so the model sums to one.
+half of its groups are taken, and so on). Then every other training word, however rare, gets a class of its own by one
+exchange of the same kind, from all the classes that stand before it: so what is learnt grows with the texts. Such a word
+is emitted by its own class; as the word before another one it counts by the class of its signature. All classes depend on
+the texts alone, not on how rows lie in partitions. A text's probability is the product over its tokens of
+P(class | class before) * P(word | class), both smoothed; unknown words have one place in every class, so the model sums
+to one.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from wayfind.llm.textarrays import list_array, mix, released, string_slices, wor
 
 #: The head: at most so many words, the commonest, whose counts each task holds (16 bytes each). Counts of all others are joined.
 HEAD = 1 << 17
-#: Words of the head that are clustered one by one, and signatures for all others.
+#: Words of the head that are units of the exchange, and signatures that stand for all others in it.
 CLUSTERED, SIGNATURES = 1 << 14, 1 << 11
 CLASSES, SWEEPS = 64, 3
 DELTA, ALPHA = 0.5, 20.0
@@ -84,12 +88,13 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Head:
-    """The commonest words, sorted by hash: count and unit of each."""
+    """The commonest words, sorted by hash: count and unit of each, and the least level of count among them."""
 
     words: np.ndarray
     counts: np.ndarray
     units: np.ndarray
     clustered: int
+    level: int
 
     @property
     def end(self) -> int:
@@ -99,21 +104,25 @@ class Head:
     def size(self) -> int:
         return self.clustered + 1 + SIGNATURES
 
-    def look(self, hashes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count or 0, unit) of each word."""
+    def look(self, hashes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count or 0, unit, place in the head or -1) of each word."""
         own = self.clustered + 1 + sigs
         if not len(self.words):
-            return np.zeros(len(hashes), np.int64), own
+            return np.zeros(len(hashes), np.int64), own, np.full(len(hashes), -1)
         h = hashes.view(np.int64)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         hit = self.words[at] == h
         unit = np.where(hit & (self.units[at] >= 0), self.units[at], own)
-        return np.where(hit, self.counts[at], 0), unit
+        return np.where(hit, self.counts[at], 0), unit, np.where(hit, at, -1)
+
+
+def _level() -> Column:
+    return F.floor(16 * F.log2("c")).cast("int")
 
 
 def _head(counts: DataFrame) -> Head:
     """At most HEAD words: those above a power of 2 ** (1/16) that leaves so many."""
-    level = F.floor(16 * F.log2("c")).cast("int")
+    level = _level()
     left = HEAD
     least = None
     for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 16 * 63 rows
@@ -122,7 +131,7 @@ def _head(counts: DataFrame) -> Head:
         left -= row["count"]
         least = row["level"]
     if least is None:
-        return Head(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0)
+        return Head(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0, 1 << 20)
     rows = counts.where(level >= least).select("word", "c").toPandas()
     word, c = rows["word"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
     order = np.lexsort((word, -c))
@@ -130,14 +139,15 @@ def _head(counts: DataFrame) -> Head:
     top = order[:CLUSTERED]
     units[top] = np.arange(len(top))
     by = np.argsort(word)
-    return Head(word[by], c[by], units[by], len(top))
+    return Head(word[by], c[by], units[by], len(top), least)
 
 
 def _unit_rows(data: np.ndarray, offsets: np.ndarray, head: Head):
-    """Tokens of the rows with the end of each: row, unit, count in the head, hash, signature; and where each row's end is."""
+    """Tokens of the rows with the end of each: row, unit, count and place in the head, hash, signature; and where each row's
+    end is."""
     starts, ends, rows, hashes = words(data, offsets)
     sigs = _signatures(data, starts, ends)
-    count, unit = head.look(hashes, sigs)
+    count, unit, place = head.look(hashes, sigs)
     n = len(offsets) - 1
     per = np.bincount(rows, minlength=n)
     stops = np.cumsum(per + 1) - 1
@@ -145,7 +155,7 @@ def _unit_rows(data: np.ndarray, offsets: np.ndarray, head: Head):
     to = np.arange(len(rows)) + rows
     all_units = np.full(total, head.end, np.int64)
     all_units[to] = unit
-    return rows, to, all_units, stops, count, hashes, sigs, per
+    return rows, to, all_units, stops, count, place, hashes, sigs, per
 
 
 def unit_bigrams(docs: DataFrame, text: str, shared) -> DataFrame:
@@ -290,10 +300,97 @@ def exchange(units: DataFrame, classes: np.ndarray, table: np.ndarray) -> tuple[
     return classes, table
 
 
+def _before_words(docs: DataFrame, text: str, shared) -> DataFrame:
+    """(word, sig, befores, ns): for every word that is no unit of its own, the classes before it and how often each one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, classes = shared.value
+
+        def out(found: list) -> pa.RecordBatch:
+            word, sig, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((before, word))
+            word, sig, before = word[order], sig[order], before[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
+            first = np.flatnonzero(new)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (word[first], sig[first], before[first], np.diff(np.append(first, len(word))))], names=["word", "sig", "before", "n"])
+
+        found, held = [], 0
+        for batch in batches:
+            for _, data, offsets in string_slices(batch.column(0)):
+                _, to, units, _, _, _, hashes, sigs, _ = _unit_rows(data, offsets, head)
+                rare = np.flatnonzero(units[to] > head.end)
+                # before a row's first word is the end of the row before it; place -1 is the end of the last row
+                found.append((hashes[rare].view(np.int64), sigs[rare], classes[units[to[rare] - 1]].astype(np.int32)))
+                held += len(rare)
+                if held >= WORDS_AT_ONCE // 2:
+                    yield out(found)
+                    found, held = [], 0
+        if held:
+            yield out(found)
+
+    rows = docs.select(text).mapInArrow(lambda batches: released(run(batches)), "word long, sig int, before int, n long")
+    # dealt by word once; both sums keep to that. A word has CLASSES entries at most
+    each = rows.repartition("word").groupBy("word", "before").agg(F.min("sig").alias("sig"), F.sum("n").alias("n"))
+    listed = each.groupBy("word").agg(F.min("sig").alias("sig"), F.sort_array(F.collect_list(F.struct("before", "n"))).alias("x"))
+    return listed.select("word", "sig", F.col("x.before").alias("befores"), F.col("x.n").alias("ns"))
+
+
+def _gains(before: np.ndarray, n: np.ndarray, first: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What the likelihood gains from each word in each class, all words against one table; a word's entries begin at first."""
+    word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+    total, columns = np.add.reduceat(n, first), table.sum(0)
+    around = table[before]
+    gains = np.add.reduceat(_f(around + n[:, None]) - _f(around), first) - (_f(columns + total[:, None]) - _f(columns))
+    # in its own class it is counted already
+    own = table[before, old[word]]
+    gains[np.arange(len(first)), old] = np.add.reduceat(_f(own) - _f(own - n), first) - (_f(columns[old]) - _f(columns[old] - total))
+    gains[:, 0] = -np.inf
+    return gains
+
+
+def assign(found: DataFrame, own: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, kind): a class for every word of _before_words, and the class bigrams with them; never less likely.
+
+    own: the class of each signature, as which the words are counted in the table that is given.
+    """
+    shared = found.sparkSession.sparkContext.broadcast((own, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signatures, start = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                lengths = np.diff(batch.column(2).offsets.to_numpy())
+                before, n = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(np.float64)
+                old = signatures[batch.column(1).to_numpy()]
+                first = np.cumsum(lengths) - lengths
+                best = _gains(before, n, first, old, start).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.add.reduceat(n, first).astype(np.int64)), pa.array(old.astype(np.int32)), pa.array(best.astype(np.int32)), batch.column(2), batch.column(3)], names=["word", "c", "old", "best", "befores", "ns"])
+
+    rows = cut(found.mapInArrow(lambda batches: released(run(batches)), "word long, c long, old int, best int, befores array<int>, ns array<long>"))
+    part = F.pmod(F.xxhash64("word"), F.lit(GROUPS))
+    groups = GROUPS
+    while groups:
+        moved = rows.where((part < groups) & (F.col("best") != F.col("old"))).select("old", "best", F.explode(F.arrays_zip("befores", "ns")).alias("x"))
+        ends = F.array(*[F.struct((F.col("x.befores") * CLASSES + F.col(k)).alias("at"), (sign * F.col("x.ns")).alias("n")) for k, sign in (("best", 1), ("old", -1))])
+        new = table.copy().ravel()
+        for row in moved.select(F.explode(ends).alias("y")).groupBy("y.at").agg(F.sum("y.n").alias("n")).collect():  # CLASSES ** 2 rows at most
+            new[row["at"]] += row["n"]
+        new = new.reshape(CLASSES, CLASSES)
+        if likelihood(new) >= likelihood(table):
+            table = new
+            break
+        groups //= 2
+    return rows.select("word", "c", F.when(part < groups, F.col("best")).otherwise(F.col("old")).alias("kind")), table
+
+
 @dataclass
 class ClassModel:
     head: Head
+    #: the class of each unit, and that of each word of the head
     classes: np.ndarray
+    kinds: np.ndarray
     #: log10 P(class | class before)
     transition: np.ndarray
     #: what a count plus DELTA is divided by, for each class
@@ -304,7 +401,7 @@ class ClassModel:
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
-    """The model of all the texts, and the counts of all words as a table (word, sig, c)."""
+    """The model of all the texts, and a table (word, c, kind) of the words that are no units: hash, count and class."""
     context = docs.sparkSession.sparkContext
     counts = cut(word_counts(docs, text))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -322,30 +419,27 @@ def train(docs: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
         classes, table = exchange(units, classes, table)
     never = classes < 0
     classes[never] = 1 + np.flatnonzero(never) % (CLASSES - 1)
+    found = _before_words(docs, text, context.broadcast((head, classes)))
+    others, table = assign(found, classes[head.clustered + 1 :], table)
     share = (table.sum(0) + 1) / (table.sum() + CLASSES)
     transition = np.log10((table + ALPHA * share[None, :]) / (table.sum(1, keepdims=True) + ALPHA))
-    # words of each class: the clustered ones, and all others by their signature
     kinds = np.zeros(CLASSES)
     np.add.at(kinds, classes[: head.clustered], 1)
-    others = counts.groupBy("sig").count().collect()  # SIGNATURES rows
-    sigs = {r["sig"]: r["count"] for r in others}
-    if head.clustered:
-        picked = set(head.words[head.units >= 0].tolist())
-        own = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in picked], "word long")), "word", "left_semi")
-        for r in own.groupBy("sig").count().collect():
-            sigs[r["sig"]] -= r["count"]
-    for s, k in sigs.items():
-        kinds[classes[head.clustered + 1 + s]] += k
+    for row in others.groupBy("kind").count().collect():  # CLASSES rows
+        kinds[row["kind"]] += row["count"]
+    own = np.where(head.units >= 0, classes[head.units], 0)
+    rest = others.where(_level() >= head.level).select("word", "kind").toPandas()  # words of the head
+    own[np.searchsorted(head.words, rest["word"].to_numpy(np.int64))] = rest["kind"].to_numpy()
     emission = table.sum(0) + DELTA * (kinds + 1)
-    return ClassModel(head, classes, transition, emission, int(n) + ends, int(v) + (ends > 0), ends), counts
+    return ClassModel(head, classes, own, transition, emission, int(n) + ends, int(v) + (ends > 0), ends), others
 
 
-def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: ClassModel, others: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_tokens, n_known, base_score, score and perplexity to the rows.
 
     score is the model's log10 probability of the whole text with its end, perplexity 10 ** (-score / n_tokens), and base_score
     that of single words with a half added to each count. A null or empty text is one token, the end. Words outside
-    the head are joined with their counts by hash; the rows of a text are told apart by a number of their own, so repeated ids
+    the head are joined with their counts and classes by hash; the rows of a text are told apart by a number of their own, so repeated ids
     are no matter. Columns of the input with these names are replaced.
     """
     docs = docs.drop("n_tokens", "n_known", "base_score", "score", "perplexity")
@@ -354,51 +448,58 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str
     column = docs.columns.index(text)
     kept = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    schema += ", __tokens long, __known long, __base double, __score double, __words array<long>, __kinds array<int>, __ns array<int>"
+    schema += ", __tokens long, __known long, __base double, __score double, __words array<long>, __codes array<int>, __ns array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             rest = [c for i, c in enumerate(batch.columns) if i != column]
             for at, data, offsets in string_slices(batch.column(column)):
-                rows, to, units, stops, count, hashes, sigs, per = _unit_rows(data, offsets, m.head)
+                rows, to, units, stops, count, place, hashes, _, per = _unit_rows(data, offsets, m.head)
                 n = len(per)
                 kinds = m.classes[units]
                 before = np.zeros(len(units), np.int64)
                 before[1:] = kinds[:-1]
-                moves = np.add.reduceat(m.transition[before, kinds], np.concatenate([[0], stops[:-1] + 1]))
+                inside = place >= 0
+                kinds[to[inside]] = m.kinds[place[inside]]
                 word_kind = kinds[to]
-                inside = count > 0
+                move = m.transition[before, kinds]
+                move[to[~inside]] = 0
+                moves = np.add.reduceat(move, np.concatenate([[0], stops[:-1] + 1]))
                 base = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / base_of), minlength=n).astype(np.float64)
                 emit = np.bincount(rows[inside], weights=np.log10((count[inside] + DELTA) / m.emission[word_kind[inside]]), minlength=n).astype(np.float64)
                 known = np.bincount(rows[inside], minlength=n)
                 base += math.log10((m.ends + DELTA) / base_of)
                 emit += math.log10((m.ends + DELTA) / m.emission[0])
-                # the others: each word once per text
+                # the others: each word once per text and class before it, with the class that it has if it is unknown
                 out = np.flatnonzero(~inside)
-                order = np.lexsort((hashes[out], rows[out]))
+                code = before[to] * CLASSES + word_kind
+                order = np.lexsort((code[out], hashes[out], rows[out]))
                 out = out[order]
                 new = np.ones(len(out), bool)
-                new[1:] = (hashes[out[1:]] != hashes[out[:-1]]) | (rows[out[1:]] != rows[out[:-1]])
+                new[1:] = (hashes[out[1:]] != hashes[out[:-1]]) | (rows[out[1:]] != rows[out[:-1]]) | (code[out[1:]] != code[out[:-1]])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(out))).astype(np.int32)
                 out = out[first]
                 lists = np.bincount(rows[out], minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(at, n) for c in rest], pa.array(per + 1), pa.array(known + (m.ends > 0)), pa.array(base), pa.array(moves + emit), list_array(hashes[out].view(np.int64), lists, pa.int64()), list_array(word_kind[out], lists, pa.int32()), list_array(times, lists, pa.int32())],
-                    names=[*[x for i, x in enumerate(batch.schema.names) if i != column], "__tokens", "__known", "__base", "__score", "__words", "__kinds", "__ns"],
+                    [*[c.slice(at, n) for c in rest], pa.array(per + 1), pa.array(known + (m.ends > 0)), pa.array(base), pa.array(moves + emit), list_array(hashes[out].view(np.int64), lists, pa.int64()), list_array(code[out].astype(np.int32), lists, pa.int32()), list_array(times, lists, pa.int32())],
+                    names=[*[x for i, x in enumerate(batch.schema.names) if i != column], "__tokens", "__known", "__base", "__score", "__words", "__codes", "__ns"],
                 )
 
     rows = cut(docs.mapInArrow(lambda batches: released(run(batches)), schema).withColumn("__row", F.monotonically_increasing_id()))
-    tail = rows.select("__row", F.explode(F.arrays_zip("__words", "__kinds", "__ns")).alias("x")).select("__row", F.col("x.__words").alias("word"), F.col("x.__kinds").alias("kind"), F.col("x.__ns").alias("n"))
+    tail = rows.select("__row", F.explode(F.arrays_zip("__words", "__codes", "__ns")).alias("x")).select("__row", F.col("x.__words").alias("word"), F.col("x.__codes").alias("code"), F.col("x.__ns").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    divided = F.element_at(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("kind") + 1)
-    tail = tail.join(counts.select("word", "c"), "word", "left").groupBy("__row").agg(
+    tail = tail.join(others, "word", "left").withColumn("at", F.coalesce(F.col("code") - F.col("code") % CLASSES + F.col("kind"), F.col("code")))
+    # class before and class: CLASSES ** 2 rows
+    odds = (model.transition - np.log10(model.emission)[None, :]).ravel().tolist()
+    odds = docs.sparkSession.createDataFrame(list(enumerate(odds)), "at int, odds double")
+    tail = tail.join(F.broadcast(odds), "at").groupBy("__row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("__k"),
         F.sum(F.col("n") * F.log10((c + DELTA) / base_of)).alias("__b"),
-        F.sum(F.col("n") * F.log10((c + DELTA) / divided)).alias("__e"),
+        F.sum(F.col("n") * (F.log10(c + DELTA) + F.col("odds"))).alias("__e"),
     )
-    both = rows.drop("__words", "__kinds", "__ns").join(tail, "__row", "left")
+    both = rows.drop("__words", "__codes", "__ns").join(tail, "__row", "left")
     score = F.col("__score") + F.coalesce("__e", F.lit(0.0))
     return both.select(
         *[f"`{x}`" for x in kept], F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
@@ -409,6 +510,6 @@ def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, text: str
 def score_table(docs: DataFrame) -> DataFrame:
     """One row per document, scored by the model of those that are not held out."""
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
-    model, counts = train(rows.where("not held_out"))
-    scored = score_texts(rows, model, counts)
+    model, others = train(rows.where("not held_out"))
+    scored = score_texts(rows, model, others)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
