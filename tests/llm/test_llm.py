@@ -156,6 +156,17 @@ def test_chunks_compose(tokenizer, monkeypatch):
     assert token_counts._word_counts(path, [p for p, _ in pieces]).sum() + sum(n for _, n in pieces) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("chunk, warm", [(256, 64), (7, 3), (5, 0)])
+def test_state_maps_of_long_words_compose(tokenizer, monkeypatch, chunk, warm):
+    path, library = tokenizer
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts, "WARM", warm)
+    rnd = random.Random(8)
+    texts = ["a" * 2000, "ab" * 900, "the" * 700, "日本語" * 300, "=" * 1500, "-=" * 333, *("".join(rnd.choice(x) for _ in range(rnd.randint(500, 1500))) for x in ("ab", "etaoinshrdlu", "日本語中国", ".,-=", "éèaz") for _ in range(2))]
+    got = token_counts._word_counts(path, texts)
+    assert got.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts_odd(spark, tokenizer):
     assert token_counts.count_tokens(odd(spark), path=tokenizer[0]).count() == len(ODD)
     assert token_counts.token_table(docs(spark, []), tokenizer[0]).count() == 0

@@ -7,7 +7,8 @@ another only if merging both together gives just these two; so a state needs the
 which a vocabulary token can still grow, and a transition on a byte carries the change of the number of tokens.
 Transitions are compiled when first met and kept. White space, special strings and text ends reset the machine, so any
 piece of text between two resets maps every state to the start and a count, and maps compose by adding: a prefix sum
-over the words of a batch, read off at the text ends, gives the counts.
+over the words of a batch, read off at the text ends, gives the counts. A long word is cut at fixed places into chunks that
+are walked side by side; each one's state map holds the states that can enter it, and the maps are composed by a scan.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from wayfind.llm.textarrays import _BASE, _INVERSE, _power, mix
 MOST_TRANSITIONS = 500_000
 #: Texts are put through in runs of about so many characters; longer ones are cut at white space, which resets.
 SLICE_CHARS = 1 << 20
+#: Bytes of the chunks of words that are longer than two of them, and bytes before a chunk from which its first state is guessed.
+CHUNK, WARM = 256, 64
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _RESET = re.compile(r"\s")
@@ -183,26 +186,72 @@ class WordTransducer:
                 self.table, self.recent = _joined(self.table, self.recent), _no_moves()
         return to, change
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each word data[start : start + length], all words a byte further in each round."""
-        if len(self.table[0]) > MOST_TRANSITIONS:
-            self.clear()
+    def walk(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last state and the number of tokens of each run data[start : start + length] from its state on, all runs a
+        byte further in each round; a final run ends a word."""
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        states, totals = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
+        starts, lengths, states, final = starts[order], lengths[order], states[order].astype(np.int32), final[order]
+        totals = np.zeros(len(starts), np.int64)
         n = len(starts)
         at = 0
         while n:
             symbols = data[starts[:n] + at].astype(np.int64)
-            symbols += (lengths[:n] == at + 1) * 256
+            symbols += (final[:n] & (lengths[:n] == at + 1)) * 256
             states[:n], change = self.moves(states[:n], symbols)
             totals[:n] += change
             at += 1
             n = int(np.searchsorted(-lengths, -at, side="left"))
-        out = np.empty(len(starts), np.int64)
-        out[order] = totals
+        ends, counted = np.empty_like(states), np.empty_like(totals)
+        ends[order], counted[order] = states, totals
+        return ends, counted
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each word data[start : start + length]."""
+        if len(self.table[0]) > MOST_TRANSITIONS:
+            self.clear()
+        out = np.zeros(len(starts), np.int64)
+        long = lengths > 2 * CHUNK
+        out[long] = self.composed(data, starts[long], lengths[long])
+        short = ~long
+        out[short] = self.walk(data, starts[short], lengths[short], np.zeros(short.sum(), np.int32), np.ones(short.sum(), bool))[1]
         return out
 
+    def composed(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each long word by its chunks' state maps.
+
+        A chunk's map begins with one guessed state, and takes in every state in which a map before it ends until none is
+        new; so it is exact, whether guesses are right or not. Then the maps are composed by doubling.
+        """
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        per = -(-lengths // CHUNK)
+        word = np.repeat(np.arange(len(starts)), per)
+        heads = np.cumsum(per) - per
+        nth = np.arange(len(word)) - heads[word]
+        at = starts[word] + nth * CHUNK
+        size = np.minimum(CHUNK, lengths[word] - nth * CHUNK)
+        last = nth == per[word] - 1
+        later = np.flatnonzero(nth > 0)
+        entry = np.zeros(len(word), np.int64)
+        entry[later] = self.walk(data, at[later] - WARM, np.full(len(later), WARM), np.zeros(len(later), np.int32), np.zeros(len(later), bool))[0]
+        # a node is a chunk and a state that enters it
+        fresh = np.arange(len(word)) << 32 | entry
+        nodes, to, counted = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(fresh):
+            chunk = fresh >> 32
+            ends, n = self.walk(data, at[chunk], size[chunk], fresh & 0xFFFFFFFF, last[chunk])
+            goes = np.where(last[chunk], -1, chunk + 1 << 32 | ends)
+            order = np.argsort(np.concatenate([nodes, fresh]), kind="stable")
+            nodes, to, counted = (np.concatenate(x)[order] for x in ((nodes, fresh), (to, goes), (counted, n)))
+            fresh = np.setdiff1d(goes[goes >= 0], nodes)
+        # the node after each one; beyond a word's last chunk stands one that counts nothing and follows itself
+        after = np.append(np.where(to >= 0, np.searchsorted(nodes, to), len(nodes)), len(nodes))
+        totals = np.append(counted, 0)
+        for _ in range(int(per.max()).bit_length()):
+            totals = totals + totals[after]
+            after = after[after]
+        return totals[np.searchsorted(nodes, heads << 32)]
+
 
 @lru_cache(2)
 def _transducer(path: str) -> WordTransducer:
@@ -272,7 +321,7 @@ def count_tokens(docs: DataFrame, text: str = "text", *, path: str, out: str = "
     """Adds the number of tokens that the tokenizer file at `path` gives for each whole text, as a bigint.
 
     `path` is a byte-level byte-pair file with an end-of-word mark (read on each executor; it comes with the Python
-    installation). No begin, end or added tokens; special strings inside a text count one token each. A null or empty
+    installation; of its added tokens only the strings are read). No begin, end or added tokens; special strings inside a text count one token each. A null or empty
     text has 0. Texts of any length are handled in bounded slices. Rows, their order and other columns stay as they
     are; a column named as `out` is replaced.
     """
