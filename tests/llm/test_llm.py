@@ -341,6 +341,31 @@ def test_vectors_brute_force(spark):
     assert all(r["n_links"] <= n[i] for i, r in got.items())
 
 
+def test_vectors_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 500)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 100)
+    rng = np.random.RandomState(11)
+    x = rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 1200, 2):
+        side = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        c = rng.uniform(0.9005, 0.96)
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x[2000:2400] = x[2000] + 0.04 * rng.standard_normal((400, 24))
+    x = x.astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    got = vector_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    found = {r["vec_id"]: r["n_links"] for r in got}
+    assert all(found[i] <= want[i] for i in found)
+    alone = [i for i in range(3000) if not 2000 <= i < 2400]
+    assert sum(found[i] for i in alone) >= 0.98 * want[alone].sum()
+    assert sum(found.values()) >= 0.99 * want.sum()
+    assert {r["component_id"] for r in got if 2000 <= r["vec_id"] < 2400} == {2000}
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (7, [1.0, 2.0])]

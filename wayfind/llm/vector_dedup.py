@@ -3,7 +3,8 @@
 The halves of a unit vector have codebooks of their own; a pair of nearest codes is a cell of the product grid. A query
 visits cells in order of how much farther their codes are than its own (the sum over both halves: the multi-sequence
 order) up to a margin, which is set so that the pairs of a sample reach the target recall. A pair counts if either of the
-two visits the other's cell, and every pair is verified by its cosine in double precision.
+two visits the other's cell, and every pair is verified by its cosine in double precision. Neighbouring cells of a row of
+the grid lie together in a strip, and a vector is sent once to each strip in which it visits a cell.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def _codebook(points: np.ndarray, k: int, seed: int) -> np.ndarray:
         np.add.at(sums, own, points)
         n = np.bincount(own, minlength=len(centres))
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centres
+    # along their main direction, so that near codes have near numbers
+    main = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+    return centres[np.argsort(centres @ main, kind="stable")]
 
 
 @dataclass
@@ -94,6 +97,11 @@ class MultiIndex:
         k = len(self.books[1])
         return far[0][query, cell // k] + far[1][query, cell % k]
 
+    def strips(self, cells: np.ndarray, width: int) -> np.ndarray:
+        """The strip of each cell: `width` codes of the second half beside each other, in one row of the grid."""
+        k = len(self.books[1])
+        return cells // k * -(-k // width) + cells % k // width
+
     def visits(self, unit: np.ndarray) -> list[np.ndarray]:
         """The cells that each vector visits, nearest codes of the first half first."""
         one, two = self.farther(unit)
@@ -138,7 +146,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pairs(nodes: DataFrame, dims: int, threshold: float, n: int) -> DataFrame:
     """(node, links, other): how many vectors each node was found linked with, and edges that join what is linked.
 
-    nodes: node bigint, weight bigint, vector of dims numbers. Each cell's vectors and queries are dealt into blocks, and a
+    nodes: node bigint, weight bigint, vector of dims numbers. Each strip's vectors and queries are dealt into blocks, and a
     task compares one block of each; it returns a row per vector and one edge per vector at most, not the pairs.
     """
     context = nodes.sparkSession.sparkContext
@@ -146,26 +154,33 @@ def _pairs(nodes: DataFrame, dims: int, threshold: float, n: int) -> DataFrame:
     codes = int(min(MOST_CODES, max(2, math.ceil(math.sqrt(n / 64)))))
     index = MultiIndex.fit(np.array(rows.tolist(), np.float64), threshold, codes)
     shared = context.broadcast(index)
+    # about a block of vectors to a strip
+    width = max(1, min(codes, BLOCK * codes**2 // max(n, 1)))
+    kind = nodes.schema["vector"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 unit = _unit(_matrix(part.column(2)))
-                visits = shared.value.visits(unit)
+                visits = [np.unique(shared.value.strips(v, width)) for v in shared.value.visits(unit)]
                 flat = np.concatenate(visits).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.cells(unit).astype(np.int32)), list_array(flat, np.array([len(v) for v in visits]), pa.int32())], names=["node", "weight", "vector", "cell", "visits"])
-
-    placed = cut(nodes.select("node", "weight", "vector").mapInArrow(place, "node long, weight long, vector array<double>, cell int, visits array<int>"))
-    held = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
-    asked = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    sizes = cut(held.join(asked, "cell").select("cell", F.ceil(F.col("held") / BLOCK).cast("int").alias("vb"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("qb")))
-    # a row of three numbers for each cell of the grid: MOST_CODES ** 2 at most
+                home = shared.value.cells(unit)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(home.astype(np.int32)), pa.array(shared.value.strips(home, width).astype(np.int32)), list_array(flat, np.array([len(v) for v in visits]), pa.int32())],
+                    names=["node", "weight", "vector", "home", "strip", "visits"],
+                )
+
+    placed = cut(nodes.select("node", "weight", "vector").mapInArrow(place, f"node long, weight long, vector {kind}, home int, strip int, visits array<int>"))
+    held = placed.groupBy("strip").agg(F.count(F.lit(1)).alias("held"))
+    asked = placed.select(F.explode("visits").alias("strip")).groupBy("strip").agg(F.count(F.lit(1)).alias("asked"))
+    sizes = cut(held.join(asked, "strip").select("strip", F.ceil(F.col("held") / BLOCK).cast("int").alias("vb"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("qb")))
+    # a row of three numbers for each strip of the grid: MOST_CODES ** 2 at most
     sizes = F.broadcast(sizes)
     deal = F.xxhash64("node")
-    own = placed.join(sizes, "cell").select("cell", F.pmod(deal, F.col("vb")).alias("v"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("query"), "node", "weight", "vector", F.col("cell").alias("home"))
-    ask = placed.select("node", "weight", "vector", F.col("cell").alias("home"), F.explode("visits").alias("cell")).join(sizes, "cell")
-    ask = ask.select("cell", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(deal, F.col("qb")).alias("q"), F.lit(True).alias("query"), "node", "weight", "vector", "home")
+    own = placed.join(sizes, "strip").select("strip", F.pmod(deal, F.col("vb")).alias("v"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("query"), "node", "weight", "vector", "home")
+    ask = placed.select("node", "weight", "vector", "home", F.explode("visits").alias("strip")).join(sizes, "strip")
+    ask = ask.select("strip", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("v"), F.pmod(deal, F.col("qb")).alias("q"), F.lit(True).alias("query"), "node", "weight", "vector", "home")
 
     def compare(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy(zero_copy_only=False).astype(bool)
@@ -175,29 +190,34 @@ def _pairs(nodes: DataFrame, dims: int, threshold: float, n: int) -> DataFrame:
         links = np.zeros(len(node), np.int64)
         ends: list[np.ndarray] = []
         starts: list[np.ndarray] = []
-        far = shared.value.farther(unit[vs]) if len(vs) else None
-        for a in range(0, len(qs) if len(vs) else 0, 256):
-            some = qs[a : a + 256]
-            i, j = np.nonzero(unit[some] @ unit[vs].T >= threshold)
-            q, v = some[i], vs[j]
-            other = node[q] != node[v]
-            q, v, j = q[other], v[other], j[other]
-            np.add.at(links, q, weight[v])
-            # the other side counts it here if it doesn't come to the query's own cell
-            alone = shared.value.needed(far, j, home[q]) > shared.value.margin
-            np.add.at(links, v[alone], weight[q[alone]])
-            if len(q):
-                roots = _roots(len(node), q, v)
-                moved = np.flatnonzero(roots != np.arange(len(node)))
-                starts.append(moved)
-                ends.append(roots[moved])
+        index = shared.value
+        goes = index.farther(unit[qs])
+        for cell in np.unique(home[vs]).tolist():
+            inside = vs[home[vs] == cell]
+            far = index.farther(unit[inside])
+            comes = np.flatnonzero(index.needed(goes, np.arange(len(qs)), np.full(len(qs), cell)) <= index.margin)
+            for a in range(0, len(comes), 256):
+                some = qs[comes[a : a + 256]]
+                i, j = np.nonzero(unit[some] @ unit[inside].T >= threshold)
+                q, v = some[i], inside[j]
+                other = node[q] != node[v]
+                q, v, j = q[other], v[other], j[other]
+                np.add.at(links, q, weight[v])
+                # the other side counts it here if it doesn't come to the query's own cell
+                alone = index.needed(far, j, home[q]) > index.margin
+                np.add.at(links, v[alone], weight[q[alone]])
+                if len(q):
+                    roots = _roots(len(node), q, v)
+                    moved = np.flatnonzero(roots != np.arange(len(node)))
+                    starts.append(moved)
+                    ends.append(roots[moved])
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         to = np.concatenate(ends) if ends else at
         roots = _roots(len(node), at, to) if len(at) else np.arange(len(node))
         some = np.flatnonzero((links > 0) | (roots != np.arange(len(node))))
         return pa.table({"node": node[some], "links": links[some], "other": node[roots[some]]})
 
-    return own.unionByName(ask).groupBy("cell", "v", "q").applyInArrow(compare, "node long, links long, other long")
+    return own.unionByName(ask).groupBy("strip", "v", "q").applyInArrow(compare, "node long, links long, other long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -209,7 +229,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: s
     cost nothing; each still counts the others as links. Rows that share an id count as one in links between different
     vectors. Other columns are not looked at.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    # floats are sent about as they are, and compared as doubles
+    number = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast(number)).alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(F.col("id").isNotNull() & fine, F.col("vector")))
     nodes = cut(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
