@@ -62,13 +62,24 @@ def _top(source: str, k: int) -> str:
 _QUOTED = """text || ' "' || coalesce(string_split(text, ' ')[3] || ' ', '') || coalesce(string_split(text, ' ')[4], '') || '"'"""
 _AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 
+#: The 50 nearest documents of each benchmark item by the cosine of hashed token and bigram vectors.
+_NEAR = f"""i AS (SELECT 'd' AS side, doc_id AS id, {_TOKENS.format("text")} AS t FROM documents UNION ALL SELECT 'q', item_id, {_TOKENS.format("text")} FROM benchmark),
+w AS (SELECT side, id, unnest(t) AS w, 1.0::DOUBLE AS x FROM i UNION ALL SELECT side, id, unnest(list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), 0.5 FROM i),
+h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, x FROM w),
+raw AS (SELECT side, id, h % 384 AS slot, sum(CASE WHEN h % 2 = 0 THEN -x ELSE x END) AS v FROM h GROUP BY ALL),
+u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM raw WHERE v <> 0),
+m AS (SELECT a.id AS query, b.id AS doc, round(sum(a.v * b.v), 6) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' GROUP BY a.id, b.id),
+near AS (SELECT * FROM m WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) <= 50)"""
+
 _CANDIDATES = f"""{_BM25},
+{_NEAR},
 nt AS (SELECT query, doc, score / max(score) OVER (PARTITION BY query) AS t FROM bm),
+hits AS (SELECT query, doc, coalesce(t, 0) AS t, coalesce(sim, 0) AS sim FROM nt FULL JOIN near USING (query, doc)),
 lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 cand AS (
-  SELECT query, doc, round(t, 6) AS text, round(t * t, 6) AS semantic, s AS source, coalesce(quality * 0.4::DOUBLE + 0.5::DOUBLE, CASE s WHEN 'local' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS trust,
+  SELECT query, doc, round(t, 6) AS text, sim AS semantic, s AS source, coalesce(quality * 0.4::DOUBLE + 0.5::DOUBLE, CASE s WHEN 'local' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END) AS trust,
     exp(-0.023::DOUBLE * (n_chars % 90)) AS freshness, CASE s WHEN 'local' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS availability
-  FROM nt JOIN (SELECT doc_id AS doc, n_chars, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'local' ELSE 'remote' END AS s FROM documents) USING (doc) LEFT JOIN lb ON lb.doc_id = doc
+  FROM hits JOIN (SELECT doc_id AS doc, n_chars, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'local' ELSE 'remote' END AS s FROM documents) USING (doc) LEFT JOIN lb ON lb.doc_id = doc
 ),
 scored AS (SELECT *, round(0.3::DOUBLE * text + 0.3::DOUBLE * semantic + 0.2::DOUBLE * trust + 0.1::DOUBLE * freshness + 0.1::DOUBLE * availability, 6) AS score FROM cand)"""
 
@@ -200,15 +211,9 @@ SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) A
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r QUALIFY rank <= 10""",
     "candidates_dedupe": f"WITH {_CANDIDATES} SELECT query, doc, source, text FROM cand",
     "merge_hits": f"""WITH {_BM25},
-i AS (SELECT 'd' AS side, doc_id AS id, {_TOKENS.format("text")} AS t FROM documents UNION ALL SELECT 'q', item_id, {_TOKENS.format("text")} FROM benchmark),
-w AS (SELECT side, id, unnest(t) AS w, 1.0::DOUBLE AS x FROM i UNION ALL SELECT side, id, unnest(list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), 0.5 FROM i),
-h AS (SELECT side, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h, x FROM w),
-s AS (SELECT side, id, h % 384 AS slot, sum(CASE WHEN h % 2 = 0 THEN -x ELSE x END) AS v FROM h GROUP BY ALL),
-u AS (SELECT side, id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM s WHERE v <> 0),
-m AS (SELECT a.id AS query, b.id AS doc, round(sum(a.v * b.v), 6) AS sim FROM u a JOIN u b USING (slot) WHERE a.side = 'q' AND b.side = 'd' GROUP BY a.id, b.id),
-n AS (SELECT * FROM m WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) <= 50),
+{_NEAR},
 k AS (SELECT query, doc, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) <= 50)
-SELECT query, doc, coalesce(score, 0) AS text, coalesce(sim, 0) AS semantic FROM k FULL JOIN n USING (query, doc)""",
+SELECT query, doc, coalesce(score, 0) AS text, coalesce(sim, 0) AS semantic FROM k FULL JOIN near USING (query, doc)""",
     "search_page": f"WITH {_CANDIDATES}, r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n_distinct FROM scored) SELECT *, n_distinct > 10 AS has_more FROM r WHERE rank > 5 AND rank <= 10",
     "default_page": f"""WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY query) AS n FROM scored)
 SELECT query, doc, rank, n > 20 AS has_more, text AS text_relevance, semantic AS semantic_similarity, round(trust, 6) AS trust_score, round(freshness, 6) AS freshness, availability FROM r WHERE rank <= 20""",

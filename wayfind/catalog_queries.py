@@ -127,10 +127,12 @@ def _hash_similarity(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    """Scored candidates of each request with source, trust, freshness and availability."""
+    """Scored candidates of each request, all keyword hits and the 50 nearest hashed vectors, with source, trust, freshness and
+    availability."""
     text = rank.normalise_by_max(_bm25_scores(spark, sf_dir).withColumnRenamed("score", "text"), "text")
-    hits = text.withColumn("semantic", F.round(F.col("text") * F.col("text"), 6)).withColumn("text", F.round("text", 6))
     d = _t(spark, sf_dir, "documents")
+    near = _hash_similarity(_t(spark, sf_dir, "benchmark").select("item_id", "text"), d.select("doc_id", "text"), 50)
+    hits = plan.merge_hits(text, near).withColumn("text", F.round("text", 6))
     labels = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     source = F.when(F.substring_index("source", "src", -1).cast("int") % 2 == 0, "local").otherwise("remote")
     age = F.timestamp_micros(F.unix_micros(_as_of()) - F.col("n_chars") % 90 * F.lit(86_400_000_000))

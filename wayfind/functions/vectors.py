@@ -48,9 +48,12 @@ def hashed_slots(docs: DataFrame, id_col: str, text: Column, dims: int = 384) ->
 
 
 def dense(slots: DataFrame, dims: int) -> DataFrame:
-    """(id, vector) from sparse slots: dims numbers for each id."""
-    maps = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
-    return maps.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+    """(id, vector) from sparse slots, at most one entry each: dims numbers for each id."""
+    lists = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    # each entry behind the zeros since the one before it, so that the work is as long as the vector
+    filled = F.flatten(F.transform("s", lambda e, i: F.concat(zeros(e["slot"] - F.when(i > 0, F.try_element_at("s", i)["slot"]).otherwise(-1) - 1), F.array(e["value"]))))
+    return lists.select("id", F.concat(filled, zeros(F.lit(dims - 1) - F.element_at("s", -1)["slot"])).alias("vector"))
 
 
 def _fnv1a(data: bytes) -> int:
