@@ -121,7 +121,7 @@ def token_hash_vectors(spark, sf_dir):
 def _hash_similarity(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query, doc, sim): the k nearest hashed vectors of (id, text) rows for each (id, text) request."""
     def vectors(rows: DataFrame) -> DataFrame:
-        return V.dense(V.hashed_slots(rows, rows.columns[0], F.col(rows.columns[1])), 384)
+        return V.hashed_vectors(rows, rows.columns[0], F.col(rows.columns[1]), 384)
 
     return similarity.cosine_hits(vectors(requests), vectors(docs), "id", "vector", "id", "vector", 384, k)
 

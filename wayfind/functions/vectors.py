@@ -32,28 +32,48 @@ def pad_or_trim(v: Column, dims: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), dims)), 1, dims)
 
 
+def _hashed_lists(docs: DataFrame, id_col: str, text: Column, dims: int) -> DataFrame:
+    """(id, s): the entries (slot, value) of each hashed unit vector by slot, at most dims of them."""
+    # an explode of one row: what follows refers to the tokens and does not make them again
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokenize_basic(text))).alias("t"))
+    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.concat_ws("_", F.element_at("t", i), F.element_at("t", i + 1)).alias("w"), F.lit(0.5).alias("x"))))
+    items = F.concat(F.transform("t", lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("x"))), F.coalesce(pairs, F.array().cast("array<struct<w:string,x:double>>")))
+    rows = tokens.select("id", F.explode(items).alias("i")).select("id", F.conv(F.substring(F.md5("i.w"), 1, 8), 16, 10).cast("long").alias("h"), "i.x")
+    slots = rows.groupBy("id", (F.col("h") % dims).cast("int").alias("slot")).agg(F.sum(F.when(F.col("h") % 2 == 0, -F.col("x")).otherwise(F.col("x"))).alias("raw")).where("raw <> 0")
+    lists = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "raw"))).alias("s"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return lists.select("id", F.transform("s", lambda e: F.struct(e["slot"].alias("slot"), (e["raw"] / F.col("norm")).alias("value"))).alias("s"))
+
+
 def hashed_slots(docs: DataFrame, id_col: str, text: Column, dims: int = 384) -> DataFrame:
     """(id, slot, value): unit vectors of hashed tokens and bigrams, sparse.
 
     A token adds 1 and a bigram of neighbours 0.5 to slot hash % dims, negative if the hash is even; the hash is the first 32
     bits of MD5. Vectors whose entries cancel to zero have no rows.
     """
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize_basic(text).alias("t"))
-    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.concat_ws("_", F.element_at("t", i), F.element_at("t", i + 1)).alias("w"), F.lit(0.5).alias("x"))))
-    items = F.concat(F.transform("t", lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("x"))), F.coalesce(pairs, F.array().cast("array<struct<w:string,x:double>>")))
-    rows = tokens.select("id", F.explode(items).alias("i")).select("id", F.conv(F.substring(F.md5("i.w"), 1, 8), 16, 10).cast("long").alias("h"), "i.x")
-    slots = rows.groupBy("id", (F.col("h") % dims).cast("int").alias("slot")).agg(F.sum(F.when(F.col("h") % 2 == 0, -F.col("x")).otherwise(F.col("x"))).alias("raw")).where("raw <> 0")
-    norms = slots.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return slots.join(norms, "id").select("id", "slot", (F.col("raw") / F.col("norm")).alias("value"))
+    return _hashed_lists(docs, id_col, text, dims).select("id", F.explode("s").alias("e")).select("id", "e.slot", "e.value")
+
+
+def _filled(s: str, dims: int) -> Column:
+    """dims numbers from entries (slot, value) sorted by slot: each entry behind the zeros since the one before it.
+
+    Users explode it as an array of one, so that a filter on the vector does not make it, entry by entry, again.
+    """
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+    before = lambda i: F.when(i > 0, F.try_element_at(s, i)["slot"]).otherwise(-1)
+    return F.concat(F.flatten(F.transform(s, lambda e, i: F.concat(zeros(e["slot"] - before(i) - 1), F.array(e["value"])))), zeros(F.lit(dims - 1) - F.element_at(s, -1)["slot"]))
 
 
 def dense(slots: DataFrame, dims: int) -> DataFrame:
     """(id, vector) from sparse slots, at most one entry each: dims numbers for each id."""
     lists = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    # each entry behind the zeros since the one before it, so that the work is as long as the vector
-    filled = F.flatten(F.transform("s", lambda e, i: F.concat(zeros(e["slot"] - F.when(i > 0, F.try_element_at("s", i)["slot"]).otherwise(-1) - 1), F.array(e["value"]))))
-    return lists.select("id", F.concat(filled, zeros(F.lit(dims - 1) - F.element_at("s", -1)["slot"])).alias("vector"))
+    return lists.select("id", F.explode(F.array(_filled("s", dims))).alias("vector"))
+
+
+def hashed_vectors(docs: DataFrame, id_col: str, text: Column, dims: int = 384) -> DataFrame:
+    """(id, vector): the vectors of hashed_slots in dense form; those that cancel to zero have no row."""
+    return _hashed_lists(docs, id_col, text, dims).select("id", F.explode(F.array(_filled("s", dims))).alias("vector"))
 
 
 def _fnv1a(data: bytes) -> int:

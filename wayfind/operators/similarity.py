@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.operators.sizes import in_turn
+from wayfind.operators.sizes import cut, in_turn
 
 #: Query vectors go out in blocks of so many; a block is what a task holds.
 QUERY_BLOCK = 4096
@@ -27,7 +27,7 @@ def cosine_hits(queries: DataFrame, vectors: DataFrame, query_id: str, query_vec
     vectors are read once, and each batch is multiplied with one block after the other. With k, each batch hands on its k best
     per query only, ties by id.
     """
-    ids = queries.where(F.size(query_vector) == dims).select(F.col(query_id).cast("long").alias("i"), F.transform(query_vector, lambda x: x.cast("double")).alias("v"))
+    ids = cut(queries.where(F.size(query_vector) == dims).select(F.col(query_id).cast("long").alias("i"), F.transform(query_vector, lambda x: x.cast("double")).alias("v")))
     usable = vectors.where(F.size(vector) == dims).select(F.col(id_col).cast("long").alias("doc"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     blocks = max(1, -(-ids.count() // QUERY_BLOCK))
     shared = []
