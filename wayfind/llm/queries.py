@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, minhash, mixing, sharding, token_counts, vector_dedup
+from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, merkle, minhash, mixing, sharding, token_counts, vector_dedup
 from wayfind.llm.support import table
 
 
@@ -44,6 +43,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return token_counts.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
@@ -51,6 +52,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_table(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -62,6 +67,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
+    "op12_merkle": op12_merkle,
 }
 
 # One chain of jumps per document, kept up to 41 shards.
@@ -76,6 +82,15 @@ WITH RECURSIVE jumps AS (
 )
 """
 
+# Whether the CRC-32 of a number's digits is even, and its value, for every number in `ids`.
+_CRC = """, tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), crc AS (
+  SELECT id, xor(list_reduce(list_transform(string_split(id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM ids, tab
+)
+"""
+
 ORACLES = {
     "op2_sharding": _JUMPS
     + """, tab AS (
@@ -176,5 +191,54 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, n_copies, copy,
   ('0x' || substr(md5('mix-1/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM copies
+""",
+    "op12_merkle": """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL
+)"""
+    + _CRC
+    + """, fields AS (
+  SELECT doc_id, source, text, concat(
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+    CASE WHEN coalesce(crc % 2 = 0, false) THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM documents LEFT JOIN crc ON doc_id = id
+), hashed AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN other IS NULL THEN '-' ELSE strlen(other) || ':' || other END) AS tampered FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed
+), lower AS (
+  SELECT source, 0 AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM lower WHERE n > 1 GROUP BY source, level, pos // 3
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, pos // 3
+), steps AS (
+  SELECT doc_id, leaf, l.source, u.level, u.pos < l.pos // (3 ** u.level)::BIGINT AS before, u.pos, u.h
+  FROM leaves l JOIN lower u ON l.source IS NOT DISTINCT FROM u.source AND u.n > 1 AND u.pos // 3 = l.pos // (3 ** (u.level + 1))::BIGINT AND u.pos <> l.pos // (3 ** u.level)::BIGINT
+  UNION ALL
+  SELECT doc_id, leaf, l.source, 1000 + u.level, u.pos < s.pos // (3 ** u.level)::BIGINT, u.pos, u.h
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN upper u ON u.n > 1 AND u.pos // 3 = s.pos // (3 ** (u.level + 1))::BIGINT AND u.pos <> s.pos // (3 ** u.level)::BIGINT
+), levels AS (
+  SELECT source, level FROM lower WHERE n > 1 GROUP BY ALL UNION ALL SELECT s.source, 1000 + level FROM subroots s, (SELECT DISTINCT level FROM upper WHERE n > 1)
+), sides AS (
+  SELECT doc_id, leaf, source, level, coalesce(string_agg(h, '' ORDER BY pos) FILTER (before), '') AS b, coalesce(string_agg(h, '' ORDER BY pos) FILTER (NOT before), '') AS a FROM steps GROUP BY doc_id, leaf, source, level
+), paths AS (
+  SELECT l.doc_id, l.leaf, l.source, l.tampered, coalesce(list({'b': coalesce(b, ''), 'a': coalesce(a, '')} ORDER BY v.level) FILTER (v.level IS NOT NULL), []) AS path
+  FROM leaves l LEFT JOIN levels v ON l.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN sides s ON l.doc_id IS NOT DISTINCT FROM s.doc_id AND l.leaf = s.leaf AND l.source IS NOT DISTINCT FROM s.source AND v.level = s.level GROUP BY ALL
+), folded AS (
+  SELECT doc_id, leaf, source, path, 0 AS k, tampered AS h FROM paths
+  UNION ALL
+  SELECT doc_id, leaf, source, path, k + 1, sha256(path[k + 1].b || h || path[k + 1].a) FROM folded WHERE k < len(path)
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(array_to_string(list_transform(path, lambda x: x.b || x.a), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM folded f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE k = len(path)
 """,
 }
