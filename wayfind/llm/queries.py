@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, merkle, minhash, mixing, sharding, token_counts, vector_dedup
+from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, merkle, minhash, mixing, prefix_trie, sharding, token_counts, vector_dedup
 from wayfind.llm.support import table
 
 
@@ -52,6 +52,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_table(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_table(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_table(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle": op12_merkle,
 }
 
@@ -191,6 +196,32 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, n_copies, copy,
   ('0x' || substr(md5('mix-1/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM copies
+""",
+    "op11_prefix_trie": """
+WITH ids AS (
+  SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL
+)"""
+    + _CRC
+    + """, own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, substr(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS x
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id AS c, list_concat(coalesce(b.x, [])[1:(crc % 6)::INT], o.x[(crc % 6)::INT + 1:]) AS x
+  FROM own o JOIN crc ON o.conv_id = id LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+  SELECT c, d, x[1:d] AS p, len(x) = d AS ends FROM (SELECT c, x, unnest(range(len(x) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].t) ELSE 0 END AS saved FROM prefixes GROUP BY p, d
+), kids AS (
+  SELECT n.p, count(k.d) AS n_children, any_value(n.conv_id) AS conv_id, any_value(n.n) AS n_convs, any_value(n.d) AS depth, any_value(n.ends) AS ends_sha256, any_value(n.saved) AS saved
+  FROM nodes n LEFT JOIN nodes k ON k.d = n.d + 1 AND k.p[1:k.d - 1] = n.p GROUP BY n.p
+)
+SELECT a.conv_id, a.depth, (SELECT u.conv_id FROM nodes u WHERE u.d = a.depth - 1 AND u.p = a.p[1:a.depth - 1]) AS parent_conv_id, a.n_convs, a.n_children,
+  count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens, a.ends_sha256
+FROM kids a JOIN kids b ON b.depth >= a.depth AND b.p[1:a.depth] = a.p
+GROUP BY a.p, a.conv_id, a.depth, a.n_convs, a.n_children, a.ends_sha256
 """,
     "op12_merkle": """
 WITH RECURSIVE ids AS (
