@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, merkle, minhash, mixing, prefix_trie, sharding, token_counts, vector_dedup
+from wayfind.llm import decontamination, html_text, language, language_model, line_dedup, merkle, minhash, mixing, packing, prefix_trie, sharding, token_counts, vector_dedup
 from wayfind.llm.support import table
 
 
@@ -60,6 +60,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_table(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packing_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -73,6 +79,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
 
 # One chain of jumps per document, kept up to 41 shards.
