@@ -213,7 +213,7 @@ def _round(docs: DataFrame, gaps: DataFrame, slots: int, least: int, rows: int)
     swept = cut(dealt.mapInArrow(_sweep, schema))
     found, free = swept.where("rank < 0"), swept.where("rank >= 0")
     # a row for each range comes to the driver, and a few for each go back
-    spans = _between([tuple(x) for x in free.groupBy("part").agg(F.count_if("kind = 0"), F.count_if("kind = 1")).collect()])
+    spans = _between([tuple(x) for x in free.groupBy("part").agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)).collect()])
     if spans:
         listed = F.broadcast(spark.createDataFrame(spans, "kind int, part long, low long, high long, number long"))
         paired = free.join(listed, ["kind", "part"]).where("rank >= low and rank < high").withColumn("pair", F.col("number") + F.col("rank") - F.col("low"))
