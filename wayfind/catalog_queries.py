@@ -14,6 +14,7 @@ from wayfind.functions import identity, naming
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
 from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, similarity, trust, validate
+from wayfind.operators.blocks import bm25_fielded_top, bm25_top
 from wayfind.operators.bm25 import bm25, bm25_fielded, phrase_hits, top_k, with_phrases
 from wayfind.plans import search as plan
 
@@ -54,8 +55,8 @@ def _bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    """BM25 top 10 of each benchmark item."""
-    return top_k(_bm25_scores(spark, sf_dir), 10)
+    """BM25 top 10 of each benchmark item, by bounds over blocks of postings."""
+    return bm25_top(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), 10, "item_id", F.col("text"), "doc_id", F.col("text"))
 
 
 def _fields() -> dict[str, Column]:
@@ -70,7 +71,7 @@ def _quoted(b: DataFrame) -> DataFrame:
 
 def bm25_fielded_topk(spark, sf_dir):
     """Fielded BM25 with the advanced tokenizer, top 10."""
-    return top_k(bm25_fielded(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", F.col("text"), "doc_id", _fields()), 10)
+    return bm25_fielded_top(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), 10, "item_id", F.col("text"), "doc_id", _fields())
 
 
 def phrase_bonus(spark, sf_dir):
@@ -160,9 +161,9 @@ def candidates_dedupe(spark, sf_dir):
 
 def merge_hits(spark, sf_dir):
     """The 50 best keyword hits and the 50 best hashed-vector hits of each request side by side."""
-    text = top_k(_bm25_scores(spark, sf_dir), 50).withColumnRenamed("score", "text")
-    sem = _hash_similarity(_t(spark, sf_dir, "benchmark").select("item_id", "text"), _t(spark, sf_dir, "documents").select("doc_id", "text"), 50)
-    return plan.merge_hits(text, sem)
+    b, d = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    text = bm25_top(b, d, 50, "item_id", F.col("text"), "doc_id", F.col("text")).withColumnRenamed("score", "text")
+    return plan.merge_hits(text, _hash_similarity(b.select("item_id", "text"), d.select("doc_id", "text"), 50))
 
 
 def search_page(spark, sf_dir):
