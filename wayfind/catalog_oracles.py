@@ -197,6 +197,7 @@ bs AS (SELECT query, doc, coalesce(score, 0) + coalesce(bonus, 0) AS score FROM
     "corpus_statistics": f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term",
     "index_update": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fresh-token ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 1),
 t AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""",
+    "stored_index_topk": "WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fresh-token ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 1), " + _BM25.replace("FROM documents", "FROM changed") + _top("bm", 10),
     "cosine_topk": """SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
 FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0 QUALIFY rank <= 10""",

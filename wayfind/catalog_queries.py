@@ -13,9 +13,10 @@ from wayfind.catalog_oracles import ORACLES
 from wayfind.functions import identity, naming
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
-from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, similarity, trust, validate
+from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, segments, similarity, trust, validate
 from wayfind.operators.blocks import bm25_fielded_top, bm25_top
 from wayfind.operators.bm25 import bm25, bm25_fielded, phrase_hits, top_k, with_phrases
+from wayfind.operators.sizes import new_folder
 from wayfind.plans import search as plan
 
 AS_OF = "2024-02-01 00:00:00"
@@ -90,13 +91,26 @@ def corpus_statistics(spark, sf_dir):
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def index_update(spark, sf_dir):
-    """The index after a third of the documents was replaced by other texts and a fifth was removed."""
+def _updated_index(spark, sf_dir) -> segments.Index:
+    """A stored index of all documents, after a third of them was replaced by other texts and a fifth was removed."""
     d = _t(spark, sf_dir, "documents")
-    base = index.postings(index.token_rows(d, "doc_id", F.col("text")))
+    stored = segments.Index(spark, new_folder(spark, "index"), "doc_id", {"text": F.col("text")})
+    stored.create(d)
     changed = d.where("doc_id % 3 = 0").withColumn("text", F.concat_ws(" ", F.lit("fresh-token"), "lang", "source"))
-    out = index.apply_changes(base, changed, d.where("doc_id % 5 = 1").select("doc_id"), "doc_id", F.col("text"))
-    return out.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stored.update(changed, d.where("doc_id % 5 = 1").select("doc_id"))
+    return stored
+
+
+def index_update(spark, sf_dir):
+    """The terms of a stored index after changes, from its segments and deletions."""
+    return _updated_index(spark, sf_dir).terms()
+
+
+def stored_index_topk(spark, sf_dir):
+    """BM25 top 10 from a stored index, changed and with its segments merged."""
+    stored = _updated_index(spark, sf_dir)
+    stored.merge(most=1)
+    return stored.top(_t(spark, sf_dir, "benchmark"), 10, "item_id", F.col("text"))
 
 
 def cosine_topk(spark, sf_dir):
@@ -646,7 +660,7 @@ def entity_ids(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_fielded_topk, phrase_bonus, corpus_statistics, index_update, cosine_topk, cosine_by_label, token_hash_vectors, hybrid_weighted, hybrid_rrf, candidates_dedupe, merge_hits,
+    bm25_topk, bm25_fielded_topk, phrase_bonus, corpus_statistics, index_update, stored_index_topk, cosine_topk, cosine_by_label, token_hash_vectors, hybrid_weighted, hybrid_rrf, candidates_dedupe, merge_hits,
     search_page, default_page, search_plan, search_plan_fielded, vector_functions, query_hashes, handle_filter, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
     validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, name_availability, name_conflicts,
     developer_entities, names_by_host, latest_version, version_history, announce_dedupe, announce_forward, announce_route, announce_authorize, entity_state, expire_tombstones, developer_state,

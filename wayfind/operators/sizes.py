@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table joined by broadcast on our word has at most so many rows of a few short values.
 SMALL_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as written to the folder in spark.checkpoint.dir, or in the warehouse where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one in the warehouse where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
