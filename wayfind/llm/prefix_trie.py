@@ -333,10 +333,10 @@ def trie(sequences: DataFrame) -> DataFrame:
     # the smallest member of a parent on an outer path is known only now
     known = keyed.where("depth > 0").select(F.col("key").alias("parent_key"), F.col("conv_id").alias("parent_conv_id"))
     known = F.broadcast(known) if known.count() <= SMALL_ROWS else known
-    root = keyed.where("depth = 0").select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("parent_conv_id"))
+    root = keyed.where("depth = 0").first()
     columns = [F.col(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")]
     inner = nodes.where("parent_key is null").select(*columns)
-    high = nodes.where("depth = 1").drop("parent_conv_id").join(F.broadcast(root), "depth").select(*columns)
+    high = nodes.where("depth = 1").withColumn("parent_conv_id", F.lit(root["conv_id"] if root else None).cast("long")).select(*columns)
     deep = nodes.where("depth > 1 and parent_key is not null").drop("parent_conv_id").join(known, "parent_key").select(*columns)
     return inner.unionByName(high).unionByName(deep)
 
