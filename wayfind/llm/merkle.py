@@ -114,7 +114,8 @@ def prove(leaves: DataFrame) -> DataFrame:
     trees bytewise with null first. tampered only travels along. A tree of one leaf has that leaf as its root, and one tree its
     subroot. No rows in, none out.
     """
-    nodes = ranked(leaves.select("tree", "key", "leaf", "tampered"), "tree", "key", "leaf")
+    # ranges are sampled first, which would make every leaf twice
+    nodes = ranked(cut(leaves.select("tree", "key", "leaf", "tampered")), "tree", "key", "leaf")
     nodes = nodes.select("tree", "rank", "size", F.col("leaf").alias("hash"), F.struct("key", "leaf", "tampered").alias("item"))
     most = nodes.agg(F.max("size")).first()[0]
     lower = _tiers(nodes, most or 0)
