@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from wayfind.operators import liveness, replication
+from wayfind.operators import liveness
 from wayfind.sources import catalog, schemas, streams
 from wayfind.streaming import liveness as sl
 from wayfind.streaming import replication as sr
@@ -44,27 +44,6 @@ def envelope(seq, entity, action, key, minute, status=None, name=None):
     return json.dumps({"type": "gossip_announce", "payload": json.dumps(payload)})
 
 
-def test_stream_fold_is_the_batch_fold(spark, tmp_path):
-    batches = [
-        [envelope(1, "a", "register", "K", 1, name="one"), envelope(2, "b", "register", "L", 2, name="bee")],
-        [envelope(3, "a", "update", "X", 3, name="stolen"), envelope(4, "a", "update", "K", 4, name="two"), "garbage"],
-        [envelope(5, "b", "deregister", "L", 5), envelope(6, "a", "agent_status", "K", 6, status="inactive")],
-        [envelope(7, "b", "register", "Z", 7, name="back")],
-    ]
-    source = tmp_path / "in"
-    source.mkdir()
-    state, activity, check = (str(tmp_path / x) for x in ("state", "activity", "check"))
-    for i, lines in enumerate(batches):
-        (source / f"{i}.json").write_text("\n".join(lines))
-        sr.start_fold(streams.announcements(spark, str(source), 1), state, activity, check).awaitTermination()
-    got = {r["entity_id"]: (r["name"], r["pin"], r["status"], r["tombstoned"]) for r in catalog.read_snapshot(spark, state, len(batches)).collect()}
-    assert got == {"a": ("two", "K", "inactive", False), "b": ("back", "L", "active", False)}
-    rows = streams.decode_envelopes(spark.read.text(str(source)), "gossip_announce", "announcements")
-    whole = {r["entity_id"]: (r["name"], r["pin"], r["status"], r["tombstoned"]) for r in replication.entity_state(replication.authorize(rows), ["name"]).collect()}
-    assert whole == got
-    assert spark.read.parquet(activity).count() == 6
-
-
 def test_dedupe_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -325,3 +325,7 @@ t AS (SELECT item_id, unnest(list_concat(list_transform(k, lambda t: {_STEM}), f
 SELECT item_id, token, count(*) AS n FROM t GROUP BY ALL""",
     "entity_ids": """SELECT s_suppkey, 'zns:' || substr(sha256(s_name), 1, 32) AS agent_id, 'zns:dev:' || substr(sha256(s_name), 1, 32) AS developer_id, sha256('{"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || '}') AS fingerprint FROM supplier""",
 }
+
+#: Streams give what their batch twins give.
+ORACLES |= {f"stream_{a}": ORACLES[b] for a, b in (("entities", "entity_state"), ("developers", "developer_state"), ("names", "name_state"), ("proofs", "proof_state"), ("tiers", "verification_tiers"), ("dedupe", "announce_dedupe"), ("became_active", "became_active"))}
+ORACLES["stream_activity"] = f"WITH {_EVENTS} SELECT 'agent_announce_' || action AS type, count(*) AS n FROM au WHERE accepted GROUP BY ALL"

@@ -18,6 +18,8 @@ from wayfind.operators.blocks import bm25_fielded_top, bm25_top
 from wayfind.operators.bm25 import bm25, bm25_fielded, phrase_hits, top_k, with_phrases
 from wayfind.operators.sizes import new_folder
 from wayfind.plans import search as plan
+from wayfind.sources import streams
+from wayfind.streaming import folded, state
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -490,36 +492,135 @@ def entity_state(spark, sf_dir):
     return s.select("entity_id", "name", "category", "pin", "status", F.unix_micros("received_at").alias("received_us"), "tombstoned", F.unix_micros("tombstone_at").alias("tombstone_us"))
 
 
+def _in_turn(rows: DataFrame, folder: str, run, by: Column, parts: int = 3) -> None:
+    """Writes rows as envelopes in the order of a number, a part at a time, and has the stream read each part: every part is a restart."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.lit(parts - 1), F.floor((by - low) * parts / max(1, (high or 0) - (low or 0))))
+    for p in range(parts):
+        streams.encode_envelopes(rows.where(part == p), "gossip_announce").write.mode("append").text(f"{folder}/in")
+        run().awaitTermination()
+
+
+def _folded(spark, rows: DataFrame, *names: str) -> folded.State:
+    """The tables that a stream of announcements leaves."""
+    folder = new_folder(spark, "stream")
+    _in_turn(rows, folder, lambda: folded.start(streams.announcements(spark, f"{folder}/in"), f"{folder}/state", f"{folder}/check", f"{folder}/activity", signed=False, names=list(names)), F.col("seq"))
+    return folded.State(spark, f"{folder}/state")
+
+
+def stream_entities(spark, sf_dir):
+    """entity_state from a stream that was stopped and started between its parts."""
+    rows = _announcements(spark, sf_dir).withColumns({"entity_id": F.col("entity_id").cast("string"), "timestamp": F.col("arrived_at")})
+    s = _folded(spark, rows, "remote_entities").read("remote_entities")
+    return s.select(F.col("entity_id").cast("long").alias("entity_id"), "name", "category", "pin", "status", F.unix_micros("received_at").alias("received_us"), "tombstoned", F.unix_micros("tombstone_at").alias("tombstone_us"))
+
+
+def stream_developers(spark, sf_dir):
+    """developer_state from a stream."""
+    rows = _developer_rows(spark, sf_dir).withColumns({"developer_id": F.col("developer_id").cast("string"), "arrived_at": _as_of()})
+    return _folded(spark, rows, "remote_developers").read("remote_developers").withColumn("developer_id", F.col("developer_id").cast("long"))
+
+
+def stream_names(spark, sf_dir):
+    """name_state from a stream."""
+    rows = _binding_rows(spark, sf_dir).withColumns({"entity_id": F.col("entity_id").cast("string"), "type": F.lit("name_binding"), "arrived_at": _as_of()})
+    return _folded(spark, rows, "remote_names").read("remote_names").select("fqan", F.col("entity_id").cast("long").alias("entity_id"), "version", "tombstoned")
+
+
+def stream_proofs(spark, sf_dir):
+    """proof_state from a stream."""
+    p = _proof_rows(spark, sf_dir)
+    rows = p.select("seq", F.lit("registry_proof").alias("type"), F.lit("announce").alias("action"), F.col("registry_id").cast("string").alias("registry_id"), "domain", F.col("proof").cast("string").alias("proof_json"), _as_of().alias("arrived_at"))
+    out = _folded(spark, rows, "registry_proofs").read("registry_proofs")
+    return out.select(F.col("registry_id").cast("int").alias("registry_id"), "domain", F.col("proof_json").cast("long").alias("proof"))
+
+
+def stream_tiers(spark, sf_dir):
+    """Verification tiers from a stream of attestations."""
+    o = _t(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("seq"), F.lit("peer_attestation").alias("type"), F.lit("attest").alias("action"), F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_orderpriority").alias("attester_id"), _as_of().alias("arrived_at"))
+    return trust.verification_tiers(_folded(spark, rows, "peer_attestations").read("peer_attestations").select(F.col("subject_id").cast("long").alias("subject_id"), "attester_id"))
+
+
+def stream_activity(spark, sf_dir):
+    """How many announcements of each kind the activity feed of a stream has got."""
+    rows = _announcements(spark, sf_dir).withColumn("entity_id", F.col("entity_id").cast("string"))
+    folder = new_folder(spark, "stream")
+    _in_turn(rows, folder, lambda: folded.start(streams.announcements(spark, f"{folder}/in"), f"{folder}/state", f"{folder}/check", f"{folder}/activity", signed=False, names=["remote_entities"]), F.col("seq"))
+    return spark.read.parquet(f"{folder}/activity").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_dedupe(spark, sf_dir):
+    """announce_dedupe as a stateful stream."""
+    rows = _announcements(spark, sf_dir).withColumn("entity_id", F.col("entity_id").cast("string"))
+    folder = new_folder(spark, "stream")
+
+    def run():
+        kept = state.dedupe(streams.announcements(spark, f"{folder}/in"), 3600, F.concat_ws("|", "entity_id", "action"))
+        return state.start(kept, state.to_folder(f"{folder}/out"), f"{folder}/check")
+
+    _in_turn(rows, folder, run, F.unix_micros("arrived_at"))
+    return spark.read.parquet(f"{folder}/out").select("seq", F.col("entity_id").cast("long").alias("entity_id"), "action")
+
+
+def stream_became_active(spark, sf_dir):
+    """became_active as a stateful stream of heartbeats, whose timers also tell who has fallen silent."""
+    rows = _beats(spark, sf_dir).select(F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("signature"))
+    folder = new_folder(spark, "stream")
+
+    def run():
+        moves = state.transitions(streams.heartbeats(spark, f"{folder}/in"), "entity_id", "timestamp", "signature", 3600)
+        return state.start(moves, state.to_folder(f"{folder}/out"), f"{folder}/check")
+
+    low, high = rows.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    for p in range(3):
+        span = F.least(F.lit(2), F.floor((F.unix_micros("timestamp") - low) * 3 / max(1, (high or 0) - (low or 0))))
+        rows.where(span == p).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/in")
+        run().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out").where("event = 'became_active'")
+    return out.select(F.col("beat").alias("event_id"), F.col("entity").cast("long").alias("user_id"))
+
+
 def expire_tombstones(spark, sf_dir):
-    """Entities that are still held a week after their tombstone."""
+    """Entities that are still held, those without a tombstone or with one that is at most a day old."""
     s = replication.entity_state(replication.authorize(_announcements(spark, sf_dir)), ["name"])
     return retention.expire_tombstones(s, _as_of(), seconds=86_400).select("entity_id", "tombstoned")
 
 
-def developer_state(spark, sf_dir):
-    """Remote developers with their handles, folded from the stream."""
+def _developer_rows(spark, sf_dir) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     e = _t(spark, sf_dir, "events")
     d = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("developer_id"), F.when(k % 2 == 0, "developer_announce").otherwise("dev_handle").alias("type"), F.when(k % 2 == 0, F.when(k % 10 == 0, "deregister").otherwise("register")).otherwise(F.when(k % 9 == 0, "release").when(k % 3 == 0, "verify").otherwise("claim")).alias("action"), F.concat(F.lit("n"), k).alias("name"), F.concat(F.lit("k"), k % 3).alias("public_key"), F.concat(F.lit("h"), k % 7).alias("dev_handle"))
-    return replication.developer_state(d)
+    return d
+
+
+def developer_state(spark, sf_dir):
+    """Remote developers with their handles, folded from the stream."""
+    return replication.developer_state(_developer_rows(spark, sf_dir))
+
+
+def _binding_rows(spark, sf_dir) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("h/d/"), F.col("user_id")).alias("fqan"), F.when(k % 6 == 0, "release").otherwise("bind").alias("action"), F.col("user_id").alias("entity_id"), F.concat(F.lit("1."), k).alias("version"))
 
 
 def name_state(spark, sf_dir):
     """Bindings, proofs and attestations: the last row of each key, releases tombstone."""
+    return replication.name_state(_binding_rows(spark, sf_dir), ["entity_id", "version"])
+
+
+def _proof_rows(spark, sf_dir) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    b = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("h/d/"), F.col("user_id")).alias("fqan"), F.when(k % 6 == 0, "release").otherwise("bind").alias("action"), F.col("user_id").alias("entity_id"), F.concat(F.lit("1."), k).alias("version"))
-    return replication.name_state(b, ["entity_id", "version"])
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), k.alias("registry_id"), F.col("event_type").alias("domain"), F.col("user_id").alias("proof"))
 
 
 def proof_state(spark, sf_dir):
     """The last proof of each registry, all columns together."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    p = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), k.alias("registry_id"), F.col("event_type").alias("domain"), F.col("user_id").alias("proof"))
-    return replication.latest_rows(p, ["registry_id"], ["domain", "proof"])
+    return replication.latest_rows(_proof_rows(spark, sf_dir), ["registry_id"], ["domain", "proof"])
 
 
 def record_expiry(spark, sf_dir):
-    """Users whose last event is at most a day old."""
+    """Users whose last event is at most four hours old."""
     last = liveness.heartbeat_fold(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
     return retention.expire_records(last, as_of, "last_heartbeat", 14_400).select("user_id")
@@ -664,6 +765,6 @@ QUERIES = {f.__name__: f for f in (
     search_page, default_page, search_plan, search_plan_fielded, vector_functions, query_hashes, handle_filter, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
     validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, name_availability, name_conflicts,
     developer_entities, names_by_host, latest_version, version_history, announce_dedupe, announce_forward, announce_route, announce_authorize, entity_state, expire_tombstones, developer_state,
-    name_state, proof_state, record_expiry, heartbeats_in_skew, liveness_sweep, active_sessions, became_active, over_limit, activity_hourly, latency_summary, reputation, entity_trust,
+    name_state, proof_state, stream_entities, stream_developers, stream_names, stream_proofs, stream_tiers, stream_activity, stream_dedupe, stream_became_active, record_expiry, heartbeats_in_skew, liveness_sweep, active_sessions, became_active, over_limit, activity_hourly, latency_summary, reputation, entity_trust,
     verification_tiers, registry_tokens, bloom_filters, bloom_match, registry_routing, federated_topk, advanced_tokens, entity_ids,
 )}

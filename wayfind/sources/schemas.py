@@ -20,7 +20,7 @@ DDL = {
     "registry_proofs": "registry_id string, domain string, ed25519_public_key string, tls_spki_fingerprint string, proof_json string, proof_signature string, verification_tier string, issued_at timestamp, expires_at timestamp, received_at timestamp",
     "peer_attestations": "attester_id string, subject_id string, verified_layers array<string>, attested_at timestamp, signature string",
     "cards": "entity_id string, schema_version string, version string, status string, last_heartbeat timestamp, capabilities array<struct<name: string, description: string, input_schema: string, output_schema: string, protocols: array<string>, languages: array<string>, latency_p95_ms: int, examples: array<struct<input: string, output: string>>>>, pricing struct<model: string, currency: string, rates: map<string, double>, payment_methods: array<string>>, trust struct<total_invocations: bigint, success_rate: double, avg_rating: double, uptime_30d: double, verifications: array<struct<issuer: string, type: string, issued: string>>>, endpoints struct<invoke: string, health: string, websocket: string>, metadata struct<framework: string, model: string, owner_contact: string, documentation: string, source_code: string>, signature string, signed_at timestamp",
-    "announcements": "seq bigint, type string, action string, entity_id string, developer_id string, fqan string, domain string, attester_id string, subject_id string, name string, category string, tags array<string>, summary string, home_registry string, entity_url string, status string, timestamp timestamp, arrived_at timestamp, origin_public_key string, public_key string, signature string, hop_count int, max_hops int, verified_layers array<string>, dev_handle string, entity_name string, registry_host string, version string, capability_tags array<string>",
+    "announcements": "seq bigint, type string, action string, entity_id string, developer_id string, fqan string, domain string, attester_id string, subject_id string, name string, category string, tags array<string>, summary string, home_registry string, entity_url string, status string, timestamp timestamp, arrived_at timestamp, origin_public_key string, public_key string, signature string, hop_count int, max_hops int, verified_layers array<string>, dev_handle string, entity_name string, registry_host string, version string, capability_tags array<string>, registry_id string, proof_json string",
     "heartbeats": "entity_id string, timestamp timestamp, arrived_at timestamp, signature string",
     "activity_events": "type string, timestamp timestamp, payload string",
     "search_requests": "query_id bigint, query string, category string, tags array<string>, skills array<string>, protocols array<string>, languages array<string>, models array<string>, min_trust_score double, status string, developer_id string, developer_handle string, fqan string, entity_type string, max_results int, offset int, federated boolean, enrich boolean",

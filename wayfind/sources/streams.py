@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from wayfind.sources.schemas import schema
 
 
+def encode_envelopes(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows as {type, payload} messages in one column; times keep their microseconds, columns without a value are left out."""
+    payload = F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload"))).alias("value"))
+
+
 def decode_envelopes(raw: DataFrame, kind: str, table: str, value: str = "value") -> DataFrame:
     """The payloads of {type, payload} messages of one type, by the table's schema; others and unreadable ones go."""
     message = F.from_json(F.col(value).cast("string"), "type string, payload string", {"mode": "PERMISSIVE"})

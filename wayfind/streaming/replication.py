@@ -1,17 +1,12 @@
-"""The announcement stream: dedupe, authorise, fold into snapshots, activity feed."""
+"""The announcement stream: drops within the watermark, and what is passed on. Dedupe by kept rows is in state, tables in folded."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from wayfind.operators import replication as R
 from wayfind.operators.filters import signed_only, within_hops
-from wayfind.sources.catalog import read_snapshot, write_snapshot
-from wayfind.sources.streams import write_activity
-
-CONTENT = ["name", "category", "tags", "summary", "home_registry", "entity_url"]
 
 
 def dedupe_stream(stream: DataFrame, ts: str = "arrived_at", seconds: int = 300, key: Column | None = None) -> DataFrame:
@@ -20,46 +15,6 @@ def dedupe_stream(stream: DataFrame, ts: str = "arrived_at", seconds: int = 300,
     return keyed.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark(["dedupe_key"]).drop("dedupe_key")
 
 
-def fold_batch(batch: DataFrame, snapshot: DataFrame | None, columns: list[str] = CONTENT) -> tuple[DataFrame, DataFrame]:
-    """(entity state after the batch, its rows with their verdicts). Rows are folded onto the snapshot's state."""
-    rows = signed_only(batch.where(F.col("type") == "agent_announce"))
-    pins = None if snapshot is None else snapshot.select("entity_id", "pin")
-    verdicts = R.authorize(rows, snapshot=pins)
-    fresh = R.entity_state(verdicts, columns)
-    if snapshot is None:
-        return fresh, verdicts
-    old = snapshot.select("entity_id", *[F.col(c).alias(f"__{c}") for c in snapshot.columns if c != "entity_id"])
-    both = fresh.join(old, "entity_id", "full")
-    new_content = F.col("received_at").isNotNull()
-    dead = F.col("tombstoned")
-    merged = {c: F.when(new_content, F.col(c)).otherwise(F.col(f"__{c}")) for c in [*columns, "received_at"]}
-    merged |= {
-        "pin": F.coalesce("__pin", "pin"),
-        "status": F.coalesce("status", "__status"),
-        "tombstone_at": F.when(dead, F.col("tombstone_at")).when(~new_content, F.col("__tombstone_at")),
-        "tombstoned": F.when(dead, True).when(new_content, False).otherwise(F.coalesce("__tombstoned", F.lit(False))),
-    }
-    return both.select("entity_id", *[merged[c].alias(c) for c in snapshot.columns if c != "entity_id"]), verdicts
-
-
-def start_fold(stream: DataFrame, path: str, activity: str, checkpoint: str, columns: list[str] = CONTENT, available_now: bool = True) -> StreamingQuery:
-    """Folds each micro-batch onto snapshot N and writes N + 1, with an activity row for each accepted announcement.
-
-    The batch id names both outputs, so a batch that is run again writes the same folders.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        snapshot = read_snapshot(spark, path, batch_id) if batch_id else None
-        state, verdicts = fold_batch(batch, snapshot, columns)
-        write_snapshot(state, path, batch_id + 1)
-        events = verdicts.where("accepted").select(F.concat(F.lit("announcement_"), "action").alias("type"), F.col("arrived_at").alias("timestamp"), F.to_json(F.struct("entity_id", "hop_count")).alias("payload"))
-        write_activity(events, activity, batch_id)
-
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 def forward(stream: DataFrame) -> DataFrame:
     """What is passed on to other registries: signed, one hop further."""
     return within_hops(signed_only(stream))
