@@ -193,14 +193,14 @@ def _between(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
     return spans
 
 
-def _round(docs: DataFrame, gaps: DataFrame, slots: int, least: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents that have found a sequence, documents that have not, and gaps as they are then. A gap offers up to `slots` equal
-    parts of itself, as long as the smallest document fits."""
+def _round(docs: DataFrame, gaps: DataFrame, width: int, most: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that have found a sequence, documents that have not, and gaps as they are then. A gap offers as many equal
+    parts of itself as have room for `width` tokens, at least one and at most `most`."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, -(-rows // _MOST_ROWS), min(shuffle, rows // _LEAST_ROWS))
     none = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in _DOC]
-    parts = F.least(F.lit(slots), F.greatest(F.lit(1), F.floor(F.col("room") / least))).cast("int")
+    parts = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("room") / width))).cast("int")
     offered = gaps.select("bin", "room", parts.alias("parts")).select(
         *none, F.floor(F.col("room") / F.col("parts")).alias("size"), F.lit(1).alias("kind"), "bin", "room", F.col("bin").alias("tie"), F.explode(F.sequence(F.lit(1), "parts")).alias("slot")
     )
@@ -237,18 +237,20 @@ def _fewest(n: int, total: int, least: int, capacity: int) -> int:
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to (key, piece, start, length, ids_crc32) rows whose length is 1 to `capacity`.
 
-    Pieces of more than half the capacity open sequences of their own. The others are placed by rounds of best fit; where no gap
-    takes any of them, as many sequences are opened as they need at least. A round is a job of its own and its rows are written to the checkpoint
-    folder; the rounds follow the number of documents in a sequence, by its logarithm where there are many, and not the number of rows. Equal pieces and repeated rows are placed each
-    for itself. No rows in, none out.
+    Pieces of more than half the capacity open sequences of their own. The others are placed by rounds of best fit. While they are more than
+    twice the gaps, the longest go first: those above half of the longest one's length, for which a gap offers as many parts as it can hold of
+    them. Where no gap takes any, as many sequences are opened as are needed at least. A round is a job of its own and its rows
+    are written to the checkpoint folder; the number of rounds follows the logarithm of the number of documents in a sequence, and not the
+    number of rows. Equal pieces and repeated rows are placed each for itself. No rows in, none out.
     """
     spark = pieces.sparkSession
     pieces = cut(pieces.withColumn("id", F.monotonically_increasing_id())).select(*_DOC)
     alone = F.col("length") * 2 > capacity
     placed = [pieces.where(alone).withColumn("bin", F.col("id"))]
     gaps = pieces.where(alone & (F.col("length") < capacity)).select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).alias("room"))
-    docs, opened = pieces.where(~alone), 0
-    n, total, least = docs.agg(F.count(F.lit(1)), F.sum("length"), F.min("length")).first()
+    docs, opened, more = pieces.where(~alone), 0, 0
+    shape = (F.count(F.lit(1)), F.sum("length"), F.min("length"), F.max("length"))
+    n, total, least, longest = docs.agg(*shape).first()
     if n:
         tokens, sequences = pieces.where(F.col("length") < capacity).agg(F.sum("length"), F.count_if(alone)).first()
         more = max(0, -(-tokens // capacity) - sequences)
@@ -260,10 +262,20 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         if more:
             fresh = spark.range(opened, opened + more).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).cast("long").alias("room"))
             gaps, opened, rooms, more = gaps.unionByName(fresh), opened + more, rooms + more, 0
-        slots = max(1, n // rooms // 2)
-        found, docs, gaps = _round(docs, gaps, slots, least, n + rooms * slots)
+        if n > 2 * rooms:
+            first = F.col("length") * 2 > longest
+            most = -(-2 * n // rooms)
+            found, left, gaps = _round(docs.where(first), gaps, longest, most, n + rooms)
+            docs = cut(left.unionByName(docs.where(~first)))
+        else:
+            first = F.lit(True)
+            found, left, gaps = _round(docs, gaps, capacity, 1, n + rooms)
+            docs = cut(left)
         placed.append(found)
-        n, total, least = docs.agg(F.count(F.lit(1)), F.sum("length"), F.min("length")).first()
+        before = n
+        n, total, least, longest = docs.agg(*shape).first()
+        if n == before:
+            more = _fewest(*docs.where(first).agg(*shape[:3]).first(), capacity)
     whole = placed[0]
     for x in placed[1:]:
         whole = whole.unionByName(x)
