@@ -6,6 +6,29 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
 from wayfind.operators import blocks, bm25
+from wayfind.operators.index import document_frequencies, field_rows, token_rows, wanted_postings
+
+
+def plain(q, d, query_id, query_text, doc_id, doc_text):
+    """Every score by joins, without blocks."""
+    terms = bm25.query_terms(q, query_id, query_text, T.tokenize_basic)
+    posted = wanted_postings(token_rows(d, doc_id, doc_text, T.tokenize_basic), terms)
+    n, length = posted.where("term = ''").agg(F.count(F.lit(1)), F.avg("length")).first()
+    real = posted.where("term <> ''")
+    weights = terms.join(document_frequencies(real), "term").select("query", "term", (F.col("qtf") * bm25.idf(F.lit(float(n)), F.col("df"))).alias("w"))
+    return real.join(weights, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * bm25.saturation(F.col("tf"), F.col("length"), F.lit(length or 1.0))).alias("score"))
+
+
+def plain_fielded(q, d, query_id, query_text, doc_id, fields):
+    terms = bm25.query_terms(q, query_id, query_text, T.tokenize_advanced)
+    posted = wanted_postings(field_rows(d, doc_id, fields, T.tokenize_advanced), terms)
+    each = {r["field"]: r["length"] or 1.0 for r in posted.where("term = ''").groupBy("field").agg(F.avg("length").alias("length")).collect()}
+    real = posted.where("term <> ''")
+    df = real.groupBy("term").agg(F.countDistinct("doc").alias("df"))
+    weights = terms.join(df, "term").select("query", "term", (F.col("qtf") * bm25.idf(F.lit(float(d.count())), F.col("df"))).alias("w"))
+    average = F.element_at(F.create_map(*[F.lit(x) for kv in each.items() for x in kv]), F.col("field"))
+    boost = F.element_at(F.create_map(*[F.lit(x) for kv in bm25.BOOSTS.items() for x in kv]), F.col("field"))
+    return real.join(weights, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * bm25.saturation(F.col("tf"), F.col("length"), average) * boost).alias("score"))
 
 
 def corpus(spark, n=600, seed=3):
@@ -33,7 +56,7 @@ def small_blocks(monkeypatch):
 def test_top_is_that_of_all_scores_and_few_pairs_are_scored(spark, small_blocks):
     d, q = corpus(spark)
     scored = spark.sparkContext.accumulator(0)
-    every = bm25.bm25(q, d, "q", F.col("t"), "id", F.col("t"))
+    every = plain(q, d, "q", F.col("t"), "id", F.col("t"))
     got = blocks.bm25_top(q, d, 5, "q", F.col("t"), "id", F.col("t"), scored=scored)
     same(got, bm25.top_k(every, 5))
     got.collect()
@@ -41,16 +64,22 @@ def test_top_is_that_of_all_scores_and_few_pairs_are_scored(spark, small_blocks)
     assert scored.value < 2 * every.count() / 3
 
 
+def test_all_scores(spark, small_blocks):
+    d, q = corpus(spark, 150)
+    key = lambda rows: sorted((repr(r["query"]), repr(r["doc"]), round(r["score"], 9)) for r in rows.collect())
+    assert key(blocks.bm25(q, d, "q", F.col("t"), "id", F.col("t"))) == key(plain(q, d, "q", F.col("t"), "id", F.col("t")))
+
+
 def test_fielded_top_is_that_of_all_scores(spark, small_blocks):
     d, q = corpus(spark, 300)
     d = d.where("id is not null")
     fields = {"name": F.substring_index("t", " ", 3), "tags": F.lit("w1"), "category": F.lit(None).cast("string"), "summary": F.col("t")}
-    same(blocks.bm25_fielded_top(q, d, 7, "q", F.col("t"), "id", fields), bm25.top_k(bm25.bm25_fielded(q, d, "q", F.col("t"), "id", fields), 7))
+    same(blocks.bm25_fielded_top(q, d, 7, "q", F.col("t"), "id", fields), bm25.top_k(plain_fielded(q, d, "q", F.col("t"), "id", fields), 7))
 
 
 def test_requests_in_parts_and_without_a_filter(spark, small_blocks, monkeypatch):
     d, q = corpus(spark, 200)
-    want = bm25.top_k(bm25.bm25(q, d, "q", F.col("t"), "id", F.col("t")), 4).cache()
+    want = bm25.top_k(plain(q, d, "q", F.col("t"), "id", F.col("t")), 4).cache()
     monkeypatch.setattr(blocks, "PART_TERMS", 40)
     monkeypatch.setattr(blocks, "MOST_WANTED", 10)
     monkeypatch.setattr(blocks, "BLOCK_TOKENS", 500)
@@ -80,7 +109,7 @@ def test_empty_corpus_and_no_requests(spark):
 def test_text_ids(spark):
     d, q = corpus(spark, 100)
     d, q = d.withColumn("id", F.concat(F.lit("é"), "id")), q.withColumn("q", F.concat(F.lit("q"), "q"))
-    same(blocks.bm25_top(q, d, 3, "q", F.col("t"), "id", F.col("t")), bm25.top_k(bm25.bm25(q, d, "q", F.col("t"), "id", F.col("t")), 3))
+    same(blocks.bm25_top(q, d, 3, "q", F.col("t"), "id", F.col("t")), bm25.top_k(plain(q, d, "q", F.col("t"), "id", F.col("t")), 3))
 
 
 def test_lists_are_sorted():

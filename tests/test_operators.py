@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfind.functions import identity
-from wayfind.operators import bm25, filters, index, liveness, names, rank, replication, retention, routing, similarity, trust, validate
+from wayfind.operators import blocks, bm25, filters, index, liveness, names, rank, replication, retention, routing, similarity, trust, validate
 
 ENTITIES = [(1, "CodeReviewer agent reviews python security"), (2, "Translator translates japanese english"), (3, "DataAnalyzer statistics python charts")]
 
@@ -14,7 +14,7 @@ ENTITIES = [(1, "CodeReviewer agent reviews python security"), (2, "Translator t
 def scores(spark, docs, queries):
     d = spark.createDataFrame(docs, "id long, t string")
     q = spark.createDataFrame(queries, "q long, t string")
-    return bm25.top_k(bm25.bm25(q, d, "q", F.col("t"), "id", F.col("t")), 10)
+    return bm25.top_k(blocks.bm25(q, d, "q", F.col("t"), "id", F.col("t")), 10)
 
 
 def test_bm25_finds(spark):

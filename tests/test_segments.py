@@ -51,7 +51,7 @@ def test_changes_touch_only_their_own_documents(spark, tmp_path, docs, monkeypat
     now |= {5: "newer", 7: "back"}
     assert terms(index) == counted(now.items())
     q = spark.createDataFrame([(1, "newer word1"), (2, "same only8"), (3, "back")], "q long, t string")
-    want = bm25.top_k(bm25.bm25(q, frame(spark, list(now.items())), "q", F.col("t"), "id", F.col("t")), 4)
+    want = bm25.top_k(blocks.bm25(q, frame(spark, list(now.items())), "q", F.col("t"), "id", F.col("t")), 4)
     key = lambda rows: sorted(tuple(r) for r in rows.select("query", "doc", "rank", "score").collect())
     assert key(index.top(q, 4, "q", F.col("t"))) == key(want)
     index.merge(most=1)

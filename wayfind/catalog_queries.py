@@ -14,8 +14,8 @@ from wayfind.functions import identity, naming
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
 from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, segments, similarity, trust, validate
-from wayfind.operators.blocks import bm25_fielded_top, bm25_top
-from wayfind.operators.bm25 import bm25, bm25_fielded, phrase_hits, top_k, with_phrases
+from wayfind.operators.blocks import bm25, bm25_fielded, bm25_fielded_top, bm25_top
+from wayfind.operators.bm25 import phrase_hits, top_k, with_phrases
 from wayfind.operators.sizes import new_folder
 from wayfind.plans import search as plan
 from wayfind.sources import streams

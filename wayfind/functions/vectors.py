@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,48 +34,62 @@ def pad_or_trim(v: Column, dims: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), dims)), 1, dims)
 
 
-def _hashed_lists(docs: DataFrame, id_col: str, text: Column, dims: int) -> DataFrame:
-    """(id, s): the entries (slot, value) of each hashed unit vector by slot, at most dims of them."""
+#: Documents whose vectors a task holds at once.
+VECTOR_ROWS = 1024
+
+
+def _hash(word: Column) -> Column:
+    """The first 32 bits of a word's MD5."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+
+
+def _hashed(docs: DataFrame, id_col: str, text: Column, dims: int, entries: bool) -> DataFrame:
+    """(id, vector) for each row, where they are read: no token is shuffled. entries gives the sparse form, (slot, value) by slot."""
     # an explode of one row: what follows refers to the tokens and does not make them again
     tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokenize_basic(text))).alias("t"))
-    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.concat_ws("_", F.element_at("t", i), F.element_at("t", i + 1)).alias("w"), F.lit(0.5).alias("x"))))
-    items = F.concat(F.transform("t", lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("x"))), F.coalesce(pairs, F.array().cast("array<struct<w:string,x:double>>")))
-    rows = tokens.select("id", F.explode(items).alias("i")).select("id", F.conv(F.substring(F.md5("i.w"), 1, 8), 16, 10).cast("long").alias("h"), "i.x")
-    slots = rows.groupBy("id", (F.col("h") % dims).cast("int").alias("slot")).agg(F.sum(F.when(F.col("h") % 2 == 0, -F.col("x")).otherwise(F.col("x"))).alias("raw")).where("raw <> 0")
-    lists = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "raw"))).alias("s"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return lists.select("id", F.transform("s", lambda e: F.struct(e["slot"].alias("slot"), (e["raw"] / F.col("norm")).alias("value"))).alias("s"))
+    pair = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: _hash(F.concat_ws("_", F.element_at("t", i), F.element_at("t", i + 1))))
+    pairs = F.when(F.size("t") > 1, pair).otherwise(F.array().cast("array<long>"))
+    hashed = tokens.select("id", F.transform("t", _hash).alias("words"), pairs.alias("pairs"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sums(column: pa.Array, weight: float) -> np.ndarray:
+        counts = np.diff(column.offsets.to_numpy())
+        h = column.flatten().to_numpy()
+        rows = np.repeat(np.arange(len(counts)), counts)
+        return np.bincount(rows * dims + h % dims, np.where(h % 2 == 0, -weight, weight), len(counts) * dims).reshape(len(counts), dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_ROWS):
+                part = batch.slice(at, VECTOR_ROWS)
+                # multiples of a half: sums are exact in any order
+                x = sums(part.column(1), 1.0) + sums(part.column(2), 0.5)
+                norm = np.sqrt((x * x).sum(axis=1))
+                live = np.flatnonzero(norm)
+                x = x[live] / norm[live, None]
+                if entries:
+                    row, slot = np.nonzero(x)
+                    values = pa.StructArray.from_arrays([pa.array(slot, pa.int32()), pa.array(x[row, slot])], names=["slot", "value"])
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(live)))])
+                else:
+                    values, offsets = pa.array(x.reshape(-1)), np.arange(len(live) + 1) * dims
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["id", "vector"])
+
+    return hashed.mapInArrow(run, f"id {kind}, vector array<{'struct<slot:int,value:double>' if entries else 'double'}>")
 
 
 def hashed_slots(docs: DataFrame, id_col: str, text: Column, dims: int = 384) -> DataFrame:
     """(id, slot, value): unit vectors of hashed tokens and bigrams, sparse.
 
     A token adds 1 and a bigram of neighbours 0.5 to slot hash % dims, negative if the hash is even; the hash is the first 32
-    bits of MD5. Vectors whose entries cancel to zero have no rows.
-    """
-    return _hashed_lists(docs, id_col, text, dims).select("id", F.explode("s").alias("e")).select("id", "e.slot", "e.value")
-
-
-def _filled(s: str, dims: int) -> Column:
-    """dims numbers from entries (slot, value) sorted by slot: each entry behind the zeros since the one before it.
-
-    Users explode it as an array of one, so that a filter on the vector does not make it, entry by entry, again.
+    bits of MD5. Vectors whose entries cancel to zero have no rows. Each row of the input has a vector of its own.
     """
-    def zeros(n: Column) -> Column:
-        return F.array_repeat(F.lit(0.0), n.cast("int"))
-
-    before = lambda i: F.when(i > 0, F.try_element_at(s, i)["slot"]).otherwise(-1)
-    return F.concat(F.flatten(F.transform(s, lambda e, i: F.concat(zeros(e["slot"] - before(i) - 1), F.array(e["value"])))), zeros(F.lit(dims - 1) - F.element_at(s, -1)["slot"]))
-
-
-def dense(slots: DataFrame, dims: int) -> DataFrame:
-    """(id, vector) from sparse slots, at most one entry each: dims numbers for each id."""
-    lists = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
-    return lists.select("id", F.explode(F.array(_filled("s", dims))).alias("vector"))
+    return _hashed(docs, id_col, text, dims, True).select("id", F.explode("vector").alias("e")).select("id", "e.slot", "e.value")
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, text: Column, dims: int = 384) -> DataFrame:
     """(id, vector): the vectors of hashed_slots in dense form; those that cancel to zero have no row."""
-    return _hashed_lists(docs, id_col, text, dims).select("id", F.explode(F.array(_filled("s", dims))).alias("vector"))
+    return _hashed(docs, id_col, text, dims, False)
 
 
 def _fnv1a(data: bytes) -> int:
@@ -98,8 +114,6 @@ def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         for texts in batches:
             out = []
             for value in texts:

@@ -301,6 +301,23 @@ def bounded_scores(blocks: DataFrame, requests: _Requests, k: int, query_kind, d
     return blocks.mapInArrow(best, f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
 
 
+def every_score(blocks: DataFrame, requests: _Requests, query_kind, doc_kind) -> DataFrame:
+    """(query, doc, score) of every pair that shares a term, made where the blocks are."""
+    n_fields = len(requests.averages)
+    shared = blocks.sparkSession.sparkContext.broadcast(requests)
+    names = pa.array(requests.ids, to_arrow_type(query_kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                scorer = _Scorer(Block(batch, row, n_fields), shared.value)
+                for q in scorer.open(shared.value.least, 0.0).tolist():
+                    at, scores = scorer.best(q, -np.inf)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(at), q))), scorer.block.docs.take(pa.array(at)), pa.array(scores)], names=["query", "doc", "score"])
+
+    return blocks.mapInArrow(run, f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
+
+
 def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: list[float], boosts: list[float]) -> Iterator[_Requests]:
     """The weighted terms of (query, term, qtf) rows, PART_TERMS at a time."""
     weights = cut(terms.withColumn("id", term_id(F.col("term"))).join(df, "id").select("query", "id", (F.col("qtf") * idf(F.lit(float(n_docs)), F.col("df"))).alias("w")))
@@ -314,8 +331,9 @@ def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: li
             yield _Requests(query.dictionary.to_pylist(), np.append(np.flatnonzero(np.diff(codes, prepend=-1)), len(codes)), part.column("id").to_numpy(), part.column("w").to_numpy(), averages, boosts)
 
 
-def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int, doc_kind, boosts: list[float], digits: int = 6, wanted: Broadcast | None = None, scored: Accumulator | None = None) -> DataFrame:
-    """(query, doc, score, rank): the k best documents for (query, term, qtf) rows. Statistics are those of all blocks."""
+def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int | None, doc_kind, boosts: list[float], digits: int = 6, wanted: Broadcast | None = None, scored: Accumulator | None = None) -> DataFrame:
+    """(query, doc, score, rank): the k best documents for (query, term, qtf) rows, or without k the scores of all that share a term
+    with them. Statistics are those of all blocks."""
     n = len(boosts)
     counted = cut(block_statistics(blocks, n, wanted).groupBy("term").agg(F.sum("n").alias("df"), *[F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(n)]))
     whole = counted.where("term is null").first()
@@ -325,8 +343,9 @@ def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int, doc_kind, boosts:
     found = terms.sparkSession.createDataFrame([], f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
     df = counted.where("term is not null").select(F.col("term").alias("id"), "df")
     for requests in parts_of_requests(terms, df, n_docs, averages, boosts):
-        found = found.unionByName(bounded_scores(blocks, requests, k, query_kind, doc_kind, digits, scored))
-    return top_k(found, k, digits=digits)
+        more = every_score(blocks, requests, query_kind, doc_kind) if k is None else bounded_scores(blocks, requests, k, query_kind, doc_kind, digits, scored)
+        found = found.unionByName(more)
+    return found if k is None else top_k(found, k, digits=digits)
 
 
 def wanted_ids(terms: DataFrame) -> Broadcast | None:
@@ -337,19 +356,42 @@ def wanted_ids(terms: DataFrame) -> Broadcast | None:
     return terms.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy()))
 
 
+def _retrieved(queries: DataFrame, docs: DataFrame, k: int | None, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column], boosts: dict[str, float], digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
+    terms = cut(query_terms(queries, query_id, query_text, tokenizer))
+    blocks = cut(make_blocks(hashed_tokens(docs, doc_id, fields, tokenizer), len(fields), wanted_ids(terms)))
+    return top_of_blocks(blocks, terms, k, docs.schema[doc_id].dataType, [boosts[f] for f in fields], digits, scored=scored)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: Column, doc_id: str, doc_text: Column, tokenizer: Callable[[Column], Column] = T.tokenize_basic) -> DataFrame:
+    """(query, doc, score) of every document that shares a term with a query.
+
+    Runs jobs while it is put together: the documents are read and tokenized once, into blocks in the checkpoint folder. Neither tokens nor
+    scored pairs are shuffled. Statistics cover all documents.
+    """
+    return _retrieved(queries, docs, None, query_id, query_text, doc_id, {"text": doc_text}, tokenizer, {"text": 1.0})
+
+
+def bm25_fielded(queries: DataFrame, docs: DataFrame, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column] = T.tokenize_advanced, boosts: dict[str, float] = BOOSTS) -> DataFrame:
+    """(query, doc, score) over weighted fields: document frequency over the union of fields, length and average per field. See bm25."""
+    return _retrieved(queries, docs, None, query_id, query_text, doc_id, fields, tokenizer, boosts)
+
+
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: Column, doc_id: str, doc_text: Column, tokenizer: Callable[[Column], Column] = T.tokenize_basic, digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query by BM25, as top_k of bm25 gives them.
+    """(query, doc, score, rank): the k best documents of each query by BM25, ties by id, as top_k of bm25 gives them, by bounds.
 
-    Runs jobs while it is put together: the documents are read and tokenized once, into blocks in the checkpoint folder. Documents or
-    queries without tokens have no row. Ties go by id.
+    Documents or queries without tokens have no row. Runs jobs while it is put together, as bm25 does. `scored` counts scored pairs.
     """
-    return bm25_fielded_top(queries, docs, k, query_id, query_text, doc_id, {"text": doc_text}, tokenizer, {"text": 1.0}, digits, scored)
+    return _retrieved(queries, docs, k, query_id, query_text, doc_id, {"text": doc_text}, tokenizer, {"text": 1.0}, digits, scored)
 
 
 def bm25_fielded_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column] = T.tokenize_advanced, boosts: dict[str, float] = BOOSTS, digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
     """(query, doc, score, rank) over weighted fields, as top_k of bm25_fielded gives them; see bm25_top."""
-    terms = cut(query_terms(queries, query_id, query_text, tokenizer))
-    wanted = wanted_ids(terms)
-    tokens = hashed_tokens(docs, doc_id, fields, tokenizer)
-    blocks = cut(make_blocks(tokens, len(fields), wanted))
-    return top_of_blocks(blocks, terms, k, docs.schema[doc_id].dataType, [boosts[f] for f in fields], digits, scored=scored)
+    return _retrieved(queries, docs, k, query_id, query_text, doc_id, fields, tokenizer, boosts, digits, scored)
+
+
+def keyword_engine(kind: str):
+    """The engine by name: basic or fielded; anything else is refused."""
+    try:
+        return {"basic": bm25, "fielded": bm25_fielded}[kind]
+    except KeyError:
+        raise ValueError(f"unknown keyword engine {kind!r}") from None

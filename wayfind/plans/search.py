@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from wayfind.functions.text import embedding_text, tokenize_basic
 from wayfind.operators import rank as K
-from wayfind.operators.bm25 import bm25, bm25_fielded, idf, keyword_engine, phrase_hits, query_terms, saturation, top_k, with_phrases
+from wayfind.operators.blocks import bm25, bm25_fielded, keyword_engine
+from wayfind.operators.bm25 import idf, phrase_hits, query_terms, saturation, top_k, with_phrases
 from wayfind.operators.filters import equal_or_open, has_any_tag, min_score, not_inactive
 from wayfind.operators.index import token_rows, wanted_postings
 from wayfind.operators.liveness import availability_of
