@@ -115,3 +115,36 @@ def test_text_ids(spark):
 def test_lists_are_sorted():
     lists = blocks._lists(np.array([5, 3, 5, 5, 3]), np.array([1, 0, 0, 1, 2]), np.array([0, 0, 0, 0, 1]))
     assert {k: v.tolist() for k, v in lists.items()} == {"field": [0, 0, 1], "term": [3, 5, 3], "start": [0, 1, 3, 4], "ord": [0, 0, 1, 2], "tf": [1, 1, 2, 1]}
+
+
+def test_phrases_by_hand(spark):
+    """Substrings of any field, with and without spaces, at any place; each quote counts."""
+    import random
+
+    rng = random.Random(9)
+    letters = ["a", "b", "ab", "ba", " ", "  ", "é", "\n", "A"]
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    docs = [(i, word(6), word(40), None if i % 5 else word(3), [word(4), None] if i % 2 else None) for i in range(60)]
+    queries = [(q, f'x "{word(rng.randint(1, 6))}" "{word(2)}" "{word(9)}" ""') for q in range(60)] + [(99, None), (100, '"a" "a"'), (101, '" "'), (102, '"   "'), (103, '"unpaired')]
+    d = spark.createDataFrame(docs, "id long, name string, summary string, category string, tags array<string>")
+    q = spark.createDataFrame(queries, "q long, t string")
+    got = bm25.phrase_hits(q, d, "q", F.col("t"), "id", F.col("name"), F.col("summary"), F.col("category"), F.col("tags"))
+    want = {}
+    for qid, t in queries:
+        phrases = [p.lower() for p in (t or "").split('"')[1::2] if p] if (t or "").count('"') % 2 == 0 else []
+        for i, *fields, tags in docs:
+            held = [x.lower() for x in [*fields, *(tags or [])] if x]
+            if n := sum(any(p in x for x in held) for p in phrases):
+                want[qid, i] = 5.0 * n
+    assert {(r["query"], r["doc"]): r["bonus"] for r in got.collect()} == want
+
+
+def test_top_with_phrases(spark, small_blocks):
+    d, q = corpus(spark, 200)
+    d = d.where("id is not null")
+    q = q.withColumn("t", F.concat("t", F.lit(' "w1 w2" "are3"')))
+    fields = {"name": F.substring_index("t", " ", 3), "tags": F.lit("w1"), "category": F.lit(None).cast("string"), "summary": F.col("t")}
+    tags = F.array(F.lit("w1"))
+    bonus = bm25.phrase_hits(q, d, "q", F.col("t"), "id", fields["name"], fields["summary"], fields["category"], tags)
+    want = bm25.top_k(bm25.with_phrases(plain_fielded(q, d, "q", F.col("t"), "id", fields), bonus), 6)
+    same(blocks.fielded_phrases_top(q, d, 6, "q", F.col("t"), "id", fields, tags), want)

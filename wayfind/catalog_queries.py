@@ -14,8 +14,7 @@ from wayfind.functions import identity, naming
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
 from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, segments, similarity, trust, validate
-from wayfind.operators.blocks import bm25, bm25_fielded, bm25_fielded_top, bm25_top
-from wayfind.operators.bm25 import phrase_hits, top_k, with_phrases
+from wayfind.operators.blocks import bm25, bm25_fielded_top, bm25_top, fielded_phrases_top
 from wayfind.operators.sizes import new_folder
 from wayfind.plans import search as plan
 from wayfind.sources import streams
@@ -79,11 +78,7 @@ def bm25_fielded_topk(spark, sf_dir):
 
 def phrase_bonus(spark, sf_dir):
     """Fielded scores with a bonus for quoted phrases, top 10."""
-    q, d = _quoted(_t(spark, sf_dir, "benchmark")), _t(spark, sf_dir, "documents")
-    f = _fields()
-    scores = bm25_fielded(q, d, "item_id", F.col("text"), "doc_id", f)
-    bonus = phrase_hits(q, d, "item_id", F.col("text"), "doc_id", f["name"], f["summary"], f["category"], F.array("source"))
-    return top_k(with_phrases(scores, bonus), 10)
+    return fielded_phrases_top(_quoted(_t(spark, sf_dir, "benchmark")), _t(spark, sf_dir, "documents"), 10, "item_id", F.col("text"), "doc_id", _fields(), F.array("source"))
 
 
 def corpus_statistics(spark, sf_dir):

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfind.functions import text as T
-from wayfind.operators.bm25 import B, BOOSTS, K1, idf, query_terms, top_k
-from wayfind.operators.sizes import cut
+from wayfind.operators.bm25 import B, BOOSTS, K1, idf, phrase_hits, query_terms, top_k
+from wayfind.operators.sizes import cut, small
 
 #: A block ends after so many documents, or after the document that brings it to so many tokens.
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
@@ -389,6 +389,24 @@ def bm25_fielded_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str,
     return _retrieved(queries, docs, k, query_id, query_text, doc_id, fields, tokenizer, boosts, digits, scored)
 
 
+def fielded_phrases_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tags: Column, tokenizer: Callable[[Column], Column] = T.tokenize_advanced, boosts: dict[str, float] = BOOSTS, digits: int = 6) -> DataFrame:
+    """(query, doc, score, rank): the k best documents with the bonus of quoted phrases; a phrase alone is a hit.
+
+    A document without a phrase is among the k best only if it is among the k best by its terms. So these are found by bounds, and
+    only documents with a phrase have their scores looked up.
+    """
+    terms = cut(query_terms(queries, query_id, query_text, tokenizer))
+    blocks = cut(make_blocks(hashed_tokens(docs, doc_id, fields, tokenizer), len(fields), wanted_ids(terms)))
+    kind, weights = docs.schema[doc_id].dataType, [boosts[f] for f in fields]
+    bonus = cut(phrase_hits(queries, docs, query_id, query_text, doc_id, fields["name"], fields["summary"], fields["category"], tags))
+    plain = top_of_blocks(blocks, terms, k, kind, weights, digits).select("query", "doc", "score")
+    scored = top_of_blocks(blocks, terms, None, kind, weights).join(small(bonus), ["query", "doc"])
+    with_both = cut(scored.select("query", "doc", (F.col("score") + F.col("bonus")).alias("score")))
+    alone = bonus.join(with_both, ["query", "doc"], "left_anti").select("query", "doc", F.col("bonus").alias("score"))
+    others = plain.join(bonus, ["query", "doc"], "left_anti")
+    return top_k(others.unionByName(with_both).unionByName(alone), k, digits=digits)
+
+
 def keyword_engine(kind: str):
     """The engine by name: basic or fielded; anything else is refused."""
     try:
