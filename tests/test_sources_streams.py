@@ -9,7 +9,7 @@ from wayfind.streaming import liveness as sl
 from wayfind.streaming import replication as sr
 
 
-def test_every_schema_parses():
+def test_every_schema_parses(spark):
     for name in schemas.DDL:
         assert schemas.schema(name).fields
 
@@ -25,6 +25,46 @@ def test_insert_and_rejects(spark, tmp_path):
     assert sorted(r["entity_id"] for r in catalog.read_catalog(spark, path, "tombstones").collect()) == ["1", "2", "3"]
 
 
+def test_retries_and_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    df = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    catalog.insert_rows(df((1, "a"), (2, "b")), path, ["k"], "v", "first")
+    for _ in range(2):
+        bad = catalog.insert_rows(df((2, "x"), (3, "c"), (3, "d")), path, ["k"], "v", "second")
+        assert sorted((r["k"], r["v"], r["reason"]) for r in bad.collect()) == [(2, "x", "already registered"), (3, "d", "repeated in the batch")]
+    # another writer commits while this one has read the table
+    split, once = catalog.split_new, []
+
+    def slow(rows, existing, key, order=None):
+        if not once:
+            once.append(1)
+            catalog.insert_rows(df((4, "theirs")), path, ["k"], "v", "theirs")
+        return split(rows, existing, key, order)
+
+    monkeypatch.setattr(catalog, "split_new", slow)
+    bad = catalog.insert_rows(df((4, "mine"), (5, "e")), path, ["k"], "v", "mine")
+    assert [(r["k"], r["reason"]) for r in bad.collect()] == [(4, "already registered")]
+    held = catalog.read_rows(spark, path, df().schema)
+    assert sorted(tuple(r) for r in held.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "theirs"), (5, "e")]
+    assert catalog.read_rows(spark, path, df().schema, 1).count() == 2
+
+
+def test_jdbc_partitions_are_even(spark, tmp_path):
+    """Skewed numbers, times and nulls, in the embedded database that comes with Spark."""
+    url = f"jdbc:derby:memory:{tmp_path.name.replace('-', '_')};create=true"
+    at = F.timestamp_seconds(F.col("id") * F.col("id") * 600)
+    rows = spark.range(400).select("id", F.when(F.col("id") % 50 != 0, F.pow(F.lit(1.03), "id").cast("long")).alias("skewed"), at.alias("seen"), F.to_date(at).alias("dayof"), F.concat(F.lit("n"), "id").alias("name"))
+    rows.write.format("jdbc").options(url=url, dbtable="catalog", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    for column in ("skewed", "seen", "dayof"):
+        df = catalog.read_catalog_jdbc(spark, url, "catalog", column, 8, driver="org.apache.derby.jdbc.EmbeddedDriver")
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) <= 100, (column, sizes)
+        one = df.where("id = 7")
+        assert one.select("name").first()["name"] == "n7"
+        assert "EqualTo(id,7)" in one._jdf.queryExecution().executedPlan().toString()
+    assert catalog.read_catalog_jdbc(spark, url, "catalog", driver="org.apache.derby.jdbc.EmbeddedDriver").count() == 400
+
+
 def test_cards(spark, tmp_path):
     lines = [json.dumps({"entity_id": "a", "status": "online", "capabilities": [{"name": "x"}]}), json.dumps({"status": "online", "wanted_id": "b"}), json.dumps({"entity_id": "c", "wanted_id": "d"}), "not json", json.dumps({"entity_id": "e", "version": "v" * 60_000})]
     (tmp_path / "cards.json").write_text("\n".join(lines))

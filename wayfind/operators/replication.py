@@ -144,9 +144,3 @@ def name_state(df: DataFrame, columns: list[str]) -> DataFrame:
     bound = F.when(F.col("action") != "release", F.col("seq"))
     out = df.groupBy("fqan").agg(F.max_by(F.struct(*columns), bound).alias("r"), F.max(bound).alias("b"), F.max(F.when(F.col("action") == "release", F.col("seq"))).alias("d"))
     return out.select("fqan", "r.*", (F.coalesce("d", F.lit(-1)) > F.coalesce("b", F.lit(-1))).alias("tombstoned"))
-
-
-def merge_snapshot(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of the changes, and those of the snapshot that they leave alone."""
-    kept = snapshot.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes, allowMissingColumns=True)

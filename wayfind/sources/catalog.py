@@ -1,26 +1,61 @@
-"""Catalog tables as versioned Parquet snapshots, with keyed inserts; cards from JSON; ranked results."""
+"""Catalog tables with keyed inserts as commits; partitioned reads of live stores; cards from JSON; ranked results."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wayfind.sources.commits import Log
 from wayfind.sources.schemas import KEYS, schema
 
 CARD_BYTES = 51_200
 
 
-def read_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored table by its fixed schema; columns that a file lacks are null."""
-    return spark.read.schema(schema(table)).parquet(path)
+def read_catalog(spark: SparkSession, path: str, table: str, version: int | None = None) -> DataFrame:
+    """A stored table by its fixed schema; columns that a file lacks are null. A table that was written by commits is read as of a
+    commit, the last one unless another is named; any other folder of Parquet files is read as it is."""
+    return read_rows(spark, path, schema(table), version)
+
+
+def read_rows(spark: SparkSession, path: str, columns: T.StructType, version: int | None = None) -> DataFrame:
+    number, content = Log(spark, path).read(version)
+    if not number:
+        return spark.read.schema(columns).parquet(path)
+    folders = [f for f, _ in content["batches"].values()]
+    return spark.read.schema(columns).parquet(*folders) if folders else spark.createDataFrame([], columns)
+
 
+def _even_bounds(df: DataFrame, column: str, parts: int) -> list:
+    """Values that cut a column into parts of about as many rows each, as literals of SQL."""
+    kind = df.schema[column].dataType
+    number = F.col(column) if isinstance(kind, T.NumericType) else F.unix_micros(F.col(column).cast("timestamp"))
+    found = df.select(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    if isinstance(kind, T.NumericType):
+        return sorted(set(found))
+    text = "yyyy-MM-dd" if isinstance(kind, T.DateType) else "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    mark = "d" if isinstance(kind, T.DateType) else "ts"
+    shown = df.sparkSession.createDataFrame([(x,) for x in sorted(set(found))], "u long").select(F.date_format(F.timestamp_micros("u"), text).alias("t"))
+    return [f"{{{mark} '{r['t']}'}}" for r in shown.collect()]  # one for each part; escapes that every driver reads
 
-def read_catalog_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:
-    """A table of a live store; Spark pushes column lists and filters down. Needs the store's driver on the class path."""
+
+def read_catalog_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a live store in partitions of about as many rows each; Spark pushes column lists and filters down into each.
+
+    The bounds are quantiles of the column itself (a number, date or time), which is read once for them, so skewed values make no
+    partition larger. Nulls belong to the first partition. Needs the store's driver on the class path.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if partition_column and bounds:
-        reader = reader.options(partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
+    if not partition_column or partitions < 2:
+        return reader.load()
+    bounds = _even_bounds(reader.load().select(partition_column), partition_column, partitions)
+    if not bounds:
+        return reader.load()
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(partition_column)
+    ranges = [f"{name} < {bounds[0]} OR {name} IS NULL", *[f"{name} >= {x} AND {name} < {y}" for x, y in zip(bounds, bounds[1:])], f"{name} >= {bounds[-1]}"]
+    return spark.read.options(**options).jdbc(url, table, predicates=ranges)
 
 
 def split_new(rows: DataFrame, existing: DataFrame, key: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -37,35 +72,32 @@ def split_new(rows: DataFrame, existing: DataFrame, key: list[str], order: str |
     return marked.where(~F.col("__bad")).drop(*drop), rejects.drop(*drop)
 
 
-def write_catalog(rows: DataFrame, path: str, table: str, order: str | None = None) -> DataFrame:
-    """Appends the rows with new keys to the table at the path and returns the rejects with a reason.
+def insert_rows(rows: DataFrame, path: str, key: list[str], order: str | None = None, batch: str | None = None) -> DataFrame:
+    """Inserts the rows with new keys as one commit, and returns the rejects with a reason.
 
-    The check reads the table as it was; one writer at a time. New rows are written once, so rejects are settled first.
+    A batch that is named is inserted once: a retry changes nothing and gives the same rejects. Of two writers at once one commits
+    first; the other checks its keys against what is there then. So a key is never stored twice.
     """
-    spark = rows.sparkSession
-    try:
-        existing = read_catalog(spark, path, table)
-        existing.schema  # noqa: B018
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        existing = spark.createDataFrame([], schema(table))
-    fresh, rejects = split_new(rows, existing, KEYS[table], order)
-    rejects = rejects.checkpoint() if spark.sparkContext.getCheckpointDir() else rejects.persist()
-    rejects.count()
-    fresh.write.mode("append").parquet(path)
-    return rejects
-
-
-def write_snapshot(rows: DataFrame, path: str, version: int) -> str:
-    """Writes a whole state as version=N; writing a version again replaces it, so a repeated batch is no matter."""
-    out = f"{path}/version={version}"
-    rows.write.mode("overwrite").parquet(out)
-    return out
-
-
-def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+    spark, log = rows.sparkSession, Log(rows.sparkSession, path)
+    batch = batch or uuid.uuid4().hex
+
+    def over(number: int, content: dict) -> dict | None:
+        batches = content.get("batches", {})
+        if batch in batches:
+            return None
+        existing = read_rows(spark, path, rows.schema, number) if number else spark.createDataFrame([], rows.schema)
+        fresh, rejects = split_new(rows, existing, key, order)
+        out, refused = log.folder("rows"), log.folder("rejects")
+        fresh.write.parquet(out)
+        rejects.write.parquet(refused)
+        return {"batches": {**batches, batch: [out, refused]}}
+
+    return spark.read.parquet(log.read(log.change(over))[1]["batches"][batch][1])
+
+
+def write_catalog(rows: DataFrame, path: str, table: str, order: str | None = None, batch: str | None = None) -> DataFrame:
+    """insert_rows by the table's key."""
+    return insert_rows(rows, path, KEYS[table], order, batch)
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
