@@ -154,8 +154,9 @@ def test_bloom_has_no_false_negative(spark):
     assert (m, k) == (4_792_530, 7)
     m, k = routing.bloom_size(4, 0.01)
     items = spark.createDataFrame([("r", t) for t in ("python", "code", "review", "test")], "registry string, token string")
-    filters_ = routing.unpack_filters(routing.pack_filters(routing.bloom_build(items, m, k)))
-    assert filters_.exceptAll(routing.bloom_build(items, m, k)).count() == 0
+    filters_ = routing.bloom_build(items, m, k)
+    want = items.select("registry", F.explode(routing.bloom_positions(F.col("token"), m, k)).alias("pos")).distinct()
+    assert sorted(map(tuple, routing.unpack_filters(filters_).collect())) == sorted(map(tuple, want.collect()))
     tokens = spark.createDataFrame([(1, t) for t in ("python", "code", "absent")], "query long, token string")
     assert routing.bloom_match(tokens, filters_, m, k).first()["matches"] >= 2
 
@@ -235,3 +236,26 @@ def test_routing_takes_the_first_registries_without_a_filter(spark):
     for r in routing.route_queries(q, matches, bare, 3).orderBy("query", "rank").collect():
         got[r["query"]].append(r["registry"])
     assert got == {1: ["z", "b", "r0"], 2: ["r0", "r1", "r2"]}
+
+
+def test_filters_are_probed_in_parts_and_hot_tokens_are_dealt_out(spark, monkeypatch):
+    """Many probes in a part, many queries with one token; no false negatives, and what the positions say."""
+    monkeypatch.setattr(routing, "PROBES", 5)
+    m, k = routing.bloom_size(40_000, 0.01)
+    assert m > 3 * routing.BITMAP_BITS
+    items = spark.range(300).select(F.concat(F.lit("r"), F.col("id") % 3).alias("registry"), F.concat(F.lit("t"), F.col("id") % 100).alias("token")).distinct()
+    tokens = spark.range(400).select((F.col("id") % 50).alias("query"), F.when(F.col("id") % 2 == 0, "t1").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("token")).distinct()
+    filters_ = routing.bloom_build(items, m, k)
+    key = lambda df: {(r["query"], r["registry"]): r["matches"] for r in df.collect()}
+    got, exact = key(routing.bloom_match(tokens, filters_, m, k)), key(routing.exact_match(tokens, items))
+    assert all(got.get(p, 0) >= n for p, n in exact.items())
+    held = {}
+    for r in routing.unpack_filters(filters_).collect():
+        held.setdefault(r["registry"], set()).add(r["pos"])
+    want = {}
+    for r in tokens.withColumn("p", routing.bloom_positions(F.col("token"), m, k)).collect():
+        for g, bits in held.items():
+            if set(r["p"]) <= bits:
+                want[r["query"], g] = want.get((r["query"], g), 0) + 1
+    assert got == want
+    assert routing.bloom_match(tokens.limit(0), filters_, m, k).count() == 0 and routing.bloom_match(tokens, filters_.limit(0), m, k).count() == 0

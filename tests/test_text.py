@@ -42,7 +42,7 @@ def test_handles(spark, handle, error):
 
 
 @pytest.mark.parametrize(("fqan", "want"), [
-    ("host/dev/agent@2.1.0#nlp.translation", ("host/dev/agent", "2.1.0", "nlp.translation", None)), ("zns://host/dev/agent", ("host/dev/agent", None, None, None)),
+    ("h.example/d/bot@0.9#sum.short", ("h.example/d/bot", "0.9", "sum.short", None)), ("zns://host/dev/agent", ("host/dev/agent", None, None, None)),
     ("host/dev/agent#cap", ("host/dev/agent", None, "cap", None)), ("host/dev/agent@1", ("host/dev/agent", "1", None, None)), ("host/dev/agent@", (None, None, None, "empty version")),
     ("host/dev/agent#", (None, None, None, "empty capability")), ("", (None, None, None, "empty name")), ("@1", (None, None, None, "empty base")), (None, (None, None, None, "empty name")),
     ("a@b@c#d", ("a@b", "c", "d", None)), ("a@1#b#c", ("a", "1#b", "c", None)),
@@ -74,7 +74,7 @@ def test_vectors(spark):
 def test_hash_embedder(spark):
     import numpy as np
 
-    assert vectors._fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert vectors.fnv1a([b"a", b"", b"foobar"]).tolist() == [0xAF63DC4C8601EC8C, 0xCBF29CE484222325, 0x85944171F73967E8]
     embed = vectors.embedder("hash", dims=384)
     df = spark.createDataFrame([("python code review",), ("python code review",), ("weather in tokyo",), ("",), (None,)], "t string").coalesce(1)
     a, b, c, d, e = (np.array(r.v) for r in df.select(embed(F.col("t")).alias("v")).collect())

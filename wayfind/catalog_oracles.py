@@ -329,3 +329,15 @@ SELECT item_id, token, count(*) AS n FROM t GROUP BY ALL""",
 #: Streams give what their batch twins give.
 ORACLES |= {f"stream_{a}": ORACLES[b] for a, b in (("entities", "entity_state"), ("developers", "developer_state"), ("names", "name_state"), ("proofs", "proof_state"), ("tiers", "verification_tiers"), ("dedupe", "announce_dedupe"), ("became_active", "became_active"))}
 ORACLES["stream_activity"] = f"WITH {_EVENTS} SELECT 'agent_announce_' || action AS type, count(*) AS n FROM au WHERE accepted GROUP BY ALL"
+ORACLES["catalog_inserts"] = """SELECT s_suppkey AS entity_id, NULL::BIGINT AS c_custkey FROM supplier
+UNION ALL SELECT c_custkey % 500, min(c_custkey) FROM customer WHERE c_custkey % 500 NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1"""
+ORACLES["cards_read"] = """WITH c AS (SELECT CASE WHEN doc_id % 5 <> 0 THEN 'e' || doc_id END AS own, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN doc_id % 2 = 0 THEN 'e' || doc_id END AS wanted, *
+  FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0)
+SELECT coalesce(own, wanted) AS entity_id, CASE WHEN n_chars % 3 = 0 THEN 'online' ELSE 'degraded' END AS status, (doc_id % 4)::INT AS n_capabilities, source AS framework
+FROM c WHERE (own IS NULL OR wanted IS NULL OR own = wanted) AND coalesce(own, wanted) IS NOT NULL"""
+ORACLES["results_by_date"] = f"WITH r AS ({ORACLES['cosine_topk']}) SELECT *, '2024-01-02' AS query_date FROM r UNION ALL SELECT *, '2024-01-01' FROM r WHERE rank = 1"
+ORACLES["named_embedder"] = f"""WITH d AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents),
+i AS (SELECT doc_id, unnest(t) AS w, 1.0::DOUBLE AS x FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda k: t[k] || '_' || t[k + 1])), 0.5 FROM d),
+h AS (SELECT w, list_reduce(list_transform(string_split(w, ''), lambda c: ascii(c)::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS h FROM (SELECT DISTINCT w FROM i)),
+s AS (SELECT doc_id, (h % 384)::INT AS slot, sum(CASE WHEN h % 2 = 1 THEN x ELSE -x END) AS v FROM i JOIN h USING (w) GROUP BY ALL HAVING v <> 0)
+SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 4) AS value FROM s"""

@@ -17,7 +17,7 @@ from wayfind.operators import filters, index, liveness, metrics, names, rank, re
 from wayfind.operators.blocks import bm25, bm25_fielded_top, bm25_top, fielded_phrases_top
 from wayfind.operators.sizes import new_folder
 from wayfind.plans import search as plan
-from wayfind.sources import streams
+from wayfind.sources import catalog, streams
 from wayfind.streaming import folded, state
 
 AS_OF = "2024-02-01 00:00:00"
@@ -397,14 +397,50 @@ def registration_check(spark, sf_dir):
 
 def registration_insert(spark, sf_dir):
     """Rows with new keys and rejects of a batch of registrations."""
-    from wayfind.sources.catalog import split_new
-
     c = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 500).alias("entity_id"), "c_custkey")
     held = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"))
-    fresh, bad = split_new(c, held, ["entity_id"], "c_custkey")
+    fresh, bad = catalog.split_new(c, held, ["entity_id"], "c_custkey")
     return fresh.withColumn("reason", F.lit("")).unionByName(bad)
 
 
+def catalog_inserts(spark, sf_dir):
+    """A table after two batches of keyed inserts, the second of them sent twice."""
+    path = new_folder(spark, "table")
+    c = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 500).alias("entity_id"), "c_custkey")
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.lit(None).cast(c.schema["c_custkey"].dataType).alias("c_custkey"))
+    catalog.insert_rows(s, path, ["entity_id"], batch="suppliers")
+    for _ in range(2):
+        catalog.insert_rows(c, path, ["entity_id"], "c_custkey", batch="customers")
+    return catalog.read_rows(spark, path, c.schema)
+
+
+def cards_read(spark, sf_dir):
+    """S3: cards written as JSON lines and read back: ids from the request where the card has none, none where the two differ."""
+    d, folder = _t(spark, sf_dir, "documents"), new_folder(spark, "cards")
+    own = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("e"), "doc_id"))
+    wanted = F.when(F.col("doc_id") % 7 == 0, F.lit("other")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("e"), "doc_id"))
+    skills = F.transform(F.array_repeat("lang", (F.col("doc_id") % 4).cast("int")), lambda x: F.struct(x.alias("name")))
+    card = F.struct(own.alias("entity_id"), F.when(F.col("n_chars") % 3 == 0, "online").otherwise("degraded").alias("status"), skills.alias("capabilities"), F.struct(F.col("source").alias("framework")).alias("metadata"), wanted.alias("wanted_id"))
+    lines = d.select(F.when(F.col("doc_id") % 11 == 0, "not json").when(F.col("doc_id") % 13 == 0, F.concat(F.lit('{"entity_id": "'), F.repeat(F.lit("x"), 60_000), F.lit('"}'))).otherwise(F.to_json(card)).alias("value"))
+    lines.write.text(folder)
+    return catalog.read_cards(spark, folder).select("entity_id", "status", F.size("capabilities").alias("n_capabilities"), F.col("metadata.framework").alias("framework"))
+
+
+def results_by_date(spark, sf_dir):
+    """Ranked results of two days, the first of which was written again."""
+    ranked, path = cosine_topk(spark, sf_dir), new_folder(spark, "results")
+    for day, rows in (("2024-01-01", ranked), ("2024-01-02", ranked), ("2024-01-01", ranked.where("rank = 1"))):
+        catalog.write_results(rows, path, day)
+    return spark.read.parquet(path).select("query", "doc", "sim", "rank", F.col("query_date").cast("string").alias("query_date"))
+
+
+def named_embedder(spark, sf_dir):
+    """Vectors of all documents by the embedder that is registered as hash."""
+    made = V.embedder("hash", dims=384)(F.col("text"))
+    out = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(made).alias("slot", "value"))
+    return out.where("value <> 0").select("doc_id", "slot", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 def name_availability(spark, sf_dir):
     """Which handles are free, and who holds the others."""
     req = _t(spark, sf_dir, "customer").select(F.concat(F.lit("dev-"), F.col("c_custkey") % 60).alias("developer_handle")).distinct()
@@ -713,9 +749,11 @@ def registry_tokens(spark, sf_dir):
 
 
 def bloom_filters(spark, sf_dir):
-    """Set bits of each registry's filter after packing it and reading it back."""
+    """Set bits of each registry's filter after writing it and reading it back."""
     built = routing.bloom_build(_registry_items(spark, sf_dir), _M, _K)
-    back = routing.unpack_filters(routing.pack_filters(built))
+    path = new_folder(spark, "filters")
+    built.write.parquet(path)
+    back = routing.unpack_filters(spark.read.parquet(path))
     return back.groupBy("registry").agg(F.count(F.lit(1)).alias("bits_set"), F.sum("pos").alias("pos_sum"))
 
 
@@ -758,7 +796,7 @@ def entity_ids(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_fielded_topk, phrase_bonus, corpus_statistics, index_update, stored_index_topk, cosine_topk, cosine_by_label, token_hash_vectors, hybrid_weighted, hybrid_rrf, candidates_dedupe, merge_hits,
     search_page, default_page, search_plan, search_plan_fielded, vector_functions, query_hashes, handle_filter, keyword_filter, remote_keyword_filter, any_tag_filter, capability_filter, facets, catalog_counts, list_page, entity_patch, request_defaults, validate_entities,
-    validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, name_availability, name_conflicts,
+    validate_developers, validate_handles, parse_fqan, txt_records, names_join, resolve_name, resolve_fqan, lookup_entity, registration_check, registration_insert, catalog_inserts, cards_read, results_by_date, named_embedder, name_availability, name_conflicts,
     developer_entities, names_by_host, latest_version, version_history, announce_dedupe, announce_forward, announce_route, announce_authorize, entity_state, expire_tombstones, developer_state,
     name_state, proof_state, stream_entities, stream_developers, stream_names, stream_proofs, stream_tiers, stream_activity, stream_dedupe, stream_became_active, record_expiry, heartbeats_in_skew, liveness_sweep, active_sessions, became_active, over_limit, activity_hourly, latency_summary, reputation, entity_trust,
     verification_tiers, registry_tokens, bloom_filters, bloom_match, registry_routing, federated_topk, advanced_tokens, entity_ids,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,10 +93,14 @@ def hashed_vectors(docs: DataFrame, id_col: str, text: Column, dims: int = 384)
     return _hashed(docs, id_col, text, dims, False)
 
 
-def _fnv1a(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+def fnv1a(words: list[bytes]) -> np.ndarray:
+    """The 64-bit FNV-1a hashes of words, byte place by byte place for all words together."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+    h = np.full(len(words), 0xCBF29CE484222325, np.uint64)
+    for i in range(int(lengths.max(initial=0))):
+        longer = np.flatnonzero(lengths > i)
+        h[longer] = (h[longer] ^ data[start[longer] + i]) * np.uint64(0x100000001B3)
     return h
 
 
@@ -115,16 +120,20 @@ def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = []
-            for value in texts:
-                v = np.zeros(dims, np.float32)
+            counts: Counter[tuple[int, str]] = Counter()
+            for row, value in enumerate(texts):
                 words = _tokens(value or "")
-                for w, x in [(w, 1.0) for w in words] + [(f"{a}_{b}", 0.5) for a, b in zip(words, words[1:], strict=False)]:
-                    h = _fnv1a(w.encode())
-                    v[h % dims] += x if h & 1 else -x
-                norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-                out.append((v / norm if norm else v).astype(np.float32))
-            yield pd.Series(out)
+                # twice the weight, so that it is a whole number
+                counts.update({(row, w): 2 * n for w, n in Counter(words).items()})
+                counts.update({(row, w): n for w, n in Counter(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)).items()})
+            distinct = list({w for _, w in counts})
+            h = dict(zip(distinct, fnv1a([w.encode() for w in distinct]).tolist()))
+            v = np.zeros((len(texts), dims))
+            for (row, w), n in counts.items():
+                v[row, h[w] % dims] += n / 2 if h[w] & 1 else -n / 2
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+            yield pd.Series(list(v.astype(np.float32)))
 
     return embed
 
