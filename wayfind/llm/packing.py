@@ -28,7 +28,7 @@ SLICE_BYTES = 1 << 22
 #: ones, go to the library itself.
 _PLAIN = re.compile("[ \n][\x00-ɏ]{0,200}[!-~]")
 #: Chunks and characters that a worker remembers before it begins anew.
-_KEPT_CHUNKS, _KEPT_CHARS = 1 << 20, 1 << 24
+_KEPT_CHUNKS, _KEPT_CHARS = 1 << 19, 1 << 23
 #: Documents and gaps of a range: at least and at most about so many rows.
 _LEAST_ROWS, _MOST_ROWS = 20_000, 250_000
 
