@@ -109,3 +109,12 @@ def test_transitions_and_timers(spark, tmp_path):
     assert {int(r["signature"]) for r in batch} == {i for _, _, i in active}
     # silence is told by a later heartbeat or, where none comes, by the timer
     assert {(e, at) for e, x, at, _ in got if x == "became_inactive"} == {("a", 400), ("a", 701), ("b", 350), ("z", 9300)}
+
+
+def test_keys_of_one_bucket_do_not_mix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 1)
+    for test in (test_dedupe_keeps_what_batch_keeps, test_transitions_and_timers):
+        (tmp_path / test.__name__).mkdir()
+        test(spark, tmp_path / test.__name__)
+    with pytest.MonkeyPatch.context() as patch:
+        test_all_six_types_over_restarts(spark, tmp_path, patch)
