@@ -259,3 +259,18 @@ def test_filters_are_probed_in_parts_and_hot_tokens_are_dealt_out(spark, monkeyp
                 want[r["query"], g] = want.get((r["query"], g), 0) + 1
     assert got == want
     assert routing.bloom_match(tokens.limit(0), filters_, m, k).count() == 0 and routing.bloom_match(tokens, filters_.limit(0), m, k).count() == 0
+
+
+def test_conflicts_of_one_name_are_many_tasks(spark, monkeypatch):
+    held = spark.range(60).select(F.lit("h").alias("developer_handle"), F.when(F.col("id") < 50, "n").otherwise("m").alias("entity_name"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("public_key"))
+    asked = spark.range(40).select("id", F.lit("h").alias("handle"), F.lit("n").alias("name"), F.concat(F.lit("k"), F.col("id") % 2).alias("public_key")).coalesce(1)
+    plain = asked.join(held.select(F.col("developer_handle").alias("handle"), F.col("entity_name").alias("name"), F.col("public_key").alias("held_by")), ["handle", "name"]).where("held_by <> public_key")
+    want = sorted((r["id"], r["public_key"], r["held_by"]) for r in plain.collect())
+    for rows in (100_000, 0):
+        monkeypatch.setattr(names, "COPIES", 5)
+        monkeypatch.setattr(names, "SMALL_ROWS", rows)
+        got = names.name_conflicts(asked, held)
+        assert sorted((r["id"], r["public_key"], r["held_by"]) for r in got.collect()) == want
+        assert got.columns == plain.columns
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(tasks) > 1

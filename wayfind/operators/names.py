@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators.sizes import SMALL_ROWS, cut
+
+#: Conflicts of a name are made in tasks of about so many rows, in so many tasks at most; a row stands for so many equal names at most.
+PART_PAIRS, MOST_PARTS, COPIES = 1 << 22, 4096, 1 << 12
+#: Tasks that the requests for one name go to where the names are too many to be sent out.
+SALTS = 16
+
 
 def one_name_per_entity(names: DataFrame) -> DataFrame:
     """The first registered name of each entity, ties by name."""
@@ -80,9 +87,29 @@ def availability(requests: DataFrame, taken: DataFrame, on: list[str], existing:
 
 
 def name_conflicts(requests: DataFrame, names: DataFrame) -> DataFrame:
-    """Requests for a (handle, name) that another public key holds."""
+    """Requests for a (handle, name) that another public key holds, once for each time that it is held.
+
+    Names are counted by key first, and requests are dealt out by how many rows they give in all, so a name that many ask for
+    and many hold is not one task. Runs jobs while it is put together.
+    """
     held = names.select(F.col("developer_handle").alias("handle"), F.col("entity_name").alias("name"), F.col("public_key").alias("held_by"))
-    return requests.join(held, ["handle", "name"]).where(F.col("held_by") != F.col("public_key"))
+    times = cut(held.groupBy("handle", "name", "held_by").agg(F.count(F.lit(1)).alias("__n")))
+    asked = requests.groupBy("handle", "name", "public_key").agg(F.count(F.lit(1)).alias("__r"))
+    pairs = asked.join(times, ["handle", "name"]).where(F.col("held_by") != F.col("public_key"))
+    made = pairs.agg(F.sum((F.col("__r") * F.col("__n")).cast("decimal(38,0)"))).first()[0] or 0
+    parts = min(MOST_PARTS, max(requests.sparkSession.sparkContext.defaultParallelism, -(-int(made) // PART_PAIRS)))
+    # of a name with more copies each range of COPIES is a row, so no row holds them all
+    copies = times.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))))
+    spread = F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES), F.col("__n") - F.col("__from")).cast("int")))
+    dealt = requests.repartition(parts)
+    if copies.count() > SMALL_ROWS:
+        # too many to send out: salted, so that the requests for one name stand in many tasks
+        dealt = requests.withColumn("__salt", F.pmod(F.xxhash64(*requests.columns), F.lit(SALTS)).cast("int"))
+        copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.join(copies.repartition(parts, "handle", "name", "__salt"), ["handle", "name", "__salt"]).drop("__salt")
+    else:
+        met = dealt.join(F.broadcast(copies), ["handle", "name"])
+    return met.where(F.col("held_by") != F.col("public_key")).withColumn("__copy", spread).drop("__n", "__from", "__copy")
 
 
 def entities_by_developer(entities: DataFrame, developers: DataFrame, limit: int = 20, offset: int = 0, newest: str = "updated_at") -> DataFrame:
