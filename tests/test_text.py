@@ -87,3 +87,30 @@ def test_hash_embedder(spark):
         vectors.embedder("nope")
     with pytest.raises(ValueError, match="dims"):
         vectors.embedder("hash", dims=0)
+
+
+def test_hash_embedder_takes_texts_together(spark, monkeypatch):
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a-bc--de_f x _ -- q-r aa-bb", None, "", "İstanbul KELVINK ßab", "same same same_same", "äb cd\tef\n\n-gh-", "x" * 3000 + " yy", "-", "ab"]
+
+    def plain(text):
+        words = []
+        for run in re.findall("[a-z0-9_-]{2,}", (text or "").lower()):
+            words += [run, *(p for p in re.split("[-_]", run) if len(p) >= 2 and p != run)]
+        v = np.zeros(48)
+        for w, n in [(w, 1.0) for w in words] + [(f"{a}_{b}", 0.5) for a, b in zip(words, words[1:])]:
+            h = int(vectors.fnv1a([w.encode()])[0])
+            v[h % 48] += n if h & 1 else -n
+        return v / (np.linalg.norm(v) or 1.0)
+
+    want = np.array([plain(t) for t in texts])
+    assert np.allclose(vectors._embedded(pa.array(texts), 48), want)
+    assert not len(vectors._embedded(pa.array([], pa.string()), 48))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    monkeypatch.setattr(vectors, "EMBED_CHARS", 20)
+    got = np.array([r.v for r in df.select("i", vectors.embedder("hash", dims=48)(F.col("t")).alias("v")).orderBy("i").collect()])
+    assert np.allclose(got, want, atol=1e-6)

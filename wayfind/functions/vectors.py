@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,23 +90,76 @@ def hashed_vectors(docs: DataFrame, id_col: str, text: Column, dims: int = 384)
     return _hashed(docs, id_col, text, dims, False)
 
 
+_BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
+def _mixed(h: np.ndarray, data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """FNV-1a hashes h carried on over so many bytes of data each, byte place by byte place for all together."""
+    order = np.argsort(-lengths, kind="stable")
+    h, start, ends = h[order], start[order], np.sort(lengths)
+    for i in range(int(lengths.max(initial=0))):
+        n = len(ends) - int(np.searchsorted(ends, i, side="right"))
+        h[:n] = (h[:n] ^ data[start[:n] + i]) * _PRIME
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def fnv1a(words: list[bytes]) -> np.ndarray:
     """The 64-bit FNV-1a hashes of words, byte place by byte place for all words together."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
-    h = np.full(len(words), 0xCBF29CE484222325, np.uint64)
-    for i in range(int(lengths.max(initial=0))):
-        longer = np.flatnonzero(lengths > i)
-        h[longer] = (h[longer] ^ data[start[longer] + i]) * np.uint64(0x100000001B3)
-    return h
-
-
-def _tokens(text: str) -> list[str]:
-    """tokenize_basic on one text: Spark runs no Python function over a higher-order one."""
-    out = []
-    for run in re.findall("[a-z0-9_-]{2,}", text.lower()):
-        out += [run, *(p for p in re.split("[-_]", run) if len(p) >= 2 and p != run)]
-    return out
+    return _mixed(np.full(len(words), _BASIS, np.uint64), data, start, lengths)
+
+
+#: Characters that an embedder's task takes at once, unless one text has more.
+EMBED_CHARS = 1 << 21
+
+
+def _tokens(texts: pa.Array) -> pa.Array:
+    """tokenize_basic on many texts at once, as lists: Spark runs no Python function over a higher-order one."""
+    pc = pa.compute
+    # the one letter whose lower case, as Spark has it, is an ASCII letter and something else
+    plain = pc.utf8_lower(pc.replace_substring(pc.fill_null(texts, ""), "\u0130", "i\u0307"))
+    runs = pc.split_pattern_regex(plain, "[^a-z0-9_-]+")
+    row, word = pc.list_parent_indices(runs).to_numpy(), pc.list_flatten(runs)
+    keep = pc.greater_equal(pc.binary_length(word), 2)
+    row, word = row[keep.to_numpy(zero_copy_only=False)], word.filter(keep)
+    # the parts of compound words come after each
+    at = np.flatnonzero(pc.match_substring_regex(word, "[-_]").to_numpy(zero_copy_only=False))
+    if len(at):
+        compound = word.take(pa.array(at))
+        pieces = pc.split_pattern_regex(compound, "[-_]")
+        owner, piece = pc.list_parent_indices(pieces).to_numpy(), pc.list_flatten(pieces)
+        long = np.flatnonzero(pc.greater_equal(pc.binary_length(piece), 2).to_numpy(zero_copy_only=False))
+        place = np.concatenate([np.arange(len(word)), at[owner[long]]])
+        order = np.argsort(place, kind="stable")
+        row, word = row[place[order]], pa.concat_arrays([word, piece.take(pa.array(long))]).take(pa.array(order))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), word)
+
+
+def _embedded(texts: pa.Array, dims: int) -> np.ndarray:
+    """The unit vectors of texts, a row each."""
+    lists = _tokens(texts)
+    coded = lists.values.dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    lengths = pa.compute.binary_length(words).to_numpy().astype(np.int64)
+    start = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    own = _mixed(np.full(len(words), _BASIS, np.uint64), data, start, lengths)
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    near = np.flatnonzero(row[1:] == row[:-1])
+    pairs, pair = np.unique(code[near] * len(words) + code[near + 1], return_inverse=True)
+    first, second = (pairs // len(words), pairs % len(words)) if len(pairs) else (pairs, pairs)
+    joined = _mixed((own[first] ^ np.uint64(ord("_"))) * _PRIME, data, start[second], lengths[second])
+    # multiples of a half: sums are exact in any order
+    h = np.concatenate([own[code], joined[pair]])
+    value = np.where(h & np.uint64(1), 1.0, -1.0) * np.repeat([1.0, 0.5], [len(code), len(pair)])
+    at = np.concatenate([row, row[near]]) * dims + (h % np.uint64(dims)).astype(np.int64)
+    v = np.bincount(at, value, len(texts) * dims).astype(np.float64).reshape(len(texts), dims)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
 def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
@@ -117,23 +167,18 @@ def hash_embedder(dims: int = 384) -> Callable[[Column], Column]:
     if dims <= 0:
         raise ValueError("dims must be positive")
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            counts: Counter[tuple[int, str]] = Counter()
-            for row, value in enumerate(texts):
-                words = _tokens(value or "")
-                # twice the weight, so that it is a whole number
-                counts.update({(row, w): 2 * n for w, n in Counter(words).items()})
-                counts.update({(row, w): n for w, n in Counter(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)).items()})
-            distinct = list({w for _, w in counts})
-            h = dict(zip(distinct, fnv1a([w.encode() for w in distinct]).tolist()))
-            v = np.zeros((len(texts), dims))
-            for (row, w), n in counts.items():
-                v[row, h[w] % dims] += n / 2 if h[w] & 1 else -n / 2
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-            yield pd.Series(list(v.astype(np.float32)))
+            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            parts, at = [], 0
+            while at < len(texts) or not parts:
+                passed = size[at - 1] if at else 0
+                end = max(at + 1, min(at + VECTOR_ROWS, int(np.searchsorted(size, passed + EMBED_CHARS, side="right"))))
+                made = _embedded(texts.slice(at, end - at), dims).astype(np.float32)
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * dims), pa.array(made.reshape(-1))))
+                at = end
+            yield pa.concat_arrays(parts)
 
     return embed
 
