@@ -274,3 +274,15 @@ def test_conflicts_of_one_name_are_many_tasks(spark, monkeypatch):
         assert got.columns == plain.columns
         tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert len(tasks) > 1
+
+
+def test_attestations_take_as_many_tasks_as_rows_want(spark, monkeypatch):
+    from wayfind import catalog_queries
+    from wayfind.operators import sizes
+
+    monkeypatch.setattr(sizes, "TASK_ROWS", 500)
+    made = catalog_queries._attestations(spark, "/root/testdata/sf0.001")
+    n = sizes.tasks_for(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    assert n > 8
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n}), REPARTITION_BY_NUM") == 2

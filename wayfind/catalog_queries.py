@@ -15,7 +15,7 @@ from wayfind.functions import text as T
 from wayfind.functions import vectors as V
 from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, segments, similarity, trust, validate
 from wayfind.operators.blocks import bm25, bm25_fielded_top, bm25_top, fielded_phrases_top
-from wayfind.operators.sizes import new_folder
+from wayfind.operators.sizes import new_folder, tasks_for
 from wayfind.plans import search as plan
 from wayfind.sources import catalog, streams
 from wayfind.streaming import folded, state
@@ -711,7 +711,10 @@ def _attestations(spark, sf_dir) -> DataFrame:
     l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    # as many tasks as the rows want: sorting for the joins then takes no more memory however large the tables are
+    own, n = tasks_for(o), tasks_for(l)
+    o = o.repartition(own, "o_custkey").join(c.repartition(own, "c_custkey"), o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
+    j = l.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), l.l_orderkey == o.o_orderkey)
     return j.groupBy(F.col("l_suppkey").alias("entity_id"), F.col("c_nationkey").alias("observer_registry")).agg(
         F.count(F.lit(1)).alias("invocations"), F.count_if(F.col("l_returnflag") != "R").alias("successes"), (F.avg("l_quantity") * 40).alias("avg_latency_ms"), (F.avg("l_discount") * 60).alias("avg_rating")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table joined by broadcast on our word has at most so many rows of a few short values.
 SMALL_ROWS = 100_000
+#: Large tables are dealt out for a join so that a task has about so many rows, whatever the session's number of partitions.
+TASK_ROWS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +38,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks a table is dealt out over, by a count of its rows; one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def in_turn(shared: list[Broadcast]):
     """One broadcast value after the other; of several, each leaves a worker's memory before the next one is read."""
     for each in shared:
