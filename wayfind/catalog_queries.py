@@ -15,7 +15,7 @@ from wayfind.functions import text as T
 from wayfind.functions import vectors as V
 from wayfind.operators import filters, index, liveness, metrics, names, rank, replication, retention, routing, segments, similarity, trust, validate
 from wayfind.operators.blocks import bm25, bm25_fielded_top, bm25_top, fielded_phrases_top
-from wayfind.operators.sizes import new_folder, tasks_for
+from wayfind.operators.sizes import beside, cut, new_folder, small, tasks_for
 from wayfind.plans import search as plan
 from wayfind.sources import catalog, streams
 from wayfind.streaming import folded, state
@@ -54,10 +54,6 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", F.col("text"), "doc_id", F.col("text"))
-
-
 def bm25_topk(spark, sf_dir):
     """BM25 top 10 of each benchmark item, by bounds over blocks of postings."""
     return bm25_top(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), 10, "item_id", F.col("text"), "doc_id", F.col("text"))
@@ -143,15 +139,20 @@ def _hash_similarity(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def _candidates(spark, sf_dir) -> DataFrame:
     """Scored candidates of each request, all keyword hits and the 50 nearest hashed vectors, with source, trust, freshness and
     availability."""
-    text = rank.normalise_by_max(_bm25_scores(spark, sf_dir).withColumnRenamed("score", "text"), "text")
-    d = _t(spark, sf_dir, "documents")
-    near = _hash_similarity(_t(spark, sf_dir, "benchmark").select("item_id", "text"), d.select("doc_id", "text"), 50)
-    hits = plan.merge_hits(text, near).withColumn("text", F.round("text", 6))
+    b, d = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
     labels = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     source = F.when(F.substring_index("source", "src", -1).cast("int") % 2 == 0, "local").otherwise("remote")
     age = F.timestamp_micros(F.unix_micros(_as_of()) - F.col("n_chars") % 90 * F.lit(86_400_000_000))
-    known = d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), source.alias("source"), (F.col("quality") * 0.4 + 0.5).alias("trust"), rank.freshness(age, _as_of()).alias("freshness"))
-    return rank.source_defaults(hits.join(known, "doc"))
+    known = F.struct(F.col("doc_id").alias("doc"), source.alias("source"), (F.col("quality") * 0.4 + 0.5).alias("trust"), rank.freshness(age, _as_of()).alias("freshness"))
+    # what is known of a document goes with it into its block, so no pair has to be joined with it
+    told = d.join(labels, "doc_id", "left").select("doc_id", "text", known.alias("known"))
+    text = bm25(b, told, "item_id", F.col("text"), "known", F.col("text")).select("query", "doc.*", F.col("score").alias("text"))
+    near = cut(_hash_similarity(b.select("item_id", "text"), d.select("doc_id", "text"), 50)).select("query", "doc", "sim")
+    near = told.join(small(near), F.col("doc_id") == F.col("doc")).select("query", "doc", F.col("sim").alias("semantic"), F.col("known").alias("near"))
+    hits = beside(rank.normalise_by_max(text, "text"), near, ["query", "doc"])
+    own = {c: F.coalesce(c, f"near.{c}") for c in ("source", "trust", "freshness")}
+    scores = {"text": F.round(F.coalesce("text", F.lit(0.0)), 6), "semantic": F.coalesce("semantic", F.lit(0.0))}
+    return rank.source_defaults(hits.select("query", "doc", *[e.alias(c) for c, e in (scores | own).items()]))
 
 
 def hybrid_weighted(spark, sf_dir):
@@ -175,7 +176,7 @@ def candidates_dedupe(spark, sf_dir):
 def merge_hits(spark, sf_dir):
     """The 50 best keyword hits and the 50 best hashed-vector hits of each request side by side."""
     b, d = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
-    text = bm25_top(b, d, 50, "item_id", F.col("text"), "doc_id", F.col("text")).withColumnRenamed("score", "text")
+    text = cut(bm25_top(b, d, 50, "item_id", F.col("text"), "doc_id", F.col("text")).withColumnRenamed("score", "text"))
     return plan.merge_hits(text, _hash_similarity(b.select("item_id", "text"), d.select("doc_id", "text"), 50))
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators.sizes import cut, small
+
 RRF_K = 60.0
 DECAY = 0.023
 #: Order of sources where one entity comes from several.
@@ -43,9 +45,10 @@ def freshness(updated_at: Column, as_of: Column) -> Column:
 
 
 def normalise_by_max(df: DataFrame, score: str, query: str = "query") -> DataFrame:
-    """A query's scores over its best one, before any filter."""
-    best = F.max(score).over(Window.partitionBy(query))
-    return df.withColumn(score, F.when(best > 0, F.col(score) / best).otherwise(0.0))
+    """A query's scores over its best one, before any filter. The best ones are found in a job of their own, so scores are not shuffled."""
+    best = small(cut(df.groupBy(F.col(query).alias("__query")).agg(F.max(score).alias("__best"))))
+    out = df.join(best, F.col(query).eqNullSafe(F.col("__query")), "left")
+    return out.withColumn(score, F.when(F.col("__best") > 0, F.col(score) / F.col("__best")).otherwise(0.0)).drop("__query", "__best")
 
 
 def dedupe_candidates(df: DataFrame, query: str = "query", doc: str = "doc", score: str = "text") -> DataFrame:
@@ -94,7 +97,8 @@ def page(ranked: DataFrame, max_results: Column | int | None = None, offset: Col
     most = max_results if isinstance(max_results, Column) else F.lit(20 if max_results is None else max_results)
     most = F.coalesce(most, F.lit(20))
     start = offset if isinstance(offset, Column) else F.lit(offset)
-    n = F.count(F.lit(1)).over(Window.partitionBy(query))
-    out = ranked.withColumn("n_distinct", n).withColumn("has_more", F.col("n_distinct") > start + most)
-    out = out.where((F.col("rank") > start) & (F.col("rank") <= start + most))
+    # counted in a job of its own: then only the best rows of a query need to be shuffled for their ranks
+    n = small(cut(ranked.groupBy(F.col(query).alias("__query")).agg(F.count(F.lit(1)).alias("n_distinct"))))
+    out = ranked.where((F.col("rank") > start) & (F.col("rank") <= start + most)).join(n, F.col(query).eqNullSafe(F.col("__query"))).drop("__query")
+    out = out.withColumn("has_more", F.col("n_distinct") > start + most)
     return out.join(counts, query, "left") if counts is not None else out

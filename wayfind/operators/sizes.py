@@ -38,6 +38,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def beside(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """A full outer join with a table that is small as a rule: then no row of the large one is shuffled, but it is made twice.
+
+    Runs jobs while it is put together.
+    """
+    few = cut(few)
+    if few.count() > SMALL_ROWS:
+        return many.join(few, on, "full")
+    few = F.broadcast(few)
+    met = cut(many.select(*on).join(few.select(*on), on, "left_semi").distinct())
+    alone = few.join(F.broadcast(met), on, "left_anti")
+    return many.join(few, on, "left").unionByName(alone, allowMissingColumns=True)
+
+
 def tasks_for(df: DataFrame) -> int:
     """How many tasks a table is dealt out over, by a count of its rows; one for each core at least."""
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))

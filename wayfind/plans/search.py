@@ -20,7 +20,7 @@ from wayfind.operators.filters import equal_or_open, has_any_tag, min_score, not
 from wayfind.operators.index import token_rows, wanted_postings
 from wayfind.operators.liveness import availability_of
 from wayfind.operators.names import attach_names
-from wayfind.operators.sizes import cut, small
+from wayfind.operators.sizes import beside, cut, small
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ def text_hits(requests: DataFrame, entities: DataFrame, config: SearchConfig) ->
 
 
 def merge_hits(text: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Keyword and vector hits of each query side by side; a missing score is 0."""
-    both = text.join(semantic.select("query", "doc", F.col("sim").alias("semantic")), ["query", "doc"], "full")
+    """Keyword and vector hits of each query side by side; a missing score is 0. See sizes.beside: vector hits are few as a rule."""
+    both = beside(text, semantic.select("query", "doc", F.col("sim").alias("semantic")), ["query", "doc"])
     return both.select("query", "doc", F.coalesce("text", F.lit(0.0)).alias("text"), F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
 
 
@@ -83,6 +83,7 @@ def search(requests: DataFrame, sources: dict[str, DataFrame], semantic: Callabl
         best = K.rank_candidates(found, config.method, config.weights).join(requests.select(F.col("query_id").alias("query"), depth.alias("__depth")), "query")
         best = best.where(F.col("rank") <= F.col("__depth")).drop("__depth", "rank", "score")
         parts = best if parts is None else parts.unionByName(best)
+    parts = cut(parts)  # at most branch_depth rows a request and source, and used more than once
     counts = parts.groupBy("query").agg(F.count(F.lit(1)).alias("total_found"))
     ranked = K.rank_candidates(K.dedupe_candidates(parts), config.method, config.weights)
     ranked = min_score(ranked, config.min_score)
