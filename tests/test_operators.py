@@ -286,3 +286,18 @@ def test_attestations_take_as_many_tasks_as_rows_want(spark, monkeypatch):
     assert n > 8
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {n}), REPARTITION_BY_NUM") == 2
+
+
+def test_few_rows_beside_many(spark, monkeypatch):
+    from wayfind.operators import sizes
+
+    many = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.1), (None, 1, 0.2), (2, 1, 0.3)], "query int, doc int, text double")
+    few = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (None, 1, 0.7)], "query int, doc int, sim double")
+    want = {(1, 1, 0.5, None), (1, 2, 0.1, 0.9), (1, 3, None, 0.8), (None, 1, 0.2, None), (None, 1, None, 0.7), (2, 1, 0.3, None)}
+    for rows in (100_000, 0):
+        monkeypatch.setattr(sizes, "SMALL_ROWS", rows)
+        got = sizes.beside(many, few, ["query", "doc"]).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 6
+    best = rank.normalise_by_max(many, "text")
+    assert {tuple(r) for r in best.collect()} == {(1, 1, 1.0), (1, 2, 0.2), (None, 1, 1.0), (2, 1, 1.0)}
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
