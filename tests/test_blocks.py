@@ -148,3 +148,34 @@ def test_top_with_phrases(spark, small_blocks):
     bonus = bm25.phrase_hits(q, d, "q", F.col("t"), "id", fields["name"], fields["summary"], fields["category"], tags)
     want = bm25.top_k(bm25.with_phrases(plain_fielded(q, d, "q", F.col("t"), "id", fields), bonus), 6)
     same(blocks.fielded_phrases_top(q, d, 6, "q", F.col("t"), "id", fields, tags), want)
+
+
+def test_phrases_do_not_bring_scored_pairs_of_other_documents(spark, small_blocks, monkeypatch):
+    """Every document shares a word with the request; only those with its phrase are scored whole, and few rows leave the blocks."""
+    monkeypatch.setattr(blocks, "every_score", lambda *a: pytest.fail("every pair was scored"))
+    d = spark.createDataFrame([(i, f"common word{i} " + ("rare pair" if i % 40 == 3 else "pair rare")) for i in range(300)], "id long, t string")
+    q = spark.createDataFrame([(1, 'common "rare pair"'), (2, '"of the" "y of t"'), (3, '"pair rare" "pair rare"')], "q long, t string")
+    d = d.unionByName(spark.createDataFrame([(900, "of the of the"), (901, "say of them")], "id long, t string"))
+    fields = {"name": F.lit(None).cast("string"), "tags": F.lit(None).cast("string"), "category": F.lit(None).cast("string"), "summary": F.col("t")}
+    none = F.lit(None).cast("array<string>")
+    bonus = bm25.phrase_hits(q, d, "q", F.col("t"), "id", fields["name"], fields["summary"], fields["category"], none)
+    want = bm25.top_k(bm25.with_phrases(plain_fielded(q, d, "q", F.col("t"), "id", fields), bonus), 5)
+    same(blocks.fielded_phrases_top(q, d, 5, "q", F.col("t"), "id", fields, none), want)
+
+
+def test_finder_in_slices(monkeypatch):
+    """Phrases at any place, with letters of several bytes, in texts that are searched a few bytes at a time."""
+    import random
+
+    import pyarrow as pa
+
+    from wayfind.functions import phrases
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab é日 ") for _ in range(n))
+    for size in [1, 30, 1 << 20] * 10:
+        monkeypatch.setattr(phrases, "SLICE", size)
+        texts = [word(rng.randint(0, 40)) if rng.random() < 0.9 else None for _ in range(25)]
+        wanted = sorted({word(rng.randint(1, 12)) for _ in range(20)})
+        row, at = phrases.Finder(wanted).find(pa.array(["a"] * 2 + texts).slice(2))
+        assert sorted(zip(row.tolist(), at.tolist())) == [(i, j) for i, t in enumerate(texts) if t for j, p in enumerate(wanted) if p in t]

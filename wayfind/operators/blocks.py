@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfind.functions import text as T
-from wayfind.operators.bm25 import B, BOOSTS, K1, idf, phrase_hits, query_terms, top_k
-from wayfind.operators.sizes import cut, small
+from wayfind.operators.bm25 import B, BOOSTS, K1, PHRASE_BONUS, found_phrases, idf, phrase_parts, phrase_rows, query_terms, searched_texts, top_k
+from wayfind.operators.sizes import cut
 
 #: A block ends after so many documents, or after the document that brings it to so many tokens.
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
@@ -47,6 +47,10 @@ def block_schema(kind: str) -> str:
     return f"docs array<{kind}>, lengths array<int>, field array<int>, term array<long>, start array<int>, ord array<int>, tf array<int>"
 
 
+#: What a block of documents that were searched for phrases has besides: each meeting's phrase, and the place of its document.
+_MET = "phrase array<long>, phrase_at array<int>"
+
+
 def _lists(values: np.ndarray, rows: np.ndarray, fields: np.ndarray) -> dict[str, np.ndarray]:
     """Postings sorted by field, term and document from one entry per token."""
     order = np.lexsort((rows, values, fields))
@@ -68,12 +72,14 @@ def _one_row(docs: pa.Array, lengths: np.ndarray, lists: dict[str, np.ndarray])
     return pa.RecordBatch.from_arrays(columns, names=["docs", "lengths", *_LISTS])
 
 
-def make_blocks(tokens: DataFrame, n_fields: int, wanted: Broadcast | None = None) -> DataFrame:
-    """Blocks of hashed_tokens rows. Given wanted term ids (sorted), only those are posted; lengths always count all tokens."""
+def make_blocks(tokens: DataFrame, n_fields: int, wanted: Broadcast | None = None, phrases: list[Broadcast] | None = None) -> DataFrame:
+    """Blocks of hashed_tokens rows. Given wanted term ids (sorted), only those are posted; lengths always count all tokens. Given
+    phrase_parts, the `texts` of the rows are searched for them."""
     kind = tokens.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = wanted.value if wanted is not None else None
+        search = found_phrases(phrases) if phrases is not None else None
         held: list[pa.RecordBatch] = []
         docs = size = 0
 
@@ -91,7 +97,12 @@ def make_blocks(tokens: DataFrame, n_fields: int, wanted: Broadcast | None = Non
                 lengths.append(own)
                 parts.append((values, at, np.full(len(values), f)))
             lists = _lists(*[np.concatenate(x) for x in zip(*parts)])
-            return _one_row(rows.column("doc").chunk(0), np.concatenate(lengths), lists)
+            made = _one_row(rows.column("doc").chunk(0), np.concatenate(lengths), lists)
+            if search is None:
+                return made
+            at, met = search(rows.column("texts").chunk(0))
+            both = [pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), v) for v in (pa.array(met), pa.array(at.astype(np.int32)))]
+            return pa.RecordBatch.from_arrays([*made.columns, *both], names=[*made.schema.names, "phrase", "phrase_at"])
 
         for batch in batches:
             at = 0
@@ -108,7 +119,7 @@ def make_blocks(tokens: DataFrame, n_fields: int, wanted: Broadcast | None = Non
         if held:
             yield block()
 
-    return tokens.mapInArrow(run, block_schema(kind.simpleString()))
+    return tokens.mapInArrow(run, block_schema(kind.simpleString()) + (f", {_MET}" if phrases is not None else ""))
 
 
 class Block:
@@ -119,6 +130,8 @@ class Block:
         self.lengths = batch.column("lengths")[row].values.to_numpy().reshape(n_fields, len(self.docs))
         self.field, self.term, self.start, self.ord, self.tf = (batch.column(c)[row].values.to_numpy() for c in _LISTS)
         self.n = len(self.docs)
+        searched = "phrase" in batch.schema.names
+        self.phrase, self.phrase_at = (batch.column(c)[row].values.to_numpy() if searched else np.zeros(0, np.int64) for c in ("phrase", "phrase_at"))
         self.live = np.ones(self.n, bool)
         names = batch.schema.names
         gone = batch.column("gone")[row].values if "gone" in names else None
@@ -160,9 +173,10 @@ def block_statistics(blocks: DataFrame, n_fields: int, wanted: Broadcast | None
 
 
 class _Requests:
-    """Weighted terms of a part of the requests, sorted by request."""
+    """Weighted terms of a part of the requests, sorted by request, and (phrase, request, bonus) of what they quote, sorted by phrase."""
 
-    def __init__(self, ids: list, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, averages: list[float], boosts: list[float]) -> None:
+    def __init__(self, ids: list, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, averages: list[float], boosts: list[float], quoted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        self.quoted = quoted
         self.ids, self.first, self.terms, self.weights = ids, first, terms, weights
         self.averages, self.boosts = averages, boosts
         self.least = np.zeros(len(ids))
@@ -246,6 +260,25 @@ class _Scorer:
             kept = np.flatnonzero(scores)
         return kept, scores[kept]
 
+    def with_phrases(self, requests: _Requests) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By request: the documents with a phrase that it quotes, in ascending order, and their whole scores with the bonus."""
+        if requests.quoted is None or not len(self.block.phrase):
+            return {}
+        quoted, request, bonus = requests.quoted
+        low, high = (np.searchsorted(quoted, self.block.phrase, side=s) for s in ("left", "right"))
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair, place = np.unique(request[at] * self.block.n + np.repeat(self.block.phrase_at, n), return_inverse=True)
+        more, own = np.bincount(place, bonus[at], minlength=len(pair)), pair // self.block.n
+        heads, out = np.flatnonzero(np.diff(own, prepend=-1)), {}
+        for q, docs, add in zip(own[heads].tolist(), np.split(pair % self.block.n, heads[1:]), np.split(more, heads[1:])):
+            scores = np.zeros(self.block.n)
+            lists, weights, _ = self.own(q)
+            for a, w in zip(lists.tolist(), weights.tolist()):
+                self.add(scores, a, w, docs)
+            out[q] = docs, scores[docs] + add
+        return out
+
 
 def bounded_scores(blocks: DataFrame, requests: _Requests, k: int, query_kind, doc_kind, digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
     """(query, doc, score): of each block the k best documents of each request, or fewer where they cannot be among its k best of all.
@@ -280,8 +313,12 @@ def bounded_scores(blocks: DataFrame, requests: _Requests, k: int, query_kind, d
         for scorer in opened(batches):
             docs, by_id = scorer.block.docs, None
             request, place, value = [], [], []
-            for q in scorer.open(floor, slack).tolist():
+            bonus, reached = scorer.with_phrases(shared.value), scorer.open(floor, slack).tolist()
+            for q in [*reached, *(bonus.keys() - set(reached))]:
                 at, scores = scorer.best(q, floor[q] - slack)
+                if q in bonus:
+                    plain = ~np.isin(at, bonus[q][0])
+                    at, scores = np.concatenate([at[plain], bonus[q][0]]), np.concatenate([scores[plain], bonus[q][1]])
                 if scored is not None:
                     scored.add(len(at))
                 if len(at) > k:
@@ -318,22 +355,35 @@ def every_score(blocks: DataFrame, requests: _Requests, query_kind, doc_kind) ->
     return blocks.mapInArrow(run, f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
 
 
-def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: list[float], boosts: list[float]) -> Iterator[_Requests]:
-    """The weighted terms of (query, term, qtf) rows, PART_TERMS at a time."""
+def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: list[float], boosts: list[float], phrases: DataFrame | None = None) -> Iterator[_Requests]:
+    """The weighted terms of (query, term, qtf) rows, PART_TERMS at a time, with the phrases of these queries as phrase_rows gives them."""
     weights = cut(terms.withColumn("id", term_id(F.col("term"))).join(df, "id").select("query", "id", (F.col("qtf") * idf(F.lit(float(n_docs)), F.col("df"))).alias("w")))
+    if phrases is not None:
+        quoted = phrases.groupBy("query", "id").agg((F.count(F.lit(1)) * PHRASE_BONUS).alias("w"))
+        weights = cut(weights.withColumn("quoted", F.lit(False)).unionByName(quoted.withColumn("quoted", F.lit(True))))
     parts = max(1, -(-weights.count() // PART_TERMS))
     for p in range(parts):
         part = weights.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).orderBy("query", "id").toArrow()  # about PART_TERMS rows
         query = part.column("query").combine_chunks().dictionary_encode(null_encoding="encode") if part.num_rows else None
         if query is not None:
             query = query.combine_chunks() if isinstance(query, pa.ChunkedArray) else query
-            codes = query.indices.to_numpy()
-            yield _Requests(query.dictionary.to_pylist(), np.append(np.flatnonzero(np.diff(codes, prepend=-1)), len(codes)), part.column("id").to_numpy(), part.column("w").to_numpy(), averages, boosts)
-
-
-def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int | None, doc_kind, boosts: list[float], digits: int = 6, wanted: Broadcast | None = None, scored: Accumulator | None = None) -> DataFrame:
+            names, codes = query.dictionary.to_pylist(), query.indices.to_numpy().astype(np.int64)
+            ids, w, by_phrase = part.column("id").to_numpy(), part.column("w").to_numpy(), None
+            if phrases is not None:
+                met = part.column("quoted").to_numpy()
+                # null ids are not equal, here as in a join: their phrases are hits of their own
+                codes[met & np.array([n is None for n in names])[codes]] = len(names)
+                names.append(None)
+                order = np.argsort(ids[met], kind="stable")
+                by_phrase = ids[met][order], codes[met][order], w[met][order]
+                codes, ids, w = codes[~met], ids[~met], w[~met]
+            n = np.bincount(codes, minlength=len(names))
+            yield _Requests(names, np.append(0, np.cumsum(n)), ids, w, averages, boosts, by_phrase)
+
+
+def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int | None, doc_kind, boosts: list[float], digits: int = 6, wanted: Broadcast | None = None, scored: Accumulator | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank): the k best documents for (query, term, qtf) rows, or without k the scores of all that share a term
-    with them. Statistics are those of all blocks."""
+    with them. Statistics are those of all blocks. phrases (with k): phrase_rows of the queries, which add their bonus."""
     n = len(boosts)
     counted = cut(block_statistics(blocks, n, wanted).groupBy("term").agg(F.sum("n").alias("df"), *[F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(n)]))
     whole = counted.where("term is null").first()
@@ -342,7 +392,7 @@ def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int | None, doc_kind,
     averages = [float(whole[f"t{i}"]) / n_docs or 1.0 if n_docs else 1.0 for i in range(n)]
     found = terms.sparkSession.createDataFrame([], f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
     df = counted.where("term is not null").select(F.col("term").alias("id"), "df")
-    for requests in parts_of_requests(terms, df, n_docs, averages, boosts):
+    for requests in parts_of_requests(terms, df, n_docs, averages, boosts, phrases):
         more = every_score(blocks, requests, query_kind, doc_kind) if k is None else bounded_scores(blocks, requests, k, query_kind, doc_kind, digits, scored)
         found = found.unionByName(more)
     return found if k is None else top_k(found, k, digits=digits)
@@ -392,19 +442,13 @@ def bm25_fielded_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str,
 def fielded_phrases_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tags: Column, tokenizer: Callable[[Column], Column] = T.tokenize_advanced, boosts: dict[str, float] = BOOSTS, digits: int = 6) -> DataFrame:
     """(query, doc, score, rank): the k best documents with the bonus of quoted phrases; a phrase alone is a hit.
 
-    A document without a phrase is among the k best only if it is among the k best by its terms. So these are found by bounds, and
-    only documents with a phrase have their scores looked up.
+    Documents are searched for phrases where they become blocks, so a block knows which documents get a bonus: these are scored whole, the
+    others by bounds, and at most k rows per request and block are shuffled.
     """
-    terms = cut(query_terms(queries, query_id, query_text, tokenizer))
-    blocks = cut(make_blocks(hashed_tokens(docs, doc_id, fields, tokenizer), len(fields), wanted_ids(terms)))
-    kind, weights = docs.schema[doc_id].dataType, [boosts[f] for f in fields]
-    bonus = cut(phrase_hits(queries, docs, query_id, query_text, doc_id, fields["name"], fields["summary"], fields["category"], tags))
-    plain = top_of_blocks(blocks, terms, k, kind, weights, digits).select("query", "doc", "score")
-    scored = top_of_blocks(blocks, terms, None, kind, weights).join(small(bonus), ["query", "doc"])
-    with_both = cut(scored.select("query", "doc", (F.col("score") + F.col("bonus")).alias("score")))
-    alone = bonus.join(with_both, ["query", "doc"], "left_anti").select("query", "doc", F.col("bonus").alias("score"))
-    others = plain.join(bonus, ["query", "doc"], "left_anti")
-    return top_k(others.unionByName(with_both).unionByName(alone), k, digits=digits)
+    terms, phrases = cut(query_terms(queries, query_id, query_text, tokenizer)), cut(phrase_rows(queries, query_id, query_text))
+    told = docs.withColumn("texts", searched_texts(fields["name"], fields["summary"], fields["category"], tags))
+    blocks = cut(make_blocks(hashed_tokens(told, doc_id, fields, tokenizer, "texts"), len(fields), wanted_ids(terms), phrase_parts(phrases)))
+    return top_of_blocks(blocks, terms, k, docs.schema[doc_id].dataType, [boosts[f] for f in fields], digits, phrases=phrases)
 
 
 def keyword_engine(kind: str):
