@@ -118,3 +118,16 @@ def test_keys_of_one_bucket_do_not_mix(spark, tmp_path, monkeypatch):
         test(spark, tmp_path / test.__name__)
     with pytest.MonkeyPatch.context() as patch:
         test_all_six_types_over_restarts(spark, tmp_path, patch)
+
+
+def test_without_entities_the_stream_is_read_once_and_has_no_state(spark, tmp_path):
+    at, types = str(tmp_path), ["name_binding", "registry_proof"]
+    rows = [r for batch in BATCHES for r in batch]
+    streams.encode_envelopes(frame(spark, rows).coalesce(1), "gossip_announce").write.text(f"{at}/in")
+    query = folded.start(streams.announcements(spark, f"{at}/in"), f"{at}/state", f"{at}/check", f"{at}/activity", names=["remote_names", "registry_proofs"], types=types)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"] == [] and len(query.lastProgress["sources"]) == 1
+    held = folded.State(spark, f"{at}/state")
+    assert by_key(held.read("remote_names"), "fqan", "entity_id", "version", "tombstoned") == {("h/d/n",): ("a", "1", True)}
+    assert by_key(held.read("registry_proofs"), "registry_id", "domain", "proof_json") == {("r",): ("y.example", None)}
+    assert {r["type"]: r["count"] for r in spark.read.parquet(f"{at}/activity").groupBy("type").count().collect()} == {"name_binding_bind": 1, "name_binding_release": 1, "registry_proof_announce": 2}

@@ -536,9 +536,10 @@ def _in_turn(rows: DataFrame, folder: str, run, by: Column, parts: int = 3) -> N
 
 
 def _folded(spark, rows: DataFrame, *names: str) -> folded.State:
-    """The tables that a stream of announcements leaves."""
+    """The tables that a stream of their announcements leaves."""
     folder = new_folder(spark, "stream")
-    _in_turn(rows, folder, lambda: folded.start(streams.announcements(spark, f"{folder}/in"), f"{folder}/state", f"{folder}/check", f"{folder}/activity", signed=False, names=list(names)), F.col("seq"))
+    types = [t for n in names for t in folded.TABLES[n].types]
+    _in_turn(rows, folder, lambda: folded.start(streams.announcements(spark, f"{folder}/in"), f"{folder}/state", f"{folder}/check", f"{folder}/activity", signed=False, names=list(names), types=types), F.col("seq"))
     return folded.State(spark, f"{folder}/state")
 
 
