@@ -131,3 +131,13 @@ def test_without_entities_the_stream_is_read_once_and_has_no_state(spark, tmp_pa
     assert by_key(held.read("remote_names"), "fqan", "entity_id", "version", "tombstoned") == {("h/d/n",): ("a", "1", True)}
     assert by_key(held.read("registry_proofs"), "registry_id", "domain", "proof_json") == {("r",): ("y.example", None)}
     assert {r["type"]: r["count"] for r in spark.read.parquet(f"{at}/activity").groupBy("type").count().collect()} == {"name_binding_bind": 1, "name_binding_release": 1, "registry_proof_announce": 2}
+
+
+def test_developer_rows_parse_the_text_of_an_event_once(spark, tmp_path):
+    from wayfind import catalog_queries
+
+    spark.createDataFrame([(1, 2, '{"k": 3}')], "event_id long, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalog_queries._developer_rows(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+    (got,) = rows.collect()
+    assert (got["seq"], got["type"], got["action"], got["dev_handle"]) == (1, "dev_handle", "verify", "h3")
