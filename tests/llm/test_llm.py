@@ -528,6 +528,21 @@ def test_lines_odd(spark):
     assert line_dedup.line_table(docs(spark, [])).count() == 0
 
 
+def test_lines_long_lists_and_many_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG_LIST", 3)
+    rnd = random.Random(8)
+    base = [[f"r{i}x{j}" for j in range(n)] for i, n in enumerate([20, 130])]
+    rows = [(d, " ".join([*rnd.sample(b, len(b) - rnd.randrange(len(b) // 5)), f"own{d}"]), "en", "s") for d, b in enumerate(base * 6)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == kept_lines([(d, t) for d, t, *_ in rows])
+
+
+def test_lines_kept_texts_are_not_shuffled(spark):
+    out = line_dedup.dedup_lines(docs(spark, [(1, "a b c", "en", "s"), (2, "a b c\nd e", "en", "s"), (3, "f g", "en", "s")]))
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["text"], r["removed"]) for r in out.collect()} == {1: ("a b c", []), 2: ("d e", [0]), 3: ("f g", [])}
+
+
 # language
 
 
