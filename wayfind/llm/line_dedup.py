@@ -10,7 +10,7 @@ match goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.support import cut, maybe_in, with_maybe
@@ -176,19 +176,18 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     same = ["id", "n", "b1", "b2"]
     groups = lines.groupBy(*same).agg(F.min(_at()).alias("first"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
     groups = _stored(groups.select("first.doc", "first.place", *same, "prefix", "copies"), "sets")
-    if groups.isEmpty():  # no metric would be observed
-        return docs.select("doc", F.lit(0).alias("line")).limit(0)
     posts = groups.select(*_AT, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "word"))
     # nothing is null here; as it is said before the exchange, both sides of the join share one
     posts = posts.where(" and ".join(f"{c} is not null" for c in posts.columns)).repartition("word")
-    counted, longest = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("word"))), Observation()
+    counted = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("word")))
     # the smaller set by its short prefix, the larger one by its long one; of equal sizes the earlier one counts as smaller
-    short = counted.observe(longest, F.max("m").alias("m")).where((F.col("m") <= LONG_LIST) & ((100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n")))
+    short = counted.where((F.col("m") <= LONG_LIST) & ((100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n")))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (_at("a_") < _at("b_")))
     met = _side(short, "a_").join(_side(posts, "b_"), "word").where(smaller & _may_match("a_", "b_", percent) & (_at("a_") != _at("b_")))
     found = _verified(_stored(_pairs(met, "a_", "b_", _at("a_") < _at("b_")), "pairs"), docs, table, percent)
-    if (longest.get["m"] or 0) > LONG_LIST:
-        found = _long_lists(_stored(counted.where(F.col("m") > LONG_LIST).drop("m"), "posts"), found, docs, table, percent)
+    crowded = _stored(counted.where(F.col("m") > LONG_LIST).drop("m"), "posts")
+    if not crowded.isEmpty():
+        found = _long_lists(crowded, found, docs, table, percent)
     # only lines of sets that occur again or have a match are brought together
     gone = found.where("ok").select(*_AT, "id").distinct().withColumn("gone", F.lit(True))
     heads = groups.select(*_AT, *same, "copies").join(gone, [*_AT, "id"], "left").where("copies > 1 or gone")
