@@ -134,6 +134,7 @@ class Block:
         self.phrase, self.phrase_at = (batch.column(c)[row].values.to_numpy() if searched else np.zeros(0, np.int64) for c in ("phrase", "phrase_at"))
         self.live = np.ones(self.n, bool)
         names = batch.schema.names
+        self.base, self.key = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) if c in names else None for c in ("base", "key"))
         gone = batch.column("gone")[row].values if "gone" in names else None
         if gone is not None and len(gone):
             self.live[gone.to_numpy()] = False
@@ -173,10 +174,13 @@ def block_statistics(blocks: DataFrame, n_fields: int, wanted: Broadcast | None
 
 
 class _Requests:
-    """Weighted terms of a part of the requests, sorted by request, and (phrase, request, bonus) of what they quote, sorted by phrase."""
+    """Weighted terms of a part of the requests, sorted by request, and (phrase, request, bonus) of what they quote, sorted by phrase.
 
-    def __init__(self, ids: list, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, averages: list[float], boosts: list[float], quoted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
-        self.quoted = quoted
+    near: (document key, request) of documents that are wanted whatever they score, sorted by key; depth: how many each request wants.
+    """
+
+    def __init__(self, ids: list, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, averages: list[float], boosts: list[float], quoted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, near: tuple[np.ndarray, np.ndarray] | None = None, depth: np.ndarray | None = None) -> None:
+        self.quoted, self.near, self.depth = quoted, near, depth
         self.ids, self.first, self.terms, self.weights = ids, first, terms, weights
         self.averages, self.boosts = averages, boosts
         self.least = np.zeros(len(ids))
@@ -260,6 +264,27 @@ class _Scorer:
             kept = np.flatnonzero(scores)
         return kept, scores[kept]
 
+    def of(self, request: int, docs: np.ndarray) -> np.ndarray:
+        """The whole scores of some documents (in ascending order)."""
+        scores = np.zeros(self.block.n)
+        lists, weights, _ = self.own(request)
+        for at, w in zip(lists.tolist(), weights.tolist()):
+            self.add(scores, at, w, docs)
+        return scores[docs]
+
+    def near(self, requests: _Requests) -> dict[int, np.ndarray]:
+        """By request: its near documents in this block, in ascending order."""
+        if requests.near is None:
+            return {}
+        key, request = requests.near
+        low, high = (np.searchsorted(key, self.block.key, side=s) for s in ("left", "right"))
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.unique(request[at] * self.block.n + np.repeat(np.arange(self.block.n), n))
+        own = pair // self.block.n
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        return dict(zip(own[heads].tolist(), np.split(pair % self.block.n, heads[1:])))
+
     def with_phrases(self, requests: _Requests) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By request: the documents with a phrase that it quotes, in ascending order, and their whole scores with the bonus."""
         if requests.quoted is None or not len(self.block.phrase):
@@ -272,13 +297,17 @@ class _Scorer:
         more, own = np.bincount(place, bonus[at], minlength=len(pair)), pair // self.block.n
         heads, out = np.flatnonzero(np.diff(own, prepend=-1)), {}
         for q, docs, add in zip(own[heads].tolist(), np.split(pair % self.block.n, heads[1:]), np.split(more, heads[1:])):
-            scores = np.zeros(self.block.n)
-            lists, weights, _ = self.own(q)
-            for a, w in zip(lists.tolist(), weights.tolist()):
-                self.add(scores, a, w, docs)
-            out[q] = docs, scores[docs] + add
+            out[q] = docs, self.of(q, docs) + add
         return out
 
+    def reached(self, request: int, least: float, bonus: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """As best, and the documents with a phrase, for which `bonus` has their scores."""
+        at, scores = self.best(request, least)
+        if request in bonus:
+            plain = ~np.isin(at, bonus[request][0])
+            at, scores = np.concatenate([at[plain], bonus[request][0]]), np.concatenate([scores[plain], bonus[request][1]])
+        return at, scores
+
 
 def bounded_scores(blocks: DataFrame, requests: _Requests, k: int, query_kind, doc_kind, digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
     """(query, doc, score): of each block the k best documents of each request, or fewer where they cannot be among its k best of all.
@@ -315,10 +344,7 @@ def bounded_scores(blocks: DataFrame, requests: _Requests, k: int, query_kind, d
             request, place, value = [], [], []
             bonus, reached = scorer.with_phrases(shared.value), scorer.open(floor, slack).tolist()
             for q in [*reached, *(bonus.keys() - set(reached))]:
-                at, scores = scorer.best(q, floor[q] - slack)
-                if q in bonus:
-                    plain = ~np.isin(at, bonus[q][0])
-                    at, scores = np.concatenate([at[plain], bonus[q][0]]), np.concatenate([scores[plain], bonus[q][1]])
+                at, scores = scorer.reached(q, floor[q] - slack, bonus)
                 if scored is not None:
                     scored.add(len(at))
                 if len(at) > k:
@@ -355,12 +381,24 @@ def every_score(blocks: DataFrame, requests: _Requests, query_kind, doc_kind) ->
     return blocks.mapInArrow(run, f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
 
 
-def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: list[float], boosts: list[float], phrases: DataFrame | None = None) -> Iterator[_Requests]:
-    """The weighted terms of (query, term, qtf) rows, PART_TERMS at a time, with the phrases of these queries as phrase_rows gives them."""
-    weights = cut(terms.withColumn("id", term_id(F.col("term"))).join(df, "id").select("query", "id", (F.col("qtf") * idf(F.lit(float(n_docs)), F.col("df"))).alias("w")))
+#: What the rows of a part of the requests are.
+_TERM, _PHRASE, _NEAR, _DEPTH = range(4)
+
+
+def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: list[float], boosts: list[float], phrases: DataFrame | None = None, near: DataFrame | None = None, depths: DataFrame | None = None) -> Iterator[_Requests]:
+    """The weighted terms of (query, term, qtf) rows, PART_TERMS at a time, with the phrases of these queries as phrase_rows gives them,
+    their near documents (query, key) and how many they want (query, depth)."""
+    weights = cut(terms.withColumn("id", term_id(F.col("term"))).join(df, "id").select("query", "id", (F.col("qtf") * idf(F.lit(float(n_docs)), F.col("df"))).alias("w"), F.lit(_TERM).alias("kind")))
+    more = []
     if phrases is not None:
-        quoted = phrases.groupBy("query", "id").agg((F.count(F.lit(1)) * PHRASE_BONUS).alias("w"))
-        weights = cut(weights.withColumn("quoted", F.lit(False)).unionByName(quoted.withColumn("quoted", F.lit(True))))
+        more.append(phrases.groupBy("query", "id").agg((F.count(F.lit(1)) * PHRASE_BONUS).alias("w"), F.lit(_PHRASE).alias("kind")))
+    if near is not None:
+        more.append(near.select("query", F.col("key").alias("id"), F.lit(0.0).alias("w"), F.lit(_NEAR).alias("kind")))
+    if depths is not None:
+        more.append(depths.select("query", F.col("depth").cast("long").alias("id"), F.lit(0.0).alias("w"), F.lit(_DEPTH).alias("kind")))
+    for rows in more:
+        weights = weights.unionByName(rows)
+    weights = cut(weights) if more else weights
     parts = max(1, -(-weights.count() // PART_TERMS))
     for p in range(parts):
         part = weights.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).orderBy("query", "id").toArrow()  # about PART_TERMS rows
@@ -368,36 +406,143 @@ def parts_of_requests(terms: DataFrame, df: DataFrame, n_docs: int, averages: li
         if query is not None:
             query = query.combine_chunks() if isinstance(query, pa.ChunkedArray) else query
             names, codes = query.dictionary.to_pylist(), query.indices.to_numpy().astype(np.int64)
-            ids, w, by_phrase = part.column("id").to_numpy(), part.column("w").to_numpy(), None
+            ids, w, kind, by_phrase, by_key, depth = part.column("id").to_numpy(), part.column("w").to_numpy(), part.column("kind").to_numpy(), None, None, None
             if phrases is not None:
-                met = part.column("quoted").to_numpy()
+                met = kind == _PHRASE
                 # null ids are not equal, here as in a join: their phrases are hits of their own
                 codes[met & np.array([n is None for n in names])[codes]] = len(names)
                 names.append(None)
                 order = np.argsort(ids[met], kind="stable")
                 by_phrase = ids[met][order], codes[met][order], w[met][order]
-                codes, ids, w = codes[~met], ids[~met], w[~met]
+            if near is not None:
+                met = kind == _NEAR
+                order = np.argsort(ids[met], kind="stable")
+                by_key = ids[met][order], codes[met][order]
+            if depths is not None:
+                depth = np.zeros(len(names), np.int64)
+                depth[codes[kind == _DEPTH]] = ids[kind == _DEPTH]
+            met = kind == _TERM
+            codes, ids, w = codes[met], ids[met], w[met]
             n = np.bincount(codes, minlength=len(names))
-            yield _Requests(names, np.append(0, np.cumsum(n)), ids, w, averages, boosts, by_phrase)
+            yield _Requests(names, np.append(0, np.cumsum(n)), ids, w, averages, boosts, by_phrase, by_key, depth)
+
+
+def counted_blocks(blocks: DataFrame, n_fields: int, wanted: Broadcast | None) -> tuple[DataFrame, int, list[float]]:
+    """(id, df) of the terms, the number of documents and each field's average length."""
+    counted = cut(block_statistics(blocks, n_fields, wanted).groupBy("term").agg(F.sum("n").alias("df"), *[F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(n_fields)]))
+    whole = counted.where("term is null").first()
+    n_docs = whole["df"] if whole else 0
+    averages = [float(whole[f"t{i}"]) / n_docs or 1.0 if n_docs else 1.0 for i in range(n_fields)]
+    return counted.where("term is not null").select(F.col("term").alias("id"), "df"), n_docs, averages
 
 
 def top_of_blocks(blocks: DataFrame, terms: DataFrame, k: int | None, doc_kind, boosts: list[float], digits: int = 6, wanted: Broadcast | None = None, scored: Accumulator | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank): the k best documents for (query, term, qtf) rows, or without k the scores of all that share a term
     with them. Statistics are those of all blocks. phrases (with k): phrase_rows of the queries, which add their bonus."""
-    n = len(boosts)
-    counted = cut(block_statistics(blocks, n, wanted).groupBy("term").agg(F.sum("n").alias("df"), *[F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(n)]))
-    whole = counted.where("term is null").first()
     query_kind = terms.schema["query"].dataType
-    n_docs = whole["df"] if whole else 0
-    averages = [float(whole[f"t{i}"]) / n_docs or 1.0 if n_docs else 1.0 for i in range(n)]
+    df, n_docs, averages = counted_blocks(blocks, len(boosts), wanted)
     found = terms.sparkSession.createDataFrame([], f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}, score double")
-    df = counted.where("term is not null").select(F.col("term").alias("id"), "df")
     for requests in parts_of_requests(terms, df, n_docs, averages, boosts, phrases):
         more = every_score(blocks, requests, query_kind, doc_kind) if k is None else bounded_scores(blocks, requests, k, query_kind, doc_kind, digits, scored)
         found = found.unionByName(more)
     return found if k is None else top_k(found, k, digits=digits)
 
 
+def mixed_scores(blocks: DataFrame, requests: _Requests, passing: Callable[[DataFrame], DataFrame], weight: float, query_kind, doc_kind, digits: int = 6) -> DataFrame:
+    """(query, doc, text): every pair that may be among a request's `depth` best that pass, and its near ones, with its score over the
+    request's best one of all.
+
+    Pairs are compared by weight * text + the block's `base` of the document, as rounded; what a near pair has on top of that is not negative. passing
+    leaves out rows of (query, doc, value) that don't pass. A first pass finds each request's best score, a second one a value that `depth`
+    passing pairs reach, from twice as many of each block. The third one gives the pairs from there on, or all where too few have passed.
+    """
+    context, slack, n = blocks.sparkSession.sparkContext, 10.0**-digits, len(requests.ids)
+    n_fields = len(requests.averages)
+    shared, names = context.broadcast(requests), pa.array(requests.ids, to_arrow_type(query_kind))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[_Scorer]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _Scorer(Block(batch, row, n_fields), shared.value)
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros(n)
+        for scorer in opened(batches):
+            bonus, reached = scorer.with_phrases(shared.value), scorer.open(most, slack).tolist()
+            for q in [*reached, *(bonus.keys() - set(reached))]:
+                most[q] = max(most[q], scorer.reached(q, most[q] - slack, bonus)[1].max(initial=0.0))
+        met = np.flatnonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(most[met])], names=["request", "score"])
+
+    top = np.zeros(n)
+    for r in blocks.mapInArrow(highest, "request long, score double").groupBy("request").agg(F.max("score").alias("score")).collect():  # a number for each request of this part
+        top[r["request"]] = r["score"]
+    best = context.broadcast(np.maximum(top, np.finfo(float).tiny))
+
+    def values(scorer: _Scorer, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Request, documents that may reach its floor, their scores over the best one, and what they are compared by."""
+        highest, base = best.value, scorer.block.base
+        bonus, reached = scorer.with_phrases(shared.value), scorer.open(np.zeros(n), slack)
+        least = (floor - base.max(initial=0.0) - slack) / weight * highest if weight > 0 else np.full(n, -np.inf)
+        for q in dict.fromkeys([*reached[scorer.reach[reached] >= least[reached] - slack].tolist(), *bonus]):
+            at, scores = scorer.reached(q, least[q] - slack, bonus)
+            text = scores / highest[q]
+            value = weight * text + base[at]
+            keep = value >= floor[q] - slack
+            if keep.any():
+                yield q, at[keep], text[keep], value[keep]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor, depth = np.full(n, -np.inf), shared.value.depth
+        for scorer in opened(batches):
+            request, place, value = [], [], []
+            for q, at, _, v in values(scorer, floor):
+                if len(at) > 2 * depth[q]:
+                    some = np.argsort(-v, kind="stable")[: 2 * depth[q]]
+                    at, v = at[some], v[some]
+                if len(at) == 2 * depth[q]:
+                    floor[q] = max(floor[q], v.min())
+                request.append(np.full(len(at), q))
+                place.append(at)
+                value.append(v)
+            if request:
+                request = pa.array(np.concatenate(request))
+                yield pa.RecordBatch.from_arrays([request, names.take(request), scorer.block.docs.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(value))], names=["request", "query", "doc", "value"])
+
+    kinds = f"query {query_kind.simpleString()}, doc {doc_kind.simpleString()}"
+    found = passing(blocks.mapInArrow(first, f"request long, {kinds}, value double")).select("request", F.col("value").alias("score"), F.lit(0).alias("doc"))
+    floor, depth = np.full(n, -np.inf), requests.depth
+    ranked = top_k(found, int(depth.max(initial=0)), "request", digits=12)
+    own = blocks.sparkSession.createDataFrame(pa.table({"request": np.arange(n), "depth": depth}))
+    for r in ranked.join(F.broadcast(own), "request").where(F.col("rank") == F.col("depth")).select("request", "score").collect():  # a number for each request of this part
+        floor[r["request"]] = r["score"]
+    known = context.broadcast(floor)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for scorer in opened(batches):
+            near, phrases = scorer.near(shared.value), None
+            request, place, value = [], [], []
+            for q, at, text, _ in values(scorer, known.value - slack):
+                request.append(np.full(len(at), q))
+                place.append(at)
+                value.append(text)
+                if q in near:
+                    near[q] = np.setdiff1d(near[q], at)
+            for q, at in near.items():
+                phrases = scorer.with_phrases(shared.value) if phrases is None else phrases
+                scores = np.zeros(scorer.block.n)
+                scores[at] = scorer.of(q, at)
+                if q in phrases:
+                    scores[phrases[q][0]] = phrases[q][1]
+                request.append(np.full(len(at), q))
+                place.append(at)
+                value.append(scores[at] / best.value[q])
+            if request:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(request))), scorer.block.docs.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(value))], names=["query", "doc", "text"])
+
+    return blocks.mapInArrow(last, f"{kinds}, text double")
+
+
 def wanted_ids(terms: DataFrame) -> Broadcast | None:
     """The sorted ids of all terms of the requests, or None if they are too many to send."""
     ids = cut(terms.select(term_id(F.col("term")).alias("id")).distinct())
@@ -406,9 +551,18 @@ def wanted_ids(terms: DataFrame) -> Broadcast | None:
     return terms.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy()))
 
 
-def _retrieved(queries: DataFrame, docs: DataFrame, k: int | None, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column], boosts: dict[str, float], digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
+def blocks_for(queries: DataFrame, docs: DataFrame, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column], tags: Column | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The queries' terms, their phrases where `tags` is given, and the documents' blocks, which then were searched for these."""
     terms = cut(query_terms(queries, query_id, query_text, tokenizer))
-    blocks = cut(make_blocks(hashed_tokens(docs, doc_id, fields, tokenizer), len(fields), wanted_ids(terms)))
+    if tags is None:
+        return terms, None, cut(make_blocks(hashed_tokens(docs, doc_id, fields, tokenizer), len(fields), wanted_ids(terms)))
+    phrases = cut(phrase_rows(queries, query_id, query_text))
+    told = docs.withColumn("texts", searched_texts(fields["name"], fields["summary"], fields["category"], tags))
+    return terms, phrases, cut(make_blocks(hashed_tokens(told, doc_id, fields, tokenizer, "texts"), len(fields), wanted_ids(terms), phrase_parts(phrases)))
+
+
+def _retrieved(queries: DataFrame, docs: DataFrame, k: int | None, query_id: str, query_text: Column, doc_id: str, fields: dict[str, Column], tokenizer: Callable[[Column], Column], boosts: dict[str, float], digits: int = 6, scored: Accumulator | None = None) -> DataFrame:
+    terms, _, blocks = blocks_for(queries, docs, query_id, query_text, doc_id, fields, tokenizer)
     return top_of_blocks(blocks, terms, k, docs.schema[doc_id].dataType, [boosts[f] for f in fields], digits, scored=scored)
 
 
@@ -445,9 +599,7 @@ def fielded_phrases_top(queries: DataFrame, docs: DataFrame, k: int, query_id: s
     Documents are searched for phrases where they become blocks, so a block knows which documents get a bonus: these are scored whole, the
     others by bounds, and at most k rows per request and block are shuffled.
     """
-    terms, phrases = cut(query_terms(queries, query_id, query_text, tokenizer)), cut(phrase_rows(queries, query_id, query_text))
-    told = docs.withColumn("texts", searched_texts(fields["name"], fields["summary"], fields["category"], tags))
-    blocks = cut(make_blocks(hashed_tokens(told, doc_id, fields, tokenizer, "texts"), len(fields), wanted_ids(terms), phrase_parts(phrases)))
+    terms, phrases, blocks = blocks_for(queries, docs, query_id, query_text, doc_id, fields, tokenizer, tags)
     return top_of_blocks(blocks, terms, k, docs.schema[doc_id].dataType, [boosts[f] for f in fields], digits, phrases=phrases)
 
 

@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.functions.text import embedding_text, tokenize_basic
+from wayfind.functions.text import embedding_text, tokenize_advanced, tokenize_basic
 from wayfind.operators import rank as K
-from wayfind.operators.blocks import bm25, bm25_fielded, keyword_engine
-from wayfind.operators.bm25 import idf, phrase_hits, query_terms, saturation, top_k, with_phrases
+from wayfind.operators.blocks import bm25, bm25_fielded, blocks_for, counted_blocks, keyword_engine, mixed_scores, parts_of_requests
+from wayfind.operators.bm25 import BOOSTS, idf, phrase_hits, query_terms, saturation, top_k, with_phrases
 from wayfind.operators.filters import equal_or_open, has_any_tag, min_score, not_inactive
 from wayfind.operators.index import token_rows, wanted_postings
 from wayfind.operators.liveness import availability_of
@@ -32,15 +32,21 @@ class SearchConfig:
     enrich_top: int = 10
 
 
+def _text() -> Column:
+    return F.concat_ws(" ", embedding_text(F.col("name"), F.col("summary"), F.col("tags")), "category")
+
+
+def _fields() -> dict[str, Column]:
+    return {"name": F.col("name"), "tags": F.array_join("tags", " "), "category": F.col("category"), "summary": F.col("summary")}
+
+
 def text_hits(requests: DataFrame, entities: DataFrame, config: SearchConfig) -> DataFrame:
     """(query, doc, text): normalised keyword scores of all hits."""
     keyword_engine(config.engine)
-    text = embedding_text(F.col("name"), F.col("summary"), F.col("tags"))
     if config.engine == "basic":
-        scores = bm25(requests, entities, "query_id", F.col("query"), "entity_id", F.concat_ws(" ", text, "category"))
+        scores = bm25(requests, entities, "query_id", F.col("query"), "entity_id", _text())
     else:
-        fields = {"name": F.col("name"), "tags": F.array_join("tags", " "), "category": F.col("category"), "summary": F.col("summary")}
-        scores = bm25_fielded(requests, entities, "query_id", F.col("query"), "entity_id", fields)
+        scores = bm25_fielded(requests, entities, "query_id", F.col("query"), "entity_id", _fields())
         scores = with_phrases(scores, phrase_hits(requests, entities, "query_id", F.col("query"), "entity_id", F.col("name"), F.col("summary"), F.col("category"), F.col("tags")))
     return K.normalise_by_max(scores.withColumnRenamed("score", "text"), "text")
 
@@ -60,27 +66,109 @@ def request_filters() -> Column:
     )
 
 
+#: What filters and ranks need of an entity, and what only the rows of a page show.
+_RANKED, _SHOWN = ("category", "tags", "developer_id", "entity_type", "status"), ("name", "category", "tags", "summary", "home_registry", "status", "developer_id", "entity_type")
+
+
+def _ranked_by(as_of: Column) -> Column:
+    return F.struct(F.col("entity_id").alias("doc"), *_RANKED, K.freshness(F.col("updated_at"), as_of).alias("freshness"))
+
+
 def candidates(requests: DataFrame, entities: DataFrame, hits: DataFrame, source: str, as_of: Column, trust: DataFrame | None = None) -> DataFrame:
-    """Hits with their entity's columns after the request's filters; hits without an entity go."""
-    out = hits.alias("h").join(entities.alias("e"), F.col("h.doc") == F.col("e.entity_id")).join(requests.alias("r"), F.col("h.query") == F.col("r.query_id")).where(request_filters())
-    out = out.select("h.query", "h.doc", "h.text", "h.semantic", F.lit(source).alias("source"), "e.name", "e.category", "e.tags", "e.summary", "e.home_registry", "e.status", "e.developer_id", "e.entity_type", K.freshness(F.col("e.updated_at"), as_of).alias("freshness"))
+    """(query, doc, text, semantic, source, freshness, trust, availability) of hits after the request's filters; hits without an entity go."""
+    out = hits.alias("h").join(entities.select("entity_id", _ranked_by(as_of).alias("e")), F.col("h.doc") == F.col("entity_id")).join(requests.alias("r"), F.col("h.query") == F.col("r.query_id")).where(request_filters())
+    out = out.select("h.query", "h.doc", "h.text", "h.semantic", F.lit(source).alias("source"), "e.freshness")
     if trust is not None:
         out = out.join(trust.select(F.col("entity_id").alias("doc"), "trust"), "doc", "left")
     return K.source_defaults(out)
 
 
+def _with_trust(blocks: DataFrame, trust: DataFrame) -> DataFrame:
+    """Blocks whose documents have their trust beside them. Texts are not shuffled for it, only ids and postings."""
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+    placed = blocks.select("block", F.posexplode("docs").alias("ord", "e")).withColumn("entity_id", F.col("e.doc"))
+    told = placed.join(trust.select("entity_id", "trust"), "entity_id", "left").select("block", F.struct("ord", F.struct("e.*", "trust").alias("e")).alias("at"))
+    docs = told.groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("at")).select("block", F.col("at.e").alias("docs"))
+    return cut(blocks.drop("docs").join(docs, "block").drop("block"))
+
+
+def best_candidates(requests: DataFrame, entities: DataFrame, near: DataFrame, source: str, as_of: Column, trust: DataFrame | None = None, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """The rows of `candidates` that may be among a request's branch_depth best by the weighted sum, and some others.
+
+    near: (query, doc, sim). What filters and weights need of an entity goes with it into its block of postings, so neither texts nor scored
+    pairs are shuffled. Runs jobs while it is put together.
+    """
+    keyword_engine(config.engine)
+    w, basic = config.weights, config.engine == "basic"
+    requests = requests.where(F.col("query_id").isNotNull())
+    told = entities.select("*", _ranked_by(as_of).alias("e"))
+    fields, tags, tokenizer = ({"text": _text()}, None, tokenize_basic) if basic else (_fields(), F.col("tags"), tokenize_advanced)
+    terms, phrases, blocks = blocks_for(requests, told, "query_id", F.col("query"), "e", fields, tokenizer, tags)
+    blocks = blocks if trust is None else _with_trust(blocks, trust)
+    kind = blocks.schema["docs"].dataType.elementType
+
+    def base(e: Column) -> Column:
+        own = F.lit(K.TRUST[source]) if trust is None else F.coalesce(e["trust"], F.lit(K.TRUST[source]))
+        return w.trust * own + w.freshness * e["freshness"] + F.lit(w.availability * K.AVAILABILITY[source])
+
+    blocks = blocks.withColumns({"base": F.transform("docs", base), "key": F.transform("docs", lambda e: F.xxhash64(e["doc"]))})
+    near = cut(near.select("query", F.col("doc").cast(kind["doc"].dataType).alias("doc"), "sim"))
+    keys = near.select("query", F.xxhash64("doc").alias("key"))
+    depths = requests.select(F.col("query_id").alias("query"), _depth().alias("depth"))
+    wanted = small(cut(requests.select("query_id", "category", "tags", "developer_id", "entity_type"))).alias("r")
+
+    def passing(rows: DataFrame) -> DataFrame:
+        named = rows.withColumnRenamed("doc", "e").where(F.col("e.doc").isNotNull())
+        met = named.join(wanted, F.col("query") == F.col("r.query_id")).where(request_filters())
+        return met.select(*[F.col("e").alias(c) if c == "doc" else F.col(c) for c in rows.columns])
+
+    boosts = [1.0 if basic else BOOSTS[f] for f in fields]
+    df, n_docs, averages = counted_blocks(blocks, len(fields), None)
+    query_kind, found = terms.schema["query"].dataType, None
+    for part in parts_of_requests(terms, df, n_docs, averages, boosts, phrases, keys, depths):
+        more = mixed_scores(blocks, part, passing, w.text, query_kind, kind)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = requests.sparkSession.createDataFrame([], f"query {query_kind.simpleString()}, doc {kind.simpleString()}, text double")
+    sims = small(near).select(F.col("query").alias("__query"), F.col("doc").alias("__doc"), F.col("sim").alias("__sim"))
+    out = passing(found).join(sims, (F.col("query") == F.col("__query")) & (F.col("doc.doc") == F.col("__doc")), "left").where("text > 0 or __sim is not null")
+    own = [] if trust is None else ["doc.trust"]
+    return K.source_defaults(out.select("query", "doc.doc", "text", F.coalesce("__sim", F.lit(0.0)).alias("semantic"), F.lit(source).alias("source"), "doc.freshness", *own))
+
+
+def _depth() -> Column:
+    return K.branch_depth(F.coalesce("max_results", F.lit(20)))
+
+
+def _shown(paged: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """The rows of the pages with what they show of their entities, whose texts are read for these rows only."""
+    paged = cut(paged)
+    ids = small(cut(paged.select("source", "doc").distinct()))
+    shown = None
+    for source, entities in sources.items():
+        own = entities.join(ids.where(F.col("source") == source), F.col("entity_id") == F.col("doc"), "left_semi").dropDuplicates(["entity_id"])
+        own = own.select(F.lit(source).alias("source"), F.col("entity_id").alias("doc"), *_SHOWN)
+        shown = own if shown is None else shown.unionByName(own)
+    return paged.join(shown, ["source", "doc"])
+
+
 def search(requests: DataFrame, sources: dict[str, DataFrame], semantic: Callable[[DataFrame, DataFrame], DataFrame], as_of: Column, names: DataFrame | None = None, cards: DataFrame | None = None, trust: DataFrame | None = None, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Ranked pages of all requests over the sources (local, remote, federated), each a catalog with its own statistics.
 
     semantic gives (query, doc, sim) for the requests and a source's entities. Each source hands on its best candidates per request,
-    at most branch_depth, chosen after the filters. total_found counts before candidates are made distinct.
+    at most branch_depth, chosen after the filters. total_found counts before candidates are made distinct. Runs jobs while it is put together.
     """
     parts = None
+    depths = requests.select(F.col("query_id").alias("query"), _depth().alias("__depth"))
+    deepest = depths.agg(F.max("__depth")).first()[0] or 0
     for source, entities in sources.items():
-        hits = merge_hits(text_hits(requests, entities, config), semantic(requests, entities))
-        found = candidates(requests, entities, hits, source, as_of, trust)
-        depth = K.branch_depth(F.coalesce("max_results", F.lit(20)))
-        best = K.rank_candidates(found, config.method, config.weights).join(requests.select(F.col("query_id").alias("query"), depth.alias("__depth")), "query")
+        if config.method == "rrf" or min(config.weights.semantic, config.weights.text) < 0:
+            hits = merge_hits(text_hits(requests, entities, config), semantic(requests, entities))
+            found = candidates(requests, entities, hits, source, as_of, trust)
+        else:
+            found = best_candidates(requests, entities, semantic(requests, entities), source, as_of, trust, config)
+        # by a number first: then only the best rows of a request are shuffled
+        best = K.rank_candidates(found, config.method, config.weights).where(F.col("rank") <= deepest).join(depths, "query")
         best = best.where(F.col("rank") <= F.col("__depth")).drop("__depth", "rank", "score")
         parts = best if parts is None else parts.unionByName(best)
     parts = cut(parts)  # at most branch_depth rows a request and source, and used more than once
@@ -89,6 +177,7 @@ def search(requests: DataFrame, sources: dict[str, DataFrame], semantic: Callabl
     ranked = min_score(ranked, config.min_score)
     wanted = requests.select(F.col("query_id").alias("query"), "max_results", F.coalesce("offset", F.lit(0)).alias("offset"))
     paged = K.page(ranked.join(wanted, "query"), F.col("max_results"), F.col("offset"), counts=counts).drop("max_results", "offset")
+    paged = _shown(paged, sources)
     if cards is not None:
         shown = cards.select(F.col("entity_id").alias("doc"), availability_of(F.col("status")).alias("__live"))
         paged = paged.join(shown, "doc", "left").withColumn("availability", F.when(F.col("rank") <= config.enrich_top, F.coalesce("__live", "availability")).otherwise(F.col("availability"))).drop("__live")
