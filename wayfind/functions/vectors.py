@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,32 +38,92 @@ def pad_or_trim(v: Column, dims: int) -> Column:
 VECTOR_ROWS = 1024
 
 
-def _hash(word: Column) -> Column:
-    """The first 32 bits of a word's MD5."""
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+#: Hashes made at once, so that their words stay in a core's cache; the longest text that fits into one round of MD5.
+_MD5_ROWS, _MD5_BYTES = 8192, 55
+_MD5_TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(-1).astype(np.uint32)
+_MD5_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+
+
+def _md5_round(m: np.ndarray) -> np.ndarray:
+    """The first word of the MD5 of messages of one round, given as 16 rows of words."""
+    a, b, c, d = (np.full(m.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    some = m.any(axis=1)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _MD5_SINES[i]
+        if some[g]:
+            f += m[g]
+        turned = f << _MD5_TURNS[i]
+        turned |= f >> (32 - _MD5_TURNS[i])
+        turned += b
+        a, b, c, d = d, turned, b, c
+    return a + np.uint32(0x67452301)
+
+
+def md5_heads(data: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The first 32 bits of the MD5 of texts, each the parts (start, length in data) with a _ in between."""
+    n = len(parts[0][0])
+    size = sum(length for _, length in parts) + len(parts) - 1
+    out = np.empty(n, np.int64)
+    short = np.flatnonzero(size <= _MD5_BYTES)
+    for at in range(0, len(short), _MD5_ROWS):
+        own = short[at : at + _MD5_ROWS]
+        text, place = np.zeros(64 * len(own), np.uint8), 64 * np.arange(len(own))
+        for k, (start, length) in enumerate(parts):
+            if k:
+                text[place] = ord("_")
+                place = place + 1
+            count = length[own]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            text[np.repeat(place, count) + within] = data[np.repeat(start[own], count) + within]
+            place = place + count
+        text[place] = 0x80
+        words = text.view("<u4").reshape(-1, 16)
+        words[:, 14] = 8 * size[own]
+        out[own] = _md5_round(np.ascontiguousarray(words.T)).astype("<u4").view(">u4")
+    for i in np.flatnonzero(size > _MD5_BYTES).tolist():
+        text = b"_".join(data[start[i] : start[i] + length[i]].tobytes() for start, length in parts)
+        out[i] = int.from_bytes(hashlib.md5(text, usedforsecurity=False).digest()[:4], "big")
+    return out
 
 
 def _hashed(docs: DataFrame, id_col: str, text: Column, dims: int, entries: bool) -> DataFrame:
-    """(id, vector) for each row, where they are read: no token is shuffled. entries gives the sparse form, (slot, value) by slot."""
-    # an explode of one row: what follows refers to the tokens and does not make them again
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokenize_basic(text))).alias("t"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: _hash(F.concat_ws("_", F.element_at("t", i), F.element_at("t", i + 1))))
-    pairs = F.when(F.size("t") > 1, pair).otherwise(F.array().cast("array<long>"))
-    hashed = tokens.select("id", F.transform("t", _hash).alias("words"), pairs.alias("pairs"))
+    """(id, vector) for each row, where they are read: no token is shuffled. entries gives the sparse form, (slot, value) by slot.
+
+    A batch's different words and pairs are hashed once, all together in NumPy.
+    """
+    tokens = docs.select(F.col(id_col).alias("id"), tokenize_basic(text).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def sums(column: pa.Array, weight: float) -> np.ndarray:
-        counts = np.diff(column.offsets.to_numpy())
-        h = column.flatten().to_numpy()
-        rows = np.repeat(np.arange(len(counts)), counts)
-        return np.bincount(rows * dims + h % dims, np.where(h % 2 == 0, -weight, weight), len(counts) * dims).reshape(len(counts), dims)
+    def sums(column: pa.Array) -> np.ndarray:
+        coded = column.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary())
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] else np.zeros(0, np.uint8)
+        start, length = ends[:-1], np.diff(ends)
+        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        near = np.flatnonzero(row[1:] == row[:-1])
+        pairs, pair = np.unique(code[near] * len(words) + code[near + 1], return_inverse=True)
+        first, second = (pairs // len(words), pairs % len(words)) if len(pairs) else (pairs, pairs)
+        own, both = md5_heads(data, [(start, length)]), md5_heads(data, [(start[first], length[first]), (start[second], length[second])])
+        # multiples of a half: sums are exact in any order
+        h = np.concatenate([own[code], both[pair]])
+        value = np.where(h % 2 == 0, -1.0, 1.0) * np.repeat([1.0, 0.5], [len(code), len(pair)])
+        return np.bincount(np.concatenate([row, row[near]]) * dims + h % dims, value, len(column) * dims).reshape(len(column), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, VECTOR_ROWS):
                 part = batch.slice(at, VECTOR_ROWS)
-                # multiples of a half: sums are exact in any order
-                x = sums(part.column(1), 1.0) + sums(part.column(2), 0.5)
+                x = sums(part.column(1))
                 norm = np.sqrt((x * x).sum(axis=1))
                 live = np.flatnonzero(norm)
                 x = x[live] / norm[live, None]
@@ -73,7 +135,7 @@ def _hashed(docs: DataFrame, id_col: str, text: Column, dims: int, entries: bool
                     values, offsets = pa.array(x.reshape(-1)), np.arange(len(live) + 1) * dims
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["id", "vector"])
 
-    return hashed.mapInArrow(run, f"id {kind}, vector array<{'struct<slot:int,value:double>' if entries else 'double'}>")
+    return tokens.mapInArrow(run, f"id {kind}, vector array<{'struct<slot:int,value:double>' if entries else 'double'}>")
 
 
 def hashed_slots(docs: DataFrame, id_col: str, text: Column, dims: int = 384) -> DataFrame:
