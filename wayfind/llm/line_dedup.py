@@ -10,10 +10,12 @@ match goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.support import cut, maybe_in, with_maybe
+from wayfind.llm.support import SMALL_ROWS, cut, maybe_in, with_maybe
 from wayfind.operators.sizes import new_folder
 
 #: Hash buckets of the rarity table: one byte each, held as a literal.
@@ -23,21 +25,25 @@ LONG_LIST = 1024
 STAR_ROUNDS = 2
 #: Sets of more words have 128 parity bits, others 64.
 FEW_WORDS = 100
+#: Posts to a task of the join, so that one side of them can be hashed in memory.
+TASK_POSTS = 1 << 19
+#: So many of a line's rarest words tell the first lines that it is compared with.
+STAR_WORDS = 2
 #: Added to the line numbers of a document without an id, so that these lines come last.
 _NO_ID = 1 << 40
 _AT = ("doc", "place")
 
 
 def _lower(text: Column) -> Column:
-    """The text in lower case with a blank for each other character between words but the line feed (replace is much faster than translate)."""
+    """The text in lower case with a blank for each other character between words but the line feed (replace searches much slower than contains)."""
     for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
+        text = F.when(F.contains(text, F.lit(c)), F.replace(text, F.lit(c), F.lit(" "))).otherwise(text)
     return F.lower(text)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, place, text in lower case) of each line; doc and place tell where it stands, and are never null."""
-    lines = docs.select("doc", F.posexplode(F.split(_lower(F.coalesce("text", F.lit(""))), "\n")).alias("place", "line"))
+    """(doc, place, line) of each line; doc and place tell where it stands, and are never null."""
+    lines = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
     place = F.col("place").cast("long") + F.when(F.col("doc").isNull(), F.lit(_NO_ID)).otherwise(F.lit(0))
     return lines.select(F.coalesce("doc", F.lit(0)).alias("doc"), place.alias("place"), "line")
 
@@ -53,7 +59,8 @@ def _bucket(word: Column) -> Column:
 
 def rarity_table(docs: DataFrame, text: str = "text") -> bytes:
     """A byte for each bucket: thrice the binary logarithm of how many words of all documents fall into it."""
-    words = docs.select(F.explode(F.split(F.replace(_lower(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).where("line <> ''")
+    words = lines.select(F.explode(F.split(_lower(F.col("line")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.col("w")).cast("int").alias("b")).count()
     level = F.least(F.lit(126), F.floor(3 * F.log2(F.col("count") + 1))).cast("int")
     table = bytearray(BUCKETS)
@@ -66,12 +73,13 @@ def _sets(lines: DataFrame, table: bytes) -> DataFrame:
     """(doc, place, id, n, words): the sorted set of word codes (rarity in the high byte), its size and a hash of it."""
     levels = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # becomes a literal
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0))
+    def code(h: Column) -> Column:
+        level = F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1))), F.lit(0).cast("long"))
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    codes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), code)), code(F.lit("")))
+    # a word is hashed once, and only different ones are coded
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(_lower(F.col("line")), " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
+    codes = F.transform(hashes, code)
     # an explode of one row: what follows refers to the codes and does not make them again
     coded = lines.where("line <> ''").select(*_AT, F.explode(F.array(F.sort_array(codes))).alias("words"))
     return coded.withColumn("n", F.size("words")).where("n > 0").withColumn("id", F.xxhash64("words"))
@@ -88,11 +96,19 @@ def _parity(keep: Column | None = None) -> Column:
 
 
 def _described(sets: DataFrame, percent: int) -> DataFrame:
-    """Instead of the codes their prefix, in 31 bits each (two words that agree in them only give more candidates), and parity bits."""
+    """Instead of the codes their prefix, in 31 bits each (two words that agree in them only give more candidates), and parity bits. Codes of
+    words that may have a long list are negative."""
+    # the level in the table of a bucket that has as many words as a long list
+    long = min(126, math.floor(3 * math.log2(LONG_LIST + 2) - 1e-9)) << 56
+
+    def short(c: Column) -> Column:
+        bits = c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return F.when(c < long, bits).otherwise(F.bitwise_not(bits))
+
     few, prefix = F.col("n") <= FEW_WORDS, F.slice("words", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
     first = F.when(few, _parity()).otherwise(_parity(F.lit(1)))
     second = F.when(few, F.lit(0)).otherwise(_parity(F.lit(0)))
-    return sets.select(*_AT, "id", "n", first.alias("b1"), second.alias("b2"), F.transform(prefix, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    return sets.select(*_AT, "id", "n", first.alias("b1"), second.alias("b2"), F.transform(prefix, short).alias("prefix"))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -102,8 +118,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _side(posts: DataFrame, side: str) -> DataFrame:
-    return posts.select("word", *[F.col(c).alias(f"{side}{c}") for c in (*_AT, "n", "pos", "b1", "b2")])
+def _side(posts: DataFrame, side: str, *more: str) -> DataFrame:
+    return posts.select("word", *[F.col(c).alias(f"{side}{c}") for c in (*_AT, "n", "pos", "b1", "b2", *more)])
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -138,26 +154,45 @@ def _matched(pairs: DataFrame, docs: DataFrame, table: bytes, percent: int) -> D
 
 def _settled(found: DataFrame) -> DataFrame:
     """Places whose sets have all got a match."""
-    return found.groupBy(*_AT).agg(F.min("ok").alias("ok")).where("ok").select(*_AT)
+    return found.groupBy(*_AT, "id").agg(F.max("ok").alias("ok")).groupBy(*_AT).agg(F.min("ok").alias("ok")).where("ok").select(*_AT)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each later line the pair that shares most."""
+    best = pairs.groupBy("l_doc", "l_place").agg(F.max(F.struct("shared", "e_doc", "e_place")).alias("e"))
+    return best.select("e.e_doc", "e.e_place", "l_doc", "l_place")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, table: bytes, percent: int) -> DataFrame:
     """As _matched, but a later line is compared with the one that shares most first, and with the others only if it does not match that one."""
-    best = pairs.groupBy("l_doc", "l_place").agg(F.max(F.struct("shared", "e_doc", "e_place")).alias("e")).select("e.e_doc", "e.e_place", "l_doc", "l_place")
+    best = _best(pairs)
     found = _matched(best, docs, table, percent)
     done = _settled(found).select(F.col("doc").alias("l_doc"), F.col("place").alias("l_place"))
     others = pairs.join(done, ["l_doc", "l_place"], "left_anti").join(best, ["e_doc", "e_place", "l_doc", "l_place"], "left_anti")
     return found.unionByName(_matched(cut(others), docs, table, percent))
 
 
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of each line with the first one of each of its words' lists."""
+    first = posts.groupBy("word").agg(F.min(F.struct(_at().alias("at"), *_AT, "n", "pos", "b1", "b2")).alias("c"), F.count(F.lit(1)).alias("m"))
+    first = _side(first.where("m > 1").select("word", "c.*"), "a_")
+    met = _side(posts, "b_").join(first, "word").where((_at("a_") < _at("b_")) & _may_match("a_", "b_", percent))
+    return _pairs(met, "a_", "b_", F.lit(True))
+
+
+def _with_open(groups: DataFrame, settled: DataFrame) -> DataFrame:
+    """Adds `open`: whether the line is not among `settled`. Only lines that may be among them are shuffled."""
+    settled = settled.withColumn("done", F.lit(True))
+    flagged = with_maybe(groups.withColumn("key", F.xxhash64(*_AT)), "key", settled.select(F.xxhash64(*_AT).alias("key")), "maybe").drop("key")
+    unsure = flagged.where("maybe").join(settled, [*_AT], "left").withColumn("open", F.col("done").isNull())
+    return flagged.where("not maybe").withColumn("open", F.lit(True)).drop("maybe").unionByName(unsure.drop("maybe", "done"))
+
+
 def _long_lists(posts: DataFrame, found: DataFrame, docs: DataFrame, table: bytes, percent: int) -> DataFrame:
     """The matches by words in very many prefixes: first with one line of a word's list, then what is still in with all of them."""
     left = cut(posts.join(_settled(found), [*_AT], "left_anti"))
     for _ in range(STAR_ROUNDS):
-        first = left.groupBy("word").agg(F.min(F.struct(_at().alias("at"), *_AT, "n", "pos", "b1", "b2")).alias("c"))
-        first = _side(first.select("word", "c.*"), "a_")
-        met = _side(left, "b_").join(first, "word").where((_at("a_") < _at("b_")) & _may_match("a_", "b_", percent))
-        now = _verified(cut(_pairs(met, "a_", "b_", F.lit(True))), docs, table, percent)
+        now = _verified(cut(_stars(left, percent)), docs, table, percent)
         found, left = found.unionByName(now), cut(left.join(_settled(now), [*_AT], "left_anti"))
     met = _side(left, "b_").join(_side(posts, "a_"), "word").where((_at("a_") < _at("b_")) & _may_match("a_", "b_", percent))
     return found.unionByName(_verified(cut(_pairs(met, "a_", "b_", F.lit(True))), docs, table, percent))
@@ -174,23 +209,42 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     lines = _stored(_described(_sets(_lines(docs), table), percent), "lines")
     # equal sets: the first line stands for all; sets are told apart by a hash, their size and the parity bits
     same = ["id", "n", "b1", "b2"]
-    groups = lines.groupBy(*same).agg(F.min(_at()).alias("first"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
-    groups = _stored(groups.select("first.doc", "first.place", *same, "prefix", "copies"), "sets")
-    posts = groups.select(*_AT, "n", "b1", "b2", F.posexplode("prefix").alias("pos", "word"))
-    # nothing is null here; as it is said before the exchange, both sides of the join share one
-    posts = posts.where(" and ".join(f"{c} is not null" for c in posts.columns)).repartition("word")
-    counted = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("word")))
+    again = cut(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    flagged = with_maybe(lines, "id", again, "again")
+    groups = flagged.where("again").groupBy(*same).agg(F.min(_at()).alias("first"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
+    alone = flagged.where("not again").select(*_AT, *same, "prefix", F.lit(1).cast("long").alias("copies"))
+    groups = _stored(groups.select("first.doc", "first.place", *same, "prefix", "copies").unionByName(alone), "sets")
+
+    def posted(rows: DataFrame, *more: str) -> DataFrame:
+        posts = rows.select(*_AT, "n", "b1", "b2", *more, F.posexplode("prefix").alias("pos", "word"))
+        # nothing is null here; as it is said before the exchange, both sides of the join share one
+        return posts.where(" and ".join(f"{c} is not null" for c in posts.columns))
+
+    # most near copies are found by one comparison with the first line that has one of their rarest words, and are late no more
+    found = _matched(_best(cut(_stars(posted(groups.withColumn("prefix", F.slice("prefix", 1, STAR_WORDS))), percent))), docs, table, percent)
+    opened = _with_open(groups, cut(_settled(found)))
+    posts = posted(opened, "open")
+    longs = cut(posted(groups).where("word < 0").groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LONG_LIST).select("word"))
+    crowded = longs.count()
+    if crowded:
+        longs = F.broadcast(longs) if crowded <= SMALL_ROWS else longs
+        crowd = _stored(posted(groups).join(longs, "word", "left_semi"), "posts")
+        posts = posts.join(longs, "word", "left_anti")
+    size = groups.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    posts = posts.repartition(max(12, -(-size // TASK_POSTS)), "word")
     # the smaller set by its short prefix, the larger one by its long one; of equal sizes the earlier one counts as smaller
-    short = counted.where((F.col("m") <= LONG_LIST) & ((100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n")))
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (_at("a_") < _at("b_")))
-    met = _side(short, "a_").join(_side(posts, "b_"), "word").where(smaller & _may_match("a_", "b_", percent) & (_at("a_") != _at("b_")))
-    found = _verified(_stored(_pairs(met, "a_", "b_", _at("a_") < _at("b_")), "pairs"), docs, table, percent)
-    crowded = _stored(counted.where(F.col("m") > LONG_LIST).drop("m"), "posts")
-    if not crowded.isEmpty():
-        found = _long_lists(crowded, found, docs, table, percent)
+    # the id is there so that the filter stays behind the exchange, which both sides share; no word has more than LONG_LIST posts here
+    short = posts.where(F.when(F.monotonically_increasing_id() >= 0, (100 + percent) * (F.col("n") - F.col("pos")).cast("long") >= 2 * percent * F.col("n")))
+    late = F.when(_at("a_") < _at("b_"), F.col("b_open")).otherwise(F.col("a_open"))
+    met = _side(short, "a_", "open").join(_side(posts, "b_", "open"), "word").where(smaller & _may_match("a_", "b_", percent) & (_at("a_") != _at("b_")) & late)
+    found = found.unionByName(_matched(_stored(_pairs(met, "a_", "b_", _at("a_") < _at("b_")), "pairs"), docs, table, percent))
+    if crowded:
+        found = _long_lists(crowd, found, docs, table, percent)
     # only lines of sets that occur again or have a match are brought together
-    gone = found.where("ok").select(*_AT, "id").distinct().withColumn("gone", F.lit(True))
-    heads = groups.select(*_AT, *same, "copies").join(gone, [*_AT, "id"], "left").where("copies > 1 or gone")
+    gone = cut(found.where("ok").select(*_AT, "id").distinct()).withColumn("gone", F.lit(True))
+    heads = with_maybe(groups.select(*_AT, *same, "copies"), "id", gone.select("id"), "maybe").where("copies > 1 or maybe").drop("maybe")
+    heads = heads.join(gone, [*_AT, "id"], "left").where("copies > 1 or gone")
     heads = cut(heads.select(*same, "gone", _at().alias("first")))
     places = maybe_in(lines.select(*_AT, *same), "id", heads.select("id")).join(heads, same).where(F.col("gone").isNotNull() | (_at() != F.col("first")))
     unset = F.col("place") >= _NO_ID
