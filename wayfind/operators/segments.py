@@ -20,9 +20,16 @@ from wayfind.operators.bm25 import query_terms
 from wayfind.operators.sizes import cut, small
 from wayfind.sources.commits import Log
 
+#: Blocks to a row group of a segment's files: a row group is what a task that writes or reads them holds at once.
+GROUP_BLOCKS = 4
 _GONE = "segment string, block long, gone array<int>"
 
 
+def _write_blocks(made: DataFrame, segment: str) -> None:
+    """Parquet looks at the size of a row group after a hundred rows only, here of some megabytes each, so their number is limited."""
+    made.withColumn("block", F.monotonically_increasing_id()).write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(f"{segment}/blocks")
+
+
 class Index:
     """A stored index at a path. fields name the indexed texts; they, the tokenizer and the boosts must be the same at each use."""
 
@@ -34,7 +41,7 @@ class Index:
         """Blocks and dictionary of the documents' tokens; each is a read of the documents."""
         out = self.log.folder("segment")
         made = B.make_blocks(B.hashed_tokens(docs, self.id_col, self.fields, self.tokenizer), len(self.fields))
-        made.withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{out}/blocks")
+        _write_blocks(made, out)
         tokens = F.flatten(F.array(*[self.tokenizer(c) for c in self.fields.values()]))
         docs.select(F.explode(F.array_distinct(tokens)).alias("term")).distinct().withColumn("id", B.term_id(F.col("term"))).write.parquet(f"{out}/terms")
         return out
@@ -99,7 +106,7 @@ class Index:
             out, live = self.log.folder("segment"), self._live(content)
             kind = live.schema["docs"].dataType.elementType.simpleString()
             made = live.mapInArrow(_put_together(len(self.fields)), B.block_schema(kind))
-            made.withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{out}/blocks")
+            _write_blocks(made, out)
             terms = self.spark.read.parquet(*[f"{s}/terms" for s in content["segments"]])
             terms.distinct().write.parquet(f"{out}/terms")
             return {"segments": [out], "gone": None}
